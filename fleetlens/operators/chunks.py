@@ -39,14 +39,18 @@ def with_halo(df: DataFrame, seconds: int, back: int = 0, ahead: int = 0, ts: st
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], cols: Sequence[str], ts: str = "ts", seconds: int = CHUNK_SECONDS
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], ts: str = "ts", seconds: int | None = CHUNK_SECONDS
 ) -> DataFrame:
     """Add ``prev_<col>`` from the previous row of the series, however far back it lies.
 
     Inside a chunk it is an ordinary lag; the first row of a chunk takes the last row of the nearest
-    earlier chunk, found over one summary row per chunk.
+    earlier chunk, found over one summary row per chunk. `seconds=None` is for series that are bounded
+    already, such as range-query results or daily rollups: one plain window.
     """
     state = F.struct(*[F.col(c).alias(c) for c in cols])
+    if seconds is None:
+        plain = df.withColumn("_prev", F.lag(state).over(Window.partitionBy(*keys).orderBy(ts)))
+        return plain.withColumns({f"prev_{c}": F.col("_prev")[c] for c in cols}).drop("_prev")
     chunked = df.withColumn("_chunk", chunk_of(ts, seconds))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(ts)
     edges = (

@@ -22,11 +22,12 @@ def service_tails(
     pending_threshold: float = cat.PENDING_THRESHOLD,
     kv_threshold: float = cat.KV_CACHE_THRESHOLD,
     with_requests: bool = True,
-    chunk_seconds: int = 3600,
+    chunk_seconds: int | None = None,
 ) -> DataFrame:
     """One row per service with the last `points` of its summed replica series condensed to rule inputs.
 
-    `samples`: service, replica, metric, ts, value. All metrics go through the same grid, sum and
+    `samples`: service, replica, metric, ts, value, one range-query result per series: a bounded number of
+    points each (else give `chunk_seconds`). All metrics go through the same grid, sum and
     resampling step together; only bounded grids reach the tail step.
     """
     metrics = BINNED + (RAW if with_requests else [])

@@ -161,13 +161,13 @@ def test_query_window(tests: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def render_requests(prompts: DataFrame, tests: DataFrame) -> DataFrame:
-    """Request path and JSON body for every prompt of a test's data set.
+def render_requests(requests: DataFrame, tests: DataFrame) -> DataFrame:
+    """Request path and JSON body for every request of a load test.
 
-    `tests`: test_id, data_set, mode, model, max_tokens, temperature, top_p. Prompts are matched to tests
-    by data set; the model field appears in `openai` mode only.
+    `requests`: test_id, prompt_id, question. `tests`: test_id, mode, model, max_tokens, temperature,
+    top_p. The model field appears in `openai` mode only.
     """
-    joined = prompts.join(tests, "data_set")
+    joined = requests.join(tests, "test_id")
     path = F.element_at(F.create_map(*[F.lit(x) for kv in cat.REQUEST_PATH_BY_MODE.items() for x in kv]), F.col("mode"))
     plain = F.struct(F.col("question").alias("prompt"), "max_tokens", "temperature", "top_p")
     named = F.struct("model", F.col("question").alias("prompt"), "max_tokens", "temperature", "top_p")

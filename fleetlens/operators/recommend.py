@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import catalog as cat
 from fleetlens.functions.expressions import clip, divisors, nearest_of, ratio
+from fleetlens.operators.chunks import split_rank
 
 BYTES_PER_GB = float(cat.GIB)
 
@@ -187,3 +188,14 @@ def replica_gap(tasks: DataFrame, replicas: DataFrame) -> DataFrame:
         F.when((F.col("desired") == 0) & (delta < 0), "remove_all").when(delta < 0, "remove").when(delta > 0, "add")
         .otherwise("keep").alias("action"),
     )
+
+
+def replica_removals(tasks: DataFrame, replicas: DataFrame) -> DataFrame:
+    """Replicas to remove, oldest list position first, one row each.
+
+    Ranks come from prefix counts over position ranges, so a task with very many replicas is not sorted
+    in one place.
+    """
+    surplus = replica_gap(tasks, replicas).filter("delta < 0").select("task", (-F.col("delta")).alias("surplus"))
+    ranked = split_rank(replicas, ["task"], "idx")
+    return ranked.join(surplus, "task").filter(F.col("rank") <= F.col("surplus")).drop("surplus")

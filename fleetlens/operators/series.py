@@ -16,7 +16,7 @@ def sampling_interval(
     keys: Sequence[str],
     share: float = cat.INTERVAL_SHARE,
     min_points: int = cat.MIN_POINTS,
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_seconds: int | None = CHUNK_SECONDS,
 ) -> DataFrame:
     """One row per series: points, last_ts, and `freq`, the gap that makes up more than `share` of all gaps.
 
@@ -46,7 +46,7 @@ def regularise(
     share: float = cat.INTERVAL_SHARE,
     fill: float = 0.0,
     unit: int = 60,
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_seconds: int | None = CHUNK_SECONDS,
     keep_irregular: bool = True,
 ) -> DataFrame:
     """Put every series on a regular grid of its own interval.

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import catalog as cat
+from fleetlens.operators.chunks import running_total
 
 # Histogram bounds in milliseconds.
 DURATION_BOUNDS = [2, 4, 6, 8, 10, 50, 100, 200, 400, 800, 1000, 1400, 2000, 5000, 10000, 15000]
@@ -29,12 +30,12 @@ def span_red_metrics(
 def spans_to_samples(red: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Cumulative call counters per dimension set, ready to append to the samples table."""
     labels = F.map_from_arrays(F.array(*[F.lit(d) for d in dims]), F.array(*[F.col(d).cast("string") for d in dims]))
-    order = Window.partitionBy(*dims).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return red.select(
+    totals = running_total(red.select(*dims, "ts", "calls"), dims, "calls", "ts", seconds=86400)
+    return totals.select(
         F.lit("traces_spanmetrics_calls_total").alias("metric"),
         labels.alias("labels"),
         "ts",
-        F.sum("calls").over(order).cast("double").alias("value"),
+        F.col("running").cast("double").alias("value"),
     )
 
 
@@ -74,8 +75,8 @@ def request_counter(requests: DataFrame, labels: Sequence[str], width: int = 60)
     binned = requests.groupBy(*labels, (F.col("ts") - F.col("ts") % width + width).alias("ts")).agg(
         F.count("*").alias("_n")
     )
-    order = Window.partitionBy(*labels).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return binned.select(*labels, "ts", F.sum("_n").over(order).alias("requests_total"))
+    totals = running_total(binned, labels, "_n", "ts", seconds=86400)
+    return totals.select(*labels, "ts", F.col("running").alias("requests_total"))
 
 
 def extract_request_params(requests: DataFrame) -> DataFrame:

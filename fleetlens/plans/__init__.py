@@ -1,0 +1,8 @@
+"""Logical plans: the view catalogue and the registered queries."""
+
+from fleetlens.plans import fleet_queries, series_queries
+from fleetlens.plans.registry import ORACLES, QUERIES
+
+flagship = fleet_queries.detect_anomaly
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
