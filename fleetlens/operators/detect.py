@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens import catalog as cat
-from fleetlens.operators.series import (
-    all_true, last_points, regularise, resample, strict_percentile, sum_replicas,
-)
+from fleetlens.operators.series import all_true, regularise, sum_replicas
 
 BINNED = ["pending", "kv_cache", "running"]
 RAW = ["server_new", "server_success"]
+SHORT = {"pending": "pending", "kv_cache": "kv", "running": "running", "server_new": "new", "server_success": "success"}
 
 
 def service_tails(
@@ -38,42 +37,54 @@ def service_tails(
     summed = sum_replicas(regular, group)
     metric = F.col("metric")
 
-    binned = resample(summed.filter(metric.isin(*BINNED)), group, unit, extra=["n_valid"])
-    tail = last_points(
-        binned.select(
-            *group, "ts", "n_valid",
-            F.when(metric == "pending", F.col("total")).otherwise(F.col("mean") / F.col("n_valid")).alias("value"),
-        ),
-        group, points,
+    # Bins of the resampled metrics; request metrics keep their raw grid.
+    resampled = metric.isin(*BINNED)
+    slot = F.when(resampled, F.col("ts") - F.col("ts") % unit).otherwise(F.col("ts"))
+    bins = summed.groupBy(*group, slot.alias("slot")).agg(
+        F.coalesce(F.sum("value"), F.lit(0.0)).alias("_total"), F.avg("value").alias("_mean"), F.max("n_valid").alias("n_valid")
+    )
+    whole = Window.partitionBy(*group)
+    ranked = bins.withColumns({
+        "_rn": F.row_number().over(whole.orderBy(F.col("slot").desc())),
+        "_hi": F.max("slot").over(whole),
+        "_lo": F.min("slot").over(whole),
+    })
+    in_tail = F.when(resampled, F.col("slot") > F.col("_hi") - points * unit).otherwise(F.col("_rn") <= points)
+    # Resampling also yields the empty bins between the first and the last; here they are only counted.
+    expected = F.least(F.lit(points), F.floor((F.col("_hi") - F.col("_lo")) / unit) + 1)
+    tail = ranked.filter(in_tail).select(
+        *group,
+        "n_valid",
+        F.when(metric == "pending", F.col("_total")).when(resampled, F.col("_mean") / F.col("n_valid"))
+        .otherwise(F.col("_mean")).alias("value"),
+        F.when(resampled, expected).alias("_expected"),
     )
-    if with_requests:
-        raw = last_points(summed.filter(metric.isin(*RAW)).select(*group, "ts", "n_valid", "value"), group, points)
-        tail = tail.unionByName(raw)
 
     value = F.col("value")
-    valid = lambda name: F.coalesce(F.max(F.when(metric == name, F.col("n_valid"))), F.lit(0))
-    p90 = lambda name: strict_percentile(value, 0.9, metric == name)
-    holds = lambda name, cond: all_true(F.when(metric == name, F.coalesce(cond, F.lit(False))).otherwise(F.lit(True)))
+    per_metric = tail.groupBy(*group).agg(
+        F.max("n_valid").alias("n_valid"),
+        (F.coalesce(F.max("_expected"), F.count("*")) - F.count("*")).alias("_empty"),
+        (F.count("*") - F.count("value")).alias("_nulls"),
+        all_true(value >= pending_threshold).alias("_high"),
+        all_true(value <= kv_threshold).alias("_low"),
+        F.max("value").alias("_peak"),
+        F.percentile("value", F.lit(0.9)).alias("_p90"),
+    )
+    missing = F.col("_empty") + F.col("_nulls")
+    at = lambda name, col: F.max(F.when(metric == name, col))
+    valid = lambda name: F.coalesce(at(name, F.col("n_valid")), F.lit(0)).alias(f"n_{SHORT[name]}")
+    p90 = lambda name: at(name, F.when(missing == 0, F.col("_p90"))).alias(f"p90_{SHORT[name]}")
+    # An empty pending bin sums to zero.
+    high = F.col("_high") & ((F.col("_empty") == 0) | F.lit(pending_threshold <= 0))
     columns = [
-        valid("pending").alias("n_pending"),
-        valid("kv_cache").alias("n_kv"),
-        valid("running").alias("n_running"),
-        holds("pending", value >= pending_threshold).alias("_pending_high"),
-        holds("kv_cache", value <= kv_threshold).alias("kv_low"),
-        F.max(F.when(metric == "running", value)).alias("running_peak"),
-        F.count_if((metric == "running") & value.isNull()).alias("running_missing"),
-        p90("running").alias("p90_running"),
-        p90("kv_cache").alias("p90_kv"),
+        *[valid(m) for m in metrics],
+        *[p90(m) for m in metrics if m != "pending"],
+        F.coalesce(at("pending", high), F.lit(False)).alias("pending_high"),
+        F.coalesce(at("kv_cache", F.col("_low") & (F.col("_empty") == 0)), F.lit(False)).alias("kv_low"),
+        at("running", F.col("_peak")).alias("running_peak"),
+        F.coalesce(at("running", missing), F.lit(0)).alias("running_missing"),
     ]
-    if with_requests:
-        columns += [
-            valid("server_new").alias("n_new"),
-            valid("server_success").alias("n_success"),
-            p90("server_new").alias("p90_new"),
-            p90("server_success").alias("p90_success"),
-        ]
-    rules = tail.groupBy("service").agg(*columns)
-    return rules.withColumn("pending_high", (F.col("n_pending") > 0) & F.col("_pending_high")).drop("_pending_high")
+    return per_metric.groupBy("service").agg(*columns)
 
 
 def judge(tasks: DataFrame, tails: DataFrame, running_threshold: float = cat.RUNNING_THRESHOLD) -> DataFrame:

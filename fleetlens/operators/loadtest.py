@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from fleetlens import catalog as cat
 from fleetlens.functions.expressions import duration_seconds, success_percent
 
-# Block lengths used to cover a test window exactly, in seconds.
-BLOCKS = (3600, 60, 1)
-SALTS = 8
+# Aligned block lengths that cover the inside of a test window, in seconds; the finest also keys the edges.
+BLOCKS = (60, 600, 3600)
+SALTS = 4
 
 
 def summarise_load_report(report: DataFrame) -> DataFrame:
@@ -32,65 +32,81 @@ def test_windows(tests: DataFrame) -> DataFrame:
     return tests.withColumns({"w_start": F.col("created"), "w_end": F.col("created") + length})
 
 
-def _blocks(start: Column, end: Column) -> Column:
-    """Cover the whole seconds start..end exactly by aligned blocks: hours inside, minutes and seconds at the edges.
+COVER = "array<struct<size:int,block:bigint,lo:bigint,hi:bigint>>"
 
-    The cover holds at most 2 * 59 seconds, 2 * 59 minutes and the full hours, whatever the window length.
+
+def _cover(start: Column, end: Column) -> Column:
+    """Cover the whole seconds start..end exactly: aligned blocks inside, single seconds in the two edge minutes.
+
+    Besides its full hours a window takes at most two edges, 18 minutes and 10 ten-minute blocks.
     """
     stop = end + 1
-    parts = []
-    inner_lo, inner_hi = start, stop
-    bounds = []
-    for size in sorted(BLOCKS):
-        lo = (F.ceil(inner_lo / size) * size).cast("long")
-        hi = (F.floor(inner_hi / size) * size).cast("long")
-        bounds.append((size, lo, hi))
-    # From the smallest block outwards: block `size` covers what the next larger aligned span leaves over.
-    for i, (size, lo, hi) in enumerate(bounds):
-        if i + 1 < len(bounds):
-            _, next_lo, next_hi = bounds[i + 1]
-            whole = next_lo >= next_hi
-            left = _run(size, lo, F.when(whole, hi).otherwise(next_lo))
-            right = _run(size, F.when(whole, hi).otherwise(next_hi), hi)
-            parts += [left, right]
-        else:
+    fine = BLOCKS[0]
+    spans = [(size, _up(start, size), _down(stop, size)) for size in BLOCKS]
+    _, lo, hi = spans[0]
+    first_stop = F.least(lo, stop)
+    parts = [
+        _edge(start, first_stop, _down(start, fine)),
+        F.when(hi >= lo, _edge(hi, stop, hi)).otherwise(_nothing()),
+    ]
+    for (size, lo, hi), larger in zip(spans, [*spans[1:], None]):
+        if larger is None:
             parts.append(_run(size, lo, hi))
+            continue
+        # The larger blocks take the middle, where there is one.
+        _, mid_lo, mid_hi = larger
+        has_middle = mid_lo < mid_hi
+        parts.append(_run(size, lo, F.when(has_middle, mid_lo).otherwise(hi)))
+        parts.append(_run(size, F.when(has_middle, mid_hi).otherwise(hi), hi))
     return F.concat(*parts)
 
 
+def _up(x: Column, size: int) -> Column:
+    return (F.ceil(x / size) * size).cast("long")
+
+
+def _down(x: Column, size: int) -> Column:
+    return (F.floor(x / size) * size).cast("long")
+
+
+def _nothing() -> Column:
+    return F.array().cast(COVER)
+
+
+def _edge(lo: Column, stop: Column, block: Column) -> Column:
+    one = F.array(F.struct(F.lit(1).alias("size"), block.alias("block"), lo.alias("lo"), (stop - 1).alias("hi")))
+    return F.when(lo < stop, one.cast(COVER)).otherwise(_nothing())
+
+
 def _run(size: int, lo: Column, hi: Column) -> Column:
-    empty = F.array().cast("array<struct<size:int,block:bigint>>")
     run = F.transform(
         F.sequence(lo, hi - size, F.lit(size).cast("long")),
-        lambda s: F.struct(F.lit(size).alias("size"), s.alias("block")),
+        lambda b: F.struct(F.lit(size).alias("size"), b.alias("block"), b.alias("lo"), b.alias("hi")),
     )
-    return F.when(lo < hi, run).otherwise(empty)
+    return F.when(lo < hi, run.cast(COVER)).otherwise(_nothing())
 
 
 def series_in_windows(windows: DataFrame, samples: DataFrame, series: Sequence[str], match: Sequence[str] = ()) -> DataFrame:
-    """Sum, count and "has a non-zero value" per (test, series) over the samples inside each test window.
+    """Sum, count and peak per (test, series) over the samples inside each test window.
 
     An interval join by exact cover: every window becomes a bounded set of aligned blocks, samples are
     rolled up once per block size, and both meet in an equi-join on (size, block). Long windows touch hour
     rollups instead of raw samples. Windows are repeated over a few salts so that one busy block is spread.
     `match` names columns both sides must agree on.
     """
-    base = samples.groupBy(*series, F.col("ts").alias("block")).agg(
+    merged = [F.sum("v_sum").alias("v_sum"), F.sum("v_n").alias("v_n"), F.max("v_peak").alias("v_peak")]
+    level = samples.groupBy(*series, F.col("ts").alias("at")).agg(
         F.sum("value").alias("v_sum"), F.count("value").alias("v_n"), F.max(F.abs("value")).alias("v_peak")
-    ).withColumn("size", F.lit(1))
-    rollups, finest = base, base
-    for size in sorted(BLOCKS)[1:]:
-        finest = finest.groupBy(*series, (F.floor(F.col("block") / size) * size).alias("block")).agg(
-            F.sum("v_sum").alias("v_sum"), F.sum("v_n").alias("v_n"), F.max("v_peak").alias("v_peak")
-        ).withColumn("size", F.lit(size))
-        rollups = rollups.unionByName(finest)
-    rollups = rollups.withColumn("_salt", F.pmod(F.xxhash64(*series), F.lit(SALTS)))
-    covered = windows.select("test_id", *match, F.inline(_blocks(F.col("w_start"), F.col("w_end"))))
-    covered = covered.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    hits = covered.join(rollups, ["size", "block", "_salt", *match])
-    return hits.groupBy("test_id", *dict.fromkeys(series)).agg(
-        F.sum("v_sum").alias("v_sum"), F.sum("v_n").alias("v_n"), F.max("v_peak").alias("v_peak")
     )
+    rollups = level.withColumn("size", F.lit(1)).withColumn("block", _down(F.col("at"), BLOCKS[0]))
+    for size in BLOCKS:
+        level = level.groupBy(*series, _down(F.col("at"), size).alias("at")).agg(*merged)
+        rollups = rollups.unionByName(level.withColumn("size", F.lit(size)).withColumn("block", F.col("at")))
+    rollups = rollups.withColumn("_salt", F.pmod(F.xxhash64(*series), F.lit(SALTS)).cast("int"))
+    covered = windows.select("test_id", *match, F.inline(_cover(F.col("w_start"), F.col("w_end"))))
+    covered = covered.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = covered.join(rollups, ["size", "block", "_salt", *match]).filter("at BETWEEN lo AND hi")
+    return hits.groupBy("test_id", *dict.fromkeys(series)).agg(*merged)
 
 
 def robust_average(per_series: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -121,11 +137,12 @@ def test_throughput(tests: DataFrame, samples: DataFrame, prompt: str, generatio
     windows = test_windows(tests)
     per_series = series_in_windows(windows, metrics, ["metric", "exported_job"], match)
     live = F.col("v_peak") > 0
-    mean = lambda name: F.coalesce(
+    # Rounded before truncation, so that the order of summation cannot tip a whole number.
+    mean = lambda name: F.round(F.coalesce(
         F.sum(F.when(live & (F.col("metric") == name), F.col("v_sum")))
         / F.sum(F.when(live & (F.col("metric") == name), F.col("v_n"))),
         F.lit(0.0),
-    ).cast("long")
+    ), 9).cast("long")
     measured = per_series.groupBy("test_id").agg(
         mean(prompt).alias("prompt_tps"), mean(generation).alias("generation_tps")
     )

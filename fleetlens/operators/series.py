@@ -52,26 +52,74 @@ def regularise(
     """Put every series on a regular grid of its own interval.
 
     The grid runs from `(n - 1)` units before the last sample up to it, anchored at its start; grid
-    points without an exactly matching sample take `fill`. Series without an interval keep their raw
-    samples, with a NULL `freq`, unless `keep_irregular` is off.
+    points without an exactly matching sample take `fill`. `starts` marks the first grid point. Series
+    without an interval keep their raw samples, with a NULL `freq`, unless `keep_irregular` is off.
+
+    Series of any length go through chunks and a (series, ts) aggregation. With `chunk_seconds=None`
+    the series are bounded, such as range-query results: one shuffle by series does everything.
     """
-    stats = sampling_interval(samples, keys, share, chunk_seconds=chunk_seconds).select(*keys, "freq", "last_ts")
-    # Grid points and samples meet in one aggregation keyed by (series, ts), which no hot series can skew.
+    columns = [*keys, "ts", "freq", "value", "starts"]
+    if chunk_seconds is None:
+        measured = _measure_bounded(samples, keys, share)
+        on_grid = _grid_bounded(measured.filter("freq IS NOT NULL"), keys, n, fill, unit)
+        irregular = measured.filter("freq IS NULL")
+    else:
+        stats = sampling_interval(samples, keys, share, chunk_seconds=chunk_seconds).select(*keys, "freq", "last_ts")
+        on_grid = _grid_chunked(samples, stats, keys, n, fill, unit)
+        irregular = samples.join(stats.filter("freq IS NULL").select(*keys, "freq"), list(keys))
+    if not keep_irregular:
+        return on_grid.select(*columns)
+    return on_grid.select(*columns).unionByName(irregular.withColumn("starts", F.lit(False)).select(*columns))
+
+
+def _measure_bounded(samples: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
+    """Samples with the interval (`freq`) and last timestamp of their series, from windows over one partitioning."""
+    series = Window.partitionBy(*keys)
+    gaps = samples.select(*keys, "ts", "value").withColumn("_gap", F.col("ts") - F.lag("ts").over(series.orderBy("ts")))
+    counted = gaps.withColumn("_n", F.count("_gap").over(Window.partitionBy(*keys, "_gap")))
+    measured = counted.withColumns({
+        "_points": F.count("*").over(series),
+        "last_ts": F.max("ts").over(series),
+        "_top": F.max("_n").over(series),
+        "_mode": F.max_by("_gap", "_n").over(series),
+    })
+    regular = (F.col("_points") >= cat.MIN_POINTS) & (F.col("_top") / (F.col("_points") - 1) > share)
+    return measured.select(*keys, "ts", "value", "last_ts", F.when(regular, F.col("_mode")).alias("freq"))
+
+
+def _grid_bounded(measured: DataFrame, keys: Sequence[str], n: int, fill: float, unit: int) -> DataFrame:
+    """Grid rows per series; at most one sample per grid point is gathered, so arrays are bounded by the grid."""
+    start = F.col("last_ts") - (n - 1) * unit
+    on_grid = (F.col("ts") >= start) & ((F.col("ts") - start) % F.col("freq") == 0)
+    gathered = measured.groupBy(*keys).agg(
+        F.max("freq").alias("freq"),
+        F.max("last_ts").alias("last_ts"),
+        F.map_from_entries(F.collect_list(F.when(on_grid, F.struct("ts", "value")))).alias("_at"),
+    )
+    points = F.transform(
+        F.sequence(start, F.col("last_ts"), F.col("freq")),
+        lambda t: F.struct(
+            t.alias("ts"), F.coalesce(F.col("_at")[t], F.lit(float(fill))).alias("value"), (t == start).alias("starts")
+        ),
+    )
+    return gathered.select(*keys, "freq", F.inline(points))
+
+
+def _grid_chunked(
+    samples: DataFrame, stats: DataFrame, keys: Sequence[str], n: int, fill: float, unit: int
+) -> DataFrame:
+    """Grid points and samples meet in one aggregation keyed by (series, ts), which no hot series can skew."""
+    start = F.col("last_ts") - (n - 1) * unit
     grid = stats.filter("freq IS NOT NULL").select(
-        *keys,
-        F.explode(F.sequence(F.col("last_ts") - (n - 1) * unit, F.col("last_ts"), F.col("freq"))).alias("ts"),
-        "freq",
-        F.lit(None).cast("double").alias("value"),
+        *keys, "freq", start.alias("_start"), F.explode(F.sequence(start, F.col("last_ts"), F.col("freq"))).alias("ts"),
+    ).select(*keys, "ts", "freq", (F.col("ts") == F.col("_start")).alias("starts"), F.lit(None).cast("double").alias("value"))
+    raw = samples.select(
+        *keys, "ts", F.lit(None).cast("long").alias("freq"), F.lit(None).cast("boolean").alias("starts"), "value"
     )
-    raw = samples.select(*keys, "ts", F.lit(None).cast("long").alias("freq"), "value")
-    met = grid.unionByName(raw).groupBy(*keys, "ts").agg(F.max("freq").alias("freq"), F.max("value").alias("value"))
-    on_grid = met.filter("freq IS NOT NULL").withColumn("value", F.coalesce("value", F.lit(float(fill))))
-    if not keep_irregular:
-        return on_grid.select(*keys, "ts", "freq", "value")
-    irregular = samples.join(stats.filter("freq IS NULL").select(*keys, "freq"), list(keys)).select(
-        *keys, "ts", "freq", "value"
+    met = grid.unionByName(raw).groupBy(*keys, "ts").agg(
+        F.max("freq").alias("freq"), F.max("starts").alias("starts"), F.max("value").alias("value")
     )
-    return on_grid.select(*keys, "ts", "freq", "value").unionByName(irregular)
+    return met.filter("freq IS NOT NULL").withColumn("value", F.coalesce("value", F.lit(float(fill))))
 
 
 def sum_replicas(regular: DataFrame, group: Sequence[str], replica: str = "replica") -> DataFrame:
@@ -79,18 +127,20 @@ def sum_replicas(regular: DataFrame, group: Sequence[str], replica: str = "repli
 
     Replicas without an interval are left out and not counted. The grid of the first replica stays;
     where any counted replica has no value the sum is NULL. `n_valid` is the number of counted replicas.
+
+    Replicas are summed per timestamp first (partial aggregation), so the window over a group sees one
+    row per distinct second of the queried range, however many replicas there are.
     """
-    valid = regular.filter("freq IS NOT NULL")
-    # One pass per (series) first: distinct replicas come out of a partial aggregation.
-    members = valid.groupBy(*group, replica).agg(F.max("freq").alias("freq"))
-    counted = members.groupBy(*group).agg(F.count("*").alias("n_valid"), F.min(replica).alias("_first"))
-    points = valid.groupBy(*group, "ts").agg(
-        F.count("value").alias("_n"), F.sum("value").alias("_sum"), F.min(replica).alias("_here")
+    points = regular.filter("freq IS NOT NULL").groupBy(*group, "ts").agg(
+        F.count("value").alias("_n"),
+        F.sum("value").alias("_sum"),
+        F.min(replica).alias("_here"),
+        F.count_if("starts").alias("_starts"),
     )
-    return (
-        points.join(counted, list(group))
-        .filter(F.col("_here") == F.col("_first"))
-        .select(*group, "ts", F.when(F.col("_n") == F.col("n_valid"), F.col("_sum")).alias("value"), "n_valid")
+    whole = Window.partitionBy(*group)
+    counted = points.withColumns({"n_valid": F.sum("_starts").over(whole), "_first": F.min("_here").over(whole)})
+    return counted.filter(F.col("_here") == F.col("_first")).select(
+        *group, "ts", F.when(F.col("_n") == F.col("n_valid"), F.col("_sum")).alias("value"), "n_valid"
     )
 
 

@@ -11,7 +11,7 @@ from fleetlens.sources import fixtures as fx
 
 DAY = fx.DAY
 # Rule thresholds fitted to the daily fixture.
-PENDING, KV, RUNNING = 1500.0, 22.0, 0.6
+PENDING, KV, RUNNING = 5600.0, 55.0, 0.9
 RULES = dict(unit=DAY, pending_threshold=PENDING, kv_threshold=KV)
 CHAIN = (q.BUNDLE, q.TASKS, q.regular("bundle"), q.SUMMED, q.resampled(DAY), q.tails(3, PENDING, KV))
 

@@ -45,11 +45,21 @@ def sample_gap(spark, d):
     return gaps.select(*KEYS, "ts", (F.col("ts") - F.col("prev_ts")).alias("gap"))
 
 
-@query("regularise", q.with_ctes(q.BUNDLE, q.regular("bundle")) +
-       "SELECT service, replica, metric, ts, freq, round(value, 6) AS value FROM reg")
+REGULAR_SQL = q.with_ctes(q.BUNDLE, q.regular("bundle")) + (
+    "SELECT service, replica, metric, ts, freq, round(value, 6) AS value FROM reg"
+)
+
+
+@query("regularise", REGULAR_SQL)
 def regularise(spark, d):
     reg = sr.regularise(fx.replica_bundle(spark, d), KEYS, unit=DAY, chunk_seconds=BOUNDED)
-    return _round(reg.filter("freq IS NOT NULL"), "value")
+    return _round(reg.filter("freq IS NOT NULL").drop("starts"), "value")
+
+
+@query("regularise_chunked", REGULAR_SQL)
+def regularise_chunked(spark, d):
+    reg = sr.regularise(fx.replica_bundle(spark, d), KEYS, unit=DAY, chunk_seconds=7 * DAY)
+    return _round(reg.filter("freq IS NOT NULL").drop("starts"), "value")
 
 
 @query("sum_replicas", q.with_ctes(q.BUNDLE, q.regular("bundle"), q.SUMMED) +
