@@ -87,8 +87,8 @@ def service_tails(
     return per_metric.groupBy("service").agg(*columns)
 
 
-def judge(tasks: DataFrame, tails: DataFrame, running_threshold: float = cat.RUNNING_THRESHOLD) -> DataFrame:
-    """Per service: scale-up flag, scale-down flag and the combined anomaly flag (0 or 1).
+def flag(loaded: DataFrame, running_threshold: float = cat.RUNNING_THRESHOLD) -> DataFrame:
+    """Add is_up, is_down and is_anomaly (0 or 1) to tasks joined with their tails.
 
     With one replica only the scale-up rule counts.
     """
@@ -99,9 +99,13 @@ def judge(tasks: DataFrame, tails: DataFrame, running_threshold: float = cat.RUN
         c("running_peak") <= running_threshold * c("max_num_seqs")
     )
     down = F.coalesce((c("n_kv") > 0) & c("kv_low") & running_low, F.lit(False)) & (c("replicas") != 1)
-    return tasks.select("service", "replicas", "max_num_seqs").join(tails, "service", "left").select(
-        "service", up.alias("is_up"), down.alias("is_down"), (up | down).cast("int").alias("is_anomaly")
-    )
+    return loaded.withColumns({"is_up": up, "is_down": down, "is_anomaly": (up | down).cast("int")})
+
+
+def judge(tasks: DataFrame, tails: DataFrame, running_threshold: float = cat.RUNNING_THRESHOLD) -> DataFrame:
+    """Scale-up flag, scale-down flag and the combined anomaly flag per service."""
+    loaded = tasks.select("service", "replicas", "max_num_seqs").join(tails, "service", "left")
+    return flag(loaded, running_threshold).select("service", "is_up", "is_down", "is_anomaly")
 
 
 def detect_anomaly(samples: DataFrame, tasks: DataFrame, running_threshold: float = cat.RUNNING_THRESHOLD, **rules) -> DataFrame:

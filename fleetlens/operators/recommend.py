@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,15 +98,26 @@ def recommend_recovery(
     running_threshold: float = cat.RUNNING_THRESHOLD,
     compat: bool = False,
 ) -> DataFrame:
-    """New configuration per service from its recent load.
+    """New configuration per service from its recent load: see ``recover``."""
+    return recover(tasks.join(tails, "service", "left"), kv_threshold, running_threshold, compat)
+
+
+def recover(
+    loaded: DataFrame,
+    kv_threshold: float = cat.KV_CACHE_THRESHOLD,
+    running_threshold: float = cat.RUNNING_THRESHOLD,
+    compat: bool = False,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """New configuration per service from tasks joined with their tails.
 
-    `tasks`: service, framework, param, gpu_spec, gpu_num, max_num_seqs, tensor_parallel_size,
-    gpu_memory_utilization, replicas. `tails` (see ``detect.service_tails``): valid replicas per metric,
-    the pending rule and the 90th percentiles. `compat` swaps the two out-of-memory fallbacks.
+    Task columns: service, framework, param, gpu_spec, gpu_num, max_num_seqs, tensor_parallel_size,
+    gpu_memory_utilization, replicas. Tails (see ``detect.service_tails``): valid replicas per metric,
+    the pending rule and the 90th percentiles. `compat` swaps the two out-of-memory fallbacks. `keep` names
+    further columns to carry along.
     """
     c = F.col
-    joined = match_catalog(tasks).join(tails, "service", "left")
-    counted = joined.withColumns({
+    counted = match_catalog(loaded).withColumns({
         "_measured": F.coalesce(
             (c("n_pending") == c("replicas")) & (c("n_kv") == c("replicas")) & (c("n_running") == c("replicas")),
             F.lit(False),
@@ -155,6 +168,7 @@ def recommend_recovery(
     active = c("_active")
     return settled.select(
         "service",
+        *keep,
         F.when(active & (c("_up") | c("_down")), batch_size(c("param_size"))).otherwise(c("max_num_seqs")).cast("int").alias("max_num_seqs"),
         F.when(active, c("_tp_new")).otherwise(c("tensor_parallel_size")).cast("int").alias("tensor_parallel_size"),
         F.when(active, c("_util_new")).otherwise(c("gpu_memory_utilization")).alias("gpu_memory_utilization"),

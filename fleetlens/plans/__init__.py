@@ -1,8 +1,8 @@
 """Logical plans: the view catalogue and the registered queries."""
 
-from fleetlens.plans import entity_queries, fleet_queries, series_queries
+from fleetlens.plans import entity_queries, fleet_queries, series_queries, stream_queries
 from fleetlens.plans.registry import ORACLES, QUERIES
 
-flagship = fleet_queries.detect_anomaly
+flagship = stream_queries.run_detection_pass
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
