@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.operators import detect, history, inventory, recommend
+from fleetlens.plans import series_queries as sq
 from fleetlens.plans import sql as q
 from fleetlens.plans.registry import query
 from fleetlens.sources import fixtures as fx
@@ -30,6 +31,22 @@ def detect_anomaly(spark, d):
     return detect.detect_anomaly(fx.replica_bundle(spark, d), fx.tasks(spark, d), RUNNING, **RULES)
 
 
+END_TO_END = (q.EV, f"bundle AS ({sq.BUNDLE_SQL})", q.TASKS, q.regular("bundle"), q.SUMMED, q.resampled(DAY), q.tails(3, 30.0, 60.0))
+
+
+@query("detect_from_samples", q.with_ctes(*END_TO_END) + """
+  SELECT service, n_pending, n_kv, n_running, n_new, n_success, pending_high, kv_low, round(running_peak + 1e-9, 5) AS running_peak,
+         round(p90_running + 1e-9, 5) AS p90_running, round(p90_new + 1e-9, 5) AS p90_new, round(p90_success + 1e-9, 5) AS p90_success FROM rules""")
+def detect_from_samples(spark, d):
+    """Raw labelled samples to rule inputs: range queries, grids, replica sums and tails in one plan."""
+    tails = detect.service_tails(sq.bundle_from_samples(spark, d), unit=DAY, pending_threshold=30.0, kv_threshold=60.0)
+    shown = ["running_peak", "p90_running", "p90_new", "p90_success"]
+    return tails.select(
+        "service", "n_pending", "n_kv", "n_running", "n_new", "n_success", "pending_high", "kv_low",
+        *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in shown],
+    )
+
+
 @query("service_tails", q.with_ctes(*CHAIN) + """
   SELECT service, n_pending, n_kv, n_running, n_new, n_success, pending_high, kv_low, round(p90_running, 6) AS p90_running,
          round(p90_kv, 6) AS p90_kv, round(p90_new, 6) AS p90_new, round(p90_success, 6) AS p90_success FROM rules""")

@@ -8,7 +8,7 @@ from fleetlens.operators import ranges as rg
 from fleetlens.operators import series as sr
 from fleetlens.plans import sql as q
 from fleetlens.plans.registry import query
-from fleetlens.plans.views import VIEWS, View, run_view
+from fleetlens.plans.views import BUNDLE_NAMES, BY_NAME, VIEWS, View, replica_metrics, run_dashboard, run_view
 from fleetlens.sources import fixtures as fx
 
 DAY = fx.DAY
@@ -284,11 +284,12 @@ VIEW_KEYS = "metric, exported_job, device, http_status_code"
 JOB_PATTERN = "svc-1-replica"
 
 
-def _view_sql(v: View) -> str:
-    metrics = list(dict.fromkeys(v.metrics))
-    names = " ".join(f"WHEN '{fx.EVENT_TYPES[i]}' THEN '{m}'" for i, m in enumerate(metrics))
-    types = ", ".join(f"'{t}'" for t in fx.EVENT_TYPES[: len(metrics)])
-    job = f" AND regexp_full_match(replica, '{JOB_PATTERN}.*')" if v.needs_job else ""
+def _view_sql(v: View, metrics: list[str] | None = None, one_job: bool = True) -> str:
+    metrics = metrics or list(dict.fromkeys(v.metrics))
+    own = [(fx.EVENT_TYPES[i % 5], m) for i, m in enumerate(metrics) if m in v.metrics]
+    names = " ".join(f"WHEN '{t}' THEN '{m}'" for t, m in own)
+    types = ", ".join(f"'{t}'" for t, _ in own)
+    job = f" AND regexp_full_match(replica, '{JOB_PATTERN}.*')" if v.needs_job and one_job else ""
     status = " AND user_id % 5 <> 0" if "http_status_code" in v.matchers else ""
     base = f"""base AS (
       SELECT CASE event_type {names} END AS metric, replica AS exported_job, 'gpu' || CAST((user_id // 6) % 2 AS VARCHAR) AS device,
@@ -356,3 +357,53 @@ def _view_query(v: View):
 
 for _v in VIEWS:
     query(f"view_{_v.name}", _view_sql(_v))(_view_query(_v))
+
+
+API_VIEWS = [v for v in VIEWS if v.name in ("api_executed_rate", "api_success_rate_abs", "api_success_percent", "api_active",
+                                            "api_mean_duration", "svc_ttft", "gpu_temp")]
+API_METRICS = ["http_server_response_size_bytes_count", "http_server_active_requests", "http_server_duration_milliseconds_sum",
+               "http_server_duration_milliseconds_count", "vllm:time_to_first_token_seconds_sum",
+               "vllm:time_to_first_token_seconds_count", "DCGM_FI_DEV_GPU_TEMP"]
+API_GAUGES = {"http_server_active_requests", "DCGM_FI_DEV_GPU_TEMP"}
+
+
+def _dashboard_sql(views, metrics) -> str:
+    arms = []
+    for v in views:
+        job = "exported_job" if v.by == ("exported_job",) else "service" if v.by == ("service",) else "CAST(NULL AS VARCHAR)"
+        device = "device" if v.by == ("device",) else "CAST(NULL AS VARCHAR)"
+        arms.append(f"SELECT '{v.name}' AS view, {job} AS exported_job, {device} AS device, ts, value FROM ({_view_sql(v, metrics, False)})")
+    return " UNION ALL ".join(arms)
+
+
+@query("dashboard", _dashboard_sql(API_VIEWS, API_METRICS))
+def dashboard(spark, d):
+    """Panels of three pages at once: one pass per vector function and window."""
+    samples = fx.view_samples(spark, d, API_METRICS, set(API_METRICS) - API_GAUGES)
+    out = run_dashboard(API_VIEWS, samples, START, END, STRETCH)
+    return out.withColumn("value", F.round(F.col("value") + 1e-9, 6))
+
+
+BUNDLE_METRICS = [BY_NAME[n].metrics[0] for n in BUNDLE_NAMES]
+BUNDLE_COUNTERS = {"http_server_requests_total", "traces_spanmetrics_calls_total"}
+BUNDLE_SQL = f"""
+  SELECT regexp_replace(exported_job, '-replica.*$', '') AS service, exported_job AS replica,
+         CASE view {" ".join(f"WHEN '{k}' THEN '{m}'" for k, m in BUNDLE_NAMES.items())} END AS metric, ts, value
+  FROM ({_dashboard_sql([BY_NAME[n] for n in BUNDLE_NAMES], BUNDLE_METRICS)})"""
+
+
+def bundle_from_samples(spark, d):
+    return replica_metrics(fx.view_samples(spark, d, BUNDLE_METRICS, BUNDLE_COUNTERS), START, END, STRETCH)
+
+
+@query("replica_metrics", BUNDLE_SQL)
+def replica_metrics_query(spark, d):
+    out = bundle_from_samples(spark, d)
+    return out.withColumn("value", F.round(F.col("value") + 1e-9, 6))
+
+
+@query("compare_filter", q.with_ctes(q.SAMPLES, q.ticks(HOUR), q.instant_cte("i", "samples", SKEYS, 6 * HOUR)) +
+       "SELECT metric, service, replica, ts, value FROM i WHERE value > 40")
+def compare_filter(spark, d):
+    vector = rg.instant_at_step(fx.samples(spark, d), KEYS, START, END, HOUR, 6 * HOUR)
+    return rg.compare_filter(vector, ">", 40)

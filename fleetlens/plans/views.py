@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import catalog as cat
@@ -195,19 +195,116 @@ def _evaluate(view, chosen, keys, start, end, step, window, lookback) -> DataFra
     raise ValueError(f"unknown view shape {view.shape}")
 
 
+VECTOR_OF_SHAPE = {"gauge": "instant", "mean": "mean", "rate": "rate", "rate_ratio": "rate", "increase": "increase"}
+
+
+def _vector(kind, chosen, keys, start, end, step, window, lookback) -> DataFrame:
+    if kind == "instant":
+        return rg.instant_at_step(chosen, keys, start, end, step, lookback)
+    over = {"mean": rg.avg_over_time, "rate": rg.rate, "increase": rg.increase}[kind]
+    return over(chosen, keys, window, start, end, step)
+
+
+def _shared(v: View) -> bool:
+    return v.shape in VECTOR_OF_SHAPE and v.func in ("sum", "avg") and v.by in (JOB, DEVICE, (), ("service",))
+
+
+def _matches(matchers: Mapping[str, tuple[str, str]]) -> Column:
+    cond = F.lit(True)
+    for label, (op, wanted) in matchers.items():
+        value = F.coalesce(F.col(label), F.lit(""))
+        cond = cond & (value == wanted if op == "=" else value.rlike(rg.regex_anchored(wanted)))
+    return cond
+
+
 def run_dashboard(
     views: Iterable[View], samples: DataFrame, start: int, end: int, stretch: int = 1, job: str | None = None
 ) -> DataFrame:
-    """Several views as one long table: view, exported_job, device, ts, value."""
-    parts: Sequence[DataFrame] = []
+    """Several views as one long table: view, exported_job, device, ts, value.
+
+    Views that share a vector function, window and step are evaluated together: samples are read and
+    shuffled once, every (series, tick) value is handed to the views it feeds, and one aggregation keyed by
+    (view, label, tick) finishes all of them. The remaining views run one by one.
+    """
+    views = list(views)
+    if job is not None:
+        samples = rg.label_match(samples, {"exported_job": ("=~", f"{job}.*")})
+    groups: dict[tuple, list[View]] = {}
+    parts: list[DataFrame] = []
     for v in views:
-        rows = run_view(v, samples, start, end, stretch, job)
-        label = lambda c, rows=rows: F.col(c) if c in rows.columns else F.lit(None).cast("string")
-        job_label = F.col("service") if "service" in rows.columns else label("exported_job")
-        parts.append(rows.select(
-            F.lit(v.name).alias("view"), job_label.alias("exported_job"), label("device").alias("device"), "ts", "value"
-        ))
+        if _shared(v):
+            window = v.window if VECTOR_OF_SHAPE[v.shape] != "instant" else 0
+            groups.setdefault((VECTOR_OF_SHAPE[v.shape], window, v.step), []).append(v)
+        else:
+            parts.append(_as_long(v, run_view(v, samples, start, end, stretch)))
+    keys = [k for k in SERIES_KEYS if k in samples.columns]
+    for (kind, window, step), members in groups.items():
+        metrics = sorted({m for v in members for m in v.metrics})
+        vector = _vector(
+            kind, samples.filter(F.col("metric").isin(*metrics)), keys, start, end,
+            step * stretch, window * stretch, cat.LOOKBACK_SECONDS * stretch,
+        )
+        parts.append(_finish_shared(vector, members))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def _finish_shared(vector: DataFrame, members: Sequence[View]) -> DataFrame:
+    null = F.lit(None).cast("string")
+    feeds = []
+    for v in members:
+        job = F.col(v.by[0]) if v.by in (JOB, ("service",)) else null
+        device = F.col("device") if v.by == DEVICE else null
+        base = _matches(v.matchers)
+        top = base & (F.col("metric") == v.metrics[0]) & _matches(v.top_matchers)
+        roles = [(top, 0)] if v.shape != "rate_ratio" else [(top, 0), (base & (F.col("metric") == v.metrics[1]), 1)]
+        for cond, role in roles:
+            feeds.append(F.when(cond, F.struct(
+                F.lit(v.name).alias("view"), F.lit(role).alias("role"), job.alias("job"), device.alias("dev")
+            )))
+    fed = vector.select("ts", "value", F.explode(F.array_compact(F.array(*feeds))).alias("f"))
+    value, role = F.col("value"), F.col("f.role")
+    sums = fed.groupBy("f.view", "f.job", "f.dev", "ts").agg(
+        F.sum(F.when(role == 0, value)).alias("_t"), F.sum(F.when(role == 1, value)).alias("_b"),
+        F.count(F.when(role == 0, value)).alias("_n"),
+    )
+    result = None
+    for v in members:
+        x = {"rate_ratio": ratio(F.col("_t"), F.col("_b"))}.get(v.shape, F.col("_t") / F.col("_n") if v.func == "avg" else F.col("_t"))
+        scaled = x * v.scale if v.scale != 1.0 else x
+        branch = F.col("view") == v.name
+        result = F.when(branch, scaled) if result is None else result.when(branch, scaled)
+    return sums.select(
+        "view", F.col("job").alias("exported_job"), F.col("dev").alias("device"), "ts", result.alias("value")
+    ).filter("value IS NOT NULL")
+
+
+def _as_long(v: View, rows: DataFrame) -> DataFrame:
+    label = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    job = F.col("service") if "service" in rows.columns else label("exported_job")
+    return rows.select(F.lit(v.name).alias("view"), job.alias("exported_job"), label("device").alias("device"), "ts", "value")
+
+
+# Detector view -> metric name in the replica bundle.
+BUNDLE_NAMES = {
+    "detect_pending": "pending", "detect_active": "active", "detect_running": "running", "detect_kv_cache": "kv_cache",
+    "detect_new_requests": "server_new", "detect_success_requests": "server_success",
+}
+
+
+def replica_metrics(samples: DataFrame, start: int, end: int, stretch: int = 1, job: str | None = None) -> DataFrame:
+    """The six detector series of every replica of every service: service, replica, metric, ts, value.
+
+    The service is the part of the replica name before `-replica`.
+    """
+    long = run_dashboard([BY_NAME[n] for n in BUNDLE_NAMES], samples, start, end, stretch, job)
+    names = F.create_map(*[F.lit(x) for kv in BUNDLE_NAMES.items() for x in kv])
+    return long.select(
+        F.regexp_replace("exported_job", "-replica.*$", "").alias("service"),
+        F.col("exported_job").alias("replica"),
+        names[F.col("view")].alias("metric"),
+        "ts",
+        "value",
+    )

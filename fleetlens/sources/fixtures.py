@@ -251,15 +251,17 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def view_samples(spark: SparkSession, sf_dir: str, metrics: list[str], counter: set[str]) -> DataFrame:
-    """Samples of the named view metrics: the i-th metric takes the i-th event type, as gauge or counter.
+    """Samples of the named view metrics: the i-th metric takes the i-th event type (cyclically), as gauge or counter.
 
     Labels are promoted to columns; a series is one (metric, exported_job, device, http_status_code).
     """
     keys = ["metric", "exported_job", "device", "http_status_code"]
     e = events(spark, sf_dir)
-    names = F.create_map(*[x for i, m in enumerate(metrics) for x in (F.lit(EVENT_TYPES[i]), F.lit(m))])
-    labelled = e.filter(F.col("event_type").isin(EVENT_TYPES[: len(metrics)])).select(
-        names[F.col("event_type")].alias("metric"),
+    used = EVENT_TYPES[: len(metrics)]
+    fed = {t: [m for i, m in enumerate(metrics) if EVENT_TYPES[i % len(EVENT_TYPES)] == t] for t in used}
+    names = F.create_map(*[x for t, ms in fed.items() for x in (F.lit(t), F.array(*[F.lit(m) for m in ms]))])
+    labelled = e.filter(F.col("event_type").isin(used)).select(
+        F.explode(names[F.col("event_type")]).alias("metric"),
         F.col("replica").alias("exported_job"),
         F.concat(F.lit("gpu"), (F.floor(F.col("user_id") / 6) % 2).cast("string")).alias("device"),
         F.when(F.col("user_id") % 5 == 0, "500").otherwise("200").alias("http_status_code"),
