@@ -56,8 +56,8 @@ def success_percent(success: Column, total: Column) -> Column:
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
-    """Quotient with NULL in place of NaN and infinity."""
-    return numerator / F.when(denominator != 0, denominator)
+    """Quotient, NULL where the denominator is zero."""
+    return F.try_divide(numerator, denominator)
 
 
 def display_value(value: Column, unit: Column, adaptive_size: Column | None = None) -> Column:

@@ -108,7 +108,7 @@ def increase(
     )
     limit = F.col("_avg") * 1.1
     before = F.when(F.col("_ds") >= limit, F.col("_avg") / 2).otherwise(F.col("_ds"))
-    to_zero = F.col("_si") * F.col("v_first") / F.col("_inc")
+    to_zero = ratio(F.col("_si") * F.col("v_first"), F.col("_inc"))
     before = F.when((F.col("_inc") > 0) & (F.col("v_first") >= 0), F.least(before, to_zero)).otherwise(before)
     after = F.when(F.col("_de") >= limit, F.col("_avg") / 2).otherwise(F.col("_de"))
     grown = F.col("_inc") * (F.col("_si") + before + after) / F.col("_si")

@@ -122,7 +122,7 @@ def recover(
             (c("n_pending") == c("replicas")) & (c("n_kv") == c("replicas")) & (c("n_running") == c("replicas")),
             F.lit(False),
         ),
-        "_bu": c("p90_running") / c("max_num_seqs"),
+        "_bu": ratio(c("p90_running"), c("max_num_seqs")),
         "_kv": c("p90_kv"),
         "_param_mem": c("param_size") * cat.DTYPE_SIZE,
         "_lower": model_memory(F.lit(cat.ACTIVATION_GIB_LARGE)),
@@ -158,7 +158,7 @@ def recover(
     old_mem = c("_current") - c("_param_mem")
     new_mem = c("_tp_new") * c("_util_new") * c("gpu_spec") * BYTES_PER_GB - c("_param_mem")
     load = ratio(old_mem, new_mem) * ratio(c("p90_new"), c("p90_success")) * c("replicas")
-    grown = clip(F.ceil(load), c("replicas").cast("long"), F.floor(c("gpu_num") / c("_tp_new")))
+    grown = clip(F.ceil(load), c("replicas").cast("long"), F.floor(ratio(c("gpu_num"), c("_tp_new"))))
     requests_measured = (c("n_new") == c("replicas")) & (c("n_success") == c("replicas"))
     replicas_new = (
         F.when(c("_up"), F.when(F.coalesce(requests_measured & load.isNotNull(), F.lit(False)), grown).otherwise(c("replicas")))

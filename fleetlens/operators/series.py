@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens import catalog as cat
+from fleetlens.functions.expressions import ratio
 from fleetlens.operators.chunks import CHUNK_SECONDS, with_halo, with_previous
 
 
@@ -35,7 +36,7 @@ def sampling_interval(
         F.max(F.when(is_gap, F.col("n"))).alias("_top"),
         F.max_by(F.when(is_gap, F.col("gap")), F.when(is_gap, F.col("n"))).alias("_gap"),
     )
-    regular = (F.col("points") >= min_points) & (F.col("_top") / (F.col("points") - 1) > share)
+    regular = (F.col("points") >= min_points) & (ratio(F.col("_top"), F.col("points") - 1) > share)
     return per_series.withColumn("freq", F.when(regular, F.col("_gap"))).drop("_top", "_gap")
 
 
@@ -83,7 +84,7 @@ def _measure_bounded(samples: DataFrame, keys: Sequence[str], share: float) -> D
         "_top": F.max("_n").over(series),
         "_mode": F.max_by("_gap", "_n").over(series),
     })
-    regular = (F.col("_points") >= cat.MIN_POINTS) & (F.col("_top") / (F.col("_points") - 1) > share)
+    regular = (F.col("_points") >= cat.MIN_POINTS) & (ratio(F.col("_top"), F.col("_points") - 1) > share)
     return measured.select(*keys, "ts", "value", "last_ts", F.when(regular, F.col("_mode")).alias("freq"))
 
 

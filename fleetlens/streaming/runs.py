@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -53,40 +53,48 @@ def detection_stream(
     """Detection loop over a sample stream (service, replica, metric, ts TIMESTAMP, value).
 
     Each micro-batch is stored first, so late rows are never lost; then the trailing `lookback` seconds of
-    all services are judged, and recommendations go to the history table under `path`. Both tables hold
-    one folder per batch, so a repeated batch replaces its own output.
+    all services are judged, recommendations go to the history table and the task table moves on. All three
+    tables under `path` hold one partition per batch, so a repeated batch replaces its own output, and a
+    tick lists only the days it looks back on and the task table of the tick before it.
     """
     spark = stream.sparkSession
-    samples_path, history_path = f"{path}/samples", f"{path}/history"
+    samples_path, history_path, tasks_path = f"{path}/samples", f"{path}/history", f"{path}/tasks"
     sample_schema = "service string, replica string, metric string, ts bigint, value double, day bigint, batch bigint"
-    record_schema = "task string, timestamp bigint, record string, batch bigint"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("service", "replica", "metric", F.unix_seconds("ts").alias("ts"), "value")
-        folder = f"{samples_path}/batch={batch_id}"
-        rows.withColumn("day", F.floor(F.col("ts") / 86400)).write.mode("overwrite").partitionBy("day").parquet(folder)
-        newest = spark.read.schema(sample_schema).parquet(samples_path).filter(F.col("batch") == batch_id).agg(
-            F.max("ts").alias("ts")
-        ).first()["ts"]
+        seen = Observation()
+        rows = batch.select(
+            "service", "replica", "metric", F.unix_seconds("ts").alias("ts"), "value",
+            F.floor(F.unix_seconds("ts") / 86400).alias("day"), F.lit(batch_id).cast("long").alias("batch"),
+        ).observe(seen, F.max("ts").alias("newest"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(samples_path)
+        newest = seen.get["newest"]
+        current = tasks if batch_id == 0 else spark.read.schema(tasks.schema).parquet(f"{tasks_path}/batch={batch_id - 1}")
         if newest is None:
-            return
-        since = newest - lookback
-        recent = spark.read.schema(sample_schema).parquet(samples_path).filter(
-            (F.col("day") >= since // 86400) & (F.col("ts") > since) & (F.col("ts") <= newest)
-        )
-        recent = latest_per_second(recent, ["service", "replica", "metric"], "batch")
-        current = tasks
-        if batch_id > 0:
-            older = spark.read.schema(record_schema).parquet(f"{history_path}").filter(F.col("batch") < batch_id)
-            current = current_tasks(tasks, decode_history(older.drop("timestamp", "batch")))
-        records = detection_pass(recent, current, F.lit(newest * 1000), **rules)
-        encode_history(records).write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
+            records = None
+        else:
+            since = newest - lookback
+            days = ",".join(str(day) for day in range(since // 86400, newest // 86400 + 1))
+            stored = spark.read.schema(sample_schema).option("basePath", samples_path).parquet(f"{samples_path}/day={{{days}}}")
+            recent = stored.filter((F.col("ts") > since) & (F.col("ts") <= newest))
+            recent = latest_per_second(recent, ["service", "replica", "metric"], "batch")
+            records = detection_pass(recent, current, F.lit(newest * 1000), **rules)
+        target = f"{history_path}/batch={batch_id}"
+        if records is None:
+            spark.createDataFrame([], RECORD_SCHEMA).write.mode("overwrite").parquet(target)
+        else:
+            encode_history(records).write.mode("overwrite").parquet(target)
+        kept = decode_history(spark.read.schema(RECORD_SCHEMA).parquet(target).drop("timestamp"))
+        current_tasks(current, kept).write.mode("overwrite").parquet(f"{tasks_path}/batch={batch_id}")
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
 
 
+RECORD_SCHEMA = "task string, timestamp bigint, record string"
+
+
 def detection_history(spark: SparkSession, path: str) -> DataFrame:
     """Records written by ``detection_stream``."""
-    raw = spark.read.schema("task string, record string, batch bigint").parquet(f"{path}/history")
-    return decode_history(raw)
+    raw = spark.read.schema(f"{RECORD_SCHEMA}, batch bigint").parquet(f"{path}/history")
+    return decode_history(raw.drop("timestamp"))
