@@ -113,14 +113,23 @@ ENGINE_LOG_PATTERN = (
 )
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
+    """A few fixed rows as a local relation, so that the optimizer knows their size."""
+    cells = ", ".join("(" + ", ".join(repr(v) for v in row) + ")" for row in rows)
+    typed = [f"CAST({name} AS {kind}) AS {name}" for name, kind in columns.items()]
+    return spark.sql(f"SELECT {', '.join(typed)} FROM VALUES {cells} AS t({', '.join(columns)})")
+
+
 def model_catalog(spark: SparkSession) -> DataFrame:
     """Ten fixed rows; safe to broadcast."""
-    return spark.createDataFrame(
-        MODEL_CATALOG,
-        "framework string, param double, param_size bigint, token_size bigint, n_head int, seq_length bigint",
-    )
+    return literal_table(spark, MODEL_CATALOG, {
+        "framework": "string", "param": "double", "param_size": "bigint", "token_size": "bigint", "n_head": "int",
+        "seq_length": "bigint",
+    })
 
 
 def default_models(spark: SparkSession) -> DataFrame:
     """Three fixed rows; safe to broadcast."""
-    return spark.createDataFrame(DEFAULT_MODELS, "param_key double, token_size bigint, seq_length bigint")
+    return literal_table(
+        spark, DEFAULT_MODELS, {"param_key": "double", "token_size": "bigint", "seq_length": "bigint"}
+    )

@@ -11,7 +11,7 @@ from fleetlens import catalog as cat
 from fleetlens.functions.expressions import duration_seconds, success_percent
 
 # Aligned block lengths that cover the inside of a test window, in seconds; the finest also keys the edges.
-BLOCKS = (60, 600, 3600)
+BLOCKS = (600, 3600)
 SALTS = 4
 
 
@@ -36,9 +36,9 @@ COVER = "array<struct<size:int,block:bigint,lo:bigint,hi:bigint>>"
 
 
 def _cover(start: Column, end: Column) -> Column:
-    """Cover the whole seconds start..end exactly: aligned blocks inside, single seconds in the two edge minutes.
+    """Cover the whole seconds start..end exactly: aligned blocks inside, single seconds in the two edge blocks.
 
-    Besides its full hours a window takes at most two edges, 18 minutes and 10 ten-minute blocks.
+    Besides its full hours a window takes at most two edges and ten blocks of ten minutes.
     """
     stop = end + 1
     fine = BLOCKS[0]

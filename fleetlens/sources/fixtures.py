@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetlens.catalog import literal_table
 from fleetlens.operators.chunks import latest_per_second
 
 DAY = 86400
@@ -156,7 +157,7 @@ STATUS_TEXT = [("running", "Running"), ("pending", "Pending"), ("failed", "Faile
 
 
 def statuses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STATUS_TEXT, "status string, status_text string")
+    return literal_table(spark, STATUS_TEXT, {"status": "string", "status_text": "string"})
 
 
 # Frameworks and sizes dealt out to fixture models.
