@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens import catalog as cat
 from fleetlens.schemas import HISTORY_RECORD
 
+# Shown parameter names and the configuration field behind each.
 CONFIG_ROWS = [
     ("batch size", "max_num_seqs"),
     ("tensor_parallel_size", "tensor_parallel_size"),

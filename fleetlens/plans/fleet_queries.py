@@ -35,27 +35,27 @@ END_TO_END = (q.EV, f"bundle AS ({sq.BUNDLE_SQL})", q.TASKS, q.regular("bundle")
 
 
 @query("detect_from_samples", q.with_ctes(*END_TO_END) + """
-  SELECT service, n_pending, n_kv, n_running, n_new, n_success, pending_high, kv_low, round(running_peak + 1e-9, 5) AS running_peak,
-         round(p90_running + 1e-9, 5) AS p90_running, round(p90_new + 1e-9, 5) AS p90_new, round(p90_success + 1e-9, 5) AS p90_success FROM rules""")
+  SELECT service, n_pending, n_kv, n_running, n_new, n_success, pending_high, kv_low, round(running_peak + 1e-9, 6) AS running_peak,
+         round(p90_running + 1e-9, 6) AS p90_running, round(p90_new + 1e-9, 6) AS p90_new, round(p90_success + 1e-9, 6) AS p90_success FROM rules""")
 def detect_from_samples(spark, d):
     """Raw labelled samples to rule inputs: range queries, grids, replica sums and tails in one plan."""
     tails = detect.service_tails(sq.bundle_from_samples(spark, d), unit=DAY, pending_threshold=30.0, kv_threshold=60.0)
     shown = ["running_peak", "p90_running", "p90_new", "p90_success"]
     return tails.select(
         "service", "n_pending", "n_kv", "n_running", "n_new", "n_success", "pending_high", "kv_low",
-        *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in shown],
+        *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in shown],
     )
 
 
 @query("service_tails", q.with_ctes(*CHAIN) + """
-  SELECT service, n_pending, n_kv, n_running, n_new, n_success, pending_high, kv_low, round(p90_running, 6) AS p90_running,
-         round(p90_kv, 6) AS p90_kv, round(p90_new, 6) AS p90_new, round(p90_success, 6) AS p90_success FROM rules""")
+  SELECT service, n_pending, n_kv, n_running, n_new, n_success, pending_high, kv_low, round(p90_running + 1e-9, 6) AS p90_running,
+         round(p90_kv + 1e-9, 6) AS p90_kv, round(p90_new + 1e-9, 6) AS p90_new, round(p90_success + 1e-9, 6) AS p90_success FROM rules""")
 def service_tails(spark, d):
     out = detect.service_tails(fx.replica_bundle(spark, d), **RULES)
     p90 = ["p90_running", "p90_kv", "p90_new", "p90_success"]
     return out.select(
         "service", "n_pending", "n_kv", "n_running", "n_new", "n_success", "pending_high", "kv_low",
-        *[F.round(c, 6).alias(c) for c in p90],
+        *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in p90],
     )
 
 

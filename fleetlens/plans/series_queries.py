@@ -19,8 +19,13 @@ SKEYS = "metric, service, replica"
 BOUNDED = None
 
 
+def _six(c):
+    """Six digits; means of two-decimal values often end in a 5 at the cut, so both engines are nudged alike."""
+    return F.round(F.col(c) + 1e-9, 6)
+
+
 def _round(df, *cols):
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+    return df.withColumns({c: _six(c) for c in cols})
 
 
 @query("sampling_interval", q.with_ctes(q.BUNDLE, q.intervals("bundle")) +
@@ -46,7 +51,7 @@ def sample_gap(spark, d):
 
 
 REGULAR_SQL = q.with_ctes(q.BUNDLE, q.regular("bundle")) + (
-    "SELECT service, replica, metric, ts, freq, round(value, 6) AS value FROM reg"
+    "SELECT service, replica, metric, ts, freq, round(value + 1e-9, 6) AS value FROM reg"
 )
 
 
@@ -63,14 +68,14 @@ def regularise_chunked(spark, d):
 
 
 @query("sum_replicas", q.with_ctes(q.BUNDLE, q.regular("bundle"), q.SUMMED) +
-       "SELECT service, metric, ts, round(value, 6) AS value, n_valid FROM summed")
+       "SELECT service, metric, ts, round(value + 1e-9, 6) AS value, n_valid FROM summed")
 def sum_replicas(spark, d):
     reg = sr.regularise(fx.replica_bundle(spark, d), KEYS, unit=DAY, chunk_seconds=BOUNDED, keep_irregular=False)
     return _round(sr.sum_replicas(reg, ["service", "metric"]), "value")
 
 
 @query("resample_2d", q.with_ctes(q.BUNDLE, q.regular("bundle"), q.SUMMED, q.resampled(2 * DAY)) +
-       "SELECT service, metric, ts, round(total, 6) AS total, round(mean, 6) AS mean, n_valid FROM resampled")
+       "SELECT service, metric, ts, round(total + 1e-9, 6) AS total, round(mean + 1e-9, 6) AS mean, n_valid FROM resampled")
 def resample_2d(spark, d):
     reg = sr.regularise(fx.replica_bundle(spark, d), KEYS, unit=DAY, chunk_seconds=BOUNDED, keep_irregular=False)
     out = sr.resample(sr.sum_replicas(reg, ["service", "metric"]), ["service", "metric"], 2 * DAY, extra=["n_valid"])
@@ -80,7 +85,7 @@ def resample_2d(spark, d):
 @query("resample_1h", q.with_ctes(q.SAMPLES) + f"""
   , bins AS (SELECT {SKEYS}, ts - ts % 3600 AS ts, sum(value) AS s, avg(value) AS a FROM samples GROUP BY ALL),
   grid AS (SELECT {SKEYS}, unnest(range(min(ts), max(ts) + 1, 3600)) AS ts FROM bins GROUP BY {SKEYS})
-  SELECT g.metric, g.service, g.replica, g.ts, round(coalesce(s, 0.0e0), 6) AS total, round(a, 6) AS mean
+  SELECT g.metric, g.service, g.replica, g.ts, round(coalesce(s, 0.0e0) + 1e-9, 6) AS total, round(a + 1e-9, 6) AS mean
   FROM grid g LEFT JOIN bins b ON b.metric = g.metric AND b.service = g.service AND b.replica = g.replica AND b.ts = g.ts""")
 def resample_1h(spark, d):
     return _round(sr.resample(fx.samples(spark, d), KEYS, 3600), "total", "mean")
@@ -102,7 +107,7 @@ def tail_all(spark, d):
 
 @query("tail_percentile", q.with_ctes(q.SAMPLES) + f"""
   , t AS (SELECT * FROM samples QUALIFY row_number() OVER (PARTITION BY {SKEYS} ORDER BY ts DESC) <= 3)
-  SELECT metric, service, replica, round(quantile_cont(value, 0.9), 6) AS pct FROM t GROUP BY {SKEYS}""")
+  SELECT metric, service, replica, round(quantile_cont(value, 0.9) + 1e-9, 6) AS pct FROM t GROUP BY {SKEYS}""")
 def tail_percentile(spark, d):
     return _round(sr.tail_percentile(fx.samples(spark, d), KEYS, 3, 0.9), "pct")
 
@@ -115,8 +120,8 @@ def reporting_replicas(spark, d):
 
 
 @query("replica_pivot", q.with_ctes(q.DAYS) + """
-  SELECT service, replica, ts, active, running, round(pending, 6) AS pending, server_new, server_success,
-         round(kv_cache, 6) AS kv_cache FROM days""")
+  SELECT service, replica, ts, active, running, round(pending + 1e-9, 6) AS pending, server_new, server_success,
+         round(kv_cache + 1e-9, 6) AS kv_cache FROM days""")
 def replica_pivot(spark, d):
     return _round(sr.pivot_replicas(fx.replica_bundle(spark, d), ["service", "replica"]), "pending", "kv_cache")
 
@@ -131,7 +136,7 @@ def stale_reset(spark, d):
 
 @query("previous_period", q.with_ctes(q.DAYS) + f"""
   , s AS (SELECT service, replica, ts, pending AS value FROM days)
-  SELECT service, replica, ts, round(a.value, 6) AS current, round(b.value, 6) AS previous
+  SELECT service, replica, ts, round(a.value + 1e-9, 6) AS current, round(b.value + 1e-9, 6) AS previous
   FROM s a FULL JOIN (SELECT service, replica, ts + {7 * DAY} AS ts, value FROM s) b USING (service, replica, ts)""")
 def previous_period(spark, d):
     series = fx.replica_days(spark, d).select("service", "replica", "ts", F.col("pending").alias("value"))
@@ -139,12 +144,12 @@ def previous_period(spark, d):
 
 
 @query("overlay", q.with_ctes(q.DAYS) + f"""
-  SELECT service, replica, ts, round(pending, 6) AS value, 'current' AS period FROM days
+  SELECT service, replica, ts, round(pending + 1e-9, 6) AS value, 'current' AS period FROM days
   WHERE ts BETWEEN {START + 14 * DAY} AND {END}
-  UNION ALL SELECT service, replica, ts + {7 * DAY}, round(pending, 6), 'previous' FROM days
+  UNION ALL SELECT service, replica, ts + {7 * DAY}, round(pending + 1e-9, 6), 'previous' FROM days
   WHERE ts BETWEEN {START + 7 * DAY} AND {END - 7 * DAY}""")
 def overlay(spark, d):
-    series = fx.replica_days(spark, d).select("service", "replica", "ts", F.round("pending", 6).alias("value"))
+    series = fx.replica_days(spark, d).select("service", "replica", "ts", _six("pending").alias("value"))
     return sr.overlay(series, 7 * DAY, START + 14 * DAY, END)
 
 
@@ -164,36 +169,36 @@ def instant_at_step(spark, d):
 
 
 @query("rate", q.with_ctes(q.COUNTERS, q.ticks(HOUR), q.rate_cte("r", "counters", SKEYS, 6 * HOUR)) +
-       "SELECT metric, service, replica, ts, round(value, 6) AS value FROM r")
+       "SELECT metric, service, replica, ts, round(value + 1e-9, 6) AS value FROM r")
 def rate(spark, d):
     return _round(rg.rate(fx.counters(spark, d), KEYS, 6 * HOUR, START, END, HOUR), "value")
 
 
 @query("increase", q.with_ctes(q.COUNTERS, q.ticks(HOUR), q.rate_cte("r", "counters", SKEYS, 6 * HOUR, False)) +
-       "SELECT metric, service, replica, ts, round(value, 6) AS value FROM r")
+       "SELECT metric, service, replica, ts, round(value + 1e-9, 6) AS value FROM r")
 def increase(spark, d):
     return _round(rg.increase(fx.counters(spark, d), KEYS, 6 * HOUR, START, END, HOUR), "value")
 
 
 @query("avg_over_time", q.with_ctes(q.SAMPLES, q.ticks(HOUR), q.mean_cte("m", "samples", SKEYS, 6 * HOUR)) +
-       "SELECT metric, service, replica, ts, round(value, 6) AS value FROM m")
+       "SELECT metric, service, replica, ts, round(value + 1e-9, 6) AS value FROM m")
 def avg_over_time(spark, d):
     return _round(rg.avg_over_time(fx.samples(spark, d), KEYS, 6 * HOUR, START, END, HOUR), "value")
 
 
 @query("agg_by_service", q.with_ctes(q.SAMPLES, q.ticks(HOUR), q.instant_cte("i", "samples", SKEYS, 6 * HOUR)) + """
-  SELECT metric, service, ts, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, count(*) AS n
+  SELECT metric, service, ts, round(sum(value) + 1e-9, 6) AS total, round(avg(value) + 1e-9, 6) AS mean, count(*) AS n
   FROM i GROUP BY metric, service, ts""")
 def agg_by_service(spark, d):
     vector = rg.instant_at_step(fx.samples(spark, d), KEYS, START, END, HOUR, 6 * HOUR)
     return vector.groupBy("metric", "service", "ts").agg(
-        F.round(F.sum("value"), 6).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n")
+        F.round(F.sum("value") + 1e-9, 6).alias("total"), F.round(F.avg("value") + 1e-9, 6).alias("mean"), F.count("*").alias("n")
     )
 
 
 @query("vector_ratio", q.with_ctes(q.SAMPLES, q.ticks(HOUR), q.instant_cte("i", "samples", SKEYS, 6 * HOUR)) + """
   , t AS (SELECT metric, service, ts, sum(value) AS v FROM i GROUP BY ALL)
-  SELECT a.service, a.ts, round(a.v / b.v, 6) AS value FROM t a JOIN t b ON a.service = b.service AND a.ts = b.ts
+  SELECT a.service, a.ts, round(a.v / b.v + 1e-9, 6) AS value FROM t a JOIN t b ON a.service = b.service AND a.ts = b.ts
   WHERE a.metric = 'error' AND b.metric = 'view' AND b.v <> 0""")
 def vector_ratio(spark, d):
     picked = fx.samples(spark, d).filter(F.col("metric").isin("error", "view"))
@@ -257,7 +262,7 @@ def filter_service_series(spark, d):
   , s AS (SELECT metric, service, replica, sum(value) AS v FROM samples GROUP BY ALL),
   a AS (SELECT metric, sum(v) / count(*) AS average FROM s GROUP BY metric),
   k AS (SELECT *, CASE WHEN average >= 1 THEN least(CAST(floor(log10(average) / 3) AS INTEGER), 4) ELSE 0 END AS i FROM a)
-  SELECT metric, round(average, 6) AS average, ['B/s', 'KB/s', 'MB/s', 'GB/s', 'TB/s'][i + 1] AS unit, pow(1024.0e0, i) AS factor
+  SELECT metric, round(average + 1e-9, 6) AS average, ['B/s', 'KB/s', 'MB/s', 'GB/s', 'TB/s'][i + 1] AS unit, pow(1024.0e0, i) AS factor
   FROM k""")
 def adaptive_unit(spark, d):
     from fleetlens.operators.inventory import adaptive_unit as unit_of
@@ -348,8 +353,7 @@ def _view_query(v: View):
     def run(spark, d):
         samples = fx.view_samples(spark, d, list(dict.fromkeys(v.metrics)), v.counters)
         out = run_view(v, samples, START, END, STRETCH, JOB_PATTERN if v.needs_job else None)
-        # Means of two-decimal values often end in a 5 at the cut; nudge both sides the same way.
-        return out.withColumn("value", F.round(F.col("value") + 1e-9, 6))
+        return _round(out, "value")
 
     run.__name__ = f"view_{v.name}"
     return run
@@ -381,7 +385,7 @@ def dashboard(spark, d):
     """Panels of three pages at once: one pass per vector function and window."""
     samples = fx.view_samples(spark, d, API_METRICS, set(API_METRICS) - API_GAUGES)
     out = run_dashboard(API_VIEWS, samples, START, END, STRETCH)
-    return out.withColumn("value", F.round(F.col("value") + 1e-9, 6))
+    return _round(out, "value")
 
 
 BUNDLE_METRICS = [BY_NAME[n].metrics[0] for n in BUNDLE_NAMES]
@@ -393,13 +397,12 @@ BUNDLE_SQL = f"""
 
 
 def bundle_from_samples(spark, d):
-    return replica_metrics(fx.view_samples(spark, d, BUNDLE_METRICS, BUNDLE_COUNTERS), START, END, STRETCH)
+    return _round(replica_metrics(fx.view_samples(spark, d, BUNDLE_METRICS, BUNDLE_COUNTERS), START, END, STRETCH), "value")
 
 
 @query("replica_metrics", BUNDLE_SQL)
 def replica_metrics_query(spark, d):
-    out = bundle_from_samples(spark, d)
-    return out.withColumn("value", F.round(F.col("value") + 1e-9, 6))
+    return bundle_from_samples(spark, d)
 
 
 @query("compare_filter", q.with_ctes(q.SAMPLES, q.ticks(HOUR), q.instant_cte("i", "samples", SKEYS, 6 * HOUR)) +

@@ -30,7 +30,12 @@ def windowed(
 def staleness_sessions(
     stream: DataFrame, keys: Sequence[str], timeout: str = f"{cat.STALE_SECONDS} seconds", watermark: str = WATERMARK
 ) -> DataFrame:
-    """Refresh sessions of a gauge; at the end of a session the gauge has gone stale and reads 0."""
+    """Refresh sessions of a gauge; at the end of a session the gauge has gone stale and reads 0.
+
+    Sessions are merged inside each map partition first, so that a hot gauge is shuffled as a few sessions
+    rather than as all of its samples.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         stream.withWatermark("ts", watermark)
         .groupBy(*keys, F.session_window("ts", timeout).alias("w"))
