@@ -87,3 +87,11 @@ def split_rank(df: DataFrame, keys: Sequence[str], order: str, width: int = 4096
     """Add ``rank`` (1-based, by a unique whole-number `order`) without sorting a whole group in one task."""
     ones = df.withColumn("_one", F.lit(1).cast("long"))
     return running_total(ones, keys, "_one", order, width).withColumnRenamed("running", "rank").drop("_one")
+
+
+def explode_steps(df: DataFrame, name: str, lo: str, hi: str, step: int, block: int = 4096) -> DataFrame:
+    """One row per `lo, lo + step, ... <= hi`, exploded in two levels so that a long span never becomes one long array."""
+    wide = step * block
+    blocks = df.withColumn("_from", F.explode(F.sequence(lo, hi, F.lit(wide).cast("long"))))
+    stop = F.least(F.col(hi), F.col("_from") + wide - step)
+    return blocks.withColumn(name, F.explode(F.sequence("_from", stop, F.lit(step).cast("long")))).drop("_from")

@@ -78,7 +78,17 @@ def increase(
     resets = chunked.withColumn("_prev", prev).withColumn(
         "_reset", F.when(F.col("value") < F.col("_prev"), F.col("_prev")).otherwise(F.lit(0.0))
     )
-    ticks = resets.withColumn(
+    # Samples seen by the same ticks are condensed before the fan-out; partitioning by (series, chunk) still holds.
+    condensed = resets.groupBy(*keys, "_chunk", "_k0", "_k1").agg(
+        F.count("*").alias("n"),
+        F.min("ts").alias("t_first"),
+        F.max("ts").alias("t_last"),
+        F.min_by("value", "ts").alias("v_first"),
+        F.max_by("value", "ts").alias("v_last"),
+        F.sum("_reset").alias("resets"),
+        F.min_by("_reset", "ts").alias("reset_first"),
+    )
+    ticks = condensed.withColumn(
         "_k",
         F.explode(
             F.sequence(
@@ -87,13 +97,14 @@ def increase(
             )
         ),
     )
+    # The first sample of a window has no predecessor inside it, so its own reset does not count.
     facts = ticks.groupBy(*keys, "_chunk", "_k").agg(
-        F.count("*").alias("n"),
-        F.min("ts").alias("t_first"),
-        F.max("ts").alias("t_last"),
-        F.min_by("value", "ts").alias("v_first"),
-        F.max_by("value", "ts").alias("v_last"),
-        (F.sum("_reset") - F.min_by("_reset", "ts")).alias("resets"),
+        F.sum("n").alias("n"),
+        F.min("t_first").alias("t_first"),
+        F.max("t_last").alias("t_last"),
+        F.min_by("v_first", "t_first").alias("v_first"),
+        F.max_by("v_last", "t_last").alias("v_last"),
+        (F.sum("resets") - F.min_by("reset_first", "t_first")).alias("resets"),
     )
     t = F.lit(start) + F.col("_k") * step
     shaped = facts.filter("n >= 2").select(

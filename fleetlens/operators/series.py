@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import catalog as cat
 from fleetlens.functions.expressions import ratio
-from fleetlens.operators.chunks import CHUNK_SECONDS, with_halo, with_previous
+from fleetlens.operators.chunks import CHUNK_SECONDS, explode_steps, with_halo, with_previous
 
 
 def sampling_interval(
@@ -165,9 +165,7 @@ def _spans(bins: DataFrame, keys: Sequence[str], width: int, extra: Sequence[str
     edges = bins.groupBy(*keys).agg(
         F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"), *[F.max(c).alias(c) for c in extra]
     )
-    return edges.select(
-        *keys, F.explode(F.sequence("_lo", "_hi", F.lit(width).cast("long"))).alias("ts"), *extra
-    )
+    return explode_steps(edges, "ts", "_lo", "_hi", width).drop("_lo", "_hi")
 
 
 def last_points(df: DataFrame, keys: Sequence[str], m: int, ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:

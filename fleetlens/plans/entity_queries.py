@@ -108,6 +108,13 @@ def active_guard(spark, d):
     return entities.active_count(fx.instances(spark, d), "deploy_status", cat.BLOCKING_DEPLOY_STATUSES, live_only=True)
 
 
+@query("active_tests_guard", q.with_ctes(q.TESTS) + """
+  SELECT count(*) FILTER (test_status IN ('init', 'running', 'unknown')) AS active,
+         count(*) FILTER (test_status IN ('init', 'running', 'unknown')) = 0 AS may_start FROM tests""")
+def active_tests_guard(spark, d):
+    return entities.active_count(fx.tests(spark, d), "test_status", cat.BLOCKING_TEST_STATUSES)
+
+
 @query("exists_check", q.with_ctes(q.TESTS, q.INSTANCES) + """
   SELECT DISTINCT instance_id, instance_id IN (SELECT instance_id FROM instances WHERE deploy_status = 'running') AS found FROM tests""")
 def exists_check(spark, d):

@@ -388,6 +388,24 @@ def dashboard(spark, d):
     return _round(out, "value")
 
 
+WEEK = 7 * DAY
+COMPARED = BY_NAME["svc_new_rps"]
+_CURRENT_SQL, _EARLIER_SQL = (
+    _view_sql(COMPARED).replace(q.ticks(STRETCH * 60), q.ticks(STRETCH * 60, START + 14 * DAY - shift, END - shift))
+    for shift in (0, WEEK)
+)
+
+
+@query("chart_comparison", f"""SELECT exported_job, ts, value, 'current' AS period FROM ({_CURRENT_SQL})
+  UNION ALL SELECT exported_job, ts + {WEEK}, value, 'previous' FROM ({_EARLIER_SQL})""")
+def chart_comparison(spark, d):
+    """A chart with the week before laid over it."""
+    samples = fx.view_samples(spark, d, list(COMPARED.metrics), COMPARED.counters)
+    current = run_view(COMPARED, samples, START + 14 * DAY, END, STRETCH).withColumn("period", F.lit("current"))
+    earlier = run_view(COMPARED, samples, START + 14 * DAY, END, STRETCH, offset=WEEK).withColumn("period", F.lit("previous"))
+    return _round(current.unionByName(earlier), "value")
+
+
 BUNDLE_METRICS = [BY_NAME[n].metrics[0] for n in BUNDLE_NAMES]
 BUNDLE_COUNTERS = {"http_server_requests_total", "traces_spanmetrics_calls_total"}
 BUNDLE_SQL = f"""

@@ -146,7 +146,7 @@ def remote_write(spark, d):
     dims = ["service", "name", "status"]
     path = scratch_path(spark, "samples")
     sinks.append_samples(sp.spans_to_samples(sp.span_red_metrics(fx.spans(spark, d), dims, 3600, bounds=()), dims), path)
-    rows = spark.read.parquet(path).filter("metric = 'traces_spanmetrics_calls_total'")
+    rows = sinks.read_samples(spark, path, ["traces_spanmetrics_calls_total"], q.STEP0, q.STEP1)
     return rows.select(*[F.col("labels")[c].alias(c) for c in dims], "ts", "value")
 
 

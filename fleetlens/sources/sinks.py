@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +14,27 @@ from fleetlens.operators.history import decode_history, encode_history, keep_las
 
 
 def append_samples(samples: DataFrame, path: str) -> None:
-    """Append derived samples to the samples table, laid out by metric and day for pruning."""
-    day = F.to_date(F.timestamp_seconds("ts"))
-    samples.withColumn("day", day).write.mode("append").partitionBy("metric", "day").parquet(path)
+    """Append derived samples to the samples table, laid out by metric and day for pruning.
+
+    Rows are rebalanced by partition before the write: small partitions become one file each, and adaptive
+    execution splits those that hold too many rows for one task.
+    """
+    dated = samples.withColumn("day", F.to_date(F.timestamp_seconds("ts")))
+    dated.hint("rebalance", "metric", "day").write.mode("append").partitionBy("metric", "day").parquet(path)
+
+
+def read_samples(
+    spark: SparkSession, path: str, metrics: Sequence[str], start: int, end: int, reach: int = cat.LOOKBACK_SECONDS
+) -> DataFrame:
+    """Samples of some metrics that a query over `start..end` with windows of `reach` seconds can see.
+
+    Only the folders of these metrics and days are read.
+    """
+    rows = spark.read.schema("metric string, labels map<string,string>, ts bigint, value double, day date").parquet(path)
+    since, until = (F.to_date(F.timestamp_seconds(F.lit(t))) for t in (start - reach, end))
+    return rows.filter(
+        F.col("metric").isin(*metrics) & F.col("day").between(since, until) & (F.col("ts") > start - reach) & (F.col("ts") <= end)
+    ).drop("day")
 
 
 def append_history(history: DataFrame, path: str) -> None:
@@ -59,7 +76,3 @@ def write_telemetry_stream(
         out = stream.writeStream.format("parquet").option("path", path)
     out = out.options(**(options or {})).option("checkpointLocation", checkpoint)
     return out.trigger(processingTime=interval) if interval else out.trigger(availableNow=True)
-
-
-def safe_name(text: str) -> str:
-    return re.sub(r"[^A-Za-z0-9_.-]", "_", text)

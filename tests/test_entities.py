@@ -185,6 +185,8 @@ def test_samples_table_is_pruned(spark, tmp_path):
     rows = spark.createDataFrame([("a", {"k": "v"}, 10, 1.0), ("b", {}, 90_000, 2.0)], "metric string, labels map<string,string>, ts bigint, value double")
     path = str(tmp_path / "samples")
     sinks.append_samples(rows, path)
-    read = spark.read.parquet(path).filter("metric = 'b' AND day = date'1970-01-02'")
-    assert read.count() == 1
-    assert "PartitionFilters: [isnotnull(metric" in read._jdf.queryExecution().executedPlan().toString()
+    read = sinks.read_samples(spark, path, ["b"], 89_990, 90_010)
+    assert [r["value"] for r in read.collect()] == [2.0]
+    assert sinks.read_samples(spark, path, ["b"], 0, 89_999).count() == 0
+    filters = read._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "metric" in filters and "day" in filters

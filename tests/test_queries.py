@@ -46,6 +46,27 @@ def test_plan_shape(spark, sf, name):
         assert bad not in plan, bad
 
 
+@pytest.mark.parametrize("name", ["history_last_n", "last_m_points", "context_window"])
+def test_row_limits_apply_before_the_shuffle(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning") < plan.rindex("WindowGroupLimit")
+
+
+def test_rate_needs_one_shuffle(spark):
+    from fleetlens.operators.ranges import rate
+
+    samples = spark.range(1000).selectExpr("'m' AS metric", "id AS ts", "double(id) AS value")
+    plan = rate(samples, ["metric"], 300, 0, 1000, 60)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf):
+    plan = QUERIES["search_instances"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "c_acctbal" not in plan
+    plan = QUERIES["latest_engine_config"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_type,view)" in plan and "props" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__ as driver
 

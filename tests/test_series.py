@@ -218,3 +218,9 @@ def test_label_match_is_anchored(spark):
     assert ranges.label_match(df, {"job": ("=~", "a-replica.*")}).count() == 1
     assert ranges.label_match(df, {"job": ("!~", "a-replica.*")}).count() == 2
     assert ranges.label_match(df, {"job": ("=", "")}).count() == 1
+
+
+def test_explode_steps_in_blocks(spark):
+    df = spark.createDataFrame([(0, 1000), (5, 5), (7, 26)], "lo bigint, hi bigint")
+    got = sorted((r["lo"], r["t"]) for r in chunks.explode_steps(df, "t", "lo", "hi", 10, block=4).collect())
+    assert got == sorted((lo, t) for lo, hi in ((0, 1000), (5, 5), (7, 26)) for t in range(lo, hi + 1, 10))
