@@ -21,7 +21,7 @@ def chunk_of(ts: str | Column, seconds: int) -> Column:
     return F.floor(ts / F.lit(seconds)).cast("long")
 
 
-def latest_per_second(samples: DataFrame, keys: Sequence[str], order: str, ts: str = "ts") -> DataFrame:
+def latest_per_second(samples: DataFrame, keys: Sequence[str], order: str | Column, ts: str = "ts") -> DataFrame:
     """Keep the last ingested value where a series holds several for one second."""
     return samples.groupBy(*keys, ts).agg(F.max_by("value", order).alias("value"))
 

@@ -30,13 +30,31 @@ def _in_reach(samples: DataFrame, start: int, end: int, step: int, reach: int) -
     return near.withColumns({"_k0": first, "_k1": last}).filter("_k0 <= _k1")
 
 
+def _ticks_per_chunk(step: int, reach: int) -> int:
+    """Ticks of one chunk: an hour or four times the reach, so that few samples are seen by two chunks."""
+    return max(1, -(-max(3600, 4 * reach) // step))
+
+
+def _to_chunks(rows: DataFrame, per_chunk: int) -> DataFrame:
+    """Copy each row to the one or two tick chunks it is seen by."""
+    lo, hi = F.floor(F.col("_k0") / per_chunk), F.floor(F.col("_k1") / per_chunk)
+    return rows.withColumn("_chunk", F.explode(F.sequence(lo, hi)))
+
+
+def _fan_out(rows: DataFrame, per_chunk: int, last: Column | None = None) -> DataFrame:
+    """One row per tick of its own chunk that sees the row (up to `last`, by default all)."""
+    first = F.greatest(F.col("_k0"), F.col("_chunk") * per_chunk)
+    stop = F.least(F.col("_k1") if last is None else last, F.col("_chunk") * per_chunk + per_chunk - 1)
+    return rows.filter(first <= stop).withColumn("_k", F.explode(F.sequence(first, stop)))
+
+
 def instant_at_step(
     samples: DataFrame, keys: Sequence[str], start: int, end: int, step: int, lookback: int = cat.LOOKBACK_SECONDS
 ) -> DataFrame:
     """Latest sample within the lookback at each tick.
 
-    Samples that share their first tick are first cut to the latest one (a map-side combine), so only
-    one row per series and step is fanned out.
+    Samples that share their first tick are cut to the latest one on the map side. The rest is laid out by
+    (series, chunk), where a sample holds from its first tick until the next sample takes over.
     """
     thinned = (
         _in_reach(samples.select(*keys, "ts", "value"), start, end, step, lookback)
@@ -44,21 +62,33 @@ def instant_at_step(
         .agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
     )
     _, last = _tick_bounds(F.col("ts"), start, end, step, lookback)
-    ticks = thinned.withColumn("_k", F.explode(F.sequence(F.col("_k0"), last)))
-    return ticks.groupBy(*keys, "_k").agg(F.max_by("value", "ts").alias("value")).select(
-        *keys, (F.lit(start) + F.col("_k") * step).cast("long").alias("ts"), "value"
-    )
+    per_chunk = _ticks_per_chunk(step, lookback)
+    chunked = _to_chunks(thinned.withColumn("_k1", last).filter("_k0 <= _k1"), per_chunk)
+    following = F.lead("_k0").over(Window.partitionBy(*keys, "_chunk").orderBy("_k0"))
+    held = chunked.withColumn("_next", following)
+    ticks = _fan_out(held, per_chunk, F.least(F.col("_k1"), F.col("_next") - 1))
+    return ticks.select(*keys, (F.lit(start) + F.col("_k") * step).cast("long").alias("ts"), "value")
 
 
 def avg_over_time(
     samples: DataFrame, keys: Sequence[str], window: int, start: int, end: int, step: int
 ) -> DataFrame:
-    """Mean of the samples in the window of each tick; sums and counts combine before the shuffle."""
-    ticks = _in_reach(samples.select(*keys, "ts", "value"), start, end, step, window)
-    ticks = ticks.withColumn("_k", F.explode(F.sequence("_k0", "_k1")))
-    return ticks.groupBy(*keys, "_k").agg(F.avg("value").alias("value")).select(
-        *keys, (F.lit(start) + F.col("_k") * step).cast("long").alias("ts"), "value"
+    """Mean of the samples in the window of each tick.
+
+    Samples seen by the same ticks are summed on the map side; the sums are laid out by (series, chunk) and
+    fanned out there, so the fan-out itself is never shuffled.
+    """
+    condensed = (
+        _in_reach(samples.select(*keys, "ts", "value"), start, end, step, window)
+        .groupBy(*keys, "_k0", "_k1")
+        .agg(F.sum("value").alias("_sum"), F.count("value").alias("_n"))
     )
+    per_chunk = _ticks_per_chunk(step, window)
+    placed = _to_chunks(condensed, per_chunk).repartition(*[F.col(k) for k in keys], F.col("_chunk"))
+    ticks = _fan_out(placed, per_chunk).groupBy(*keys, "_chunk", "_k").agg(
+        ratio(F.sum("_sum"), F.sum("_n")).alias("value")
+    )
+    return ticks.select(*keys, (F.lit(start) + F.col("_k") * step).cast("long").alias("ts"), "value")
 
 
 def increase(
@@ -69,10 +99,9 @@ def increase(
     One shuffle: ticks are grouped into chunks, a sample is copied to the one or two chunks whose ticks
     see it, and lag, fan-out and aggregation all run inside the (series, chunk) partition.
     """
-    per_chunk = max(1, -(-max(3600, 4 * window) // step))
+    per_chunk = _ticks_per_chunk(step, window)
     near = _in_reach(samples.select(*keys, "ts", "value"), start, end, step, window)
-    lo, hi = F.floor(F.col("_k0") / per_chunk), F.floor(F.col("_k1") / per_chunk)
-    chunked = near.withColumn("_chunk", F.explode(F.sequence(lo, hi)))
+    chunked = _to_chunks(near, per_chunk)
     order = Window.partitionBy(*keys, "_chunk").orderBy("ts")
     prev = F.lag("value").over(order)
     resets = chunked.withColumn("_prev", prev).withColumn(
@@ -88,15 +117,7 @@ def increase(
         F.sum("_reset").alias("resets"),
         F.min_by("_reset", "ts").alias("reset_first"),
     )
-    ticks = condensed.withColumn(
-        "_k",
-        F.explode(
-            F.sequence(
-                F.greatest(F.col("_k0"), F.col("_chunk") * per_chunk),
-                F.least(F.col("_k1"), F.col("_chunk") * per_chunk + per_chunk - 1),
-            )
-        ),
-    )
+    ticks = _fan_out(condensed, per_chunk)
     # The first sample of a window has no predecessor inside it, so its own reset does not count.
     facts = ticks.groupBy(*keys, "_chunk", "_k").agg(
         F.sum("n").alias("n"),

@@ -82,9 +82,12 @@ def request_counter(requests: DataFrame, labels: Sequence[str], width: int = 60)
 def extract_request_params(requests: DataFrame) -> DataFrame:
     """prompt, messages and model out of the JSON bodies of generation requests; unreadable bodies are dropped."""
     posted = requests.filter((F.col("method") == "POST") & F.col("path").isin(*cat.GENERATION_PATHS))
-    fields = {f: F.get_json_object("body", f"$.{f}") for f in ("prompt", "messages", "model")}
-    readable = F.get_json_object("body", "$").isNotNull()
-    return posted.filter(readable).withColumns(fields).drop("body", "method")
+    # One parse per body; the extra field holds bodies that are no JSON object.
+    parsed = F.from_json("body", "prompt string, messages string, model string, _corrupt_record string")
+    readable = posted.withColumn("_p", parsed).filter(F.col("_p").isNotNull() & F.col("_p._corrupt_record").isNull())
+    return readable.select(
+        *[c for c in requests.columns if c not in ("body", "method")], "_p.prompt", "_p.messages", "_p.model"
+    )
 
 
 def parse_engine_log(lines: DataFrame, keys: Sequence[str] = ("service", "ts")) -> DataFrame:

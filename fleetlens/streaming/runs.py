@@ -77,7 +77,7 @@ def detection_stream(
             days = ",".join(str(day) for day in range(since // 86400, newest // 86400 + 1))
             stored = spark.read.schema(sample_schema).option("basePath", samples_path).parquet(f"{samples_path}/day={{{days}}}")
             recent = stored.filter((F.col("ts") > since) & (F.col("ts") <= newest))
-            recent = latest_per_second(recent, ["service", "replica", "metric"], "batch")
+            recent = latest_per_second(recent, ["service", "replica", "metric"], F.struct("batch", "value"))
             records = detection_pass(recent, current, F.lit(newest * 1000), **rules)
         target = f"{history_path}/batch={batch_id}"
         if records is None:
