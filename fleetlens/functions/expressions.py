@@ -52,7 +52,7 @@ def epoch_to_text(ts: Column) -> Column:
 
 
 def success_percent(success: Column, total: Column) -> Column:
-    return F.when(total.isNull() | (total == 0), F.lit(0.0)).otherwise(F.round(success / total * 100, 3))
+    return F.when(total.isNull() | (total == 0), F.lit(0.0)).otherwise(F.round(ratio(success, total) * 100, 3))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

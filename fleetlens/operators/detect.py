@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens import catalog as cat
+from fleetlens.functions.expressions import ratio
 from fleetlens.operators.series import all_true, regularise, sum_replicas
 
 BINNED = ["pending", "kv_cache", "running"]
@@ -55,7 +56,7 @@ def service_tails(
     tail = ranked.filter(in_tail).select(
         *group,
         "n_valid",
-        F.when(metric == "pending", F.col("_total")).when(resampled, F.col("_mean") / F.col("n_valid"))
+        F.when(metric == "pending", F.col("_total")).when(resampled, ratio(F.col("_mean"), F.col("n_valid")))
         .otherwise(F.col("_mean")).alias("value"),
         F.when(resampled, expected).alias("_expected"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import catalog as cat
-from fleetlens.functions.expressions import duration_seconds, success_percent
+from fleetlens.functions.expressions import duration_seconds, ratio, success_percent
 
 # Aligned block lengths that cover the inside of a test window, in seconds; the finest also keys the edges.
 BLOCKS = (600, 3600)
@@ -121,7 +121,7 @@ def robust_average(per_series: DataFrame, keys: Sequence[str]) -> DataFrame:
     live = F.col("v_peak") > 0
     return per_series.groupBy(*keys).agg(
         F.coalesce(
-            F.sum(F.when(live, F.col("v_sum"))) / F.sum(F.when(live, F.col("v_n"))), F.lit(0.0)
+            ratio(F.sum(F.when(live, F.col("v_sum"))), F.sum(F.when(live, F.col("v_n")))), F.lit(0.0)
         ).alias("robust_avg")
     )
 
@@ -146,8 +146,10 @@ def test_throughput(tests: DataFrame, samples: DataFrame, prompt: str, generatio
     live = F.col("v_peak") > 0
     # Rounded before truncation, so that the order of summation cannot tip a whole number.
     mean = lambda name: F.round(F.coalesce(
-        F.sum(F.when(live & (F.col("metric") == name), F.col("v_sum")))
-        / F.sum(F.when(live & (F.col("metric") == name), F.col("v_n"))),
+        ratio(
+            F.sum(F.when(live & (F.col("metric") == name), F.col("v_sum"))),
+            F.sum(F.when(live & (F.col("metric") == name), F.col("v_n"))),
+        ),
         F.lit(0.0),
     ), 9).cast("long")
     measured = per_series.groupBy("test_id").agg(

@@ -133,7 +133,7 @@ def increase(
         t.cast("long").alias("ts"),
         (F.col("v_last") - F.col("v_first") + F.col("resets")).alias("_inc"),
         (F.col("t_last") - F.col("t_first")).cast("double").alias("_si"),
-        ((F.col("t_last") - F.col("t_first")) / (F.col("n") - 1)).alias("_avg"),
+        ratio(F.col("t_last") - F.col("t_first"), F.col("n") - 1).alias("_avg"),
         (F.col("t_first") - (t - window)).cast("double").alias("_ds"),
         (t - F.col("t_last")).cast("double").alias("_de"),
         "v_first",
@@ -143,7 +143,7 @@ def increase(
     to_zero = ratio(F.col("_si") * F.col("v_first"), F.col("_inc"))
     before = F.when((F.col("_inc") > 0) & (F.col("v_first") >= 0), F.least(before, to_zero)).otherwise(before)
     after = F.when(F.col("_de") >= limit, F.col("_avg") / 2).otherwise(F.col("_de"))
-    grown = F.col("_inc") * (F.col("_si") + before + after) / F.col("_si")
+    grown = ratio(F.col("_inc") * (F.col("_si") + before + after), F.col("_si"))
     return shaped.select(*keys, "ts", grown.alias("value"))
 
 
@@ -208,6 +208,18 @@ def label_match(samples: DataFrame, matchers: Mapping[str, tuple[str, str]]) ->
     return out
 
 
+def promote_labels(samples: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Named labels as columns, and `series`, the whole label set as text; series without labels are dropped."""
+    entries = F.array_sort(F.map_entries("labels"))
+    return samples.filter(F.size("labels") > 0).select(
+        "metric",
+        *[F.col("labels")[n].alias(n) for n in names],
+        F.to_json(entries).alias("series"),
+        "ts",
+        "value",
+    )
+
+
 def drop_labels(samples: DataFrame, names: Sequence[str]) -> DataFrame:
     return samples.withColumn("labels", F.map_filter("labels", lambda k, _: ~k.isin(*names)))
 

@@ -42,7 +42,7 @@ def match_catalog(specs: DataFrame) -> DataFrame:
 
 def batch_size(param_size: Column) -> Column:
     """Ladder step nearest to the baseline divided by the model size."""
-    return nearest_of(cat.BATCH_LADDER, F.lit(float(cat.BATCH_BASELINE)) / param_size).cast("int")
+    return nearest_of(cat.BATCH_LADDER, ratio(F.lit(float(cat.BATCH_BASELINE)), param_size)).cast("int")
 
 
 def model_memory(activation_gib: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import spans as sp
 from fleetlens.plans import fleet_queries as fq
+from fleetlens.plans import series_queries as sq
 from fleetlens.plans import sql as q
 from fleetlens.plans.detection import detection_pass
 from fleetlens.plans.registry import query
@@ -139,6 +140,24 @@ def stream_detection(spark, d):
     return runs.detection_history(spark, f"{root}/out").select("task", "recommended.*")
 
 
+RATE_VIEW = sq.BY_NAME["api_executed_rate"]
+
+
+@query("stream_rate", f"""
+  SELECT exported_job, ts, value FROM ({sq._view_sql(RATE_VIEW)})
+  WHERE ts <= (SELECT max(epoch_us(ts) // 1000000) - 300 FROM events WHERE event_type = 'click')""")
+def stream_rate(spark, d):
+    """An extrapolated rate kept up to date over a stream of counter samples."""
+    root = scratch_path(spark, "rate")
+    samples = fx.view_samples(spark, d, list(RATE_VIEW.metrics), RATE_VIEW.counters)
+    samples.withColumn("ts", F.timestamp_seconds("ts")).write.parquet(f"{root}/in")
+    schema = "metric string, exported_job string, device string, http_status_code string, ts timestamp, value double"
+    stream = readers.read_telemetry_stream(spark, schema, path=f"{root}/in")
+    runs.view_stream(stream, [RATE_VIEW], f"{root}/out", f"{root}/checkpoint", q.STEP0, sq.STRETCH).start().awaitTermination()
+    values = spark.read.schema("view string, exported_job string, device string, ts bigint, value double").parquet(f"{root}/out/values")
+    return values.select("exported_job", "ts", F.round(F.col("value") + 1e-9, 6).alias("value"))
+
+
 @query("remote_write", q.with_ctes(q.EV, q.SPANS) + """
   , b AS (SELECT service, name, status, start_s - start_s % 3600 AS ts, count(*) AS n FROM spans GROUP BY ALL)
   SELECT service, name, status, ts, CAST(sum(n) OVER (PARTITION BY service, name, status ORDER BY ts) AS DOUBLE) AS value FROM b""")

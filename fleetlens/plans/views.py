@@ -16,7 +16,15 @@ from fleetlens import catalog as cat
 from fleetlens.functions.expressions import ratio
 from fleetlens.operators import ranges as rg
 
-SERIES_KEYS = ("metric", "exported_job", "device", "http_status_code", "service", "span_name")
+# Label columns that name a series in the result of a view without grouping.
+SHOWN_LABELS = ("exported_job", "device", "http_status_code", "series")
+
+
+def series_keys(samples: DataFrame) -> list[str]:
+    """All columns but time and value: together they identify a series."""
+    if "labels" in samples.columns:
+        raise ValueError("promote the labels map to columns first, see ranges.promote_labels")
+    return [c for c in samples.columns if c not in ("ts", "value")]
 
 
 @dataclass(frozen=True)
@@ -130,7 +138,7 @@ def run_view(
     """
     start, end = start - offset, end - offset
     step, window, lookback = view.step * stretch, view.window * stretch, cat.LOOKBACK_SECONDS * stretch
-    keys = [k for k in SERIES_KEYS if k in samples.columns]
+    keys = series_keys(samples)
     chosen = samples.filter(F.col("metric").isin(*dict.fromkeys(view.metrics)))
     if job is not None:
         chosen = rg.label_match(chosen, {view.by[0] if view.by else "exported_job": ("=~", f"{job}.*")})
@@ -145,7 +153,9 @@ def _evaluate(view, chosen, keys, start, end, step, window, lookback) -> DataFra
     by = list(view.by)
     if view.shape == "gauge":
         vector = rg.instant_at_step(chosen, keys, start, end, step, lookback)
-        return rg.agg_by(vector, view.func, by) if view.func else vector.select("exported_job", "device", "http_status_code", "ts", "value")
+        return rg.agg_by(vector, view.func, by) if view.func else vector.select(
+            *[c for c in SHOWN_LABELS if c in keys], "ts", "value"
+        )
     if view.shape == "mean":
         return rg.agg_by(rg.avg_over_time(chosen, keys, window, start, end, step), view.func, by)
     if view.shape == "rate":
@@ -237,7 +247,7 @@ def run_dashboard(
             groups.setdefault((VECTOR_OF_SHAPE[v.shape], window, v.step), []).append(v)
         else:
             parts.append(_as_long(v, run_view(v, samples, start, end, stretch)))
-    keys = [k for k in SERIES_KEYS if k in samples.columns]
+    keys = series_keys(samples)
     for (kind, window, step), members in groups.items():
         metrics = sorted({m for v in members for m in v.metrics})
         vector = _vector(
@@ -272,7 +282,7 @@ def _finish_shared(vector: DataFrame, members: Sequence[View]) -> DataFrame:
     )
     result = None
     for v in members:
-        x = {"rate_ratio": ratio(F.col("_t"), F.col("_b"))}.get(v.shape, F.col("_t") / F.col("_n") if v.func == "avg" else F.col("_t"))
+        x = {"rate_ratio": ratio(F.col("_t"), F.col("_b"))}.get(v.shape, ratio(F.col("_t"), F.col("_n")) if v.func == "avg" else F.col("_t"))
         scaled = x * v.scale if v.scale != 1.0 else x
         branch = F.col("view") == v.name
         result = F.when(branch, scaled) if result is None else result.when(branch, scaled)

@@ -6,11 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
+from fleetlens import catalog as cat
 from fleetlens.operators.chunks import latest_per_second
 from fleetlens.operators.history import decode_history, encode_history
 from fleetlens.plans.detection import current_tasks, detection_pass
+from fleetlens.plans.views import View, run_dashboard
 
 
 def changelog_writer(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", interval: str | None = None) -> DataStreamWriter:
@@ -41,6 +44,30 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "upd
     return path
 
 
+def _store(batch: DataFrame, batch_id: int, path: str) -> int | None:
+    """Write a micro-batch of samples by day and batch; returns its newest second, None if it is empty.
+
+    The newest second is observed during the write, not in a second pass.
+    """
+    seen = Observation()
+    seconds = F.unix_seconds("ts")
+    rows = batch.withColumn("ts", seconds).withColumn("day", F.floor(F.col("ts") / 86400)).withColumn(
+        "batch", F.lit(batch_id).cast("long")
+    ).observe(seen, F.max("ts").alias("newest"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+    return seen.get["newest"]
+
+
+def _recent(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], since: int, newest: int) -> DataFrame:
+    """Stored samples of `(since, newest]`, the last ingested per series and second; only these days are listed."""
+    days = ",".join(str(day) for day in range(since // 86400, newest // 86400 + 1))
+    fields = [f if f.name != "ts" else T.StructField("ts", T.LongType()) for f in schema.fields]
+    stored = T.StructType([*fields, T.StructField("day", T.LongType()), T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(stored).option("basePath", path).parquet(f"{path}/day={{{days}}}")
+    rows = rows.filter((F.col("ts") > since) & (F.col("ts") <= newest))
+    return latest_per_second(rows, keys, F.struct("batch", "value"))
+
+
 def detection_stream(
     stream: DataFrame,
     tasks: DataFrame,
@@ -59,25 +86,15 @@ def detection_stream(
     """
     spark = stream.sparkSession
     samples_path, history_path, tasks_path = f"{path}/samples", f"{path}/history", f"{path}/tasks"
-    sample_schema = "service string, replica string, metric string, ts bigint, value double, day bigint, batch bigint"
+    keys = ["service", "replica", "metric"]
+    stream = stream.select(*keys, "ts", "value")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        seen = Observation()
-        rows = batch.select(
-            "service", "replica", "metric", F.unix_seconds("ts").alias("ts"), "value",
-            F.floor(F.unix_seconds("ts") / 86400).alias("day"), F.lit(batch_id).cast("long").alias("batch"),
-        ).observe(seen, F.max("ts").alias("newest"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(samples_path)
-        newest = seen.get["newest"]
+        newest = _store(batch, batch_id, samples_path)
         current = tasks if batch_id == 0 else spark.read.schema(tasks.schema).parquet(f"{tasks_path}/batch={batch_id - 1}")
-        if newest is None:
-            records = None
-        else:
-            since = newest - lookback
-            days = ",".join(str(day) for day in range(since // 86400, newest // 86400 + 1))
-            stored = spark.read.schema(sample_schema).option("basePath", samples_path).parquet(f"{samples_path}/day={{{days}}}")
-            recent = stored.filter((F.col("ts") > since) & (F.col("ts") <= newest))
-            recent = latest_per_second(recent, ["service", "replica", "metric"], F.struct("batch", "value"))
+        records = None
+        if newest is not None:
+            recent = _recent(spark, samples_path, stream.schema, keys, newest - lookback, newest)
             records = detection_pass(recent, current, F.lit(newest * 1000), **rules)
         target = f"{history_path}/batch={batch_id}"
         if records is None:
@@ -91,6 +108,48 @@ def detection_stream(
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
 
 
+def view_stream(
+    stream: DataFrame,
+    views: Sequence[View],
+    path: str,
+    checkpoint: str,
+    first_tick: int,
+    stretch: int = 1,
+    lateness: int = cat.LOOKBACK_SECONDS,
+    interval: str | None = None,
+) -> DataStreamWriter:
+    """Keep metric views up to date over a sample stream (metric, label columns, ts TIMESTAMP, value).
+
+    Every tick is evaluated once, when samples `lateness` seconds newer have arrived, from the stored
+    samples its windows reach back to. Extrapolated rates need this; sums and means over fixed windows can
+    also run as plain streaming aggregations. All views must share one step.
+    """
+    spark = stream.sparkSession
+    samples_path, values_path, ticks_path = f"{path}/samples", f"{path}/values", f"{path}/ticks"
+    tick = views[0].step * stretch
+    assert all(v.step * stretch == tick for v in views)
+    reach = max([cat.LOOKBACK_SECONDS, *[v.window for v in views]]) * stretch
+    keys = [c for c in stream.columns if c not in ("ts", "value")]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        newest = _store(batch, batch_id, samples_path)
+        done, seen = first_tick - tick, None
+        if batch_id > 0:
+            done, seen = spark.read.schema(TICK_SCHEMA).parquet(f"{ticks_path}/batch={batch_id - 1}").first()
+        known = [t for t in (newest, seen) if t is not None]
+        seen = max(known) if known else None
+        upto = done if seen is None else max(done, first_tick + (seen - lateness - first_tick) // tick * tick)
+        if upto > done:
+            recent = _recent(spark, samples_path, stream.schema, keys, done + tick - reach, upto)
+            values = run_dashboard(views, recent, done + tick, upto, stretch)
+            values.write.mode("overwrite").parquet(f"{values_path}/batch={batch_id}")
+        spark.createDataFrame([(upto, seen)], TICK_SCHEMA).write.mode("overwrite").parquet(f"{ticks_path}/batch={batch_id}")
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
+    return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
+
+
+TICK_SCHEMA = "done bigint, seen bigint"
 RECORD_SCHEMA = "task string, timestamp bigint, record string"
 
 

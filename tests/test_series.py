@@ -224,3 +224,18 @@ def test_explode_steps_in_blocks(spark):
     df = spark.createDataFrame([(0, 1000), (5, 5), (7, 26)], "lo bigint, hi bigint")
     got = sorted((r["lo"], r["t"]) for r in chunks.explode_steps(df, "t", "lo", "hi", 10, block=4).collect())
     assert got == sorted((lo, t) for lo, hi in ((0, 1000), (5, 5), (7, 26)) for t in range(lo, hi + 1, 10))
+
+
+@pytest.mark.parametrize("reach,step", [(300, 60), (45, 60), (300, 7)])
+def test_instant_and_mean_over_many_chunks(spark, reach, step):
+    rng = random.Random(13)
+    points = [(t, float(rng.randint(0, 50))) for t in sorted(rng.sample(range(1000, 16_000), 700))]
+    start, end = 1003, 16_500
+    df = frame(spark, one(points))
+    instant = {r["ts"]: r["value"] for r in ranges.instant_at_step(df, KEYS, start, end, step, reach).collect()}
+    mean = {r["ts"]: r["value"] for r in ranges.avg_over_time(df, KEYS, reach, start, end, step).collect()}
+    seen = {t: [v for x, v in points if t - reach < x <= t] for t in range(start, end + 1, step)}
+    seen = {t: v for t, v in seen.items() if v}
+    assert instant == {t: v[-1] for t, v in seen.items()}
+    assert mean.keys() == seen.keys()
+    assert all(math.isclose(mean[t], sum(v) / len(v)) for t, v in seen.items())

@@ -109,6 +109,34 @@ def test_detection_loop_over_batches(spark, samples, parts, tmp_path):
     assert batch["recommended"] == records[0]["recommended"]
 
 
+def test_map_labels_identify_series(spark):
+    from fleetlens.operators.ranges import promote_labels
+    from fleetlens.plans.views import View, run_view
+
+    rows = [("m", {"exported_job": j, "x": x}, t, v) for j, x, v in (("a", "1", 1.0), ("a", "2", 2.0), ("b", "1", 4.0)) for t in (0, 60)]
+    df = spark.createDataFrame([*rows, ("m", {}, 0, 9.0)], "metric string, labels map<string,string>, ts bigint, value double")
+    view = View("v", "gauge", ("m",), "sum", ("exported_job",))
+    with pytest.raises(ValueError):
+        run_view(view, df, 0, 60)
+    got = run_view(view, promote_labels(df, ["exported_job"]), 0, 60)
+    assert rows_of(got.select("exported_job", "ts", "value")) == [("a", 0, 3.0), ("a", 60, 3.0), ("b", 0, 4.0), ("b", 60, 4.0)]
+
+
+def test_views_over_batches_equal_one_run(spark, samples, parts, tmp_path):
+    """Rates and gauges evaluated tick by tick, with windows reaching into earlier batches."""
+    from fleetlens.plans.views import View, run_dashboard
+
+    views = [View("r", "rate", ("pending",), "sum", ("service",), window=300), View("g", "gauge", ("running",), "avg", ("service",))]
+    start = 1713164400
+    runs.view_stream(stream_of(spark, parts), views, f"{tmp_path}/out", f"{tmp_path}/cp", start).start().awaitTermination()
+    schema = "view string, exported_job string, device string, ts bigint, value double"
+    got = spark.read.schema(schema).parquet(f"{tmp_path}/out/values").select("view", "ts", F.round("value", 9))
+    last = start + (7185 - 300) // 60 * 60
+    batch = run_dashboard(views, samples.withColumn("ts", F.unix_seconds("ts")), start, last)
+    assert rows_of(got) == rows_of(batch.select("view", "ts", F.round("value", 9)))
+    assert len(list((tmp_path / "out" / "values").glob("batch=*"))) >= 3
+
+
 def test_kafka_and_parquet_writers_are_configured(spark, parts, tmp_path):
     from fleetlens.sources.sinks import write_telemetry_stream
 
