@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,10 +12,13 @@ from fleetlens import catalog as cat
 
 def nearest_of(candidates: Sequence[float], x: Column) -> Column:
     """Candidate with the smallest distance to x; the smaller candidate on ties."""
-    options = F.array(*[F.lit(float(c)) for c in candidates])
-    return F.array_min(
-        F.transform(options, lambda c: F.struct(F.abs(c - x).alias("distance"), c.alias("candidate")))
-    )["candidate"]
+    options = [F.struct(F.abs(F.lit(float(c)) - x).alias("distance"), F.lit(float(c)).alias("candidate")) for c in candidates]
+    return F.least(*options)["candidate"]
+
+
+def first_passing(candidates: Sequence[float], passes: Callable[[float], Column]) -> Column:
+    """First candidate that passes, NULL if none does."""
+    return F.coalesce(*[F.when(passes(c), F.lit(float(c))) for c in candidates])
 
 
 def divisors(n: Column) -> Column:
@@ -44,7 +47,7 @@ def epoch_to_seconds(ts: Column) -> Column:
 
 def local_text_to_epoch(text: Column, zone: str) -> Column:
     """'yyyy-MM-dd HH:mm:ss' in a named zone as UTC epoch seconds."""
-    return F.unix_timestamp(F.to_utc_timestamp(F.to_timestamp(text, "yyyy-MM-dd HH:mm:ss"), zone))
+    return F.unix_timestamp(F.to_utc_timestamp(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")), zone))
 
 
 def epoch_to_text(ts: Column) -> Column:
@@ -106,11 +109,11 @@ def parse_size(text: Column, binary: bool = True) -> Column:
     pattern = r"^\s*(\d+(?:\.\d+)?)\s*([A-Za-z]*)\s*$"
     number = F.regexp_extract(text, pattern, 1)
     factor = unit_multiplier(F.regexp_extract(text, pattern, 2), binary)
-    whole = number.cast("decimal(10,0)") * factor
-    fraction = F.floor(number.cast("double") * factor.cast("double"))
+    whole = F.try_multiply(number.try_cast("decimal(20,0)"), factor)
+    fraction = F.floor(number.try_cast("double") * factor.cast("double"))
     return F.when(
         F.regexp_like(text, F.lit(pattern)),
-        F.when(number.contains("."), fraction.cast("decimal(38,0)")).otherwise(whole.cast("decimal(38,0)")),
+        F.when(number.contains("."), fraction.try_cast("decimal(38,0)")).otherwise(whole.try_cast("decimal(38,0)")),
     )
 
 

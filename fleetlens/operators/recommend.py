@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import catalog as cat
-from fleetlens.functions.expressions import clip, divisors, nearest_of, ratio
+from fleetlens.functions.expressions import clip, divisors, first_passing, nearest_of, ratio
 from fleetlens.operators.chunks import split_rank
 
 BYTES_PER_GB = float(cat.GIB)
@@ -52,15 +52,12 @@ def model_memory(activation_gib: Column) -> Column:
     )
 
 
-def memory_plan(required: Column, n_head: Column, gpu_spec: Column, gpu_num: Column) -> tuple[Column, Column]:
-    """Smallest tensor-parallel size that fits, and the smallest utilisation that fits with it; else NULL."""
+def parallel_size(required: Column, n_head: Column, gpu_spec: Column, gpu_num: Column) -> Column:
+    """Smallest number of cards, a divisor of the head count, that holds the required bytes; NULL if none does."""
     card = gpu_spec * cat.SAFE_GPU_SHARE
     top = max(cat.UTILISATION_LADDER)
     fits = F.filter(divisors(n_head), lambda d: (d * card * BYTES_PER_GB * top > required) & (d <= gpu_num))
-    tp = F.array_min(fits)
-    ladder = F.array(*[F.lit(u) for u in cat.UTILISATION_LADDER])
-    util = F.array_min(F.filter(ladder, lambda u: u * tp * card * BYTES_PER_GB > required))
-    return tp, util
+    return F.array_min(fits)
 
 
 def recommend_cold_start(requests: DataFrame) -> DataFrame:
@@ -73,9 +70,9 @@ def recommend_cold_start(requests: DataFrame) -> DataFrame:
         F.lower("framework") == cat.LARGE_ACTIVATION_FRAMEWORK, F.lit(cat.ACTIVATION_GIB_LARGE)
     ).otherwise(F.lit(cat.ACTIVATION_GIB))
     sized = matched.withColumn("_mem", model_memory(activation))
-    tp, _ = memory_plan(F.col("_mem"), F.col("n_head"), F.col("gpu_spec"), F.col("gpu_num"))
+    tp = parallel_size(F.col("_mem"), F.col("n_head"), F.col("gpu_spec"), F.col("gpu_num"))
     sized = sized.withColumn("tensor_parallel_size", tp)
-    util = _utilisation(F.col("_mem"), F.col("tensor_parallel_size"), F.col("gpu_spec"))
+    util = utilisation(F.col("_mem"), F.col("tensor_parallel_size"), F.col("gpu_spec"))
     return sized.select(
         *requests.columns,
         batch_size(F.col("param_size")).alias("max_num_seqs"),
@@ -85,10 +82,10 @@ def recommend_cold_start(requests: DataFrame) -> DataFrame:
     )
 
 
-def _utilisation(required: Column, tp: Column, gpu_spec: Column) -> Column:
+def utilisation(required: Column, tp: Column, gpu_spec: Column) -> Column:
+    """Smallest utilisation step at which `tp` cards hold the required bytes; NULL if none does."""
     card = gpu_spec * cat.SAFE_GPU_SHARE
-    ladder = F.array(*[F.lit(u) for u in cat.UTILISATION_LADDER])
-    return F.array_min(F.filter(ladder, lambda u: u * tp * card * BYTES_PER_GB > required))
+    return first_passing(cat.UTILISATION_LADDER, lambda u: F.lit(u) * tp * card * BYTES_PER_GB > required)
 
 
 def recommend_recovery(
@@ -143,9 +140,9 @@ def recover(
         "_active": c("_measured") & ~implausible,
         "_needed": F.greatest(wanted + c("_param_mem"), c("_lower")),
     })
-    tp, _ = memory_plan(c("_needed"), c("n_head"), c("gpu_spec"), c("gpu_num"))
+    tp = parallel_size(c("_needed"), c("n_head"), c("gpu_spec"), c("gpu_num"))
     planned = needed.withColumn("_tp", tp)
-    planned = planned.withColumn("_util", _utilisation(c("_needed"), c("_tp"), c("gpu_spec")))
+    planned = planned.withColumn("_util", utilisation(c("_needed"), c("_tp"), c("gpu_spec")))
     most_cards = F.array_max(F.filter(divisors(c("n_head")), lambda d: d <= c("gpu_num")))
     top = F.lit(max(cat.UTILISATION_LADDER))
     fallback_tp, fallback_util = (top.cast("int"), most_cards.cast("double")) if compat else (most_cards, top)

@@ -76,7 +76,10 @@ def regularise(
 def _measure_bounded(samples: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
     """Samples with the interval (`freq`) and last timestamp of their series, from windows over one partitioning."""
     series = Window.partitionBy(*keys)
-    gaps = samples.select(*keys, "ts", "value").withColumn("_gap", F.col("ts") - F.lag("ts").over(series.orderBy("ts")))
+    # Equal timestamps keep one value; the same sort serves both windows.
+    repeated = F.lead("ts").over(series.orderBy("ts", "value")) == F.col("ts")
+    single = samples.select(*keys, "ts", "value").withColumn("_again", F.coalesce(repeated, F.lit(False))).filter("NOT _again")
+    gaps = single.withColumn("_gap", F.col("ts") - F.lag("ts").over(series.orderBy("ts")))
     counted = gaps.withColumn("_n", F.count("_gap").over(Window.partitionBy(*keys, "_gap")))
     measured = counted.withColumns({
         "_points": F.count("*").over(series),

@@ -96,7 +96,7 @@ def parse_engine_log(lines: DataFrame, keys: Sequence[str] = ("service", "ts"))
     wide = matching.select(
         *keys,
         *[
-            F.regexp_extract("line", cat.ENGINE_LOG_PATTERN, i).cast("double").alias(m)
+            F.regexp_extract("line", cat.ENGINE_LOG_PATTERN, i).try_cast("double").alias(m)
             for i, m in enumerate(cat.ENGINE_LOG_METRICS, start=1)
         ],
     )

@@ -17,6 +17,8 @@ def build_session(app: str = "fleetlens", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # A repeated attribute or label in one record must not end a job.
+        "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
         **conf,
     }
     for key, value in settings.items():

@@ -25,8 +25,8 @@ def parse_range_response(df: DataFrame, column: str, keep: Sequence[str] = ()) -
     return points.select(
         *keep,
         "labels",
-        F.col("p")[0].try_cast("double").alias("ts"),
-        F.col("p")[1].try_cast("double").alias("value"),
+        F.get("p", F.lit(0)).try_cast("double").alias("ts"),
+        F.get("p", F.lit(1)).try_cast("double").alias("value"),
     ).filter("ts IS NOT NULL AND value IS NOT NULL")
 
 
@@ -35,7 +35,7 @@ def parse_dictionary(lines: DataFrame, column: str = "value") -> DataFrame:
     text = F.trim(column)
     parts = F.split(text, ",", 3)
     return lines.filter((text != "") & ~text.startswith("#") & (F.size(parts) >= 2)).select(
-        F.trim(parts[0]).alias("field"), F.trim(parts[1]).alias("type"), F.trim(F.get(parts, F.lit(2))).alias("help")
+        *[F.trim(F.get(parts, F.lit(i))).alias(name) for i, name in enumerate(("field", "type", "help"))]
     )
 
 
@@ -80,7 +80,7 @@ def read_spans(df: DataFrame, column: str) -> DataFrame:
     )
     spans = resources.select("service", F.explode("sc.spans").alias("s"))
     kinds = F.create_map(*[F.lit(x) for kv in SPAN_KINDS.items() for x in kv])
-    start, end = F.col("s.startTimeUnixNano").cast("long"), F.col("s.endTimeUnixNano").cast("long")
+    start, end = F.col("s.startTimeUnixNano").try_cast("long"), F.col("s.endTimeUnixNano").try_cast("long")
     return spans.select(
         F.col("s.traceId").alias("trace_id"),
         F.col("s.spanId").alias("span_id"),

@@ -80,7 +80,7 @@ def test_sizes(spark):
     cases = {
         "24 GB": 24 * 1024**3, "24GiB": 24 * 1024**3, "1.5Ki": 1536, "80 gibibytes": 80 * 1024**3, "7 tb": 7 * 1024**4,
         "3 TiB": 3 * 1024**4, "2YB": 2 * 1024**8, "512": 512, "512 bytes": 512, "9B": 9, "2 kilobytes": 2048, "5 eb": 5 * 1024**6,
-        "oops": None, "5 parsecs": None, "": None,
+        "12345678901": 12345678901, "99999999999999999999999 GB": None, "oops": None, "5 parsecs": None, "": None,
     }
     df = spark.createDataFrame([(t,) for t in cases], "size_text string")
     got = {r["size_text"]: r["size_bytes"] for r in inventory.normalise_inventory(df).collect()}
@@ -119,7 +119,7 @@ def test_range_response_cases(spark):
     def body(status, result):
         return json.dumps({"status": status, "data": {"resultType": "matrix", "result": result}})
 
-    good = body("success", [{"metric": {"job": "a"}, "values": [[1, "1.5"], [2, "x"], ["t", "3"], [4, "NaN"]]}])
+    good = body("success", [{"metric": {"job": "a"}, "values": [[1, "1.5"], [2, "x"], ["t", "3"], [], [7], [4, "NaN"]]}])
     rows = [(1, good), (2, body("error", [{"metric": {}, "values": [[1, "1"]]}])), (3, body("success", [])), (4, "junk")]
     got = readers.parse_range_response(spark.createDataFrame(rows, "id int, body string"), "body", ["id"]).orderBy("ts").collect()
     assert [(r["id"], r["ts"]) for r in got] == [(1, 1.0), (1, 4.0)]

@@ -239,3 +239,12 @@ def test_instant_and_mean_over_many_chunks(spark, reach, step):
     assert instant == {t: v[-1] for t, v in seen.items()}
     assert mean.keys() == seen.keys()
     assert all(math.isclose(mean[t], sum(v) / len(v)) for t, v in seen.items())
+
+
+@pytest.mark.parametrize("chunk_seconds", [None, 60])
+def test_repeated_timestamps_keep_one_value(spark, chunk_seconds):
+    rows = one([(15 * i, i) for i in range(40)] + [(300, 99), (300, 7)])
+    got = series.regularise(frame(spark, rows), KEYS, n=5, chunk_seconds=chunk_seconds).orderBy("ts").collect()
+    assert [r["ts"] for r in got] == list(range(345, 586, 15))
+    early = series.regularise(frame(spark, rows).filter("ts <= 390"), KEYS, n=5, chunk_seconds=chunk_seconds)
+    assert {r["ts"]: r["value"] for r in early.collect()}[300] == 99.0
