@@ -177,8 +177,18 @@ def exists_check(wanted: DataFrame, table: DataFrame, key: Sequence[str]) -> tup
     return wanted.join(table, list(key), "left_semi"), wanted.join(table, list(key), "left_anti")
 
 
-def upsert(target: DataFrame, changes: DataFrame, key: Sequence[str], insert: bool = True) -> DataFrame:
-    """Merge by key: a non-NULL changed field replaces the old one, NULL leaves it; new keys are added."""
+def upsert(
+    target: DataFrame, changes: DataFrame, key: Sequence[str], insert: bool = True, order: str | None = None
+) -> DataFrame:
+    """Merge by key: a non-NULL changed field replaces the old one, NULL leaves it; new keys are added.
+
+    `changes` holds one row per key, or several numbered by `order`: then the last non-NULL value of each
+    field counts, found by a partial aggregation before the join.
+    """
+    if order is not None:
+        changed = [c for c in changes.columns if c not in (*key, order)]
+        last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in changed]
+        changes = changes.groupBy(*key).agg(*last)
     old, new = target.alias("old"), changes.alias("new")
     fields = [c for c in target.columns if c not in key]
     merged = old.join(new, list(key), "full" if insert else "left")

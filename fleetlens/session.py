@@ -8,7 +8,22 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "fleetlens", master: str | None = None, **conf: str) -> SparkSession:
+MIB = 1024**2
+
+
+def initial_partitions(shuffle_bytes: int) -> int:
+    """Shuffle partitions of about 128 MiB each; adaptive execution merges what turns out smaller."""
+    return min(max(-(-shuffle_bytes // (128 * MIB)), 200), 100_000)
+
+
+def build_session(
+    app: str = "fleetlens", master: str | None = None, shuffle_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """Session with UTC time and adaptive execution.
+
+    `shuffle_bytes` is the size of the largest expected shuffle: adaptive execution merges and splits
+    partitions, but a plain shuffle starts from the number set here. Settings in `conf` win.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -19,6 +34,7 @@ def build_session(app: str = "fleetlens", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # A repeated attribute or label in one record must not end a job.
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+        **({"spark.sql.shuffle.partitions": str(initial_partitions(shuffle_bytes))} if shuffle_bytes else {}),
         **conf,
     }
     for key, value in settings.items():

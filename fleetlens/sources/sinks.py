@@ -17,10 +17,12 @@ def append_samples(samples: DataFrame, path: str) -> None:
     """Append derived samples to the samples table, laid out by metric and day for pruning.
 
     Rows are rebalanced by partition before the write: small partitions become one file each, and adaptive
-    execution splits those that hold too many rows for one task.
+    execution splits those that hold too many rows for one task. Files are in time order, so that row
+    groups outside a time range are skipped.
     """
     dated = samples.withColumn("day", F.to_date(F.timestamp_seconds("ts")))
-    dated.hint("rebalance", "metric", "day").write.mode("append").partitionBy("metric", "day").parquet(path)
+    laid_out = dated.hint("rebalance", "metric", "day").sortWithinPartitions("metric", "day", "ts")
+    laid_out.write.mode("append").partitionBy("metric", "day").parquet(path)
 
 
 def read_samples(

@@ -37,6 +37,8 @@ def test_upsert_leaves_null_fields(spark):
     new = spark.createDataFrame([(2, None, 9), (3, "c", None)], "k int, name string, n int")
     assert sorted(map(tuple, entities.upsert(old, new, ["k"]).collect())) == [(1, "a", 5), (2, "b", 9), (3, "c", None)]
     assert entities.upsert(old, new, ["k"], insert=False).count() == 2
+    steps = spark.createDataFrame([(1, "x", None, 1), (1, None, 7, 2), (1, "y", None, 3)], "k int, name string, n int, step int")
+    assert sorted(map(tuple, entities.upsert(old, steps, ["k"], order="step").collect())) == [(1, "y", 7), (2, "b", 6)]
 
 
 def test_window_cover_is_exact(spark):
