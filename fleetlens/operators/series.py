@@ -28,6 +28,8 @@ def sampling_interval(
     counted = (
         gaps.groupBy(*keys, (F.col("ts") - F.col("prev_ts")).alias("gap"))
         .agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
+        # A gap of zero is a repeated timestamp, not another point.
+        .filter("gap IS NULL OR gap > 0")
     )
     is_gap = F.col("gap").isNotNull()
     per_series = counted.groupBy(*keys).agg(

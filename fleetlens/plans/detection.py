@@ -17,13 +17,18 @@ def detection_pass(
     timestamp: Column,
     kv_threshold: float = cat.KV_CACHE_THRESHOLD,
     running_threshold: float = cat.RUNNING_THRESHOLD,
+    status: DataFrame | None = None,
     **rules,
 ) -> DataFrame:
     """History records (task, timestamp, is_anomaly, recommended, current) of the anomalous services.
 
     Samples are condensed once; detection and recovery both read the same joined row per service.
-    `current` is the configuration before the recommendation is applied.
+    `current` is the configuration before the recommendation is applied. With `status` (task, status) only
+    tasks that run and have the strategy `auto` are judged.
     """
+    if status is not None:
+        named = tasks.withColumn("task", F.col("service"))
+        tasks = detect.select_detect_candidates(named, status).drop("task")
     tails = detect.service_tails(samples, kv_threshold=kv_threshold, **rules)
     old = F.struct(*[F.col(f).alias(f) for f in FIELDS])
     loaded = tasks.join(tails, "service", "left").withColumn("current", old)

@@ -12,7 +12,7 @@ from fleetlens.sources import fixtures as fx
 
 DAY = fx.DAY
 # Rule thresholds fitted to the daily fixture.
-PENDING, KV, RUNNING = 5600.0, 55.0, 0.9
+PENDING, KV, RUNNING = 4800.0, 53.0, 0.9
 RULES = dict(unit=DAY, pending_threshold=PENDING, kv_threshold=KV)
 CHAIN = (q.BUNDLE, q.TASKS, q.regular("bundle"), q.SUMMED, q.resampled(DAY), q.tails(3, PENDING, KV))
 
@@ -95,7 +95,10 @@ def recovery_sql(kv: float, running: float) -> str:
   FROM l"""
 
 
-@query("recovery", recovery_sql(KV, RUNNING))
+RECOVERY = recovery_sql(KV, RUNNING)
+
+
+@query("recovery", RECOVERY)
 def recovery(spark, d):
     tails = detect.service_tails(fx.replica_bundle(spark, d), **RULES)
     return recommend.recommend_recovery(fx.tasks(spark, d), tails, KV, RUNNING)
@@ -327,6 +330,40 @@ def format_size(spark, d):
     return rows.withColumn("size_text", fmt(F.col("size_bytes")))
 
 
+@query("inventory_totals", """
+  WITH t AS (SELECT p_brand, CAST(p_size * [1024, 1024, 1048576, 1073741824, 1099511627776, 1073741824, 1, 1][p_partkey % 8 + 1] AS BIGINT) AS b FROM part)
+  SELECT p_brand, CAST(sum(b) AS BIGINT) AS total_bytes, max(b) AS largest, count(*) FILTER (b > 25769803776) AS above_24g,
+         CAST(floor(sum(b) / 2) AS BIGINT) AS half FROM t GROUP BY p_brand""")
+def inventory_totals(spark, d):
+    """Arithmetic and comparison on sizes read from text."""
+    units = F.element_at(F.array(*[F.lit(u) for u in UNITS]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    hosts = fx.table(spark, d, "part").select("p_brand", F.concat(F.col("p_size").cast("string"), units).alias("size_text"))
+    from fleetlens.functions.expressions import parse_size as parse
+
+    size, limit = F.col("size_bytes"), parse(F.lit("24GB"))
+    return inventory.normalise_inventory(hosts).groupBy("p_brand").agg(
+        F.sum(size).cast("long").alias("total_bytes"), F.max(size).cast("long").alias("largest"),
+        F.count_if(size > limit).alias("above_24g"), F.floor(F.sum(size) / 2).cast("long").alias("half"),
+    )
+
+
+@query("detection_candidates_pass", q.with_ctes(*CHAIN, f"cand AS ({RECOVERY})") + f"""
+  SELECT c.service AS task, c.replicas FROM cand c JOIN ({DETECT_SQL}) f USING (service)
+  WHERE f.is_anomaly = 1 AND c.service <> 'svc-1'""")
+def detection_candidates_pass(spark, d):
+    """The pass limited to running tasks under automatic scaling."""
+    from fleetlens.plans.detection import detection_pass
+
+    states = fx.events(spark, d).select(
+        F.col("service").alias("task"), F.col("event_id").alias("idx"), F.lit("running").alias("state")
+    )
+    records = detection_pass(
+        fx.replica_bundle(spark, d), fx.tasks(spark, d), F.lit(0), kv_threshold=KV, running_threshold=RUNNING,
+        status=detect.rollup_task_status(states), unit=DAY, pending_threshold=PENDING,
+    )
+    return records.select("task", "recommended.replicas")
+
+
 @query("dictionary_diff", """
   WITH l AS (SELECT p_name || '_' || CAST(p_partkey AS VARCHAR) AS field, CASE WHEN p_size % 9 = 0 THEN 'label' WHEN p_size % 2 = 0 THEN 'gauge' ELSE 'counter' END AS type
              FROM part WHERE p_partkey % 4 <> 0),

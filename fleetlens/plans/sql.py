@@ -44,7 +44,7 @@ BUNDLE = DAYS + """, bundle AS (
 TASKS = """tasks AS (
   SELECT service, CAST(substr(service, 5) AS INTEGER) AS k,
          ['mistral', 'llama', 'unknown'][CAST(substr(service, 5) AS INTEGER) + 1] AS framework, 7.0e0 AS param,
-         24 AS gpu_spec, 8 AS gpu_num, CAST(64 << CAST(substr(service, 5) AS INTEGER) AS INTEGER) AS max_num_seqs,
+         24 AS gpu_spec, 8 AS gpu_num, CAST(64 << (2 - CAST(substr(service, 5) AS INTEGER)) AS INTEGER) AS max_num_seqs,
          1 AS tensor_parallel_size, 0.9e0 AS gpu_memory_utilization,
          CAST(count(DISTINCT replica) AS INTEGER) AS replicas, count(*) AS n_events
   FROM ev GROUP BY service)"""

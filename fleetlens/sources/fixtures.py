@@ -100,7 +100,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(7.0).alias("param"),
         F.lit(24).alias("gpu_spec"),
         F.lit(8).alias("gpu_num"),
-        (F.lit(64) * F.pow(F.lit(2), k)).cast("int").alias("max_num_seqs"),
+        (F.lit(64) * F.pow(F.lit(2), 2 - k)).cast("int").alias("max_num_seqs"),
         F.lit(1).alias("tensor_parallel_size"),
         F.lit(0.9).alias("gpu_memory_utilization"),
         "replicas",

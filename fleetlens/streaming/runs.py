@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +75,7 @@ def detection_stream(
     checkpoint: str,
     lookback: int = 10800,
     interval: str | None = None,
+    status: Callable[[], DataFrame] | None = None,
     **rules,
 ) -> DataStreamWriter:
     """Detection loop over a sample stream (service, replica, metric, ts TIMESTAMP, value).
@@ -82,7 +83,8 @@ def detection_stream(
     Each micro-batch is stored first, so late rows are never lost; then the trailing `lookback` seconds of
     all services are judged, recommendations go to the history table and the task table moves on. All three
     tables under `path` hold one partition per batch, so a repeated batch replaces its own output, and a
-    tick lists only the days it looks back on and the task table of the tick before it.
+    tick lists only the days it looks back on and the task table of the tick before it. `status`, asked at
+    every tick, gives the current task states and limits the tick to running tasks under automatic scaling.
     """
     spark = stream.sparkSession
     samples_path, history_path, tasks_path = f"{path}/samples", f"{path}/history", f"{path}/tasks"
@@ -95,7 +97,7 @@ def detection_stream(
         records = None
         if newest is not None:
             recent = _recent(spark, samples_path, stream.schema, keys, newest - lookback, newest)
-            records = detection_pass(recent, current, F.lit(newest * 1000), **rules)
+            records = detection_pass(recent, current, F.lit(newest * 1000), status=status() if status else None, **rules)
         target = f"{history_path}/batch={batch_id}"
         if records is None:
             spark.createDataFrame([], RECORD_SCHEMA).write.mode("overwrite").parquet(target)

@@ -248,3 +248,12 @@ def test_repeated_timestamps_keep_one_value(spark, chunk_seconds):
     assert [r["ts"] for r in got] == list(range(345, 586, 15))
     early = series.regularise(frame(spark, rows).filter("ts <= 390"), KEYS, n=5, chunk_seconds=chunk_seconds)
     assert {r["ts"]: r["value"] for r in early.collect()}[300] == 99.0
+
+
+@pytest.mark.parametrize("seconds", [None, 20])
+def test_interval_ignores_repeated_timestamps(spark, seconds):
+    stamps = [0, 15, 15, 15, 30, 45, 60]
+    got = series.sampling_interval(frame(spark, one([(t, 1.0) for t in stamps])), KEYS, chunk_seconds=seconds).first()
+    assert (got["points"], got["freq"], got["last_ts"]) == (5, 15, 60)
+    same = series.sampling_interval(frame(spark, one([(7, 1.0)] * 9)), KEYS, chunk_seconds=seconds).first()
+    assert (same["points"], same["freq"]) == (1, None)
