@@ -126,10 +126,3 @@ def model_catalog(spark: SparkSession) -> DataFrame:
         "framework": "string", "param": "double", "param_size": "bigint", "token_size": "bigint", "n_head": "int",
         "seq_length": "bigint",
     })
-
-
-def default_models(spark: SparkSession) -> DataFrame:
-    """Three fixed rows; safe to broadcast."""
-    return literal_table(
-        spark, DEFAULT_MODELS, {"param_key": "double", "token_size": "bigint", "seq_length": "bigint"}
-    )

@@ -17,25 +17,25 @@ BYTES_PER_GB = float(cat.GIB)
 def match_catalog(specs: DataFrame) -> DataFrame:
     """Add param_size, token_size, n_head, seq_length and whether the model is in the catalogue.
 
-    Unknown models take the default whose size is nearest. Both catalogues are fixed literals (10 and 3
-    rows), so they are broadcast.
+    Unknown models take the default whose size is nearest. The catalogue is a fixed literal of ten rows, so
+    it is broadcast; the three defaults are a plain expression.
     """
     spark: SparkSession = specs.sparkSession
     known = cat.model_catalog(spark).withColumnsRenamed({
         "framework": "_framework", "param": "_param", "param_size": "_ps",
         "token_size": "_ts", "n_head": "_nh", "seq_length": "_sl",
     })
-    fallback = cat.default_models(spark).withColumnsRenamed({"token_size": "_dts", "seq_length": "_dsl"})
-    keyed = specs.withColumn("param_key", nearest_of([row[0] for row in cat.DEFAULT_MODELS], F.col("param")))
-    joined = keyed.join(
+    joined = specs.join(
         F.broadcast(known), (F.col("framework") == F.col("_framework")) & (F.col("param") == F.col("_param")), "left"
-    ).join(F.broadcast(fallback), "param_key", "left")
+    )
+    nearest = nearest_of([row[0] for row in cat.DEFAULT_MODELS], F.col("param"))
+    default = lambda i: F.coalesce(*[F.when(nearest == row[0], F.lit(row[i]).cast("long")) for row in cat.DEFAULT_MODELS])
     return joined.select(
         *specs.columns,
         F.coalesce(F.col("_ps").cast("double"), F.col("param") * BYTES_PER_GB).alias("param_size"),
-        F.coalesce("_ts", "_dts").alias("token_size"),
+        F.coalesce(F.col("_ts"), default(1)).alias("token_size"),
         F.coalesce("_nh", F.lit(cat.DEFAULT_N_HEAD)).alias("n_head"),
-        F.coalesce("_sl", "_dsl").alias("seq_length"),
+        F.coalesce(F.col("_sl"), default(2)).alias("seq_length"),
         F.col("_ps").isNotNull().alias("in_catalog"),
     )
 
