@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,11 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; executors and a restarted
-    driver can all see it. Only where it is unset (local tests) is a fresh temporary folder taken.
+    driver can all see it. Only in local mode, where one machine does all, is a fresh temporary folder
+    taken if it is unset; on a cluster that is an error, as each executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="fleetlens-")
         spark.conf.set("spark.checkpoint.dir", root)
