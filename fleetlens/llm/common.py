@@ -216,3 +216,26 @@ def bounded_labels(labels: DataFrame, label: str, keep: object, most: int) -> Da
 def fold(column: str, of: int) -> object:
     """crc32 of the decimal doc_id modulo `of`; 0 for a missing doc_id."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % of, F.lit(0)).cast("int")
+
+
+def key_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of equal keys of rows that come sorted by them; keys are whole numbers without nulls."""
+    pending: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            key = tuple(int(c[start]) for c in columns)
+            if pending and key != last:
+                yield pa.Table.from_batches(pending)
+                pending = []
+            pending.append(batch.slice(start, end - start))
+            last = key
+    if pending:
+        yield pa.Table.from_batches(pending)
