@@ -180,7 +180,9 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall:
     blocks = F.ceil(F.col("n") / block).cast("int")
     members = banded.join(kept, ["band", "bucket"]).withColumn("part", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     members = written(spark, members.select("band", "bucket", "rep", "part", blocks.alias("blocks")), "join-members")
-    sets = _sets(known.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), n, bands, rows)
+    # As many members as there are copies: never broadcast, so the plan is the same at every size.
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    sets = _sets(known.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n, bands, rows)
     cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band", "bucket", "rep", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     keys = ["band", "bucket", "low", "high"]
