@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import decontaminate, ngram_join, pii, toxicity
+from fleetlens.llm import decontaminate, ngram_join, pieces, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,20 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(spark: SparkSession, name: str) -> str:
+    """Where a public vocabulary file lies; `fleetlens.tokenizers` names another folder than the installed one."""
+    folder = spark.conf.get("fleetlens.tokenizers", None)
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"), tokenizer_path(spark, "piece_bpe_32k.model"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -32,6 +46,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {fn.__name__: fn for fn in (
-    op1_pii, op2_ngram_jaccard_join, op7_toxicity, op9_decontamination,
+    op1_pii, op2_ngram_jaccard_join, op5_sentencepiece, op7_toxicity, op9_decontamination,
 )}
 ORACLES: dict[str, str] = {}
