@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import decontaminate, ngram_join, pieces, pii, toxicity
+from fleetlens.llm import decontaminate, ngram_join, pieces, pii, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), tokenizer_path(spark, "piece_bpe_32k.model"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(spark, "byte_bpe_50k.json"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {fn.__name__: fn for fn in (
-    op1_pii, op2_ngram_jaccard_join, op5_sentencepiece, op7_toxicity, op9_decontamination,
+    op1_pii, op2_ngram_jaccard_join, op5_sentencepiece, op6_token_counts, op7_toxicity, op9_decontamination,
 )}
 ORACLES: dict[str, str] = {}
