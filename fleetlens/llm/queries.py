@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import decontaminate, ngram_join, pieces, pii, token_counts, toxicity
+from fleetlens.llm import decontaminate, ngram_join, pieces, pii, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,7 +49,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {fn.__name__: fn for fn in (
-    op1_pii, op2_ngram_jaccard_join, op5_sentencepiece, op6_token_counts, op7_toxicity, op9_decontamination,
+    op1_pii, op2_ngram_jaccard_join, op5_sentencepiece, op6_token_counts, op7_toxicity, op9_decontamination, op10_suffix_array_dedup,
 )}
 ORACLES: dict[str, str] = {}
