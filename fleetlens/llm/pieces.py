@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -93,11 +94,9 @@ class Pieces:
         The edges facing each other grow by merges in the order of rank; the pair is unstable if at some moment the merge
         across comes first. Of equal ranks the leftmost merge comes first.
         """
-        found = self._stable.get((left, right))
-        if found is None:
-            if len(self._stable) > REMEMBERED:
-                self._stable.clear()
-            found = self._stable[(left, right)] = self._compare(left, right)
+        if len(self._stable) > REMEMBERED:
+            self._stable.clear()
+        found = self._stable[(left, right)] = self._compare(left, right)
         return found
 
     def _compare(self, left: str, right: str) -> bool:
@@ -121,46 +120,65 @@ class Pieces:
     def is_piece(self, text: str) -> bool:
         return text in self.ids or len(text) == 1
 
-    def forward(self, text: str, begin: int, stop: int, before: str | None) -> list[int]:
-        """Length of the piece that ends at each place begin..stop on a stable path from `before`, 0 if there is none."""
-        size = [0] * (stop - begin + 1)
-        ids, longest = self.ids, self.longest
-        for i in range(1, stop - begin + 1):
-            for n in range(min(longest, i), 0, -1):
-                j = i - n
-                if j and not size[j]:
+    def forward(self, text: str, begin: int, stop: int, before: str | None) -> list[str | None]:
+        """The piece that ends at each place begin..stop on a stable path from `before`, None where there is none.
+
+        A text has one stable path at most, so the first piece that fits is the only one; short ones are tried first.
+        """
+        ending: list[str | None] = [None]
+        self.extend(ending, text, begin, stop, before)
+        return ending
+
+    def extend(self, ending: list[str | None], text: str, begin: int, stop: int, before: str | None) -> None:
+        """Goes on with a list that `forward` has made for a beginning of the same text."""
+        ids, longest, known, stable = self.ids, self.longest, self._stable, self.stable
+        for i in range(len(ending), stop - begin + 1):
+            end = begin + i
+            ending.append(None)
+            for j in range(i - 1, max(i - longest, 0) - 1, -1):
+                left = ending[j] if j else before
+                if left is None and j:
                     continue
-                piece = text[begin + j:begin + i]
-                if n > 1 and piece not in ids:
+                piece = text[begin + j:end]
+                if piece not in ids and j != i - 1:
                     continue
-                left = text[begin + j - size[j]:begin + j] if j else before
-                # A piece must also be what its own text is merged into.
-                if self.stable(left, piece) if left is not None else self.whole(piece):
-                    size[i] = n
+                if left is None:
+                    # A piece must also be what its own text is merged into.
+                    fits = self.whole(piece)
+                else:
+                    fits = known.get((left, piece))
+                    if fits is None:
+                        fits = stable(left, piece)
+                if fits:
+                    ending[i] = piece
                     break
-        return size
+        return ending
 
     def back(self, text: str, begin: int, stop: int, before: str | None) -> list[str]:
         """The pieces of the stable path from begin to stop."""
-        size = self.forward(text, begin, stop, before)
-        out, i = [], stop - begin
+        return self.followed(self.forward(text, begin, stop, before))
+
+    def followed(self, ending: list[str | None]) -> list[str]:
+        """The pieces of the path that ends last."""
+        out, i = [], len(ending) - 1
         while i:
-            if not size[i]:
+            piece = ending[i]
+            if piece is None:
                 raise ValueError("no stable path ends here")
-            out.append(text[begin + i - size[i]:begin + i])
-            i -= size[i]
+            out.append(piece)
+            i -= len(piece)
         return out[::-1]
 
     def packed(self, pieces: Iterable[str]) -> bytes:
         """Ids as 32-bit values; a character without a piece becomes its bytes."""
-        out: list[int] = []
+        out = array("i")
         for p in pieces:
             known = self.ids.get(p)
             if known is not None:
                 out.append(known)
             else:
                 out.extend(self.bytes[b] for b in p.encode())
-        return np.array(out, np.int32).tobytes()
+        return out.tobytes()
 
 
 class Stretches(dict):
@@ -176,6 +194,24 @@ class Stretches(dict):
         ids = self[stretch] = self.model.packed(self.model.back(stretch, 0, len(stretch), None))
         return ids
 
+    def learn(self, found: set[str]) -> None:
+        """Works out new stretches in alphabetical order, where each goes on from what it shares with the one before."""
+        new = sorted(found - self.keys())
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = sorted(found)
+        last, ending = "", [None]
+        for stretch in new:
+            same = 0
+            for a, b in zip(last, stretch):
+                if a != b:
+                    break
+                same += 1
+            del ending[same + 1:]
+            self.model.extend(ending, stretch, 0, len(stretch), None)
+            self[stretch] = self.model.packed(self.model.followed(ending))
+            last = stretch
+
 
 _loaded: dict[str, Stretches] = {}
 
@@ -215,12 +251,12 @@ class Chunk:
         text, end, model = self.text, self.end, self.model
         if begin >= end:
             return [(before, begin - end)] if before is not None else []
-        size = model.forward(text, begin, end, before)
+        ending = model.forward(text, begin, end, before)
         found = []
         for s in range(max(end - model.longest, begin), end):
-            if s > begin and not size[s - begin]:
+            left = ending[s - begin] if s > begin else before
+            if left is None and s > begin:
                 continue
-            left = text[s - size[s - begin]:s] if s > begin else before
             for e in range(end, min(s + model.longest, len(text)) + 1):
                 piece = text[s:e]
                 if model.is_piece(piece) and (model.stable(left, piece) if left is not None else model.whole(piece)):
@@ -237,7 +273,7 @@ class Chunk:
             if first is None:
                 reached = self.exits(begin, before)
             else:
-                meets = first == begin or self.model.forward(self.text, begin, first, before)[-1] > 0
+                meets = first == begin or self.model.forward(self.text, begin, first, before)[-1] is not None
                 if meets and shared is None:
                     shared = self.exits(self.breaks[-1], None)
                 reached = shared if meets else []
@@ -306,11 +342,13 @@ def marked(text: str) -> str:
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 
 
-def encode_text(text: str, known: Stretches) -> bytes:
-    """Packed ids of a text that is its own only chunk."""
+def encode_texts(texts: list[str], known: Stretches) -> list[bytes]:
+    """Packed ids of texts that are their own only chunk."""
     if not known.model.splits:
-        return known[marked(text)] if text else b""
-    return b"".join(map(known.__getitem__, _STRETCH.findall(marked(text))))
+        return [known[marked(t)] if t else b"" for t in texts]
+    parts = [_STRETCH.findall(marked(t)) for t in texts]
+    known.learn(set().union(*parts))
+    return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 
 def decode_ids(ids: np.ndarray, surface: list[bytes]) -> str:
@@ -337,7 +375,7 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
         model = known.model
         for piece in slices(batches):
             column = piece.column("text").to_pylist()
-            packed = [encode_text(t, known) for t in column]
+            packed = encode_texts(column, known)
             back = [decode_ids(np.frombuffer(p, np.int32), model.surface) == t.replace(MARK, " ") for p, t in zip(packed, column)]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), _lists(packed), pa.array(back, pa.bool_())], ["doc_id", "ids", "round_trip"])
 
