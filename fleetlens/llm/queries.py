@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import decontaminate, fingerprints, ngram_join, pieces, pii, suffix_dedup, token_counts, toxicity
+from fleetlens.llm import decontaminate, fingerprints, ngram_join, pieces, pii, quality, secret_scan, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.detect(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -58,6 +66,6 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {fn.__name__: fn for fn in (
-    op1_pii, op2_ngram_jaccard_join, op4_document_fingerprints, op5_sentencepiece, op6_token_counts, op7_toxicity, op9_decontamination, op10_suffix_array_dedup,
+    op1_pii, op2_ngram_jaccard_join, op3_quality_classifier, op4_document_fingerprints, op5_sentencepiece, op6_token_counts, op7_toxicity, op8_secret_scan, op9_decontamination, op10_suffix_array_dedup,
 )}
 ORACLES: dict[str, str] = {}
