@@ -27,6 +27,8 @@ RADIUS = 3
 BLOCKS = 6
 #: Ids of a block of neighbouring doc_ids; bounds the rows that are sorted together.
 SPAN = 4_096
+#: At most so many rows of two numbers are broadcast.
+BROADCAST_ROWS = 250_000
 LANES = 32
 _PAIR = (1 << 32) | 1
 #: What stands between words.
@@ -132,6 +134,10 @@ def _with_next(texts: DataFrame) -> DataFrame:
     known = texts.filter(F.col("doc_id").isNotNull())
     follow = next_keys(known.select(F.col("doc_id").alias("id")).distinct())
     heads = follow.filter((block("id") != block("next")) | (F.col("next") <= F.col("id"))).select(F.col("next").alias("doc_id"), block("id").alias("block"))
+    # One row for each block that holds ids. Up to a checked number they are sent to the texts instead of the texts to them.
+    heads = written(texts.sparkSession, heads, "fingerprint-heads")
+    if heads.count() <= BROADCAST_ROWS:
+        heads = F.broadcast(heads)
     halo = known.join(heads, "doc_id").select("doc_id", "text", "block", F.lit(True).alias("halo"))
     both = known.select("doc_id", "text", block("doc_id").alias("block"), F.lit(False).alias("halo")).union(halo)
     inside = Window.partitionBy("block").orderBy("halo", "doc_id", "text")
