@@ -97,11 +97,13 @@ ENGINE_INIT_LABELS = [
     "worker_use_ray", "max_parallel_loading_workers",
 ]
 
-# Gauges of one engine log line, in the order of the pattern's groups.
+# Gauges of one engine log line, in the order of the pattern's groups, named as the exporter
+# names them (with their units), which is what the views read.
 ENGINE_LOG_METRICS = [
-    "avg_prompt_throughput", "avg_generation_throughput", "running_requests", "swapped_requests",
-    "pending_requests", "gpu_kv_cache_usage", "cpu_kv_cache_usage",
+    "avg_prompt_throughput_tokens_per_second", "avg_generation_throughput_tokens_per_second", "running_requests", "swapped_requests",
+    "pending_requests", "gpu_kv_cache_usage_percent", "cpu_kv_cache_usage_percent",
 ]
+# Fixed value: the text of an engine's log line.
 ENGINE_LOG_PATTERN = (
     r"Avg prompt throughput: (\d+\.\d+) tokens/s, "
     r"Avg generation throughput: (\d+\.\d+) tokens/s, "

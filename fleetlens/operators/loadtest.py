@@ -26,10 +26,19 @@ def with_success_rate(summary: DataFrame) -> DataFrame:
     return summary.withColumn("success_rate", success_percent(F.col("success"), F.col("total")))
 
 
+def unreadable_durations(tests: DataFrame) -> DataFrame:
+    """Tests whose duration or unit is missing or unknown; they have no window."""
+    return tests.filter(duration_seconds(F.col("duration"), F.col("duration_unit")).isNull())
+
+
 def test_windows(tests: DataFrame) -> DataFrame:
-    """Window of a test in epoch seconds: at least a minute long, both ends inclusive."""
-    length = F.greatest(F.lit(60), duration_seconds(F.col("duration"), F.col("duration_unit")))
-    return tests.withColumns({"w_start": F.col("created"), "w_end": F.col("created") + length})
+    """Window of a test in epoch seconds: at least a minute long, both ends inclusive.
+
+    Tests of unknown duration are left out here and found by ``unreadable_durations``.
+    """
+    known = duration_seconds(F.col("duration"), F.col("duration_unit"))
+    length = F.greatest(F.lit(60), known)
+    return tests.filter(known.isNotNull()).withColumns({"w_start": F.col("created"), "w_end": F.col("created") + length})
 
 
 COVER = "array<struct<size:int,block:bigint,lo:bigint,hi:bigint>>"
@@ -169,15 +178,16 @@ def finalise_tests(tests: DataFrame, summary: DataFrame, throughput: DataFrame)
     )
 
 
-def test_query_window(tests: DataFrame, now: Column) -> DataFrame:
+def test_query_window(tests: DataFrame, now: Column, compat: bool = False) -> DataFrame:
     """Chart range of a test: from its creation to three minutes after its end, not beyond `now`.
 
-    Durations in seconds are capped at ten, as in the charts.
+    `compat` takes durations in seconds for ten at most, as older charts did.
     """
+    seconds = F.least(F.col("duration"), F.lit(10)) if compat else F.col("duration")
     length = (
         F.when(F.col("duration_unit") == "hour", F.col("duration") * 3600)
         .when(F.col("duration_unit") == "min", F.col("duration") * 60)
-        .when(F.col("duration_unit") == "sec", F.least(F.col("duration"), F.lit(10)))
+        .when(F.col("duration_unit") == "sec", seconds)
         .otherwise(F.lit(0))
     )
     return tests.select(

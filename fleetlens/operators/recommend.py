@@ -131,7 +131,9 @@ def recover(
     })
     spare = c("_current") - c("_param_mem")
     wanted = (
-        F.when((c("_kv") > 90) & (c("_bu") < 0.9), ratio(spare, c("_bu")))
+        # Without any batch usage a full cache has no finite need; no number of cards holds it.
+        F.when((c("_kv") > 90) & (c("_bu") == 0), F.lit(float("inf")))
+        .when((c("_kv") > 90) & (c("_bu") < 0.9), ratio(spare, c("_bu")))
         .when((c("_kv") < 90) & (c("_bu") > 0.9), c("_kv") * spare / 100)
         .otherwise(spare)
     )

@@ -27,9 +27,22 @@ def span_red_metrics(
     )
 
 
+# Label names of span metrics by the columns of a span; other dimensions keep their name.
+SPAN_LABELS = {"name": "span_name", "kind": "span_kind", "status": "status_code"}
+
+
+def with_dimensions(spans: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """Spans with some attributes as columns, dots in their names written as underscores."""
+    return spans.withColumns({a.replace(".", "_"): F.col("attrs")[a] for a in attributes})
+
+
 def spans_to_samples(red: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Cumulative call counters per dimension set, ready to append to the samples table."""
-    labels = F.map_from_arrays(F.array(*[F.lit(d) for d in dims]), F.array(*[F.col(d).cast("string") for d in dims]))
+    """Cumulative call counters per dimension set, ready to append to the samples table.
+
+    Labels have the names that the views match: a span's name becomes `span_name`.
+    """
+    names = [SPAN_LABELS.get(d, d) for d in dims]
+    labels = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(d).cast("string") for d in dims]))
     totals = running_total(red.select(*dims, "ts", "calls"), dims, "calls", "ts", seconds=86400)
     return totals.select(
         F.lit("traces_spanmetrics_calls_total").alias("metric"),
@@ -62,9 +75,10 @@ def service_graph_edges(spans: DataFrame) -> DataFrame:
     )
 
 
-def generated_tokens(spans: DataFrame, by: Sequence[str] = ("service",)) -> DataFrame:
-    """Tokens produced by forward calls: the batch size of each call, 1 where it is unknown."""
-    return spans.groupBy(*by).agg(
+def generated_tokens(spans: DataFrame, by: Sequence[str] = ("service",), suffix: str = ".forward") -> DataFrame:
+    """Tokens produced by forward calls, which are the spans named `*.forward`: the batch size of each call, 1 where
+    it is unknown."""
+    return spans.filter(F.col("name").endswith(suffix)).groupBy(*by).agg(
         F.count("*").alias("forward_calls"),
         F.sum(F.coalesce(F.col("attrs")["batch_size"].try_cast("bigint"), F.lit(1))).alias("tokens"),
     )

@@ -206,9 +206,9 @@ def unwrap_envelope(spark, d):
 
 
 @query("range_response", q.with_ctes(q.EV) + """
-  SELECT event_id, replica AS exported_job, CAST(ts AS DOUBLE) AS ts, value FROM ev WHERE event_type <> 'error'""")
+  SELECT event_id, replica AS exported_job, ts, ts * 1000 + 250 AS ts_ms, value FROM ev WHERE event_type <> 'error'""")
 def range_response(spark, d):
-    point = F.array(F.col("ts").cast("string"), F.col("value").cast("string"))
+    point = F.array(F.concat(F.col("ts").cast("string"), F.lit(".25")), F.col("value").cast("string"))
     junk = F.array((F.col("ts") + 1).cast("string"), F.lit("n/a"))
     status = F.when(F.col("event_type") == "error", "error").otherwise("success")
     series = F.struct(
@@ -218,18 +218,18 @@ def range_response(spark, d):
         status.alias("status"), F.struct(F.lit("matrix").alias("resultType"), F.array(series).alias("result")).alias("data")
     ))
     out = readers.parse_range_response(fx.events(spark, d).select("event_id", body.alias("body")), "body", ["event_id"])
-    return out.select("event_id", F.col("labels")["exported_job"].alias("exported_job"), "ts", "value")
+    return out.select("event_id", F.col("labels")["exported_job"].alias("exported_job"), "ts", "ts_ms", "value")
 
 
 @query("parse_log", q.with_ctes(q.EV) + """
   , l AS (SELECT event_id, service, ts, user_id, cents FROM ev WHERE event_id % 4 <> 3)
-  SELECT event_id, service, ts, 'avg_prompt_throughput' AS metric, (cents // 10) / 10.0e0 AS value FROM l
-  UNION ALL SELECT event_id, service, ts, 'avg_generation_throughput', (cents // 5) / 10.0e0 FROM l
+  SELECT event_id, service, ts, 'avg_prompt_throughput_tokens_per_second' AS metric, (cents // 10) / 10.0e0 AS value FROM l
+  UNION ALL SELECT event_id, service, ts, 'avg_generation_throughput_tokens_per_second', (cents // 5) / 10.0e0 FROM l
   UNION ALL SELECT event_id, service, ts, 'running_requests', CAST(user_id AS DOUBLE) FROM l
   UNION ALL SELECT event_id, service, ts, 'swapped_requests', 0.0e0 FROM l
   UNION ALL SELECT event_id, service, ts, 'pending_requests', CAST(event_id % 100 AS DOUBLE) FROM l
-  UNION ALL SELECT event_id, service, ts, 'gpu_kv_cache_usage', (cents % 1000) / 10.0e0 FROM l
-  UNION ALL SELECT event_id, service, ts, 'cpu_kv_cache_usage', 0.0e0 FROM l""")
+  UNION ALL SELECT event_id, service, ts, 'gpu_kv_cache_usage_percent', (cents % 1000) / 10.0e0 FROM l
+  UNION ALL SELECT event_id, service, ts, 'cpu_kv_cache_usage_percent', 0.0e0 FROM l""")
 def parse_log(spark, d):
     e = fx.events(spark, d)
     tenth = lambda x: F.concat(F.floor(x / 10).cast("string"), F.lit("."), (x % 10).cast("string"))
@@ -262,10 +262,9 @@ def request_counter(spark, d):
 
 @query("span_red", q.with_ctes(q.EV, q.SPANS) + """
   SELECT service, name, status, start_s - start_s % 3600 AS ts, count(*) AS calls, round(CAST(sum(cents) AS BIGINT) / 100.0e0, 6) AS duration_ms_sum,
-         count(*) FILTER (duration_ms <= 10) AS le_10, count(*) FILTER (duration_ms <= 50) AS le_50, count(*) FILTER (duration_ms <= 100) AS le_100
-  FROM spans GROUP BY ALL""")
+""" + q.duration_counts() + " FROM spans GROUP BY ALL")
 def span_red(spark, d):
-    out = sp.span_red_metrics(fx.spans(spark, d), width=3600, bounds=(10, 50, 100))
+    out = sp.span_red_metrics(fx.spans(spark, d), width=3600)
     return out.withColumn("duration_ms_sum", F.round("duration_ms_sum", 6))
 
 
@@ -276,7 +275,7 @@ def span_red(spark, d):
 def span_call_counters(spark, d):
     dims = ["service", "name", "status"]
     out = sp.spans_to_samples(sp.span_red_metrics(fx.spans(spark, d), dims, 3600, bounds=()), dims)
-    return out.select("metric", *[F.col("labels")[c].alias(c) for c in dims], "ts", "value")
+    return out.select("metric", *[F.col("labels")[sp.SPAN_LABELS.get(c, c)].alias(c) for c in dims], "ts", "value")
 
 
 @query("service_graph", q.with_ctes(q.EV, q.SPANS) + """
@@ -290,7 +289,7 @@ def service_graph(spark, d):
 
 @query("generated_tokens", q.with_ctes(q.EV, q.SPANS) + """
   SELECT service, count(*) AS forward_calls, CAST(sum(coalesce(TRY_CAST(batch_size AS BIGINT), 1)) AS BIGINT) AS tokens
-  FROM spans GROUP BY service""")
+  FROM spans WHERE name LIKE '%.forward' GROUP BY service""")
 def generated_tokens(spark, d):
     return sp.generated_tokens(fx.spans(spark, d))
 
@@ -422,24 +421,25 @@ def series_in_test_window(spark, d):
 
 
 @query("finalise_tests", q.with_ctes(q.SAMPLES, q.TESTS, WINDOWS, throughput_sql(False), REPORT) + """
-  SELECT test_id, CASE WHEN total IS NULL THEN 'failed' ELSE 'success' END AS test_status, total, success,
+  SELECT test_id, CASE WHEN total IS NULL THEN 'failed' ELSE 'success' END AS test_status, total, success, round(elapsed_avg + 1e-7, 4) AS elapsed_avg,
          prompt_tps, generation_tps FROM tests LEFT JOIN summary USING (test_id) LEFT JOIN throughput USING (test_id)""")
 def finalise_tests(spark, d):
     summary = loadtest.summarise_load_report(fx.load_report(spark, d))
     out = loadtest.finalise_tests(fx.tests(spark, d), summary, _throughput(spark, d))
-    return out.select("test_id", "test_status", "total", "success", "prompt_tps", "generation_tps")
+    return out.select(
+        "test_id", "test_status", "total", "success", F.round(F.col("elapsed_avg") + 1e-7, 4).alias("elapsed_avg"), "prompt_tps", "generation_tps")
 
 
 @query("test_query_window", q.with_ctes(q.TESTS) + """
   SELECT test_id, created AS q_start, least(created + CASE duration_unit WHEN 'hour' THEN duration * 3600 WHEN 'min' THEN duration * 60
-    WHEN 'sec' THEN least(duration, 10) ELSE 0 END + 180, 1705000000) AS q_end FROM tests""")
+    WHEN 'sec' THEN duration ELSE 0 END + 180, 1705000000) AS q_end FROM tests""")
 def test_query_window(spark, d):
     return loadtest.test_query_window(fx.tests(spark, d), F.lit(1705000000))
 
 
 @query("render_requests", """
   SELECT o_orderkey AS test_id, doc_id AS prompt_id, CASE WHEN o_orderkey % 2 = 0 THEN '/generate' ELSE '/v1/completions' END AS path,
-         CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS model, text AS prompt, CAST(64 << (o_orderkey % 4) AS INTEGER) AS max_tokens, 0.8e0 AS temperature
+         CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS model, text AS prompt, CAST(64 << (o_orderkey % 4) AS INTEGER) AS max_tokens, 0.8e0 AS temperature, 0.8e0 AS top_p
   FROM documents JOIN orders ON o_orderkey = doc_id""")
 def render_requests(spark, d):
     requests = fx.table(spark, d, "documents").select(
@@ -452,7 +452,7 @@ def render_requests(spark, d):
     )
     out = loadtest.render_requests(requests, tests)
     body = F.from_json("body", "model string, prompt string, max_tokens int, temperature double, top_p double")
-    return out.withColumn("b", body).select("test_id", "prompt_id", "path", "b.model", "b.prompt", "b.max_tokens", "b.temperature")
+    return out.withColumn("b", body).select("test_id", "prompt_id", "path", "b.model", "b.prompt", "b.max_tokens", "b.temperature", "b.top_p")
 
 
 @query("time_scalars", q.with_ctes(q.TESTS) + """

@@ -36,11 +36,11 @@ END_TO_END = (q.EV, f"bundle AS ({sq.BUNDLE_SQL})", q.TASKS, q.regular("bundle")
 
 @query("detect_from_samples", q.with_ctes(*END_TO_END) + """
   SELECT service, n_pending, n_kv, n_running, n_new, n_success, pending_high, kv_low, round(running_peak + 1e-9, 6) AS running_peak,
-         round(p90_running + 1e-9, 6) AS p90_running, round(p90_new + 1e-9, 6) AS p90_new, round(p90_success + 1e-9, 6) AS p90_success FROM rules""")
+         round(p90_running + 1e-9, 6) AS p90_running, round(p90_kv + 1e-9, 6) AS p90_kv, round(p90_new + 1e-9, 6) AS p90_new, round(p90_success + 1e-9, 6) AS p90_success FROM rules""")
 def detect_from_samples(spark, d):
     """Raw labelled samples to rule inputs: range queries, grids, replica sums and tails in one plan."""
     tails = detect.service_tails(sq.bundle_from_samples(spark, d), unit=DAY, pending_threshold=30.0, kv_threshold=60.0)
-    shown = ["running_peak", "p90_running", "p90_new", "p90_success"]
+    shown = ["running_peak", "p90_running", "p90_kv", "p90_new", "p90_success"]
     return tails.select(
         "service", "n_pending", "n_kv", "n_running", "n_new", "n_success", "pending_high", "kv_low",
         *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in shown],
@@ -72,7 +72,7 @@ def recovery_sql(kv: float, running: float) -> str:
     SELECT *, coalesce(pending_high, false) AS up, coalesce(bu < {running}e0 AND kvp < {kv}e0, false) AS down FROM j
   ), n AS (
     SELECT *, measured AND NOT coalesce(up AND kvp < 90 AND bu < 0.9e0, false) AS active,
-      greatest(CASE WHEN kvp > 90 AND bu < 0.9e0 THEN (cur - pmem) / nullif(bu, 0) WHEN kvp < 90 AND bu > 0.9e0 THEN kvp * (cur - pmem) / 100
+      greatest(CASE WHEN kvp > 90 AND bu = 0 THEN CAST('Infinity' AS DOUBLE) WHEN kvp > 90 AND bu < 0.9e0 THEN (cur - pmem) / bu WHEN kvp < 90 AND bu > 0.9e0 THEN kvp * (cur - pmem) / 100
                ELSE cur - pmem END + pmem, lower_mem) AS needed FROM f
   ), p AS (SELECT *, {q.first_tp('needed')} AS tp0 FROM n
   ), u AS (

@@ -289,17 +289,23 @@ VIEW_KEYS = "metric, exported_job, device, http_status_code"
 JOB_PATTERN = "svc-1-replica"
 
 
-def _view_sql(v: View, metrics: list[str] | None = None, one_job: bool = True) -> str:
-    metrics = metrics or list(dict.fromkeys(v.metrics))
-    own = [(fx.EVENT_TYPES[i % 5], m) for i, m in enumerate(metrics) if m in v.metrics]
-    names = " ".join(f"WHEN '{t}' THEN '{m}'" for t, m in own)
-    types = ", ".join(f"'{t}'" for t, _ in own)
+ALL_METRICS = sorted({m for v in VIEWS for m in v.metrics})
+ALL_COUNTERS = {m for v in VIEWS for m in v.counters}
+
+
+def all_view_samples(spark, d):
+    """The one table of samples that all views read."""
+    return fx.view_samples(spark, d, ALL_METRICS, ALL_COUNTERS)
+
+
+def _view_sql(v: View, one_job: bool = True) -> str:
+    own = ", ".join(f"('{m}', {k})" for k, m in enumerate(ALL_METRICS) if m in v.metrics)
     job = f" AND regexp_full_match(replica, '{JOB_PATTERN}.*')" if v.needs_job and one_job else ""
     status = " AND user_id % 5 <> 0" if "http_status_code" in v.matchers else ""
     base = f"""base AS (
-      SELECT CASE event_type {names} END AS metric, replica AS exported_job, 'gpu' || CAST((user_id // 6) % 2 AS VARCHAR) AS device,
-             CASE WHEN user_id % 5 = 0 THEN '500' ELSE '200' END AS http_status_code, ts, event_id, value, cents
-      FROM ev WHERE event_type IN ({types}){job}{status})"""
+      SELECT m.metric, replica AS exported_job, 'gpu' || CAST((user_id // 6) % 2 AS VARCHAR) AS device,
+             CASE WHEN user_id % 5 = 0 THEN '500' ELSE '200' END AS http_status_code, ts, event_id, value + m.k AS value, cents + 100 * m.k AS cents
+      FROM ev, (VALUES {own}) AS m(metric, k) WHERE true{job}{status})"""
     if v.counters:
         src = f"""steps AS (SELECT {VIEW_KEYS}, ts, sum(cents) AS c FROM base GROUP BY ALL), src AS (
           SELECT {VIEW_KEYS}, ts,
@@ -326,7 +332,8 @@ def _view_sql(v: View, metrics: list[str] | None = None, one_job: bool = True) -
         parts.append(q.rate_cte("x", "src", VIEW_KEYS, window, v.shape != "increase"))
     if v.shape in ("gauge", "mean", "rate", "increase"):
         if v.func is None:
-            tail = f"SELECT exported_job, device, http_status_code, ts, {value.format('value')} FROM x"
+            tail = ("SELECT exported_job, device, http_status_code, exported_job AS service, 'POST /generate' AS span_name, ts, "
+                    f"{value.format('value')} FROM x")
         else:
             tail = f"SELECT {by_prefix}ts, {value.format(f'{v.func}(value)')} FROM x GROUP BY {group}"
     elif v.shape == "positive_count":
@@ -351,7 +358,7 @@ def _view_sql(v: View, metrics: list[str] | None = None, one_job: bool = True) -
 
 def _view_query(v: View):
     def run(spark, d):
-        samples = fx.view_samples(spark, d, list(dict.fromkeys(v.metrics)), v.counters)
+        samples = all_view_samples(spark, d)
         out = run_view(v, samples, START, END, STRETCH, JOB_PATTERN if v.needs_job else None)
         return _round(out, "value")
 
@@ -365,26 +372,21 @@ for _v in VIEWS:
 
 API_VIEWS = [v for v in VIEWS if v.name in ("api_executed_rate", "api_success_rate_abs", "api_success_percent", "api_active",
                                             "api_mean_duration", "svc_ttft", "gpu_temp")]
-API_METRICS = ["http_server_response_size_bytes_count", "http_server_active_requests", "http_server_duration_milliseconds_sum",
-               "http_server_duration_milliseconds_count", "vllm:time_to_first_token_seconds_sum",
-               "vllm:time_to_first_token_seconds_count", "DCGM_FI_DEV_GPU_TEMP"]
-API_GAUGES = {"http_server_active_requests", "DCGM_FI_DEV_GPU_TEMP"}
 
 
-def _dashboard_sql(views, metrics) -> str:
+def _dashboard_sql(views) -> str:
     arms = []
     for v in views:
         job = "exported_job" if v.by == ("exported_job",) else "service" if v.by == ("service",) else "CAST(NULL AS VARCHAR)"
         device = "device" if v.by == ("device",) else "CAST(NULL AS VARCHAR)"
-        arms.append(f"SELECT '{v.name}' AS view, {job} AS exported_job, {device} AS device, ts, value FROM ({_view_sql(v, metrics, False)})")
+        arms.append(f"SELECT '{v.name}' AS view, {job} AS exported_job, {device} AS device, CAST(NULL AS VARCHAR) AS series, ts, value FROM ({_view_sql(v, False)})")
     return " UNION ALL ".join(arms)
 
 
-@query("dashboard", _dashboard_sql(API_VIEWS, API_METRICS))
+@query("dashboard", _dashboard_sql(API_VIEWS))
 def dashboard(spark, d):
     """Panels of three pages at once: one pass per vector function and window."""
-    samples = fx.view_samples(spark, d, API_METRICS, set(API_METRICS) - API_GAUGES)
-    out = run_dashboard(API_VIEWS, samples, START, END, STRETCH)
+    out = run_dashboard(API_VIEWS, all_view_samples(spark, d), START, END, STRETCH)
     return _round(out, "value")
 
 
@@ -400,22 +402,20 @@ _CURRENT_SQL, _EARLIER_SQL = (
   UNION ALL SELECT exported_job, ts + {WEEK}, value, 'previous' FROM ({_EARLIER_SQL})""")
 def chart_comparison(spark, d):
     """A chart with the week before laid over it."""
-    samples = fx.view_samples(spark, d, list(COMPARED.metrics), COMPARED.counters)
+    samples = all_view_samples(spark, d)
     current = run_view(COMPARED, samples, START + 14 * DAY, END, STRETCH).withColumn("period", F.lit("current"))
     earlier = run_view(COMPARED, samples, START + 14 * DAY, END, STRETCH, offset=WEEK).withColumn("period", F.lit("previous"))
     return _round(current.unionByName(earlier), "value")
 
 
-BUNDLE_METRICS = [BY_NAME[n].metrics[0] for n in BUNDLE_NAMES]
-BUNDLE_COUNTERS = {"http_server_requests_total", "traces_spanmetrics_calls_total"}
 BUNDLE_SQL = f"""
   SELECT regexp_replace(exported_job, '-replica.*$', '') AS service, exported_job AS replica,
          CASE view {" ".join(f"WHEN '{k}' THEN '{m}'" for k, m in BUNDLE_NAMES.items())} END AS metric, ts, value
-  FROM ({_dashboard_sql([BY_NAME[n] for n in BUNDLE_NAMES], BUNDLE_METRICS)})"""
+  FROM ({_dashboard_sql([BY_NAME[n] for n in BUNDLE_NAMES])})"""
 
 
 def bundle_from_samples(spark, d):
-    return _round(replica_metrics(fx.view_samples(spark, d, BUNDLE_METRICS, BUNDLE_COUNTERS), START, END, STRETCH), "value")
+    return _round(replica_metrics(all_view_samples(spark, d), START, END, STRETCH), "value")
 
 
 @query("replica_metrics", BUNDLE_SQL)

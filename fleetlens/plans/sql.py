@@ -248,11 +248,18 @@ REQUESTS = """pairs AS (SELECT DISTINCT l_partkey AS model_id, l_suppkey AS gpu_
 SPANS = """spans AS (
   SELECT CAST(event_id // 2 AS VARCHAR) AS trace_id, CAST(event_id AS VARCHAR) AS span_id,
          CASE WHEN event_id % 2 = 1 THEN CAST(event_id - 1 AS VARCHAR) END AS parent_id, service,
-         'POST /' || event_type AS name, CASE WHEN event_id % 2 = 1 THEN 'server' ELSE 'client' END AS kind,
+         CASE WHEN event_type = 'view' THEN 'LlamaForCausalLM.forward' ELSE 'POST /' || event_type END AS name, CASE WHEN event_id % 2 = 1 THEN 'server' ELSE 'client' END AS kind,
          CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, ts AS start_s, value AS duration_ms, cents,
          CASE WHEN user_id % 4 <> 0 THEN json_extract_string(props, '$.k') END AS batch_size
   FROM ev)"""
 
 
+def duration_counts() -> str:
+    """Cumulative histogram columns of spans."""
+    from fleetlens.operators.spans import DURATION_BOUNDS
+
+    return ", ".join(f"count(*) FILTER (duration_ms <= {b}) AS le_{b}" for b in DURATION_BOUNDS)
+
+
 def with_ctes(*parts: str) -> str:
     return "WITH " + ", ".join(parts) + " "

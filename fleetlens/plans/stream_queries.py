@@ -83,19 +83,21 @@ def stream_request_counts(spark, d):
 
 @query("stream_span_red", q.with_ctes(q.EV, q.SPANS) + """
   SELECT service, name, status, start_s - start_s % 3600 AS ts, count(*) AS calls, round(CAST(sum(cents) AS BIGINT) / 100.0e0, 6) AS duration_ms_sum,
-         count(*) FILTER (duration_ms <= 50) AS le_50 FROM spans GROUP BY ALL""")
+""" + q.duration_counts() + " FROM spans GROUP BY ALL")
 def stream_span_red(spark, d):
     spans = event_stream(spark, d).select(
-        "service", F.concat(F.lit("POST /"), F.col("event_type")).alias("name"),
+        "service", fx.span_name(F.col("event_type")).alias("name"),
         F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), "ts", F.col("value").alias("duration_ms"),
     )
-    out = _run(spark, ag.span_metrics(spans, width="1 hour", bounds=(50,)), "spans", ["service", "name", "status", "ts"])
+    out = _run(spark, ag.span_metrics(spans, width="1 hour"), "spans", ["service", "name", "status", "ts"])
     return out.withColumn("duration_ms_sum", F.round("duration_ms_sum", 6))
 
 
 @query("stream_parse_log", q.with_ctes(q.EV) + """
-  SELECT event_id, service, 'running_requests' AS metric, CAST(user_id AS DOUBLE) AS value FROM ev WHERE event_type <> 'view'
-  UNION ALL SELECT event_id, service, 'pending_requests', CAST(event_id % 100 AS DOUBLE) FROM ev WHERE event_type <> 'view'""")
+  SELECT event_id, service, g.m AS metric, g.v AS value FROM (SELECT event_id, service, unnest([{'m': 'running_requests', 'v': CAST(user_id AS DOUBLE)}, {'m': 'pending_requests', 'v': CAST(event_id % 100 AS DOUBLE)},
+    {'m': 'avg_prompt_throughput_tokens_per_second', 'v': 1.5e0}, {'m': 'avg_generation_throughput_tokens_per_second', 'v': 20.0e0},
+    {'m': 'swapped_requests', 'v': 0.0e0}, {'m': 'gpu_kv_cache_usage_percent', 'v': 12.5e0}, {'m': 'cpu_kv_cache_usage_percent', 'v': 0.0e0}]) AS g
+    FROM ev WHERE event_type <> 'view')""")
 def stream_parse_log(spark, d):
     text = F.concat(
         F.lit("Avg prompt throughput: 1.5 tokens/s, Avg generation throughput: 20.0 tokens/s, Running: "), F.col("user_id").cast("string"),
@@ -103,7 +105,7 @@ def stream_parse_log(spark, d):
         F.lit(" reqs, GPU KV cache usage: 12.5%, CPU KV cache usage: 0.0%"),
     )
     lines = event_stream(spark, d).select("event_id", "service", F.when(F.col("event_type") == "view", "idle").otherwise(text).alias("line"))
-    gauges = sp.parse_engine_log(lines, ["event_id", "service"]).filter(F.col("metric").isin("running_requests", "pending_requests"))
+    gauges = sp.parse_engine_log(lines, ["event_id", "service"])
     root = scratch_path(spark, "log")
     sinks.write_telemetry_stream(gauges, f"{root}/checkpoint", path=f"{root}/out").start().awaitTermination()
     return spark.read.parquet(f"{root}/out")
@@ -145,11 +147,11 @@ RATE_VIEW = sq.BY_NAME["api_executed_rate"]
 
 @query("stream_rate", f"""
   SELECT exported_job, ts, value FROM ({sq._view_sql(RATE_VIEW)})
-  WHERE ts <= (SELECT max(epoch_us(ts) // 1000000) - 300 FROM events WHERE event_type = 'click')""")
+  WHERE ts <= (SELECT max(epoch_us(ts) // 1000000) - 300 FROM events)""")
 def stream_rate(spark, d):
     """An extrapolated rate kept up to date over a stream of counter samples."""
     root = scratch_path(spark, "rate")
-    samples = fx.view_samples(spark, d, list(RATE_VIEW.metrics), RATE_VIEW.counters)
+    samples = sq.all_view_samples(spark, d)
     samples.withColumn("ts", F.timestamp_seconds("ts")).write.parquet(f"{root}/in")
     schema = "metric string, exported_job string, device string, http_status_code string, ts timestamp, value double"
     stream = readers.read_telemetry_stream(spark, schema, path=f"{root}/in")
@@ -165,16 +167,16 @@ def remote_write(spark, d):
     dims = ["service", "name", "status"]
     path = scratch_path(spark, "samples")
     sinks.append_samples(sp.spans_to_samples(sp.span_red_metrics(fx.spans(spark, d), dims, 3600, bounds=()), dims), path)
-    rows = sinks.read_samples(spark, path, ["traces_spanmetrics_calls_total"], q.STEP0, q.STEP1)
-    return rows.select(*[F.col("labels")[c].alias(c) for c in dims], "ts", "value")
+    rows = sinks.read_samples(spark, path, ["traces_spanmetrics_calls_total"], q.STEP0, q.STEP1, 300)
+    return rows.select(*[F.col("labels")[sp.SPAN_LABELS.get(c, c)].alias(c) for c in dims], "ts", "value")
 
 
 @query("history_table", q.with_ctes(q.HISTORY) + """
-  , r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY timestamp DESC) AS position FROM history WHERE seq % 2 = 0)
+  , r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY timestamp DESC) AS position FROM history)
   SELECT task, max(timestamp) AS newest, count(*) AS kept, min(timestamp) AS oldest FROM r WHERE position <= 11 GROUP BY task""")
 def history_table(spark, d):
     path = scratch_path(spark, "history")
-    sinks.append_history(fx.history(spark, d).filter("seq % 2 = 0"), path)
+    sinks.append_history(fx.history(spark, d), path)
     kept = sinks.read_history(spark, sinks.compact_history(spark, path))
     return kept.groupBy("task").agg(
         F.max("timestamp").alias("newest"), F.count("*").alias("kept"), F.min("timestamp").alias("oldest")
@@ -189,20 +191,26 @@ def load_report_files(spark, d):
     from fleetlens.operators.loadtest import summarise_load_report
 
     root = scratch_path(spark, "reports")
+    # The columns of a load generator's default log, in its order.
     rows = fx.table(spark, d, "lineitem").select(
-        (F.col("l_suppkey") % 4).alias("k"), F.lit(0).alias("timeStamp"), F.col("l_extendedprice").alias("elapsed"),
-        F.lit("generate").alias("label"), F.lit("200").alias("responseCode"), (F.col("l_returnflag") != "R").alias("success"),
+        F.concat(F.lit("test-"), (F.col("l_suppkey") % 4).cast("string")).alias("test"), F.lit(0).alias("timeStamp"),
+        F.col("l_extendedprice").alias("elapsed"), F.lit("generate").alias("label"), F.lit("200").alias("responseCode"), F.lit("OK").alias("responseMessage"),
+        F.lit("users 1-1").alias("threadName"), F.lit("text").alias("dataType"), (F.col("l_returnflag") != "R").alias("success"),
+        F.when(F.col("l_returnflag") == "R", "expected 200, got none").otherwise("").alias("failureMessage"), F.lit(10).alias("bytes"),
+        F.lit(5).alias("sentBytes"), F.lit(1).alias("grpThreads"), F.lit(1).alias("allThreads"), F.lit("-").alias("URL"), F.lit(3).alias("Latency"),
+        F.lit(0).alias("IdleTime"), F.lit(1).alias("Connect"), F.lit("report").alias("folder"),
     )
-    for k in range(4):
-        rows.filter(F.col("k") == k).drop("k").write.csv(f"{root}/test-{k}/report", header=True)
-    out = summarise_load_report(readers.read_load_report(spark, f"{root}/*/report"))
+    rows.write.partitionBy("test", "folder").csv(root, header=True, escape='"')
+    out = summarise_load_report(readers.read_load_report(spark, f"{root}/test=*/folder=report"))
+    out = out.withColumn("test_id", F.regexp_replace("test_id", "^test=", ""))
     return out.withColumn("elapsed_avg", F.round(F.col("elapsed_avg") + 1e-7, 4))
 
 
 @query("prompt_dataset", "SELECT doc_id, text AS question FROM documents")
 def prompt_dataset(spark, d):
     path = scratch_path(spark, "prompts")
-    fx.table(spark, d, "documents").select("doc_id", F.col("text").alias("question")).write.csv(
+    # More columns, and in another order, than are read.
+    fx.table(spark, d, "documents").select("lang", F.col("text").alias("question"), "doc_id").write.csv(
         path, header=True, quoteAll=True, escape='"'
     )
     return readers.read_prompt_dataset(spark, path, "doc_id bigint, question string")

@@ -16,10 +16,6 @@ from fleetlens import catalog as cat
 from fleetlens.functions.expressions import ratio
 from fleetlens.operators import ranges as rg
 
-# Label columns that name a series in the result of a view without grouping.
-SHOWN_LABELS = ("exported_job", "device", "http_status_code", "series")
-
-
 def series_keys(samples: DataFrame) -> list[str]:
     """All columns but time and value: together they identify a series."""
     if "labels" in samples.columns:
@@ -154,7 +150,7 @@ def _evaluate(view, chosen, keys, start, end, step, window, lookback) -> DataFra
     if view.shape == "gauge":
         vector = rg.instant_at_step(chosen, keys, start, end, step, lookback)
         return rg.agg_by(vector, view.func, by) if view.func else vector.select(
-            *[c for c in SHOWN_LABELS if c in keys], "ts", "value"
+            *[k for k in keys if k != "metric"], "ts", "value"
         )
     if view.shape == "mean":
         return rg.agg_by(rg.avg_over_time(chosen, keys, window, start, end, step), view.func, by)
@@ -230,7 +226,9 @@ def _matches(matchers: Mapping[str, tuple[str, str]]) -> Column:
 def run_dashboard(
     views: Iterable[View], samples: DataFrame, start: int, end: int, stretch: int = 1, job: str | None = None
 ) -> DataFrame:
-    """Several views as one long table: view, exported_job, device, ts, value.
+    """Several views as one long table: view, exported_job, device, series, ts, value.
+
+    `series` holds all labels of a series, as JSON, in the rows of views without grouping; it is NULL elsewhere.
 
     Views that share a vector function, window and step are evaluated together: samples are read and
     shuffled once, every (series, tick) value is handed to the views it feeds, and one aggregation keyed by
@@ -287,14 +285,17 @@ def _finish_shared(vector: DataFrame, members: Sequence[View]) -> DataFrame:
         branch = F.col("view") == v.name
         result = F.when(branch, scaled) if result is None else result.when(branch, scaled)
     return sums.select(
-        "view", F.col("job").alias("exported_job"), F.col("dev").alias("device"), "ts", result.alias("value")
+        "view", F.col("job").alias("exported_job"), F.col("dev").alias("device"), null.alias("series"), "ts", result.alias("value")
     ).filter("value IS NOT NULL")
 
 
 def _as_long(v: View, rows: DataFrame) -> DataFrame:
     label = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     job = F.col("service") if "service" in rows.columns else label("exported_job")
-    return rows.select(F.lit(v.name).alias("view"), job.alias("exported_job"), label("device").alias("device"), "ts", "value")
+    labels = [c for c in rows.columns if c not in ("ts", "value")]
+    series = F.to_json(F.struct(*labels)) if v.shape == "gauge" and not v.func and labels else F.lit(None).cast("string")
+    return rows.select(
+        F.lit(v.name).alias("view"), job.alias("exported_job"), label("device").alias("device"), series.alias("series"), "ts", "value")
 
 
 # Detector view -> metric name in the replica bundle.

@@ -27,7 +27,8 @@ HISTORY_RECORD = (
     f"struct<timestamp bigint, isAnomaly boolean, configRecommendResult {CONFIG}, currentConfig {CONFIG}>"
 )
 
-LOAD_REPORT = "timeStamp bigint, elapsed double, label string, responseCode string, success boolean"
+# The columns of a load log that are read; logs hold more.
+LOAD_REPORT = "elapsed double, success boolean"
 
 OTLP_TRACES = (
     "resourceSpans array<struct<resource struct<attributes array<struct<key string, value map<string,string>>>>, "

@@ -17,10 +17,6 @@ SERIES = ["metric", "service", "replica"]
 # Counters of the fixture start again every ten hours.
 RESET_SECONDS = 36000
 
-# Event type by metric family, used to give view metrics their samples.
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -201,6 +197,11 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def span_name(event_type: Column) -> Column:
+    """Views are forward calls of a model, other events requests."""
+    return F.when(event_type == "view", "LlamaForCausalLM.forward").otherwise(F.concat(F.lit("POST /"), event_type))
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans out of events: even events are client spans, odd ones serve the client span before them."""
     e = events(spark, sf_dir)
@@ -211,7 +212,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         event.cast("string").alias("span_id"),
         F.when(odd, (event - 1).cast("string")).alias("parent_id"),
         "service",
-        F.concat(F.lit("POST /"), F.col("event_type")).alias("name"),
+        span_name(F.col("event_type")).alias("name"),
         F.when(odd, "server").otherwise("client").alias("kind"),
         F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"),
         F.col("ts").alias("start_s"),
@@ -252,17 +253,17 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def view_samples(spark: SparkSession, sf_dir: str, metrics: list[str], counter: set[str]) -> DataFrame:
-    """Samples of the named view metrics: the i-th metric takes the i-th event type (cyclically), as gauge or counter.
+    """Samples of all view metrics in one table: every event gives one to each metric, as gauge or counter.
 
-    Labels are promoted to columns; a series is one (metric, exported_job, device, http_status_code).
+    The k-th metric has the event's value plus k. Labels are promoted to columns; a series is one
+    (metric, exported_job, device, http_status_code).
     """
     keys = ["metric", "exported_job", "device", "http_status_code"]
-    e = events(spark, sf_dir)
-    used = EVENT_TYPES[: len(metrics)]
-    fed = {t: [m for i, m in enumerate(metrics) if EVENT_TYPES[i % len(EVENT_TYPES)] == t] for t in used}
-    names = F.create_map(*[x for t, ms in fed.items() for x in (F.lit(t), F.array(*[F.lit(m) for m in ms]))])
-    labelled = e.filter(F.col("event_type").isin(used)).select(
-        F.explode(names[F.col("event_type")]).alias("metric"),
+    named = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k")) for k, m in enumerate(metrics)]))
+    e = events(spark, sf_dir).withColumn("_m", named)
+    e = e.withColumns({"value": F.col("value") + F.col("_m.k"), "cents": F.col("cents") + 100 * F.col("_m.k")})
+    labelled = e.select(
+        F.col("_m.metric").alias("metric"),
         F.col("replica").alias("exported_job"),
         F.concat(F.lit("gpu"), (F.floor(F.col("user_id") / 6) % 2).cast("string")).alias("device"),
         F.when(F.col("user_id") % 5 == 0, "500").otherwise("200").alias("http_status_code"),

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens import schemas
 from fleetlens.operators.spans import parse_engine_log
@@ -17,7 +18,10 @@ __all__ = [
 
 
 def parse_range_response(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Samples out of range-query responses; unsuccessful responses and unreadable points are skipped."""
+    """Samples out of range-query responses; unsuccessful responses and unreadable points are skipped.
+
+    `ts` is in whole seconds, as all operators take it; `ts_ms` keeps the milliseconds.
+    """
     parsed = df.select(*keep, F.from_json(column, schemas.RANGE_RESPONSE).alias("r")).filter("r.status = 'success'")
     points = parsed.select(*keep, F.explode("r.data.result").alias("s")).select(
         *keep, F.col("s.metric").alias("labels"), F.explode("s.values").alias("p")
@@ -25,9 +29,11 @@ def parse_range_response(df: DataFrame, column: str, keep: Sequence[str] = ()) -
     return points.select(
         *keep,
         "labels",
-        F.get("p", F.lit(0)).try_cast("double").alias("ts"),
+        F.get("p", F.lit(0)).try_cast("double").alias("_at"),
         F.get("p", F.lit(1)).try_cast("double").alias("value"),
-    ).filter("ts IS NOT NULL AND value IS NOT NULL")
+    ).filter("_at IS NOT NULL AND value IS NOT NULL").select(
+        *keep, "labels", F.floor("_at").cast("long").alias("ts"), F.round(F.col("_at") * 1000).cast("long").alias("ts_ms"), "value"
+    )
 
 
 def parse_dictionary(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -46,16 +52,28 @@ def read_metric_dictionary(spark: SparkSession, path: str) -> DataFrame:
 def read_load_report(spark: SparkSession, path: str) -> DataFrame:
     """Load-generator result logs; the test id is the name of the folder that holds the log's folder.
 
-    Logs lie at `<test_id>/report/<file>`.
+    Logs lie at `<test_id>/report/<file>`. Columns are found by the names in the header, in any order.
     """
-    rows = spark.read.csv(path, header=True, schema=schemas.LOAD_REPORT)
-    test_id = F.regexp_extract(F.input_file_name(), r"([^/]+)/report/[^/]+$", 1)
+    rows = _by_header(spark, path, schemas.LOAD_REPORT)
+    test_id = F.regexp_extract(F.input_file_name(), r"([^/]+)/(?:folder=)?report/[^/]+$", 1)
     return rows.select(test_id.alias("test_id"), "success", "elapsed")
 
 
-def read_prompt_dataset(spark: SparkSession, path: str, schema: str = "question string") -> DataFrame:
-    """Prompt CSV: the header names the variables; quoted cells may span lines."""
-    return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=True)
+def _by_header(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """The named columns of CSV files whose header may hold others too, in any order; unreadable cells are NULL.
+
+    All files must have the same header, which is checked when they are read. Without `multi_line` large files are
+    split between tasks.
+    """
+    rows = spark.read.csv(path, header=True, enforceSchema=False, quote='"', escape='"', multiLine=multi_line)
+    fields = T.StructType.fromDDL(schema).fields
+    return rows.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
+
+
+def read_prompt_dataset(spark: SparkSession, path: str, schema: str = "question string", multi_line: bool = True) -> DataFrame:
+    """Prompt CSV: the header names the variables. Quoted cells may span lines, unless `multi_line` is off, which
+    lets large files be split between tasks."""
+    return _by_header(spark, path, schema, multi_line)
 
 
 def attributes_map(attributes: str | Column) -> Column:
@@ -95,6 +113,14 @@ def read_spans(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def split_records(raw: DataFrame, column: str, schema: str, time_column: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """JSON records that can be read and have a time, and the texts of the others, for a side table."""
+    text = F.col(column).cast("string")
+    parsed = raw.select(text.alias("raw"), F.from_json(text, schema).alias("r"))
+    good = F.coalesce(F.col("r").isNotNull() & F.col(f"r.{time_column}").isNotNull(), F.lit(False))
+    return parsed.filter(good).select("r.*"), parsed.filter(~good).select("raw")
+
+
 def read_telemetry_stream(
     spark: SparkSession,
     schema: str,
@@ -106,14 +132,15 @@ def read_telemetry_stream(
 ) -> DataFrame:
     """Telemetry as a stream: a Kafka topic of JSON records, or a folder of parquet files.
 
-    The time column becomes a TIMESTAMP, as watermarks need.
+    The time column becomes a TIMESTAMP, as watermarks need. Unreadable records of a topic are left out;
+    ``split_records`` over the same topic gives them.
     """
     if brokers:
         raw = (
             spark.readStream.format("kafka").option("kafka.bootstrap.servers", brokers).option("subscribe", topic)
             .options(**(options or {})).load()
         )
-        rows = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r")).select("r.*")
+        rows, _ = split_records(raw, "value", schema, time_column)
     else:
         rows = spark.readStream.schema(schema).options(**(options or {})).parquet(path)
     return rows.withColumn(time_column, F.col(time_column).cast("timestamp"))

@@ -26,7 +26,7 @@ def append_samples(samples: DataFrame, path: str) -> None:
 
 
 def read_samples(
-    spark: SparkSession, path: str, metrics: Sequence[str], start: int, end: int, reach: int = cat.LOOKBACK_SECONDS
+    spark: SparkSession, path: str, metrics: Sequence[str], start: int, end: int, reach: int
 ) -> DataFrame:
     """Samples of some metrics that a query over `start..end` with windows of `reach` seconds can see.
 

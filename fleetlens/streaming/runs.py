@@ -70,7 +70,7 @@ def _recent(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence
 
 def detection_stream(
     stream: DataFrame,
-    tasks: DataFrame,
+    tasks: DataFrame | Callable[[], DataFrame],
     path: str,
     checkpoint: str,
     lookback: int = 10800,
@@ -83,19 +83,29 @@ def detection_stream(
     Each micro-batch is stored first, so late rows are never lost; then the trailing `lookback` seconds of
     all services are judged, recommendations go to the history table and the task table moves on. All three
     tables under `path` hold one partition per batch, so a repeated batch replaces its own output, and a
-    tick lists only the days it looks back on and the task table of the tick before it. `status`, asked at
-    every tick, gives the current task states and limits the tick to running tasks under automatic scaling.
+    tick lists only the days it looks back on and the task table of the tick before it. `tasks`, a table or
+    a function asked at every tick, says which services there are: those deployed later are judged from then on, removed
+    ones no longer; what was recommended before is laid over it. `status`, asked at every tick too, gives the
+    current task states and limits the tick to running tasks under automatic scaling. A tick is judged at the newest
+    time seen so far, so a batch of late rows neither turns the clock back nor judges an old window again.
     """
     spark = stream.sparkSession
-    samples_path, history_path, tasks_path = f"{path}/samples", f"{path}/history", f"{path}/tasks"
+    samples_path, history_path, tasks_path, clock_path = f"{path}/samples", f"{path}/history", f"{path}/tasks", f"{path}/clock"
     keys = ["service", "replica", "metric"]
     stream = stream.select(*keys, "ts", "value")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         newest = _store(batch, batch_id, samples_path)
-        current = tasks if batch_id == 0 else spark.read.schema(tasks.schema).parquet(f"{tasks_path}/batch={batch_id - 1}")
+        current, seen = tasks() if callable(tasks) else tasks, None
+        if batch_id > 0:
+            before = spark.read.schema(current.schema).parquet(f"{tasks_path}/batch={batch_id - 1}")
+            current = _overlaid(current, before)
+            (seen,) = spark.read.schema("seen bigint").parquet(f"{clock_path}/batch={batch_id - 1}").first()
+        late = newest is not None and seen is not None and newest <= seen
+        seen = max([t for t in (newest, seen) if t is not None], default=None)
+        spark.createDataFrame([(seen,)], "seen bigint").write.mode("overwrite").parquet(f"{clock_path}/batch={batch_id}")
         records = None
-        if newest is not None:
+        if newest is not None and not late:
             recent = _recent(spark, samples_path, stream.schema, keys, newest - lookback, newest)
             records = detection_pass(recent, current, F.lit(newest * 1000), status=status() if status else None, **rules)
         target = f"{history_path}/batch={batch_id}"
@@ -110,6 +120,17 @@ def detection_stream(
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
 
 
+CONFIG_FIELDS = ["max_num_seqs", "tensor_parallel_size", "gpu_memory_utilization", "replicas"]
+
+
+def _overlaid(tasks: DataFrame, before: DataFrame) -> DataFrame:
+    """The tasks there are now, with the configuration that the tick before left them."""
+    kept = before.select("service", *[F.col(f).alias(f"_{f}") for f in CONFIG_FIELDS], F.lit(True).alias("_kept"))
+    joined = tasks.join(kept, "service", "left")
+    changed = {f: F.when(F.col("_kept"), F.col(f"_{f}")).otherwise(F.col(f)).cast(tasks.schema[f].dataType) for f in CONFIG_FIELDS}
+    return joined.select(*[changed[c].alias(c) if c in changed else c for c in tasks.columns])
+
+
 def view_stream(
     stream: DataFrame,
     views: Sequence[View],

@@ -139,10 +139,17 @@ def test_metric_dictionary_file(spark, tmp_path):
 
 
 def test_load_report_files(spark, tmp_path):
-    for test, lines in {"t1": ["1,10,g,200,true", "2,30,g,500,false"], "t2": ["1,7,g,200,true"]}.items():
+    # A load generator's default columns; the order of columns doesn't matter, commas may be quoted.
+    head = ("timeStamp,elapsed,label,responseCode,responseMessage,threadName,dataType,success,failureMessage,bytes,sentBytes,"
+            "grpThreads,allThreads,URL,Latency,IdleTime,Connect")
+    tail = "10,5,1,1,http://x,3,0,1"
+    for test, lines in {
+        "t1": [f"1,10,g,200,OK,u 1-1,text,true,,{tail}", f'2,30,g,500,"no, really",u 1-1,text,false,"expected ""200"", got 500",{tail}'],
+        "t2": [f"1,7,g,200,OK,u 1-1,text,true,,{tail}"],
+    }.items():
         folder = tmp_path / test / "report"
         os.makedirs(folder)
-        (folder / "report.log").write_text("\n".join(["timeStamp,elapsed,label,responseCode,success", *lines]) + "\n")
+        (folder / "report.log").write_text("\n".join([head, *lines]) + "\n")
     out = loadtest.summarise_load_report(readers.read_load_report(spark, f"{tmp_path}/*/report"))
     assert {tuple(r) for r in out.collect()} == {("t1", 2, 1, 20.0), ("t2", 1, 1, 7.0)}
 
@@ -187,8 +194,40 @@ def test_samples_table_is_pruned(spark, tmp_path):
     rows = spark.createDataFrame([("a", {"k": "v"}, 10, 1.0), ("b", {}, 90_000, 2.0)], "metric string, labels map<string,string>, ts bigint, value double")
     path = str(tmp_path / "samples")
     sinks.append_samples(rows, path)
-    read = sinks.read_samples(spark, path, ["b"], 89_990, 90_010)
+    read = sinks.read_samples(spark, path, ["b"], 89_990, 90_010, 300)
     assert [r["value"] for r in read.collect()] == [2.0]
-    assert sinks.read_samples(spark, path, ["b"], 0, 89_999).count() == 0
+    assert sinks.read_samples(spark, path, ["b"], 0, 89_999, 300).count() == 0
     filters = read._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
     assert "metric" in filters and "day" in filters
+
+
+def test_prompts_are_found_by_header(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('id,question\n7,"hello, ""you""\nthere"\n')
+    assert [tuple(r) for r in readers.read_prompt_dataset(spark, str(tmp_path)).collect()] == [('hello, "you"\nthere',)]
+    assert [tuple(r) for r in readers.read_prompt_dataset(spark, str(tmp_path), "question string, id int").collect()] == [('hello, "you"\nthere', 7)]
+
+
+def test_unreadable_records_go_to_a_side_table(spark):
+    rows = spark.createDataFrame([('{"ts": 5, "value": 1.5}',), ("{broken",), ('{"value": 2}',), (None,)], "value string")
+    good, bad = readers.split_records(rows, "value", "ts bigint, value double")
+    assert [tuple(r) for r in good.collect()] == [(5, 1.5)]
+    assert sorted(map(str, (r["raw"] for r in bad.collect()))) == ["None", '{"value": 2}', "{broken"]
+
+
+def test_unknown_duration_units_have_no_window(spark):
+    tests = spark.createDataFrame([(1, 100, 2, "min"), (2, 100, 5, "fortnight"), (3, 100, None, "sec"), (4, 100, 1, "week")],
+                                  "test_id int, created bigint, duration bigint, duration_unit string")
+    assert {r["test_id"]: r["w_end"] - r["w_start"] for r in loadtest.test_windows(tests).collect()} == {1: 120, 4: 604_800}
+    assert {r["test_id"] for r in loadtest.unreadable_durations(tests).collect()} == {2, 3}
+
+
+def test_charts_show_whole_tests(spark):
+    tests = spark.createDataFrame([(1, 1000, 45, "sec")], "test_id int, created bigint, duration bigint, duration_unit string")
+    assert loadtest.test_query_window(tests, F.lit(10**9)).first()["q_end"] == 1225
+    assert loadtest.test_query_window(tests, F.lit(10**9), compat=True).first()["q_end"] == 1190
+
+
+def test_only_forward_calls_produce_tokens(spark):
+    rows = [("s", "Llama.forward", {"batch_size": "4"}), ("s", "Llama.forward", {}), ("s", "POST /generate", {"batch_size": "9"})]
+    got = sp.generated_tokens(spark.createDataFrame(rows, "service string, name string, attrs map<string,string>")).collect()
+    assert [tuple(r) for r in got] == [("s", 2, 5)]

@@ -85,6 +85,12 @@ def test_recovery_out_of_memory_fallback(spark):
     assert recover_one(spark, task, (True, 127, 95, 300, 90), compat=True)[1:3] == (0, 1.0)
 
 
+def test_recovery_full_cache_without_batch_usage(spark):
+    """The need is infinite, so the fallback for too little memory is taken: most cards, highest utilisation."""
+    assert recover_one(spark, MISTRAL, (True, 0, 95, 300, 90))[1:3] == (8, 0.9)
+    assert recover_one(spark, MISTRAL, (True, 0, 95, 300, 90), compat=True)[1:3] == (0, 8.0)
+
+
 def test_recovery_guards_division(spark):
     assert recover_one(spark, MISTRAL, (True, 127, 95, 300, 0))[3] == 2
 

@@ -143,3 +143,37 @@ def test_kafka_and_parquet_writers_are_configured(spark, parts, tmp_path):
     q = write_telemetry_stream(stream_of(spark, parts), f"{tmp_path}/cp", path=f"{tmp_path}/out").start()
     q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 480 * 2 * 5
+
+
+def test_late_batches_and_new_services(spark, tmp_path):
+    """A batch of late rows judges nothing and keeps the clock; a service of the third batch is judged from then on."""
+    def batch(name, service, start):
+        metrics = ["active", "running", "pending", "server_new", "server_success", "kv_cache"]
+        rows = [(service, "r0", m, start + 60 * i, 90.0) for m in metrics for i in range(60)]
+        df = spark.createDataFrame(rows, "service string, replica string, metric string, t bigint, value double")
+        path = f"{tmp_path}/in/{name}"
+        df.select("service", "replica", "metric", F.timestamp_seconds("t").alias("ts"), "value").coalesce(1).write.parquet(path)
+
+    known = [("a", "mistral", 7.0, 24, 8, 12, 1, 0.9, 1)]
+    out = f"{tmp_path}/out"
+    ends = []
+    for name, service, start in (("b0", "a", 36_000), ("b1", "a", 30_000), ("b2", "b", 42_000)):
+        if name == "b2":
+            known.append(("b", "mistral", 7.0, 24, 8, 12, 1, 0.9, 1))
+        batch(name, service, start)
+        stream = stream_of(spark, f"{tmp_path}/in/*")
+        runs.detection_stream(stream, lambda: spark.createDataFrame(known, TASK), out, f"{tmp_path}/cp").start().awaitTermination()
+        ends.append([(r["task"], r["timestamp"]) for r in runs.detection_history(spark, out).orderBy("timestamp", "task").collect()])
+    assert ends[1] == ends[0] and {t for _, t in ends[0]} == {(36_000 + 59 * 60) * 1000}
+    assert ("b", (42_000 + 59 * 60) * 1000) in ends[2]
+    assert {r["service"] for r in spark.read.schema(TASK).parquet(f"{out}/tasks/batch=2").collect()} == {"a", "b"}
+
+
+def test_views_without_grouping_keep_all_labels(spark):
+    from fleetlens.plans.views import BY_NAME, run_dashboard, run_view
+
+    rows = [("DCGM_FI_DEV_GPU_UTIL", "gpu0", host, 0, v) for host, v in (("h1", 10.0), ("h2", 20.0))] + [("other", "gpu0", "h1", 0, 99.0)]
+    df = spark.createDataFrame(rows, "metric string, device string, host string, ts bigint, value double")
+    assert rows_of(run_view(BY_NAME["gpu_util"], df, 0, 0).select("device", "host", "value")) == [("gpu0", "h1", 10.0), ("gpu0", "h2", 20.0)]
+    long = run_dashboard([BY_NAME["gpu_util"]], df, 0, 0).collect()
+    assert sorted(r["series"] for r in long) == ['{"device":"gpu0","host":"h1"}', '{"device":"gpu0","host":"h2"}']
