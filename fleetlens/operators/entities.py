@@ -214,8 +214,12 @@ def hard_delete(target: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataF
 
 
 def project_engine_args(tasks: DataFrame) -> DataFrame:
-    """Start-up arguments shown for an instance; the model length stands in for a missing sequence length."""
+    """Start-up arguments shown for an instance; the model length stands in for a missing sequence length.
+
+    `max_num_batched_tokens` belongs to the task, not to its engine arguments; tasks without that column have none.
+    """
     args = F.col("engine_args")
+    # The arguments that are shown.
     names = ["dtype", "load_format", "max_num_seqs", "max_paddings", "model", "tokenizer",
              "pipeline_parallel_size", "tensor_parallel_size", "quantization"]
     length = F.when(F.coalesce(args["max_seq_len"], F.lit("0")).isin("0", ""), args["max_model_len"]).otherwise(
@@ -226,4 +230,6 @@ def project_engine_args(tasks: DataFrame) -> DataFrame:
         F.col("exporter_service_name").alias("exported_job"),
         *[args[n].alias(n) for n in names],
         length.alias("max_seq_len"),
+        (F.col("max_num_batched_tokens") if "max_num_batched_tokens" in tasks.columns else F.lit(None)).cast("string").alias("max_num_batched_tokens"),
+        "engine_args",
     )

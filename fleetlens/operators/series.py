@@ -36,7 +36,8 @@ def sampling_interval(
         F.sum("n").alias("points"),
         F.max("last_ts").alias("last_ts"),
         F.max(F.when(is_gap, F.col("n"))).alias("_top"),
-        F.max_by(F.when(is_gap, F.col("gap")), F.when(is_gap, F.col("n"))).alias("_gap"),
+        # Of equally frequent gaps the smallest counts.
+        F.max_by(F.when(is_gap, F.col("gap")), F.when(is_gap, F.struct(F.col("n"), -F.col("gap")))).alias("_gap"),
     )
     regular = (F.col("points") >= min_points) & (ratio(F.col("_top"), F.col("points") - 1) > share)
     return per_series.withColumn("freq", F.when(regular, F.col("_gap"))).drop("_top", "_gap")

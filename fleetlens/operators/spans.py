@@ -105,16 +105,18 @@ def extract_request_params(requests: DataFrame) -> DataFrame:
 
 
 def parse_engine_log(lines: DataFrame, keys: Sequence[str] = ("service", "ts")) -> DataFrame:
-    """Seven gauges out of each matching engine log line, as long samples; other lines are ignored."""
-    matching = lines.filter(F.col("line").rlike(cat.ENGINE_LOG_PATTERN))
-    wide = matching.select(
-        *keys,
-        *[
-            F.regexp_extract("line", cat.ENGINE_LOG_PATTERN, i).try_cast("double").alias(m)
-            for i, m in enumerate(cat.ENGINE_LOG_METRICS, start=1)
-        ],
-    )
-    return wide.unpivot(list(keys), cat.ENGINE_LOG_METRICS, "metric", "value")
+    """Seven gauges out of each matching engine log line, as long samples; other lines are ignored.
+
+    The pattern runs once over a line: the line is replaced by its groups, or stays if it doesn't match.
+    """
+    count = len(cat.ENGINE_LOG_METRICS)
+    groups = " ".join(f"${i}" for i in range(1, count + 1))
+    replaced = F.regexp_replace("line", f"^(?s:.*?){cat.ENGINE_LOG_PATTERN}(?s:.*)$", f"\u0001{groups}")
+    found = lines.select(*keys, replaced.alias("_g")).filter(F.col("_g").startswith("\u0001"))
+    values = F.split(F.substring("_g", 2, 1 << 20), " ")
+    pairs = F.arrays_zip(F.array(*map(F.lit, cat.ENGINE_LOG_METRICS)).alias("metric"), values.alias("text"))
+    gauges = found.select(*keys, F.explode(pairs).alias("_p"))
+    return gauges.select(*keys, F.col("_p.metric").alias("metric"), F.col("_p.text").try_cast("double").alias("value"))
 
 
 def latest_engine_config(info: DataFrame) -> DataFrame:

@@ -160,7 +160,9 @@ def hard_delete(spark, d):
 
 @query("engine_args", """
   SELECT 'task-' || CAST(p_partkey AS VARCHAR) AS task, p_brand AS exported_job, p_type AS dtype, p_name AS model,
-         CAST(p_size AS VARCHAR) AS max_num_seqs, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size * 100 AS VARCHAR) ELSE CAST(p_size * 7 AS VARCHAR) END AS max_seq_len
+         CAST(p_size AS VARCHAR) AS max_num_seqs, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size * 100 AS VARCHAR) ELSE CAST(p_size * 7 AS VARCHAR) END AS max_seq_len,
+         CAST(p_size * 3 AS VARCHAR) AS max_num_batched_tokens, 'auto' AS load_format, CAST(NULL AS VARCHAR) AS max_paddings, p_type AS tokenizer,
+         '1' AS pipeline_parallel_size, CAST(p_partkey % 4 AS VARCHAR) AS tensor_parallel_size, CAST(NULL AS VARCHAR) AS quantization, 8 AS n_args
   FROM part""")
 def engine_args(spark, d):
     size = F.col("p_size")
@@ -168,13 +170,15 @@ def engine_args(spark, d):
         F.lit("dtype"), F.col("p_type"), F.lit("model"), F.col("p_name"), F.lit("max_num_seqs"), size.cast("string"),
         F.lit("max_model_len"), (size * 100).cast("string"),
         F.lit("max_seq_len"), F.when(F.col("p_partkey") % 3 != 0, (size * 7).cast("string")),
+        F.lit("load_format"), F.lit("auto"), F.lit("tokenizer"), F.col("p_type"), F.lit("pipeline_parallel_size"), F.lit("1"),
     )
     tasks = fx.table(spark, d, "part").select(
         F.concat(F.lit("task-"), F.col("p_partkey").cast("string")).alias("task"),
-        F.col("p_brand").alias("exporter_service_name"), args.alias("engine_args"),
+        F.col("p_brand").alias("exporter_service_name"), (size * 3).alias("max_num_batched_tokens"),
+        F.map_concat(args, F.create_map(F.lit("tensor_parallel_size"), (F.col("p_partkey") % 4).cast("string"))).alias("engine_args"),
     )
     out = entities.project_engine_args(tasks)
-    return out.select("task", "exported_job", "dtype", "model", "max_num_seqs", "max_seq_len")
+    return out.withColumn("n_args", F.size("engine_args") - 1).drop("engine_args")
 
 
 @query("entity_table", """
@@ -191,6 +195,25 @@ def entity_table(spark, d):
     return out.select("test_id", F.col("test_spec.duration").cast("long").alias("duration"), F.col("test_spec.data_set").alias("data_set"))
 
 
+@query("instance_columns", """
+  SELECT c_custkey AS instance_id, c_mktsegment AS product, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS model, CAST(c_nationkey AS VARCHAR) AS port,
+         CAST(NULL AS VARCHAR) AS note FROM customer""")
+def instance_columns(spark, d):
+    """The four JSON columns of the instance table; unreadable ones read as NULL."""
+    from fleetlens.schemas import INSTANCE_JSON
+
+    one = lambda key, value: F.to_json(F.create_map(F.lit(key), value))
+    rows = fx.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("instance_id"), one("product", F.col("c_mktsegment")).alias("instance_spec"),
+        F.when(F.col("c_custkey") % 5 == 0, "{bad").otherwise(one("model", F.col("c_name"))).alias("startup_args"),
+        one("port", F.col("c_nationkey").cast("string")).alias("mdl_cfg"), F.lit(None).cast("string").alias("extra"),
+    )
+    out = readers.read_entity_table(rows, INSTANCE_JSON)
+    return out.select(
+        "instance_id", F.col("instance_spec")["product"].alias("product"), F.col("startup_args")["model"].alias("model"),
+        F.col("mdl_cfg")["port"].alias("port"), F.col("extra")["note"].alias("note"))
+
+
 @query("unwrap_envelope", """
   SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 2 END AS is_anomaly, o_orderkey % 3 AS code FROM orders""")
 def unwrap_envelope(spark, d):

@@ -8,7 +8,7 @@ from fleetlens.operators import ranges as rg
 from fleetlens.operators import series as sr
 from fleetlens.plans import sql as q
 from fleetlens.plans.registry import query
-from fleetlens.plans.views import BUNDLE_NAMES, BY_NAME, VIEWS, View, replica_metrics, run_dashboard, run_view
+from fleetlens.plans.views import BUNDLE_NAMES, BY_NAME, VIEWS, View, comparison_offset, replica_metrics, run_dashboard, run_view
 from fleetlens.sources import fixtures as fx
 
 DAY = fx.DAY
@@ -35,10 +35,9 @@ def sampling_interval(spark, d):
 
 
 @query("sampling_interval_raw", q.with_ctes(q.SAMPLES, q.intervals("samples", share=0.002)) +
-       "SELECT service, replica, metric, points, last_ts, freq IS NOT NULL AS regular FROM stats")
+       "SELECT service, replica, metric, points, last_ts, freq FROM stats")
 def sampling_interval_raw(spark, d):
-    out = sr.sampling_interval(fx.samples(spark, d), KEYS, share=0.002)
-    return out.select(*KEYS, "points", "last_ts", F.col("freq").isNotNull().alias("regular"))
+    return sr.sampling_interval(fx.samples(spark, d), KEYS, share=0.002)
 
 
 @query("sample_gap", q.with_ctes(q.SAMPLES) + f"""
@@ -390,7 +389,7 @@ def dashboard(spark, d):
     return _round(out, "value")
 
 
-WEEK = 7 * DAY
+WEEK = comparison_offset("week")
 COMPARED = BY_NAME["svc_new_rps"]
 _CURRENT_SQL, _EARLIER_SQL = (
     _view_sql(COMPARED).replace(q.ticks(STRETCH * 60), q.ticks(STRETCH * 60, START + 14 * DAY - shift, END - shift))

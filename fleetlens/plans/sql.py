@@ -57,7 +57,7 @@ def intervals(src: str, keys: str = "service, replica, metric", share: float = 0
 ), gap_counts AS (
   SELECT {keys}, gap, count(*) AS n FROM gaps WHERE gap IS NOT NULL GROUP BY ALL
 ), tops AS (
-  SELECT {keys}, max(n) AS top, sum(n) AS total, arg_max(gap, n) AS gap FROM gap_counts GROUP BY {keys}
+  SELECT {keys}, max(n) AS top, sum(n) AS total, arg_max(gap, n * 4294967296 - gap) AS gap FROM gap_counts GROUP BY {keys}
 ), sizes AS (
   SELECT {keys}, count(*) AS points, max(ts) AS last_ts FROM {src} GROUP BY {keys}
 ), stats AS (

@@ -298,6 +298,11 @@ def _as_long(v: View, rows: DataFrame) -> DataFrame:
         F.lit(v.name).alias("view"), job.alias("exported_job"), label("device").alias("device"), series.alias("series"), "ts", "value")
 
 
+def comparison_offset(name: str) -> int:
+    """Seconds of one of the offsets offered for charts: hour, day, week or month."""
+    return cat.COMPARE_MINUTES[name] * 60
+
+
 # Detector view -> metric name in the replica bundle.
 BUNDLE_NAMES = {
     "detect_pending": "pending", "detect_active": "active", "detect_running": "running", "detect_kv_cache": "kv_cache",

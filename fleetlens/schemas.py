@@ -2,18 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-POINT = "struct<ts double, value double>"
-
-# Long samples: one row per metric, label set and second.
-SAMPLES = T.StructType([
-    T.StructField("metric", T.StringType(), False),
-    T.StructField("labels", T.MapType(T.StringType(), T.StringType()), True),
-    T.StructField("ts", T.LongType(), False),
-    T.StructField("value", T.DoubleType(), True),
-])
-
 RANGE_RESPONSE = (
     "struct<status string, data struct<resultType string, "
     "result array<struct<metric map<string,string>, values array<array<string>>>>>>"
