@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens import catalog as cat
 from fleetlens.functions.expressions import duration_seconds, ratio, success_percent
+from fleetlens.operators.chunks import CHUNK_SECONDS, with_halo
 
 # Aligned block lengths that cover the inside of a test window, in seconds; the finest also keys the edges.
 BLOCKS = (600, 3600)
 SALTS = 4
+# Longest test that has a window.
+MOST_SECONDS = 366 * 86400
 
 
 def summarise_load_report(report: DataFrame) -> DataFrame:
@@ -27,8 +30,13 @@ def with_success_rate(summary: DataFrame) -> DataFrame:
 
 
 def unreadable_durations(tests: DataFrame) -> DataFrame:
-    """Tests whose duration or unit is missing or unknown; they have no window."""
-    return tests.filter(duration_seconds(F.col("duration"), F.col("duration_unit")).isNull())
+    """Tests whose duration or unit is missing, unknown or beyond a year; they have no window."""
+    return tests.filter(~_known_duration())
+
+
+def _known_duration() -> Column:
+    # Windows are cut into hours, so one absurd duration must not become an endless list.
+    return F.coalesce(duration_seconds(F.col("duration"), F.col("duration_unit")) <= MOST_SECONDS, F.lit(False))
 
 
 def test_windows(tests: DataFrame) -> DataFrame:
@@ -36,9 +44,8 @@ def test_windows(tests: DataFrame) -> DataFrame:
 
     Tests of unknown duration are left out here and found by ``unreadable_durations``.
     """
-    known = duration_seconds(F.col("duration"), F.col("duration_unit"))
-    length = F.greatest(F.lit(60), known)
-    return tests.filter(known.isNotNull()).withColumns({"w_start": F.col("created"), "w_end": F.col("created") + length})
+    length = F.greatest(F.lit(60), duration_seconds(F.col("duration"), F.col("duration_unit")))
+    return tests.filter(_known_duration()).withColumns({"w_start": F.col("created"), "w_end": F.col("created") + length})
 
 
 COVER = "array<struct<size:int,block:bigint,lo:bigint,hi:bigint>>"
@@ -142,16 +149,59 @@ def robust_metric_avg(samples: DataFrame, keys: Sequence[str], series: Sequence[
     return robust_average(per_series, keys)
 
 
-def test_throughput(tests: DataFrame, samples: DataFrame, prompt: str, generation: str, by_job: bool = False) -> DataFrame:
+def job_averages(samples: DataFrame, lookback: int = cat.LOOKBACK_SECONDS) -> DataFrame:
+    """metric, exported_job, t, t_end, value: what an instant query for the mean over a job's series gives from t up to t_end.
+
+    A sample is seen until the next one of its series, for less than `lookback` seconds. Times at which a series of the
+    job starts or stops to be seen cut a job's time into segments; inside one the mean doesn't change.
+    """
+    series = [c for c in samples.columns if c not in ("ts", "value")]
+    job = ["metric", "exported_job"]
+
+    def following(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+        near = with_halo(rows, CHUNK_SECONDS, ahead=lookback, ts=name)
+        after = F.lead(name).over(Window.partitionBy(*keys, "_chunk").orderBy(name))
+        return near.withColumn("_next", after).filter("_own").drop("_own", "_chunk")
+
+    seen = following(samples, series, "ts").withColumn("until", F.least(F.coalesce("_next", F.col("ts") + lookback), F.col("ts") + lookback))
+    cuts = seen.select(*job, F.explode(F.array("ts", "until")).alias("t")).distinct()
+    segments = following(cuts, job, "t").filter("_next IS NOT NULL").select(*job, "t", F.col("_next").alias("t_end"), _down(F.col("t"), lookback).alias("_b"))
+    blocks = F.sequence(_down(F.col("ts"), lookback), _down(F.col("until") - 1, lookback), F.lit(lookback).cast("long"))
+    covered = seen.withColumn("_b", F.explode(blocks)).join(segments, [*job, "_b"]).filter("t >= ts AND t < until")
+    return covered.groupBy(*job, "t", "t_end").agg(F.avg("value").alias("value"))
+
+
+def job_averages_in_windows(windows: DataFrame, averages: DataFrame, step: int, match: Sequence[str] = ()) -> DataFrame:
+    """Sum, count and peak of a job's averages at the ticks w_start, w_start + step, ... <= w_end of each distinct window.
+
+    Windows and segments meet in the hours that both touch, and are counted in the first of these. How many ticks lie in
+    a segment is arithmetic, so no tick is written out.
+    """
+    hour = F.lit(BLOCKS[-1]).cast("long")
+    grids = windows.select("w_start", "w_end", *match).distinct()
+    by_hour = grids.withColumn("_h", F.explode(F.sequence(_down(F.col("w_start"), BLOCKS[-1]), F.col("w_end"), hour)))
+    pieces = averages.withColumn("_h", F.explode(F.sequence(_down(F.col("t"), BLOCKS[-1]), F.col("t_end") - 1, hour)))
+    first = F.greatest(_down(F.col("w_start"), BLOCKS[-1]), _down(F.col("t"), BLOCKS[-1]))
+    low = F.ceil((F.greatest("t", "w_start") - F.col("w_start")) / step)
+    high = F.floor((F.least(F.col("t_end") - 1, F.col("w_end")) - F.col("w_start")) / step)
+    met = by_hour.join(pieces, ["_h", *match]).filter(F.col("_h") == first).withColumn("_n", high - low + 1).filter("_n > 0")
+    return met.groupBy("w_start", "w_end", *dict.fromkeys(["metric", "exported_job"])).agg(
+        F.sum(F.col("value") * F.col("_n")).alias("v_sum"), F.sum("_n").alias("v_n"), F.max(F.abs("value")).alias("v_peak"))
+
+
+def test_throughput(
+    tests: DataFrame, samples: DataFrame, prompt: str, generation: str, by_job: bool = False, step: int = 60
+) -> DataFrame:
     """Prompt and generation throughput per test, truncated to whole numbers; 0 without data.
 
-    All jobs count, as in the dashboards; `by_job` restricts a test to the job it drives (`exported_job`
-    on both sides).
+    Means of a job's series are taken every `step` seconds of the test's window; jobs that stay at zero are left
+    out, and the mean of all other values counts. All jobs count, as in the dashboards; `by_job` restricts a test to the
+    job it drives (`exported_job` on both sides). All columns of `samples` but `ts` and `value` name a series.
     """
     metrics = samples.filter(F.col("metric").isin(prompt, generation))
     match = ["exported_job"] if by_job else []
     windows = test_windows(tests)
-    per_series = series_in_windows(windows, metrics, ["metric", "exported_job"], match)
+    per_window = job_averages_in_windows(windows, job_averages(metrics), step, match)
     live = F.col("v_peak") > 0
     # Rounded before truncation, so that the order of summation cannot tip a whole number.
     mean = lambda name: F.round(F.coalesce(
@@ -161,9 +211,9 @@ def test_throughput(tests: DataFrame, samples: DataFrame, prompt: str, generatio
         ),
         F.lit(0.0),
     ), 9).cast("long")
-    measured = per_series.groupBy("test_id").agg(
-        mean(prompt).alias("prompt_tps"), mean(generation).alias("generation_tps")
-    )
+    keys = ["w_start", "w_end", *match]
+    measured = per_window.groupBy(*keys).agg(mean(prompt).alias("prompt_tps"), mean(generation).alias("generation_tps"))
+    measured = windows.select("test_id", *keys).join(measured, keys)
     zero = F.lit(0).cast("long")
     return tests.select("test_id").join(measured, "test_id", "left").select(
         "test_id", F.coalesce("prompt_tps", zero).alias("prompt_tps"), F.coalesce("generation_tps", zero).alias("generation_tps")

@@ -407,10 +407,12 @@ WINDOWS = """windows AS (
 
 def throughput_sql(by_job: bool) -> str:
     job = "AND s.replica = w.exported_job" if by_job else ""
-    return f"""per_series AS (
-      SELECT w.test_id, s.metric, s.replica, sum(s.value) AS v, count(*) AS n, max(abs(s.value)) AS peak
-      FROM windows w JOIN samples s ON s.ts BETWEEN w.w_start AND w.w_end {job}
-      WHERE s.metric IN ('click', 'purchase') GROUP BY ALL
+    return f"""steps AS (SELECT test_id, exported_job, unnest(range(w_start, w_end + 1, 60)) AS t FROM windows
+    ), instants AS (
+      SELECT w.test_id, w.t, s.metric, s.replica, s.service, arg_max(s.value, s.ts) AS value
+      FROM steps w JOIN samples s ON s.ts > w.t - 300 AND s.ts <= w.t {job} WHERE s.metric IN ('click', 'purchase') GROUP BY ALL
+    ), job_means AS (SELECT test_id, t, metric, replica, avg(value) AS value FROM instants GROUP BY ALL
+    ), per_series AS (SELECT test_id, metric, replica, sum(value) AS v, count(*) AS n, max(abs(value)) AS peak FROM job_means GROUP BY ALL
     ), tput AS (
       SELECT test_id, CAST(trunc(round(coalesce(sum(v) FILTER (peak > 0 AND metric = 'click') / sum(n) FILTER (peak > 0 AND metric = 'click'), 0), 9)) AS BIGINT) AS prompt_tps,
         CAST(trunc(round(coalesce(sum(v) FILTER (peak > 0 AND metric = 'purchase') / sum(n) FILTER (peak > 0 AND metric = 'purchase'), 0), 9)) AS BIGINT) AS generation_tps

@@ -215,10 +215,10 @@ def test_unreadable_records_go_to_a_side_table(spark):
 
 
 def test_unknown_duration_units_have_no_window(spark):
-    tests = spark.createDataFrame([(1, 100, 2, "min"), (2, 100, 5, "fortnight"), (3, 100, None, "sec"), (4, 100, 1, "week")],
+    tests = spark.createDataFrame([(1, 100, 2, "min"), (2, 100, 5, "fortnight"), (3, 100, None, "sec"), (4, 100, 1, "week"), (5, 100, 10**9, "hour")],
                                   "test_id int, created bigint, duration bigint, duration_unit string")
     assert {r["test_id"]: r["w_end"] - r["w_start"] for r in loadtest.test_windows(tests).collect()} == {1: 120, 4: 604_800}
-    assert {r["test_id"] for r in loadtest.unreadable_durations(tests).collect()} == {2, 3}
+    assert {r["test_id"] for r in loadtest.unreadable_durations(tests).collect()} == {2, 3, 5}
 
 
 def test_charts_show_whole_tests(spark):
@@ -231,3 +231,32 @@ def test_only_forward_calls_produce_tokens(spark):
     rows = [("s", "Llama.forward", {"batch_size": "4"}), ("s", "Llama.forward", {}), ("s", "POST /generate", {"batch_size": "9"})]
     got = sp.generated_tokens(spark.createDataFrame(rows, "service string, name string, attrs map<string,string>")).collect()
     assert [tuple(r) for r in got] == [("s", 2, 5)]
+
+
+def test_throughput_takes_stepped_means_of_jobs(spark):
+    """Against a plain range query: lookback before the window, two series of a job, a job at zero, an empty window."""
+    rng = random.Random(7)
+    rows = [("g", "a", x, t, float(rng.randrange(50))) for x, every in (("1", 17), ("2", 95)) for t in range(900, 2000, every)]
+    rows += [("g", "b", "1", t, 0.0) for t in range(900, 2000, 30)] + [("p", "a", "1", 950, 8.0), ("p", "a", "1", 1500, 3.0)]
+    samples = spark.createDataFrame(rows, "metric string, exported_job string, x string, ts bigint, value double")
+    tests = [(1, 1000, 5, "min"), (2, 1013, 1, "sec"), (3, 5000, 1, "min"), (4, 1000, 5, "min"), (5, 1400, 2, "hour")]
+    got = loadtest.test_throughput(spark.createDataFrame(tests, "test_id int, created bigint, duration bigint, duration_unit string"), samples, "p", "g")
+
+    def plain(metric, start, end):
+        values = []
+        for job in ("a", "b"):
+            means = []
+            for t in range(start, end + 1, 60):
+                last = {}
+                for m, j, x, ts, v in sorted(rows, key=lambda r: r[3]):
+                    if (m, j) == (metric, job) and t - 300 < ts <= t:
+                        last[x] = v
+                if last:
+                    means.append(sum(last.values()) / len(last))
+            values += means if any(means) else []
+        return int(round(sum(values) / len(values), 9)) if values else 0
+
+    seconds = {"sec": 1, "min": 60, "hour": 3600}
+    want = {i: tuple(plain(m, s, s + max(60, n * seconds[u])) for m in "pg") for i, s, n, u in tests}
+    assert {r["test_id"]: (r["prompt_tps"], r["generation_tps"]) for r in got.collect()} == want
+    assert want[1][0] > 0 and want[3] == (0, 0)
