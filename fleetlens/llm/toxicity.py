@@ -260,7 +260,8 @@ def learn_insults(train: DataFrame) -> tuple[int, ...]:
     """Keys of the words and stems that labels single out as insults, from (text, label).
 
     Words are first compared by documents. As copies of one toxic text would single out all its words, those found
-    are compared again by distinct contexts, a context being the words before and after.
+    are compared again by distinct contexts, a context being the words before and after. Stems are compared by the
+    distinct words that they begin, so that one insult doesn't make a stem of its first letters.
     """
     totals = {r["label"] > 0: r["n"] for r in train.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(True, 0), totals.get(False, 0)
@@ -278,9 +279,10 @@ def learn_insults(train: DataFrame) -> tuple[int, ...]:
             keys, at = keyed(data, starts, ends, hashes)
             hit, _ = table.hits(keys)
             padded = np.concatenate([[np.uint64(0)], hashes, [np.uint64(0)]])
+            whole = hit < len(hashes)
             yield pa.RecordBatch.from_pydict({
                 "word": keys[hit].view(np.int64), "label": (piece.column("label").to_numpy()[rows[at[hit]]] > 0).astype(np.int32),
-                "before": padded[at[hit]].view(np.int64), "after": padded[at[hit] + 2].view(np.int64),
+                "before": np.where(whole, padded[at[hit]], hashes[at[hit]]).view(np.int64), "after": np.where(whole, padded[at[hit] + 2], np.uint64(0)).view(np.int64),
             })
 
     distinct = train.mapInArrow(contexts, "word long, label int, before long, after long").distinct()
