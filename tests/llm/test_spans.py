@@ -112,3 +112,11 @@ def test_empty_tables(spark):
     assert pii.detect(none).count() == 0 and pii.redact(none).count() == 0 and secret_scan.detect(none).count() == 0
     only_null = docs(spark, [(1, None)])
     assert pii.detect(only_null).first()["spans"] == "" and secret_scan.detect(only_null).first()["spans"] == ""
+
+
+def test_texts_full_of_matches(spark):
+    text = " ".join(f"10.{k % 256}.3.{k % 199}" for k in range(3_000)) + " " + " ".join(map(str, range(20_000)))
+    frame = docs(spark, [(1, text)])
+    row = pii.detect(frame).first()
+    assert row["base_sha256"] == sha(",".join(plain_pii(text))) and row["n_ip"] == 3_000
+    assert pii.redact(frame).first()["text"].startswith("<IP> <IP> ")
