@@ -56,14 +56,15 @@ def stream_sliding(spark, d):
 
 
 @query("stream_staleness", """
-  WITH e AS (SELECT event_type, epoch_us(ts) AS us, value FROM events),
-  g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY event_type ORDER BY us) < 900000000 THEN 0 ELSE 1 END AS fresh FROM e),
-  n AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY us) AS k FROM g)
-  SELECT event_type, min(us) AS fresh_from, max(us) + 900000000 AS stale_from, count(*) AS n, arg_max(value, us) AS last_value
-  FROM n GROUP BY event_type, k HAVING max(us) + 900000000 <= (SELECT max(us) - us_ FROM e, (SELECT 300000000 AS us_) GROUP BY us_)""")
+  WITH e AS (SELECT event_type, 'svc-' || CAST(user_id % 3 AS VARCHAR) || '-replica' || CAST((user_id % 6) // 3 AS VARCHAR) AS replica,
+                    epoch_us(ts) AS us, value FROM events),
+  g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY event_type, replica ORDER BY us) < 900000000 THEN 0 ELSE 1 END AS fresh FROM e),
+  n AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type, replica ORDER BY us) AS k FROM g)
+  SELECT event_type, replica, min(us) AS fresh_from, max(us) + 900000000 AS stale_from, count(*) AS n, arg_max(value, us) AS last_value
+  FROM n GROUP BY event_type, replica, k HAVING max(us) + 900000000 <= (SELECT max(us) - us_ FROM e, (SELECT 300000000 AS us_) GROUP BY us_)""")
 def stream_staleness(spark, d):
-    stream = ag.staleness_sessions(event_stream(spark, d), ["event_type"], "900 seconds")
-    return _run(spark, stream, "staleness", ["event_type", "fresh_from"], mode="append")
+    stream = ag.staleness_sessions(event_stream(spark, d), ["event_type", "replica"], "900 seconds")
+    return _run(spark, stream, "staleness", ["event_type", "replica", "fresh_from"], mode="append")
 
 
 @query("stream_last_value", q.with_ctes(q.EV) + """
