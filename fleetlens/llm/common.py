@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fleetlens.session import scratch_path
 
 #: Text handled at once inside a task; bounds the working arrays, which take about 50 bytes per byte of text.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _SEED = 20240229
 _random = np.random.default_rng(_SEED)
