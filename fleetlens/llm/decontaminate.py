@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: word n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-The word n-grams of the test items are counted over all documents (in how many each occurs). An item's seeds are the
-rarer half of its n-grams, ties included, so an item that is copied all over the corpus keeps its seeds
-too. Where a seed occurs in a document, the words around it are aligned with the item: matches count 2, a
+All word n-grams of a test item are its seeds, so a copy is found as long as `n` words in a row are left of it. Where a seed
+occurs in a document, the words around it are aligned with the item: matches count 2, a
 different, missing or additional word -1. The score is the best local alignment as a share of a full match, so edited and
-paraphrased copies score by what is left of the item.
+paraphrased copies score by what is left of the item. Common seeds lead to many passages; those with too few words of
+the item to reach the least score are passed over before they are aligned, which loses none.
 
 The test items are held by every task; they are taken in blocks of `block` items, so what is sent out stays
 bounded however many there are. Documents are read where they lie and never shuffled.
@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import HashTable, grams, plain_texts, slices, utf8, words
+from fleetlens.llm.common import HashTable, grams, plain_texts, run_starts, slices, utf8, words
 
 SEED_WORDS = 3
 #: Share of a full match from which a passage counts as a copy of the item.
 LEAST_SCORE = 0.5
 #: Items sent to the tasks at once.
 BLOCK = 20_000
+#: Pairs of a seed's place and an item looked at together, or those of a single document.
+LINES = 1 << 20
 MATCH, OTHER = 2, 1
 
 
@@ -55,39 +57,6 @@ def read_items(rows: list[tuple[int, str]], n: int) -> Items:
     return Items([i for i, _ in rows], [hashes[b:e] for b, e in zip(begins, ends)], seeds, item, at - begins[item])
 
 
-def seed_frequency(texts: DataFrame, items: Items, n: int) -> np.ndarray:
-    """In how many documents each distinct n-gram of the items occurs, in the order of np.unique."""
-    distinct = np.unique(items.seeds)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, counts = HashTable(distinct), np.zeros(len(distinct), np.int64)
-        for piece in slices(batches):
-            _, _, hashes, row = words(*utf8(piece.column("text")))
-            gram, gram_row, _ = grams(hashes, row, n)
-            hit, place = table.hits(gram)
-            pairs = np.unique(gram_row[hit] * len(distinct) + place)
-            counts += np.bincount(pairs % max(len(distinct), 1), minlength=len(distinct))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"seed": some, "n": counts[some]})
-
-    found = texts.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(distinct), np.int64)
-    for r in found:
-        counts[r["seed"]] = r["n"]
-    return counts
-
-
-def rare_seeds(items: Items, frequency: np.ndarray) -> np.ndarray:
-    """Which n-grams of the items are seeds: those at most as frequent as the item's median one."""
-    own = frequency[np.searchsorted(np.unique(items.seeds), items.seeds)]
-    keep = np.zeros(len(own), bool)
-    for k in range(len(items.ids)):
-        mine = np.flatnonzero(items.item == k)
-        if len(mine):
-            keep[mine] = own[mine] <= np.median(own[mine])
-    return keep
-
-
 def align(passages: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best Smith-Waterman score of the item in each row of `passages`, and the word after its end."""
     m, width = passages.shape
@@ -122,53 +91,73 @@ def _passages(hits: np.ndarray, lead: np.ndarray, length: int, begin: int, stop:
     return out
 
 
-def _matches(texts: DataFrame, items: Items, keep: np.ndarray, n: int, least: float) -> DataFrame:
-    seeds, owner, place = items.seeds[keep], items.item[keep], items.place[keep]
+def _matches(texts: DataFrame, items: Items, n: int, least: float) -> DataFrame:
+    seeds, owner, place = items.seeds, items.item, items.place
     distinct, of_seed = np.unique(seeds, return_inverse=True)
     order = np.argsort(of_seed, kind="stable")
     begin_of = np.searchsorted(of_seed[order], np.arange(len(distinct) + 1))
 
+    def scored(hashes: np.ndarray, row: np.ndarray, gram_row: np.ndarray, at: np.ndarray, seed: np.ndarray) -> dict[tuple[int, int], tuple[float, int, int]]:
+        """The best passage of each (document, item) that reaches the least score, from the seeds found in some documents."""
+        # A seed may stand in several items: one line for each.
+        times = begin_of[seed + 1] - begin_of[seed]
+        line = np.repeat(np.arange(len(seed)), times)
+        entry = order[np.repeat(begin_of[seed], times) + np.arange(len(line)) - np.repeat(np.cumsum(times) - times, times)]
+        key = gram_row[line] * len(items.ids) + owner[entry]
+        by = np.argsort(key, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[by])) + 1, [len(by)]])
+        # Passages of like width of the same item are aligned together.
+        waiting: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+        for a, b in zip(cuts, cuts[1:]):
+            group = by[a:b]
+            document, k = divmod(int(key[group[0]]), len(items.ids))
+            lo, hi = np.searchsorted(row, document), np.searchsorted(row, document, "right")
+            for low, high in _passages(at[line[group]], place[entry[group]], len(items.words[k]), int(lo), int(hi)):
+                waiting[(k, (high - low - 1).bit_length())].append((document, low, high))
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for (k, _), found in waiting.items():
+            item = items.words[k]
+            for part in range(0, len(found), 256):
+                some = found[part:part + 256]
+                width = max(high - low for _, low, high in some)
+                matrix = np.zeros((len(some), width), np.uint64)
+                for i, (_, low, high) in enumerate(some):
+                    matrix[i, :high - low] = hashes[low:high]
+                # Every match takes a word of the item: fewer than these can't reach the least score.
+                enough = np.flatnonzero(np.isin(matrix, item).sum(axis=1) * MATCH >= least * MATCH * len(item))
+                if not len(enough):
+                    continue
+                some, matrix = [some[i] for i in enough], matrix[enough]
+                score, end = align(matrix, item)
+                for i in np.flatnonzero(score >= least * MATCH * len(item)):
+                    document, low, _ = some[i]
+                    # Aligned backwards from its end, the passage shows its start.
+                    back, start = align(matrix[i:i + 1, :end[i]][:, ::-1], item[::-1])
+                    share = float(score[i]) / (MATCH * len(item))
+                    mine = (share, low + int(end[i] - start[0]), low + int(end[i]) - 1)
+                    if (document, k) not in best or mine > best[(document, k)]:
+                        best[(document, k)] = mine
+        return best
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = HashTable(distinct)
         for piece in slices(batches):
-            starts, ends, hashes, row = words(*utf8(piece.column("text")))
+            _, _, hashes, row = words(*utf8(piece.column("text")))
             gram, gram_row, at = grams(hashes, row, n)
             hit, seed = table.hits(gram)
             if not len(hit):
                 continue
-            # A seed may stand in several items: one line for each.
-            times = begin_of[seed + 1] - begin_of[seed]
-            line = np.repeat(np.arange(len(hit)), times)
-            entry = order[np.repeat(begin_of[seed], times) + np.arange(len(line)) - np.repeat(np.cumsum(times) - times, times)]
-            key = gram_row[hit][line] * len(items.ids) + owner[entry]
-            by = np.argsort(key, kind="stable")
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[by])) + 1, [len(by)]])
-            # Passages of like width of the same item are aligned together.
-            waiting: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-            for a, b in zip(cuts, cuts[1:]):
-                group = by[a:b]
-                document, k = divmod(int(key[group[0]]), len(items.ids))
-                lo, hi = np.searchsorted(row, document), np.searchsorted(row, document, "right")
-                for low, high in _passages(at[hit][line[group]], place[entry[group]], len(items.words[k]), int(lo), int(hi)):
-                    waiting[(k, (high - low - 1).bit_length())].append((document, low, high))
+            found = gram_row[hit]
+            # Documents are taken together up to LINES lines.
+            begins = run_starts(found)
+            sizes = np.add.reduceat(begin_of[seed + 1] - begin_of[seed], begins)
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
-            for (k, _), found in waiting.items():
-                item = items.words[k]
-                for part in range(0, len(found), 256):
-                    some = found[part:part + 256]
-                    width = max(high - low for _, low, high in some)
-                    matrix = np.zeros((len(some), width), np.uint64)
-                    for i, (_, low, high) in enumerate(some):
-                        matrix[i, :high - low] = hashes[low:high]
-                    score, end = align(matrix, item)
-                    for i in np.flatnonzero(score >= least * MATCH * len(item)):
-                        document, low, _ = some[i]
-                        # Aligned backwards from its end, the passage shows its start.
-                        back, start = align(matrix[i:i + 1, :end[i]][:, ::-1], item[::-1])
-                        share = float(score[i]) / (MATCH * len(item))
-                        mine = (share, low + int(end[i] - start[0]), low + int(end[i]) - 1)
-                        if (document, k) not in best or mine > best[(document, k)]:
-                            best[(document, k)] = mine
+            first = 0
+            while first < len(begins):
+                last = max(first + 1, int(np.searchsorted(np.cumsum(sizes[first:]), LINES, "right")) + first)
+                a, b = begins[first], begins[last] if last < len(begins) else len(hit)
+                best |= scored(hashes, row, found[a:b], at[hit[a:b]], seed[a:b])
+                first = last
             if best:
                 ids = piece.column("doc_id")
                 lines = sorted(best.items())
@@ -192,8 +181,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, least: floa
     for b in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         items = read_items([(r["item_id"], r["text"]) for r in part], n)
-        keep = rare_seeds(items, seed_frequency(texts, items, n)) if len(items.seeds) else np.zeros(0, bool)
-        found = _matches(texts, items, keep, n, least)
+        found = _matches(texts, items, n, least)
         result = found if result is None else result.union(found)
     assert result is not None
     return result

@@ -144,6 +144,30 @@ def test_benchmark_passages(spark, sf):
     assert decontaminate.find(docs(spark, sample), bench.limit(0)).count() == 0 and decontaminate.find(docs(spark, []), bench).count() == 0
 
 
+def test_benchmark_passages_with_other_words(spark):
+    rng = random.Random(8)
+    for length, step in ((20, 5), (20, 4), (41, 5), (60, 4)):
+        item = [f"i{k}" for k in range(length)]
+        # Every fifth or fourth word is another one: no item n-gram with it stands in a document. No exact copy.
+        changed = [f"o{k}" if k % step == step - 1 else w for k, w in enumerate(item)]
+        # The n-grams that are left also stand in other documents, more often than those that are gone.
+        other = [(100 + k, " ".join(item[k * step:k * step + 3])) for k in range(length // step)] * 3
+        rows = [(1, "before " * 30 + " ".join(changed) + " after" * 30), (2, " ".join(rng.choice(item) for _ in range(9))), *other]
+        bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+        got = decontaminate.find(docs(spark, rows), bench).collect()
+        edits = sum(w != v for w, v in zip(item, changed))
+        inner = edits - (changed[-1] != item[-1])
+        assert [(r["doc_id"], r["item_id"], r["score"]) for r in got] == [(1, 7, (2 * (length - edits) - inner) / (2 * length))]
+
+
+def test_passages_do_not_depend_on_the_lines_taken_together(spark, sf, monkeypatch):
+    bench, frame = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    want = sorted(decontaminate.find(frame, bench).collect())
+    monkeypatch.setattr(decontaminate, "LINES", 3)
+    found = decontaminate.find(frame, bench)
+    assert want and sorted(found.collect()) == want
+
+
 def test_alignment_equals_the_full_table():
     rng = np.random.default_rng(0)
     for _ in range(50):
