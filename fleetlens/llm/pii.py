@@ -33,7 +33,8 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9]){15,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: A cheap test that any match of the base rule or the candidate pattern passes.
+#: Cheap tests that any match of the base rule, or of the candidate pattern, passes.
+BASE_GATE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
 GATE = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){12}", "phone": r"[0-9][ .)-]{1,2}[0-9]{2,4}[ .-]?[0-9]"}
 CANDIDATES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|[\[(]at[\])]) ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)++",
@@ -89,8 +90,11 @@ def _running(items: Column, kind: str, result: Callable[[Column, Column], Column
     return F.when(F.size(items) > 0, F.aggregate(stretches, start, stretch, lambda s: F.flatten(s["out"]))).otherwise(none)
 
 
-def _matches(text: Column, kind: str, pattern: str) -> Column:
-    """Array of (start, end, found) of the pattern's matches, from the lengths of what lies between and in them."""
+def _matches(text: Column, pattern: str, gate: str) -> Column:
+    """Array of (start, end, found) of the pattern's matches, from the lengths of what lies between and in them.
+
+    Texts in which `gate` finds nothing have none.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     pieces = F.zip_with(found, between, lambda f, b: F.struct(F.length(b).cast("long").alias("skip"), F.length(f).cast("long").alias("n"), f.alias("found")))
@@ -101,7 +105,7 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
         return F.struct(begin.alias("start"), (begin + piece["n"]).alias("end"), piece["found"].alias("found"))
 
     spans = _running(pieces, span, placed, lambda at, piece: at + piece["skip"] + piece["n"])
-    return F.when(text.rlike(GATE[kind]), spans).otherwise(F.array().cast(f"array<{span}>"))
+    return F.when(text.rlike(gate), spans).otherwise(F.array().cast(f"array<{span}>"))
 
 
 def digits(found: Column) -> Column:
@@ -166,7 +170,7 @@ def proposals(text: Column) -> Column:
     """Array of the candidates (kind, start, end, votes, size)."""
 
     def of_kind(k: int, kind: str) -> Column:
-        return F.transform(_matches(text, kind, CANDIDATES[kind]), lambda c: F.struct(
+        return F.transform(_matches(text, CANDIDATES[kind], GATE[kind]), lambda c: F.struct(
             F.lit(k).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), _votes(kind, c, text).alias("votes"), _size(c).alias("size")))
 
     return F.concat(*[of_kind(k, kind) for k, kind in enumerate(KINDS)])
@@ -247,7 +251,7 @@ def _spans(frame: DataFrame, weights: list[float]) -> DataFrame:
     text, model = F.coalesce(F.col("text").cast("string"), F.lit("")), F.array(*map(F.lit, weights))
 
     def of_kind(k: int, kind: str) -> Column:
-        held = F.filter(_matches(text, kind, BASE[kind]), lambda m: valid(kind, m["found"]))
+        held = F.filter(_matches(text, BASE[kind], BASE_GATE[kind]), lambda m: valid(kind, m["found"]))
         return F.transform(held, lambda m: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
 
     base = F.concat(*[of_kind(k, kind) for k, kind in enumerate(KINDS)])
