@@ -188,6 +188,8 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, least: floa
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that hold no copy of a test item."""
-    leaks = find(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs`, all columns, that hold no copy of a test item; rows without doc_id as well are judged by their own text."""
+    # Made from doc_id and text and never null, so a match removes its own row and equal ones.
+    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    leaks = find(keyed.select(F.col("_row_key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_row_key")).distinct()
+    return keyed.join(leaks, "_row_key", "left_anti").select(*docs.columns)

@@ -160,6 +160,15 @@ def test_benchmark_passages_with_other_words(spark):
         assert [(r["doc_id"], r["item_id"], r["score"]) for r in got] == [(1, 7, (2 * (length - edits) - inner) / (2 * length))]
 
 
+def test_leaks_are_judged_row_by_row(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    rows = [(None, f"before {item} after"), (None, "clean and without id"), (None, None), (1, item), (1, "clean text of the same id"), (2, "clean")]
+    kept = decontaminate.without_leaks(docs(spark, rows), bench)
+    assert kept.columns == docs(spark, []).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
+
+
 def test_passages_do_not_depend_on_the_lines_taken_together(spark, sf, monkeypatch):
     bench, frame = table(spark, sf, "benchmark"), table(spark, sf, "documents")
     want = sorted(decontaminate.find(frame, bench).collect())
