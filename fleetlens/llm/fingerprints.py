@@ -148,7 +148,8 @@ def compare(docs: DataFrame, every: int = 100) -> DataFrame:
     """Fingerprints of each document and of its edited text, and their likeness.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many of the next document.
-    n_near is the number of other documents within RADIUS, for every doc_id divisible by `every` (null for others).
+    n_near is the number of other documents within RADIUS, for every doc_id divisible by `every` (null for others), and near_fingerprints
+    lists their fingerprints, each once with the number of these documents, so groups of copies aren't written out.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     nameless = texts.filter(F.col("doc_id").isNull()).select(
@@ -172,9 +173,12 @@ def compare(docs: DataFrame, every: int = 100) -> DataFrame:
     held = result.groupBy(F.col("own").alias("fingerprint")).agg(F.count("*").alias("n"))
     asked = result.filter(F.col("doc_id") % every == 0).select(F.col("own").alias("fingerprint")).distinct()
     near = neighbours(asked, held.select("fingerprint")).join(held.withColumnRenamed("fingerprint", "other"), "other")
-    near = asked.join(held, "fingerprint").select(F.col("fingerprint").alias("own"), (F.col("n") - 1).alias("n")).union(
-        near.select(F.col("query").alias("own"), "n")).groupBy("own").agg(F.sum("n").alias("n_near"))
+    near = asked.join(held, "fingerprint").select(F.col("fingerprint").alias("own"), F.col("fingerprint").alias("other"), (F.col("n") - 1).alias("n")).union(
+        near.select(F.col("query").alias("own"), "other", "n"))
+    # At most as many entries as there are fingerprints within the radius; a document's own one only if others have it too.
+    entry = F.when(F.col("n") > 0, F.concat_ws(":", shown(F.col("other")), F.col("n").cast("string")))
+    near = near.groupBy("own").agg(F.sum("n").alias("n_near"), F.array_join(F.sort_array(F.collect_list(entry)), ",").alias("near_fingerprints"))
     return result.join(near, "own", "left").select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
-        F.when(F.col("doc_id") % every == 0, F.col("n_near")).alias("n_near"))
+        *[F.when(F.col("doc_id") % every == 0, F.col(c)).alias(c) for c in ("n_near", "near_fingerprints")])

@@ -117,6 +117,26 @@ def test_fingerprints(spark, sf):
     assert fingerprints.compare(docs(spark, [])).count() == 0
 
 
+def test_near_fingerprints_are_named(spark):
+    group = near_group(40, 3)
+    rows = [(100 * k + k % 2, t) for k, t in enumerate(group)] + [(7, group[0]), (9, group[0]), (10_000, "nothing is near to this text")]
+    got = fingerprints.compare(docs(spark, rows)).collect()
+    shares = 0
+    for r in got:
+        if r["doc_id"] % 100:
+            assert r["near_fingerprints"] is None
+            continue
+        near = {}
+        for x in got:
+            if x["doc_id"] != r["doc_id"] and distance(r["fingerprint"], x["fingerprint"]) <= 3:
+                near[x["fingerprint"]] = near.get(x["fingerprint"], 0) + 1
+        assert r["near_fingerprints"] == ",".join(f"{f}:{n}" for f, n in sorted(near.items()))
+        assert r["n_near"] == sum(near.values())
+        shares += any(f != r["fingerprint"] for f in near)
+    own = {r["doc_id"]: r for r in got}
+    assert shares and own[10_000]["near_fingerprints"] == "" and own[0]["fingerprint"] in own[0]["near_fingerprints"]
+
+
 def test_next_ids_of_sparse_and_negative_ids(spark):
     ids = sorted(random.Random(1).sample(range(-10**12, 10**12), 200)) + [2**62]
     got = {r["id"]: r["next"] for r in fingerprints.next_keys(spark.createDataFrame([(i,) for i in ids], "id long"), 16).collect()}
