@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import decontaminate, fingerprints, ngram_join, pieces, pii, quality, secret_scan, suffix_dedup, token_counts, toxicity
+from fleetlens.llm import bpe, decontaminate, fingerprints, ngram_join, pieces, pii, quality, secret_scan, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,7 +65,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(_table(spark, sf_dir, "documents"), tokenizer_path(spark, "byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {fn.__name__: fn for fn in (
     op1_pii, op2_ngram_jaccard_join, op3_quality_classifier, op4_document_fingerprints, op5_sentencepiece, op6_token_counts, op7_toxicity, op8_secret_scan, op9_decontamination, op10_suffix_array_dedup,
+    op12_bpe,
 )}
 ORACLES: dict[str, str] = {}
