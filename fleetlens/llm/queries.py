@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import bpe, decontaminate, fingerprints, ngram_join, pieces, pii, quality, secret_scan, suffix_dedup, token_counts, toxicity
+from fleetlens.llm import bpe, decontaminate, fingerprints, ngram_join, pieces, pii, quality, secret_scan, spelling, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,12 +65,48 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), tokenizer_path(spark, "byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Query] = {fn.__name__: fn for fn in (
     op1_pii, op2_ngram_jaccard_join, op3_quality_classifier, op4_document_fingerprints, op5_sentencepiece, op6_token_counts, op7_toxicity, op8_secret_scan, op9_decontamination, op10_suffix_array_dedup,
-    op12_bpe,
+    op11_spelling_variants, op12_bpe,
 )}
-ORACLES: dict[str, str] = {}
+#: The CRC is taken bit by bit: a byte enters, then seven empty steps follow.
+SPELLING_SQL = """
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+coded AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(
+    flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)),
+    lambda b: [b, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]))), lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384))) AS h
+  FROM counted),
+words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN doc_id IS NULL OR h % 199 <> 0 THEN run ELSE substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) END AS word, n FROM coded)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+skipped AS (
+  SELECT word, n, substr(word, 1, i - 1) || '$' || substr(word, i + 1) AS key, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM skipped a JOIN skipped b ON a.key = b.key AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM skipped a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM skipped a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, min({'n': -other_n, 'word': other}) FILTER (WHERE other_n >= 5 * n) AS pick FROM near GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, pick.word AS form, -pick.n AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON c.next = f.word)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON f.word = c.word AND c.next IS NULL
+"""
+
+ORACLES: dict[str, str] = {"op11_spelling_variants": SPELLING_SQL}
