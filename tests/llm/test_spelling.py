@@ -89,6 +89,8 @@ def test_every_near_pair_meets_once():
         at = rng.randrange(6)
         rng.choice((lambda: b.insert(at, "a"), lambda: b.pop(at), lambda: b.__setitem__(at, "b")))()
         b = "".join(b)
+        if a == b:
+            continue
         meet = [(x, y) for x in spelling.rotations(a) for y in spelling.rotations(b) if x[0] == y[0] and (x[1] or y[1]) and (x[2] or y[1]) and (y[2] or x[1])]
         assert len(meet) == plain_near(a, b)
 
