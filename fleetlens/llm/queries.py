@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, decontaminate, fingerprints, ngram_join, pieces, pii, quality, secret_scan, spelling, suffix_dedup, token_counts, toxicity
+from fleetlens.llm import bpe, decontaminate, fingerprints, negatives, ngram_join, pieces, pii, quality, secret_scan, spelling, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,9 +74,15 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), tokenizer_path(spark, "byte_bpe_50k.json"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {fn.__name__: fn for fn in (
     op1_pii, op2_ngram_jaccard_join, op3_quality_classifier, op4_document_fingerprints, op5_sentencepiece, op6_token_counts, op7_toxicity, op8_secret_scan, op9_decontamination, op10_suffix_array_dedup,
-    op11_spelling_variants, op12_bpe,
+    op11_spelling_variants, op12_bpe, op13_hard_negatives,
 )}
 #: The CRC is taken bit by bit: a byte enters, then seven empty steps follow.
 SPELLING_SQL = """
@@ -109,4 +116,23 @@ chain AS (
 SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON f.word = c.word AND c.next IS NULL
 """
 
-ORACLES: dict[str, str] = {"op11_spelling_variants": SPELLING_SQL}
+NEGATIVES_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector, row_number() OVER () AS place
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.place AS anchor, b.vec_id, a.label = b.label AS same, list_inner_product(a.vector, b.vector)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.place <> b.place),
+positives AS (
+  SELECT anchor_id, anchor, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place
+  FROM scored WHERE same QUALIFY place <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id))::INT AS rank,
+    s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+  FROM positives p JOIN scored s ON p.anchor = s.anchor AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3
+"""
+
+ORACLES: dict[str, str] = {"op11_spelling_variants": SPELLING_SQL, "op13_hard_negatives": NEGATIVES_SQL}
