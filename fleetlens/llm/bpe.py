@@ -24,7 +24,7 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import plain_texts, slices
+from fleetlens.llm.common import Prefixes, plain_texts, slices
 from fleetlens.llm.token_counts import PRE_TOKEN, SPACE, byte_names
 
 #: Code points of a text handled at once.
@@ -40,78 +40,14 @@ WINDOW = 1 << 20
 #: Pieces and pairs a process remembers; a memory is emptied when it is full.
 REMEMBERED = 700_000
 #: Pre-tokens worked off together, and the bytes beyond which one goes alone.
-TOGETHER = 32_768
-LONG = 64
+TOGETHER = 16_384
+LONG = 192
 _NEVER = 1 << 60
-_BITS = 24
+_BITS = Prefixes.BITS
 
 Spine = list[tuple[int, int]]
 
 
-class Automaton:
-    """Tokens that are suffixes of what was read, by Aho and Corasick's construction over the tokens' bytes."""
-
-    def __init__(self, tokens: dict[int, bytes]) -> None:
-        self.step: dict[int, int] = {}
-        own: list[int | None] = [None]
-        for token, data in tokens.items():
-            state = 0
-            for b in data:
-                key = state << 8 | b
-                after = self.step.get(key)
-                if after is None:
-                    after = self.step[key] = len(own)
-                    own.append(None)
-                state = after
-            own[state] = token
-        self.shorter = [0] * len(own)
-        self.suffixes: list[tuple[int, ...]] = [()] * len(own)
-        # Every state's prefix has a smaller depth, so states are completed in order of depth.
-        level = [0]
-        children: dict[int, list[tuple[int, int]]] = {}
-        for key, after in self.step.items():
-            children.setdefault(key >> 8, []).append((key & 255, after))
-        while level:
-            deeper = []
-            for state in level:
-                for b, after in children.get(state, ()):
-                    if state:
-                        self.shorter[after] = self.next(self.shorter[state], b)
-                    rest = self.suffixes[self.shorter[after]]
-                    self.suffixes[after] = rest if own[after] is None else (own[after], *rest)
-                    deeper.append(after)
-            level = deeper
-
-    def next(self, state: int, b: int) -> int:
-        """The state after one more byte."""
-        while True:
-            after = self.step.get(state << 8 | b)
-            if after is not None:
-                return after
-            if not state:
-                return 0
-            state = self.shorter[state]
-
-
-class Remembered:
-    """Values of whole numbers, the last one for each place of a table of fixed size."""
-
-    def __init__(self, work: Callable[[int], int], bits: int = 20) -> None:
-        self.work, self.shift = work, np.uint64(64 - bits)
-        self.keys = np.full(1 << bits, -1)
-        self.values = np.zeros(1 << bits, np.int32)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
-        out = self.values[at]
-        new = np.flatnonzero(self.keys[at] != keys)
-        if len(new):
-            distinct, back = np.unique(keys[new], return_inverse=True)
-            out[new] = np.array([self.work(k) for k in distinct.tolist()], np.int32)[back]
-            self.keys[at[new]], self.values[at[new]] = keys[new], out[new]
-        return out
-
-
 class Vocabulary:
     """Tokens and merge ranks of a tokenizer file, and what the process has worked out so far."""
 
@@ -130,7 +66,6 @@ class Vocabulary:
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.merge[ids[a] << _BITS | ids[b]] = (rank, ids[a + b])
-        self.automaton = Automaton(tokens)
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.special = {text: array("I", [i]).tobytes() for text, i in added.items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -140,12 +75,8 @@ class Vocabulary:
         self.window_end = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
         self._edges: dict[int, tuple[Spine, Spine] | None] = {}
         self._fits: dict[int, int] = {}
-        self.fits = Remembered(self.fitting)
-        self.steps = Remembered(lambda key: self.automaton.next(key >> 8, key & 255))
-        self.sizes = np.array([self.size.get(i, 1) for i in range(max(self.size) + 1)])
-        found = self.automaton.suffixes
-        self.suffixes = np.array([t for s in found for t in reversed(s)], np.int64)
-        self.suffix_ends = np.cumsum([len(s) for s in found])
+        self.prefixes = Prefixes(tokens, self.fitting)
+        self.automaton = self.prefixes.automaton
         #: Packed ids of pieces, of those after a space and of those at the start of a stretch.
         self.spaced: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
@@ -233,52 +164,13 @@ class Vocabulary:
         ids.reverse()
         return ids.tobytes()
 
-    def together(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of sorted pre-tokens, all taken one byte further at a time; a shared prefix is settled once."""
-        n, sizes = len(words), np.array([len(w) for w in words])
-        width = int(sizes.max())
-        inside = np.arange(width) < sizes[:, None]
-        letters = np.zeros((n, width), np.int64)
-        letters[inside] = np.frombuffer(b"".join(words), np.uint8)
-        shared = np.zeros(n, np.int64)
-        shared[1:] = np.logical_and.accumulate((letters[1:] == letters[:-1]) & inside[1:] & inside[:-1], axis=1).sum(axis=1)
-        last, state = np.full((n, width + 1), -1), np.zeros(n, np.int64)
-        for end in range(1, width + 1):
-            alive = np.flatnonzero(sizes >= end)
-            fresh = shared[alive] < end
-            rows, node = alive[fresh], np.cumsum(fresh) - 1
-            reached = self.steps(state[rows] << 8 | letters[rows, end - 1]).astype(np.int64)
-            token, stop = np.full(len(rows), -1), self.suffix_ends[reached]
-            at = np.where(reached > 0, self.suffix_ends[reached - 1], 0)
-            open_ = np.arange(len(rows))
-            while len(open_):
-                if (at[open_] >= stop[open_]).any():
-                    raise ValueError("no token ends here")
-                tried = self.suffixes[at[open_]]
-                good = self.fits(last[rows[open_], end - self.sizes[tried]] + 1 << _BITS | tried) > 0
-                token[open_[good]] = tried[good]
-                open_ = open_[~good]
-                at[open_] += 1
-            last[alive, end], state[alive] = token[node], reached[node]
-        ids, count = np.zeros((n, width), np.uint32), np.zeros(n, np.int64)
-        open_, at = np.arange(n), sizes.copy()
-        while len(open_):
-            token = last[open_, at[open_]]
-            count[open_] += 1
-            ids[open_, width - count[open_]] = token
-            at[open_] -= self.sizes[token]
-            open_ = open_[at[open_] > 0]
-        packed = ids[np.arange(width) >= (width - count)[:, None]].tobytes()
-        bounds = (4 * np.cumsum([0, *count])).tolist()
-        return [packed[a:b] for a, b in zip(bounds, bounds[1:])]
-
     def settled(self, found: set[str]) -> dict[str, bytes]:
         """Packed ids of pre-tokens."""
         out = {p: self.alone(p.encode()) for p in found if len(p) > LONG // 4 and len(p.encode()) > LONG}
         rest = sorted(p.encode() for p in found - out.keys())
         for at in range(0, len(rest), TOGETHER):
             some = rest[at:at + TOGETHER]
-            out.update(zip((w.decode() for w in some), self.together(some)))
+            out.update(zip((w.decode() for w in some), self.prefixes.packed(some)))
         return out
 
     def cut(self, piece: str, lead: str) -> list[str]:

@@ -239,3 +239,129 @@ def key_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[p
             last = key
     if pending:
         yield pa.Table.from_batches(pending)
+
+
+class Automaton:
+    """Tokens that are suffixes of what was read, by Aho and Corasick's construction over the tokens' bytes."""
+
+    def __init__(self, tokens: dict[int, bytes]) -> None:
+        self.step: dict[int, int] = {}
+        own: list[int | None] = [None]
+        for token, data in tokens.items():
+            state = 0
+            for b in data:
+                key = state << 8 | b
+                after = self.step.get(key)
+                if after is None:
+                    after = self.step[key] = len(own)
+                    own.append(None)
+                state = after
+            own[state] = token
+        self.shorter = [0] * len(own)
+        self.suffixes: list[tuple[int, ...]] = [()] * len(own)
+        # Every state's prefix has a smaller depth, so states are completed in order of depth.
+        level = [0]
+        children: dict[int, list[tuple[int, int]]] = {}
+        for key, after in self.step.items():
+            children.setdefault(key >> 8, []).append((key & 255, after))
+        while level:
+            deeper = []
+            for state in level:
+                for b, after in children.get(state, ()):
+                    if state:
+                        self.shorter[after] = self.next(self.shorter[state], b)
+                    rest = self.suffixes[self.shorter[after]]
+                    self.suffixes[after] = rest if own[after] is None else (own[after], *rest)
+                    deeper.append(after)
+            level = deeper
+
+    def next(self, state: int, b: int) -> int:
+        """The state after one more byte."""
+        while True:
+            after = self.step.get(state << 8 | b)
+            if after is not None:
+                return after
+            if not state:
+                return 0
+            state = self.shorter[state]
+
+
+class Remembered:
+    """Values of whole numbers, the last one for each place of a table of fixed size."""
+
+    def __init__(self, work: Callable[[int], int], bits: int = 20) -> None:
+        self.work, self.shift = work, np.uint64(64 - bits)
+        self.keys = np.full(1 << bits, -1)
+        self.values = np.zeros(1 << bits, np.int32)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+        out = self.values[at]
+        new = np.flatnonzero(self.keys[at] != keys)
+        if len(new):
+            distinct, back = np.unique(keys[new], return_inverse=True)
+            out[new] = np.array([self.work(k) for k in distinct.tolist()], np.int32)[back]
+            self.keys[at[new]], self.values[at[new]] = keys[new], out[new]
+        return out
+
+
+class Prefixes:
+    """Tokens of many sequences by a programme over their prefixes.
+
+    `tokens` gives the bytes of each token, `fitting` says whether a token can follow the last token of a prefix, which is numbered
+    from 1, or stand first (0), by a key of both. At most one token may fit for any prefix.
+    """
+
+    BITS = 24
+
+    def __init__(self, tokens: dict[int, bytes], fitting: Callable[[int], int]) -> None:
+        self.automaton = Automaton(tokens)
+        self.fits = Remembered(fitting)
+        self.steps = Remembered(lambda key: self.automaton.next(key >> 8, key & 255))
+        self.sizes = np.ones(max(tokens) + 1, np.int64)
+        self.sizes[list(tokens)] = [len(t) for t in tokens.values()]
+        found = self.automaton.suffixes
+        self.suffixes = np.array([t for s in found for t in reversed(s)], np.int64)
+        self.ends = np.cumsum([len(s) for s in found])
+
+    def packed(self, words: list[bytes]) -> list[bytes]:
+        """Tokens of sorted sequences as packed 32-bit values; all go on by a byte at a time, a shared prefix is settled once."""
+        n, sizes = len(words), np.array([len(w) for w in words])
+        width = int(sizes.max())
+        inside = np.arange(width) < sizes[:, None]
+        letters = np.zeros((n, width), np.uint8)
+        letters[inside] = np.frombuffer(b"".join(words), np.uint8)
+        shared = np.zeros(n, np.int64)
+        shared[1:] = np.logical_and.accumulate((letters[1:] == letters[:-1]) & inside[1:] & inside[:-1], axis=1).sum(axis=1)
+        last, state = np.full((n, width + 1), -1, np.int32), np.zeros(n, np.int64)
+        for end in range(1, width + 1):
+            alive = np.flatnonzero(sizes >= end)
+            fresh = shared[alive] < end
+            rows, node = alive[fresh], np.cumsum(fresh) - 1
+            reached = self.steps(state[rows] << 8 | letters[rows, end - 1]).astype(np.int64)
+            token, stop = np.full(len(rows), -1, np.int32), self.ends[reached]
+            at = np.where(reached > 0, self.ends[reached - 1], 0)
+            open_ = np.flatnonzero(at < stop)
+            while len(open_):
+                tried = self.suffixes[at[open_]]
+                begin = end - self.sizes[tried]
+                before = last[rows[open_], begin].astype(np.int64)
+                # Inside a character no token ends, so nothing follows there.
+                good = ((begin == 0) | (before >= 0)) & (self.fits(before + 1 << self.BITS | tried) > 0)
+                token[open_[good]] = tried[good]
+                at[open_] += 1
+                open_ = open_[~good & (at[open_] < stop[open_])]
+            last[alive, end], state[alive] = token[node], reached[node]
+        tokens, count = np.zeros((n, width), np.uint32), np.zeros(n, np.int64)
+        open_, at = np.arange(n), sizes.copy()
+        while len(open_):
+            token = last[open_, at[open_]]
+            if (token < 0).any():
+                raise ValueError("no token ends here")
+            count[open_] += 1
+            tokens[open_, width - count[open_]] = token
+            at[open_] -= self.sizes[token]
+            open_ = open_[at[open_] > 0]
+        packed = tokens[np.arange(width) >= (width - count)[:, None]].tobytes()
+        bounds = (4 * np.cumsum([0, *count])).tolist()
+        return [packed[a:b] for a, b in zip(bounds, bounds[1:])]

@@ -26,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import slices
+from fleetlens.llm.common import Prefixes, slices
 
 MARK = "▁"
 #: Code points of a chunk; only texts longer than this are split.
 CHUNK = 65_536
 #: Stretches and pairs a process remembers; the memory is emptied when it is full, results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: Stretches worked off together, and the bytes beyond which one goes alone.
+TOGETHER = 16_384
+LONG = 192
 _MISSING = float("-inf")
 
 State = tuple[str, int]
@@ -59,6 +62,11 @@ class Pieces:
             self.surface[i] = p.replace(MARK, " ").encode()
         for b, i in enumerate(self.bytes):
             self.surface[i] = bytes([b])
+        self.surface_sizes = np.array([len(s) for s in self.surface])
+        self.surface_starts = np.cumsum(self.surface_sizes) - self.surface_sizes
+        self.surface_letters = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.prefixes = Prefixes({i: p.encode() for p, i in self.ids.items()}, self.fitting)
+        self.names = {i: p for p, i in self.ids.items()}
         self._stable: dict[tuple[str, str], bool] = {}
         self._edges: dict[str, tuple[Spine, Spine] | None] = {}
 
@@ -99,6 +107,11 @@ class Pieces:
         found = self._stable[(left, right)] = self._compare(left, right)
         return found
 
+    def fitting(self, key: int) -> int:
+        """Whether a piece can follow the last piece of a prefix, numbered by its id plus 1, or stand first (0)."""
+        before, piece = (key >> Prefixes.BITS) - 1, self.names[key & (1 << Prefixes.BITS) - 1]
+        return int(self.whole(piece) if before < 0 else self.stable(self.names[before], piece))
+
     def _compare(self, left: str, right: str) -> bool:
         own, other = self._spines(left), self._spines(right)
         if own is None or other is None:
@@ -195,22 +208,22 @@ class Stretches(dict):
         return ids
 
     def learn(self, found: set[str]) -> None:
-        """Works out new stretches in alphabetical order, where each goes on from what it shares with the one before."""
-        new = sorted(found - self.keys())
+        """Works out new stretches, sorted and all at the same time; long ones, and those with a character without a piece, alone."""
+        new = found - self.keys()
         if len(self) + len(new) > REMEMBERED:
             self.clear()
-            new = sorted(found)
-        last, ending = "", [None]
-        for stretch in new:
-            same = 0
-            for a, b in zip(last, stretch):
-                if a != b:
-                    break
-                same += 1
-            del ending[same + 1:]
-            self.model.extend(ending, stretch, 0, len(stretch), None)
-            self[stretch] = self.model.packed(self.model.followed(ending))
-            last = stretch
+            new = found
+        unknown = set("".join(new)) - self.model.ids.keys()
+        alone = {s for s in new if len(s) > LONG // 4 and len(s.encode()) > LONG}
+        if unknown:
+            odd = re.compile("[" + re.escape("".join(unknown)) + "]")
+            alone |= {s for s in new if odd.search(s)}
+        for stretch in alone:
+            self[stretch] = self.model.packed(self.model.back(stretch, 0, len(stretch), None))
+        rest = sorted(s.encode() for s in new - alone)
+        for at in range(0, len(rest), TOGETHER):
+            some = rest[at:at + TOGETHER]
+            self.update(zip((s.decode() for s in some), self.model.prefixes.packed(some)))
 
 
 _loaded: dict[str, Stretches] = {}
@@ -357,6 +370,17 @@ def decode_ids(ids: np.ndarray, surface: list[bytes]) -> str:
     return out[1:] if out.startswith(" ") else out
 
 
+def decode_all(packed: list[bytes], model: Pieces) -> list[bytes]:
+    """The texts of many sequences of packed ids, as UTF-8."""
+    ids = np.frombuffer(b"".join(packed), np.int32)
+    sizes = model.surface_sizes[ids]
+    ends = np.cumsum(sizes)
+    data = model.surface_letters[np.repeat(model.surface_starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+    bounds = np.append(0, ends)[np.cumsum([0, *(len(p) // 4 for p in packed)])].tolist()
+    texts = [data[a:b] for a, b in zip(bounds, bounds[1:])]
+    return [t[1:] if t.startswith(b" ") else t for t in texts]
+
+
 def _lists(packed: list[bytes]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
@@ -376,7 +400,7 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
         for piece in slices(batches):
             column = piece.column("text").to_pylist()
             packed = encode_texts(column, known)
-            back = [decode_ids(np.frombuffer(p, np.int32), model.surface) == t.replace(MARK, " ") for p, t in zip(packed, column)]
+            back = [d == t.replace(MARK, " ").encode() for d, t in zip(decode_all(packed, model), column)]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), _lists(packed), pa.array(back, pa.bool_())], ["doc_id", "ids", "round_trip"])
 
     # Long texts: chunks of the marked text with their context. Rows are told apart by position, as ids may repeat.
