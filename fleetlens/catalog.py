@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 GIB = 1024**3
 
+# Timestamps and durations of samples are whole microseconds.
+SECOND = 1_000_000
+MINUTE = 60 * SECOND
+HOUR = 60 * MINUTE
+DAY = 24 * HOUR
+
 # Known models as (framework, param in billions, param_size, token_size, n_head, seq_length).
 MODEL_CATALOG = [
     ("baichuan", 7.0, 7505707008, 262144, 32, 4096),
@@ -48,8 +54,8 @@ RUNNING_THRESHOLD = 0.1
 GRID_MINUTES = 30
 INTERVAL_SHARE = 0.8
 MIN_POINTS = 5
-LOOKBACK_SECONDS = 300
-STALE_SECONDS = 15
+LOOKBACK = 300 * SECOND
+STALE = 15 * SECOND
 
 # The six metrics of one serving replica.
 REPLICA_METRICS = ["active", "running", "pending", "server_new", "server_success", "kv_cache"]

@@ -1,9 +1,9 @@
 """Time chunking, so that one hot series never becomes one task.
 
-A window over a whole series puts that series into a single task. Samples carry at most one row per
-series and second (``latest_per_second``), so a (series, time chunk) partition is bounded by the chunk
-length however many rows the series has in total. Neighbouring rows that a chunk needs from outside
-are brought in either as a halo (bounded reach) or as one carried row per chunk (unbounded reach).
+A window over a whole series puts that series into a single task. A (series, time chunk) partition holds what a
+series reports in five minutes, however many rows it has in total; a million samples an hour make 83,000 rows of a
+chunk. Neighbouring rows that a chunk needs from outside are brought in either as a halo (bounded reach) or as one carried
+row per chunk (unbounded reach). Timestamps and widths are in the same unit, microseconds by default.
 """
 
 from __future__ import annotations
@@ -13,45 +13,47 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_SECONDS = 3600
+from fleetlens import catalog as cat
 
+CHUNK = 5 * cat.MINUTE
 
-def chunk_of(ts: str | Column, seconds: int) -> Column:
+
+def chunk_of(ts: str | Column, width: int) -> Column:
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(ts / F.lit(seconds)).cast("long")
+    return F.floor(ts / F.lit(width)).cast("long")
 
 
-def latest_per_second(samples: DataFrame, keys: Sequence[str], order: str | Column, ts: str = "ts") -> DataFrame:
-    """Keep the last ingested value where a series holds several for one second."""
+def latest(samples: DataFrame, keys: Sequence[str], order: str | Column, ts: str = "ts") -> DataFrame:
+    """Keep the last ingested value where a series holds several for one and the same timestamp."""
     return samples.groupBy(*keys, ts).agg(F.max_by("value", order).alias("value"))
 
 
-def with_halo(df: DataFrame, seconds: int, back: int = 0, ahead: int = 0, ts: str = "ts") -> DataFrame:
-    """Copy each row to the chunks that look up to `back` / `ahead` seconds over their edge.
+def with_halo(df: DataFrame, width: int, back: int = 0, ahead: int = 0, ts: str = "ts") -> DataFrame:
+    """Copy each row to the chunks that look up to `back` / `ahead` over their edge.
 
     Adds ``_chunk`` and ``_own`` (true on the one copy that belongs to the chunk).
     """
-    copies = F.sequence(chunk_of(F.col(ts) - ahead, seconds), chunk_of(F.col(ts) + back, seconds))
+    copies = F.sequence(chunk_of(F.col(ts) - ahead, width), chunk_of(F.col(ts) + back, width))
     return (
         df.withColumn("_chunk", F.explode(copies))
-        .withColumn("_own", F.col("_chunk") == chunk_of(ts, seconds))
+        .withColumn("_own", F.col("_chunk") == chunk_of(ts, width))
     )
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], cols: Sequence[str], ts: str = "ts", seconds: int | None = CHUNK_SECONDS
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], ts: str = "ts", width: int | None = CHUNK
 ) -> DataFrame:
     """Add ``prev_<col>`` from the previous row of the series, however far back it lies.
 
     Inside a chunk it is an ordinary lag; the first row of a chunk takes the last row of the nearest
-    earlier chunk, found over one summary row per chunk. `seconds=None` is for series that are bounded
+    earlier chunk, found over one summary row per chunk. `width=None` is for series that are bounded
     already, such as range-query results or daily rollups: one plain window.
     """
     state = F.struct(*[F.col(c).alias(c) for c in cols])
-    if seconds is None:
+    if width is None:
         plain = df.withColumn("_prev", F.lag(state).over(Window.partitionBy(*keys).orderBy(ts)))
         return plain.withColumns({f"prev_{c}": F.col("_prev")[c] for c in cols}).drop("_prev")
-    chunked = df.withColumn("_chunk", chunk_of(ts, seconds))
+    chunked = df.withColumn("_chunk", chunk_of(ts, width))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(ts)
     edges = (
         chunked.groupBy(*keys, "_chunk").agg(F.max_by(state, ts).alias("_last"))
@@ -64,10 +66,10 @@ def with_previous(
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], amount: str, order: str, seconds: int = CHUNK_SECONDS
+    df: DataFrame, keys: Sequence[str], amount: str, order: str, width: int = CHUNK
 ) -> DataFrame:
     """Add ``running``: inclusive running sum of `amount` per key in `order`, in bounded partitions."""
-    chunked = df.withColumn("_chunk", chunk_of(order, seconds))
+    chunked = df.withColumn("_chunk", chunk_of(order, width))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         chunked.groupBy(*keys, "_chunk").agg(F.sum(amount).alias("_part"))

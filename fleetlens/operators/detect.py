@@ -17,24 +17,24 @@ SHORT = {"pending": "pending", "kv_cache": "kv", "running": "running", "server_n
 def service_tails(
     samples: DataFrame,
     points: int = cat.DETECT_POINTS,
-    unit: int = 60,
+    unit: int = cat.MINUTE,
     n: int = cat.GRID_MINUTES,
     pending_threshold: float = cat.PENDING_THRESHOLD,
     kv_threshold: float = cat.KV_CACHE_THRESHOLD,
     with_requests: bool = True,
-    chunk_seconds: int | None = None,
+    chunk: int | None = None,
 ) -> DataFrame:
     """One row per service with the last `points` of its summed replica series condensed to rule inputs.
 
     `samples`: service, replica, metric, ts, value, one range-query result per series: a bounded number of
-    points each (else give `chunk_seconds`). All metrics go through the same grid, sum and
+    points each (else give `chunk`). All metrics go through the same grid, sum and
     resampling step together; only bounded grids reach the tail step.
     """
     metrics = BINNED + (RAW if with_requests else [])
     keys = ["service", "replica", "metric"]
     group = ["service", "metric"]
     wanted = samples.filter(F.col("metric").isin(*metrics))
-    regular = regularise(wanted, keys, n=n, unit=unit, chunk_seconds=chunk_seconds, keep_irregular=False)
+    regular = regularise(wanted, keys, n=n, unit=unit, chunk=chunk, keep_irregular=False)
     summed = sum_replicas(regular, group)
     metric = F.col("metric")
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from fleetlens import catalog as cat
 from fleetlens.functions.expressions import duration_seconds, ratio, success_percent
-from fleetlens.operators.chunks import CHUNK_SECONDS, with_halo
+from fleetlens.operators.chunks import CHUNK, chunk_of, with_halo
 
-# Aligned block lengths that cover the inside of a test window, in seconds; the finest also keys the edges.
-BLOCKS = (600, 3600)
+# Aligned block lengths that cover the inside of a test window; the finest also keys the edges.
+BLOCKS = (10 * cat.MINUTE, cat.HOUR)
 SALTS = 4
 # Longest test that has a window.
 MOST_SECONDS = 366 * 86400
@@ -40,19 +40,20 @@ def _known_duration() -> Column:
 
 
 def test_windows(tests: DataFrame) -> DataFrame:
-    """Window of a test in epoch seconds: at least a minute long, both ends inclusive.
+    """Window of a test in epoch microseconds: at least a minute long, both ends inclusive. `created` is in seconds.
 
     Tests of unknown duration are left out here and found by ``unreadable_durations``.
     """
     length = F.greatest(F.lit(60), duration_seconds(F.col("duration"), F.col("duration_unit")))
-    return tests.filter(_known_duration()).withColumns({"w_start": F.col("created"), "w_end": F.col("created") + length})
+    return tests.filter(_known_duration()).withColumns({
+        "w_start": (F.col("created") * cat.SECOND).cast("long"), "w_end": ((F.col("created") + length) * cat.SECOND).cast("long")})
 
 
-COVER = "array<struct<size:int,block:bigint,lo:bigint,hi:bigint>>"
+COVER = "array<struct<size:bigint,block:bigint,lo:bigint,hi:bigint>>"
 
 
 def _cover(start: Column, end: Column) -> Column:
-    """Cover the whole seconds start..end exactly: aligned blocks inside, single seconds in the two edge blocks.
+    """Cover start..end exactly: aligned blocks inside, single timestamps in the two edge blocks.
 
     Besides its full hours a window takes at most two edges and ten blocks of ten minutes.
     """
@@ -121,10 +122,10 @@ def series_in_windows(windows: DataFrame, samples: DataFrame, series: Sequence[s
     level = near.groupBy(*series, F.col("ts").alias("at")).agg(
         F.sum("value").alias("v_sum"), F.count("value").alias("v_n"), F.max(F.abs("value")).alias("v_peak")
     )
-    rollups = level.withColumn("size", F.lit(1)).withColumn("block", _down(F.col("at"), BLOCKS[0]))
+    rollups = level.withColumn("size", F.lit(1).cast("long")).withColumn("block", _down(F.col("at"), BLOCKS[0]))
     for size in BLOCKS:
         level = level.groupBy(*series, _down(F.col("at"), size).alias("at")).agg(*merged)
-        rollups = rollups.unionByName(level.withColumn("size", F.lit(size)).withColumn("block", F.col("at")))
+        rollups = rollups.unionByName(level.withColumn("size", F.lit(size).cast("long")).withColumn("block", F.col("at")))
     rollups = rollups.withColumn("_salt", F.pmod(F.xxhash64(*series), F.lit(SALTS)).cast("int"))
     covered = windows.select("test_id", *match, F.inline(_cover(F.col("w_start"), F.col("w_end"))))
     covered = covered.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -149,26 +150,42 @@ def robust_metric_avg(samples: DataFrame, keys: Sequence[str], series: Sequence[
     return robust_average(per_series, keys)
 
 
-def job_averages(samples: DataFrame, lookback: int = cat.LOOKBACK_SECONDS) -> DataFrame:
+def job_averages(samples: DataFrame, lookback: int = cat.LOOKBACK) -> DataFrame:
     """metric, exported_job, t, t_end, value: what an instant query for the mean over a job's series gives from t up to t_end.
 
-    A sample is seen until the next one of its series, for less than `lookback` seconds. Times at which a series of the
-    job starts or stops to be seen cut a job's time into segments; inside one the mean doesn't change.
+    A sample is seen until the next one of its series, for less than `lookback`. The mean comes from a sweep: a sample
+    adds its value and one series where it starts to be seen and takes them away where it stops; running sums of these signed
+    events are the total and the number of series in view. The sweep starts anew in each (job, chunk), for which samples are cut
+    at the edges of chunks, so it holds two events per sample and chunk and rounding doesn't add up. Values that aren't finite are
+    counted instead of added.
     """
     series = [c for c in samples.columns if c not in ("ts", "value")]
-    job = ["metric", "exported_job"]
-
-    def following(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-        near = with_halo(rows, CHUNK_SECONDS, ahead=lookback, ts=name)
-        after = F.lead(name).over(Window.partitionBy(*keys, "_chunk").orderBy(name))
-        return near.withColumn("_next", after).filter("_own").drop("_own", "_chunk")
-
-    seen = following(samples, series, "ts").withColumn("until", F.least(F.coalesce("_next", F.col("ts") + lookback), F.col("ts") + lookback))
-    cuts = seen.select(*job, F.explode(F.array("ts", "until")).alias("t")).distinct()
-    segments = following(cuts, job, "t").filter("_next IS NOT NULL").select(*job, "t", F.col("_next").alias("t_end"), _down(F.col("t"), lookback).alias("_b"))
-    blocks = F.sequence(_down(F.col("ts"), lookback), _down(F.col("until") - 1, lookback), F.lit(lookback).cast("long"))
-    covered = seen.withColumn("_b", F.explode(blocks)).join(segments, [*job, "_b"]).filter("t >= ts AND t < until")
-    return covered.groupBy(*job, "t", "t_end").agg(F.avg("value").alias("value"))
+    near = with_halo(samples, CHUNK, ahead=lookback)
+    following = F.lead("ts").over(Window.partitionBy(*series, "_chunk").orderBy("ts"))
+    until = F.least(F.coalesce("_next", F.col("ts") + lookback), F.col("ts") + lookback)
+    seen = near.withColumn("_next", following).filter("_own").withColumn("until", until)
+
+    chunks = F.sequence(chunk_of("ts", CHUNK), chunk_of(F.col("until") - 1, CHUNK))
+    pieces = seen.filter("until > ts").select("metric", "exported_job", "ts", "until", "value", F.explode(chunks).alias("_chunk"))
+    begin, end = F.greatest("ts", F.col("_chunk") * CHUNK), F.least("until", (F.col("_chunk") + 1) * CHUNK)
+    value, infinite = F.col("value"), float("inf")
+    odd = F.isnan(value) | (F.abs(value) == infinite)
+    parts = {
+        "n": F.lit(1), "total": F.when(odd, 0.0).otherwise(value), "moved": (value != 0).cast("int"),
+        "none": F.isnan(value).cast("int"), "high": (value == infinite).cast("int"), "low": (value == -infinite).cast("int")}
+    event = lambda at, sign: F.struct(at.alias("t"), *[(c * sign).alias(k) for k, c in parts.items()])
+    key = ["metric", "exported_job", "_chunk"]
+    events = pieces.select(*key, F.inline(F.array(event(begin, 1), event(end, -1))))
+    steps = events.groupBy(*key, "t").agg(*[F.sum(k).alias(k) for k in parts])
+    order = Window.partitionBy(*key).orderBy("t")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    swept = steps.select(*key, "t", F.lead("t").over(order).alias("t_end"), *[F.sum(k).over(running).alias(k) for k in parts])
+    # Where all series are at zero the total is zero, whatever rounding left.
+    mean = (
+        F.when((F.col("none") > 0) | ((F.col("high") > 0) & (F.col("low") > 0)), F.lit(float("nan")))
+        .when(F.col("high") > 0, F.lit(infinite)).when(F.col("low") > 0, F.lit(-infinite))
+        .when(F.col("moved") == 0, F.lit(0.0)).otherwise(F.col("total") / F.col("n")))
+    return swept.filter("n > 0 AND t_end IS NOT NULL").select("metric", "exported_job", "t", "t_end", mean.alias("value"))
 
 
 def job_averages_in_windows(windows: DataFrame, averages: DataFrame, step: int, match: Sequence[str] = ()) -> DataFrame:
@@ -190,11 +207,11 @@ def job_averages_in_windows(windows: DataFrame, averages: DataFrame, step: int,
 
 
 def test_throughput(
-    tests: DataFrame, samples: DataFrame, prompt: str, generation: str, by_job: bool = False, step: int = 60
+    tests: DataFrame, samples: DataFrame, prompt: str, generation: str, by_job: bool = False, step: int = cat.MINUTE
 ) -> DataFrame:
     """Prompt and generation throughput per test, truncated to whole numbers; 0 without data.
 
-    Means of a job's series are taken every `step` seconds of the test's window; jobs that stay at zero are left
+    Means of a job's series are taken every `step` of the test's window; jobs that stay at zero are left
     out, and the mean of all other values counts. All jobs count, as in the dashboards; `by_job` restricts a test to the
     job it drives (`exported_job` on both sides). All columns of `samples` but `ts` and `value` name a series.
     """

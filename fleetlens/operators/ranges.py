@@ -1,6 +1,6 @@
 """Range-vector functions over a tick grid, and aggregation by label.
 
-Ticks lie at `start + k * step`. A sample at `ts` belongs to the window `(t - w, t]` of every tick t
+Times, windows and steps are in microseconds, as `ts`. Ticks lie at `start + k * step`. A sample at `ts` belongs to the window `(t - w, t]` of every tick t
 with `ts <= t < ts + w`, so samples are fanned out to their ticks (at most w / step copies) instead of
 range-joining ticks to samples.
 """
@@ -32,7 +32,7 @@ def _in_reach(samples: DataFrame, start: int, end: int, step: int, reach: int) -
 
 def _ticks_per_chunk(step: int, reach: int) -> int:
     """Ticks of one chunk: an hour or four times the reach, so that few samples are seen by two chunks."""
-    return max(1, -(-max(3600, 4 * reach) // step))
+    return max(1, -(-max(cat.HOUR, 4 * reach) // step))
 
 
 def _to_chunks(rows: DataFrame, per_chunk: int) -> DataFrame:
@@ -49,7 +49,7 @@ def _fan_out(rows: DataFrame, per_chunk: int, last: Column | None = None) -> Dat
 
 
 def instant_at_step(
-    samples: DataFrame, keys: Sequence[str], start: int, end: int, step: int, lookback: int = cat.LOOKBACK_SECONDS
+    samples: DataFrame, keys: Sequence[str], start: int, end: int, step: int, lookback: int = cat.LOOKBACK
 ) -> DataFrame:
     """Latest sample within the lookback at each tick.
 
@@ -150,7 +150,7 @@ def increase(
 def rate(samples: DataFrame, keys: Sequence[str], window: int, start: int, end: int, step: int) -> DataFrame:
     """Per-second increase."""
     grown = increase(samples, keys, window, start, end, step)
-    return grown.withColumn("value", F.col("value") / window)
+    return grown.withColumn("value", F.col("value") * cat.SECOND / window)
 
 
 def agg_by(vector: DataFrame, func: str, by: Sequence[str] = ()) -> DataFrame:

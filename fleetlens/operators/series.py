@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import catalog as cat
 from fleetlens.functions.expressions import ratio
-from fleetlens.operators.chunks import CHUNK_SECONDS, explode_steps, with_halo, with_previous
+from fleetlens.operators.chunks import CHUNK, explode_steps, with_halo, with_previous
 
 
 def sampling_interval(
@@ -17,14 +17,14 @@ def sampling_interval(
     keys: Sequence[str],
     share: float = cat.INTERVAL_SHARE,
     min_points: int = cat.MIN_POINTS,
-    chunk_seconds: int | None = CHUNK_SECONDS,
+    chunk: int | None = CHUNK,
 ) -> DataFrame:
     """One row per series: points, last_ts, and `freq`, the gap that makes up more than `share` of all gaps.
 
     `freq` is NULL for series with fewer than `min_points` points or without such a gap. Gaps are
     counted per (series, gap) first, so the last step sees only the distinct gaps of a series.
     """
-    gaps = with_previous(samples.select(*keys, "ts"), keys, ["ts"], seconds=chunk_seconds)
+    gaps = with_previous(samples.select(*keys, "ts"), keys, ["ts"], width=chunk)
     counted = (
         gaps.groupBy(*keys, (F.col("ts") - F.col("prev_ts")).alias("gap"))
         .agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
@@ -49,8 +49,8 @@ def regularise(
     n: int = cat.GRID_MINUTES,
     share: float = cat.INTERVAL_SHARE,
     fill: float = 0.0,
-    unit: int = 60,
-    chunk_seconds: int | None = CHUNK_SECONDS,
+    unit: int = cat.MINUTE,
+    chunk: int | None = CHUNK,
     keep_irregular: bool = True,
 ) -> DataFrame:
     """Put every series on a regular grid of its own interval.
@@ -59,16 +59,16 @@ def regularise(
     points without an exactly matching sample take `fill`. `starts` marks the first grid point. Series
     without an interval keep their raw samples, with a NULL `freq`, unless `keep_irregular` is off.
 
-    Series of any length go through chunks and a (series, ts) aggregation. With `chunk_seconds=None`
+    Series of any length go through chunks and a (series, ts) aggregation. With `chunk=None`
     the series are bounded, such as range-query results: one shuffle by series does everything.
     """
     columns = [*keys, "ts", "freq", "value", "starts"]
-    if chunk_seconds is None:
+    if chunk is None:
         measured = _measure_bounded(samples, keys, share)
         on_grid = _grid_bounded(measured.filter("freq IS NOT NULL"), keys, n, fill, unit)
         irregular = measured.filter("freq IS NULL")
     else:
-        stats = sampling_interval(samples, keys, share, chunk_seconds=chunk_seconds).select(*keys, "freq", "last_ts")
+        stats = sampling_interval(samples, keys, share, chunk=chunk).select(*keys, "freq", "last_ts")
         on_grid = _grid_chunked(samples, stats, keys, n, fill, unit)
         irregular = samples.join(stats.filter("freq IS NULL").select(*keys, "freq"), list(keys))
     if not keep_irregular:
@@ -136,7 +136,7 @@ def sum_replicas(regular: DataFrame, group: Sequence[str], replica: str = "repli
     where any counted replica has no value the sum is NULL. `n_valid` is the number of counted replicas.
 
     Replicas are summed per timestamp first (partial aggregation), so the window over a group sees one
-    row per distinct second of the queried range, however many replicas there are.
+    row per distinct grid point of the queried range, however many replicas there are.
     """
     points = regular.filter("freq IS NOT NULL").groupBy(*group, "ts").agg(
         F.count("value").alias("_n"),
@@ -151,8 +151,8 @@ def sum_replicas(regular: DataFrame, group: Sequence[str], replica: str = "repli
     )
 
 
-def resample(df: DataFrame, keys: Sequence[str], width: int = 60, extra: Sequence[str] = ()) -> DataFrame:
-    """Bins of `width` seconds with `total` (0 when empty) and `mean` (NULL when empty).
+def resample(df: DataFrame, keys: Sequence[str], width: int = cat.MINUTE, extra: Sequence[str] = ()) -> DataFrame:
+    """Bins of `width` with `total` (0 when empty) and `mean` (NULL when empty).
 
     Every bin between the first and the last of a series is present. Columns in `extra` are constant
     per series and kept.
@@ -209,10 +209,10 @@ def reporting_replicas(intervals: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def reset_stale(
-    samples: DataFrame, keys: Sequence[str], timeout: int = cat.STALE_SECONDS, chunk_seconds: int = CHUNK_SECONDS
+    samples: DataFrame, keys: Sequence[str], timeout: int = cat.STALE, chunk: int = CHUNK
 ) -> DataFrame:
     """Add a zero sample at `ts + timeout` wherever the next sample comes later than that, or never."""
-    haloed = with_halo(samples.select(*keys, "ts", "value"), chunk_seconds, ahead=timeout)
+    haloed = with_halo(samples.select(*keys, "ts", "value"), chunk, ahead=timeout)
     window = Window.partitionBy(*keys, "_chunk").orderBy("ts")
     spaced = haloed.withColumn("_next", F.lead("ts").over(window)).filter("_own")
     stale = F.col("_next").isNull() | (F.col("_next") - F.col("ts") > timeout)
@@ -236,7 +236,7 @@ def pivot_replicas(samples: DataFrame, keys: Sequence[str], metrics: Sequence[st
 
 
 def previous_period(series: DataFrame, keys: Sequence[str], offset: int, value: str = "value") -> DataFrame:
-    """Lay the series over itself `offset` seconds earlier.
+    """Lay the series over itself `offset` earlier.
 
     Both periods meet in one aggregation over (series, ts), so the series is scanned and shuffled once.
     """

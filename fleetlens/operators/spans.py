@@ -15,11 +15,11 @@ DURATION_BOUNDS = [2, 4, 6, 8, 10, 50, 100, 200, 400, 800, 1000, 1400, 2000, 500
 
 
 def span_red_metrics(
-    spans: DataFrame, dims: Sequence[str] = ("service", "name", "status"), width: int = 60,
+    spans: DataFrame, dims: Sequence[str] = ("service", "name", "status"), width: int = cat.MINUTE,
     bounds: Sequence[float] = tuple(DURATION_BOUNDS),
 ) -> DataFrame:
     """Calls, total duration and cumulative duration histogram per dimension and time bin."""
-    bin_start = F.col("start_s") - F.col("start_s") % width
+    bin_start = F.col("start") - F.col("start") % width
     return spans.groupBy(*dims, bin_start.alias("ts")).agg(
         F.count("*").alias("calls"),
         F.sum("duration_ms").alias("duration_ms_sum"),
@@ -43,7 +43,7 @@ def spans_to_samples(red: DataFrame, dims: Sequence[str]) -> DataFrame:
     """
     names = [SPAN_LABELS.get(d, d) for d in dims]
     labels = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(d).cast("string") for d in dims]))
-    totals = running_total(red.select(*dims, "ts", "calls"), dims, "calls", "ts", seconds=86400)
+    totals = running_total(red.select(*dims, "ts", "calls"), dims, "calls", "ts", cat.DAY)
     return totals.select(
         F.lit("traces_spanmetrics_calls_total").alias("metric"),
         labels.alias("labels"),
@@ -84,12 +84,12 @@ def generated_tokens(spans: DataFrame, by: Sequence[str] = ("service",), suffix:
     )
 
 
-def request_counter(requests: DataFrame, labels: Sequence[str], width: int = 60) -> DataFrame:
+def request_counter(requests: DataFrame, labels: Sequence[str], width: int = cat.MINUTE) -> DataFrame:
     """Cumulative request counter per label set at the end of each time bin that has requests."""
     binned = requests.groupBy(*labels, (F.col("ts") - F.col("ts") % width + width).alias("ts")).agg(
         F.count("*").alias("_n")
     )
-    totals = running_total(binned, labels, "_n", "ts", seconds=86400)
+    totals = running_total(binned, labels, "_n", "ts", cat.DAY)
     return totals.select(*labels, "ts", F.col("running").alias("requests_total"))
 
 

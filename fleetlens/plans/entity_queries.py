@@ -229,10 +229,11 @@ def unwrap_envelope(spark, d):
 
 
 @query("range_response", q.with_ctes(q.EV) + """
-  SELECT event_id, replica AS exported_job, ts, ts * 1000 + 250 AS ts_ms, value FROM ev WHERE event_type <> 'error'""")
+  SELECT event_id, replica AS exported_job, ts - ts % 1000000 + 250125 AS ts, value FROM ev WHERE event_type <> 'error'""")
 def range_response(spark, d):
-    point = F.array(F.concat(F.col("ts").cast("string"), F.lit(".25")), F.col("value").cast("string"))
-    junk = F.array((F.col("ts") + 1).cast("string"), F.lit("n/a"))
+    second = F.floor(F.col("ts") / q.SECOND)
+    point = F.array(F.concat(second.cast("string"), F.lit(".250125")), F.col("value").cast("string"))
+    junk = F.array((second + 1).cast("string"), F.lit("n/a"))
     status = F.when(F.col("event_type") == "error", "error").otherwise("success")
     series = F.struct(
         F.create_map(F.lit("exported_job"), F.col("replica")).alias("metric"), F.array(point, junk).alias("values")
@@ -241,7 +242,7 @@ def range_response(spark, d):
         status.alias("status"), F.struct(F.lit("matrix").alias("resultType"), F.array(series).alias("result")).alias("data")
     ))
     out = readers.parse_range_response(fx.events(spark, d).select("event_id", body.alias("body")), "body", ["event_id"])
-    return out.select("event_id", F.col("labels")["exported_job"].alias("exported_job"), "ts", "ts_ms", "value")
+    return out.select("event_id", F.col("labels")["exported_job"].alias("exported_job"), "ts", "value")
 
 
 @query("parse_log", q.with_ctes(q.EV) + """
@@ -277,27 +278,27 @@ def request_params(spark, d):
 
 
 @query("request_counter", q.with_ctes(q.EV) + """
-  , b AS (SELECT service, event_type, ts - ts % 3600 + 3600 AS ts, count(*) AS n FROM ev GROUP BY ALL)
+  , b AS (SELECT service, event_type, ts - ts % 3600000000 + 3600000000 AS ts, count(*) AS n FROM ev GROUP BY ALL)
   SELECT service, event_type, ts, CAST(sum(n) OVER (PARTITION BY service, event_type ORDER BY ts) AS BIGINT) AS requests_total FROM b""")
 def request_counter(spark, d):
-    return sp.request_counter(fx.events(spark, d), ["service", "event_type"], 3600)
+    return sp.request_counter(fx.events(spark, d), ["service", "event_type"], q.HOUR)
 
 
 @query("span_red", q.with_ctes(q.EV, q.SPANS) + """
-  SELECT service, name, status, start_s - start_s % 3600 AS ts, count(*) AS calls, round(CAST(sum(cents) AS BIGINT) / 100.0e0, 6) AS duration_ms_sum,
+  SELECT service, name, status, start - start % 3600000000 AS ts, count(*) AS calls, round(CAST(sum(cents) AS BIGINT) / 100.0e0, 6) AS duration_ms_sum,
 """ + q.duration_counts() + " FROM spans GROUP BY ALL")
 def span_red(spark, d):
-    out = sp.span_red_metrics(fx.spans(spark, d), width=3600)
+    out = sp.span_red_metrics(fx.spans(spark, d), width=q.HOUR)
     return out.withColumn("duration_ms_sum", F.round("duration_ms_sum", 6))
 
 
 @query("span_call_counters", q.with_ctes(q.EV, q.SPANS) + """
-  , b AS (SELECT service, name, status, start_s - start_s % 3600 AS ts, count(*) AS n FROM spans GROUP BY ALL)
+  , b AS (SELECT service, name, status, start - start % 3600000000 AS ts, count(*) AS n FROM spans GROUP BY ALL)
   SELECT 'traces_spanmetrics_calls_total' AS metric, service, name, status, ts,
          CAST(sum(n) OVER (PARTITION BY service, name, status ORDER BY ts) AS DOUBLE) AS value FROM b""")
 def span_call_counters(spark, d):
     dims = ["service", "name", "status"]
-    out = sp.spans_to_samples(sp.span_red_metrics(fx.spans(spark, d), dims, 3600, bounds=()), dims)
+    out = sp.spans_to_samples(sp.span_red_metrics(fx.spans(spark, d), dims, q.HOUR, bounds=()), dims)
     return out.select("metric", *[F.col("labels")[sp.SPAN_LABELS.get(c, c)].alias(c) for c in dims], "ts", "value")
 
 
@@ -317,27 +318,31 @@ def generated_tokens(spark, d):
     return sp.generated_tokens(fx.spans(spark, d))
 
 
-@query("latest_engine_config", q.with_ctes(q.EV) + """
-  , l AS (SELECT replica AS exported_job, arg_max(event_id, ts * 1000000 + event_id) AS e FROM ev WHERE event_type = 'view' GROUP BY 1)
-  SELECT exported_job, 'model-' || CAST(e % 9 AS VARCHAR) AS model, CAST(e % 64 AS VARCHAR) AS max_num_seqs, CAST(NULL AS VARCHAR) AS quantization FROM l""")
+def _config_sql() -> str:
+    labels = ", ".join(f"CASE WHEN e % {k + 2} > 0 THEN '{name}-' || CAST(e % {k + 40} AS VARCHAR) END AS {name}" for k, name in enumerate(cat.ENGINE_INIT_LABELS))
+    return f"""
+  , l AS (SELECT replica AS exported_job, arg_max(event_id, {{'t': ts, 'e': event_id}}) AS e FROM ev WHERE event_type = 'view' GROUP BY 1)
+  SELECT exported_job, {labels} FROM l"""
+
+
+@query("latest_engine_config", q.with_ctes(q.EV) + _config_sql())
 def latest_engine_config(spark, d):
+    """Configuration samples among those of other metrics, each with its own labels, some of which are missing."""
     event = F.col("event_id")
-    labels = F.create_map(
-        F.lit("model"), F.concat(F.lit("model-"), (event % 9).cast("string")), F.lit("max_num_seqs"), (event % 64).cast("string")
-    )
-    info = fx.events(spark, d).filter("event_type = 'view'").select(
-        F.lit("llm_engine_init_config").alias("metric"), F.col("replica").alias("exported_job"), labels.alias("labels"),
-        (F.col("ts") * 1000000 + event).alias("ts"),
-    )
-    return sp.latest_engine_config(info).select("exported_job", "model", "max_num_seqs", "quantization")
+    entries = [F.when(event % (k + 2) > 0, F.struct(F.lit(name).alias("key"), F.concat(F.lit(f"{name}-"), (event % (k + 40)).cast("string")).alias("value")))
+               for k, name in enumerate(cat.ENGINE_INIT_LABELS)]
+    metric = F.when(F.col("event_type") == "view", "llm_engine_init_config").otherwise(F.col("event_type"))
+    info = fx.events(spark, d).select(
+        metric.alias("metric"), F.col("replica").alias("exported_job"), F.map_from_entries(F.array_compact(F.array(*entries))).alias("labels"), "ts")
+    return sp.latest_engine_config(info)
 
 
 @query("trace_export", q.with_ctes(q.EV, q.SPANS) + """
-  SELECT trace_id, span_id, parent_id, service, name, kind, status, start_s, round(duration_ms, 3) AS duration_ms, batch_size FROM spans""")
+  SELECT trace_id, span_id, parent_id, service, name, kind, status, start, round(duration_ms, 3) AS duration_ms, batch_size FROM spans""")
 def trace_export(spark, d):
     s = fx.spans(spark, d)
     attribute = lambda key, value: F.struct(F.lit(key).alias("key"), F.create_map(F.lit("stringValue"), value).alias("value"))
-    start = F.col("start_s") * 1_000_000_000
+    start = F.col("start") * 1000
     span = F.struct(
         F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.coalesce("parent_id", F.lit("")).alias("parentSpanId"),
         "name", F.when(F.col("kind") == "server", 2).otherwise(3).alias("kind"),
@@ -352,7 +357,7 @@ def trace_export(spark, d):
     )).alias("resourceSpans")))
     out = readers.read_spans(s.select(export.alias("body")), "body")
     return out.select(
-        "trace_id", "span_id", "parent_id", "service", "name", "kind", "status", "start_s",
+        "trace_id", "span_id", "parent_id", "service", "name", "kind", "status", "start",
         F.round("duration_ms", 3).alias("duration_ms"), F.col("attrs")["batch_size"].alias("batch_size"),
     )
 
@@ -388,12 +393,12 @@ def success_rate(spark, d):
 
 
 @query("robust_avg", q.with_ctes(q.SAMPLES) + """
-  , z AS (SELECT metric, service, replica, ts - ts % 86400 AS day, CASE WHEN value < 20 THEN 0 ELSE value END AS value FROM samples),
+  , z AS (SELECT metric, service, replica, ts - ts % 86400000000 AS day, CASE WHEN value < 20 THEN 0 ELSE value END AS value FROM samples),
   s AS (SELECT *, max(abs(value)) OVER (PARTITION BY metric, service, replica, day) AS peak FROM z)
   SELECT metric, day, round(coalesce(avg(value) FILTER (peak > 0), 0) + 1e-9, 6) AS robust_avg FROM s GROUP BY metric, day""")
 def robust_avg(spark, d):
     rows = fx.samples(spark, d).select(
-        "metric", "service", "replica", (F.col("ts") - F.col("ts") % 86400).alias("day"),
+        "metric", "service", "replica", (F.col("ts") - F.col("ts") % q.DAY).alias("day"),
         F.when(F.col("value") < 20, 0.0).otherwise(F.col("value")).alias("value"),
     )
     out = loadtest.robust_metric_avg(rows, ["metric", "day"], ["service", "replica"])
@@ -401,16 +406,16 @@ def robust_avg(spark, d):
 
 
 WINDOWS = """windows AS (
-  SELECT *, created AS w_start, created + greatest(60, duration * CASE duration_unit WHEN 'hour' THEN 3600 WHEN 'min' THEN 60 ELSE 1 END) AS w_end
+  SELECT *, created * 1000000 AS w_start, (created + greatest(60, duration * CASE duration_unit WHEN 'hour' THEN 3600 WHEN 'min' THEN 60 ELSE 1 END)) * 1000000 AS w_end
   FROM tests)"""
 
 
 def throughput_sql(by_job: bool) -> str:
     job = "AND s.replica = w.exported_job" if by_job else ""
-    return f"""steps AS (SELECT test_id, exported_job, unnest(range(w_start, w_end + 1, 60)) AS t FROM windows
+    return f"""steps AS (SELECT test_id, exported_job, unnest(range(w_start, w_end + 1, 60000000)) AS t FROM windows
     ), instants AS (
       SELECT w.test_id, w.t, s.metric, s.replica, s.service, arg_max(s.value, s.ts) AS value
-      FROM steps w JOIN samples s ON s.ts > w.t - 300 AND s.ts <= w.t {job} WHERE s.metric IN ('click', 'purchase') GROUP BY ALL
+      FROM steps w JOIN samples s ON s.ts > w.t - 300000000 AND s.ts <= w.t {job} WHERE s.metric IN ('click', 'purchase') GROUP BY ALL
     ), job_means AS (SELECT test_id, t, metric, replica, avg(value) AS value FROM instants GROUP BY ALL
     ), per_series AS (SELECT test_id, metric, replica, sum(value) AS v, count(*) AS n, max(abs(value)) AS peak FROM job_means GROUP BY ALL
     ), tput AS (

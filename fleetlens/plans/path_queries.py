@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import detect
 from fleetlens.operators import ranges as rg
 from fleetlens.operators import spans as sp
-from fleetlens.operators.chunks import latest_per_second
+from fleetlens.operators.chunks import latest
 from fleetlens.plans import fleet_queries as fq
 from fleetlens.plans import series_queries as sq
 from fleetlens.plans import sql as q
@@ -17,7 +17,7 @@ from fleetlens.sources import fixtures as fx
 from fleetlens.sources import readers
 
 LOG_VIEWS = ["detect_pending", "detect_running", "detect_kv_cache"]
-LOOK = 300 * sq.STRETCH
+LOOK = 300 * q.SECOND * sq.STRETCH
 
 
 @query("range_json_to_detection", fq.DETECT_SQL)
@@ -25,7 +25,7 @@ def range_json_to_detection(spark, d):
     """Range-query responses of ten days of a series each, read back and judged."""
     bundle = fx.replica_bundle(spark, d)
     # Points of a response are in time order; a response is bounded by its days.
-    point = F.struct("ts", F.array(F.col("ts").cast("string"), F.col("value").cast("string")).alias("p"))
+    point = F.struct("ts", F.array((F.col("ts") / q.SECOND).cast("string"), F.col("value").cast("string")).alias("p"))
     series = bundle.groupBy("service", "replica", "metric", F.floor(F.col("ts") / (10 * fx.DAY)).alias("part")).agg(F.sort_array(F.collect_list(point)).alias("points"))
     labels = F.create_map(F.lit("service"), F.col("service"), F.lit("replica"), F.col("replica"), F.lit("metric"), F.col("metric"))
     result = F.array(F.struct(labels.alias("metric"), F.transform("points", lambda p: p["p"]).alias("values")))
@@ -41,7 +41,7 @@ def _log_sql() -> str:
         for v, value in zip(LOG_VIEWS, ("CAST(event_id % 100 AS DOUBLE)", "CAST(user_id AS DOUBLE)", "(cents % 1000) / 10.0e0")))
     return q.with_ctes(
         q.EV, f"lines AS ({arms})", "src AS (SELECT metric, exported_job, ts, arg_max(value, event_id) AS value FROM lines GROUP BY ALL)",
-        q.ticks(60 * sq.STRETCH), q.instant_cte("x", "src", "metric, exported_job", LOOK),
+        q.ticks(60 * q.SECOND * sq.STRETCH), q.instant_cte("x", "src", "metric, exported_job", LOOK),
     ) + "SELECT metric, exported_job AS replica, ts, round(value + 1e-9, 6) AS value FROM x"
 
 
@@ -57,7 +57,7 @@ def logs_to_detection(spark, d):
     lines = fx.events(spark, d).select(
         F.col("replica").alias("exported_job"), "ts", "event_id", F.when(F.col("event_id") % 4 == 3, "idle").otherwise(text).alias("line"))
     gauges = sp.parse_engine_log(lines, ["exported_job", "ts", "event_id"])
-    samples = latest_per_second(gauges, ["metric", "exported_job"], "event_id")
+    samples = latest(gauges, ["metric", "exported_job"], "event_id")
     out = run_dashboard([BY_NAME[v] for v in LOG_VIEWS], samples, sq.START, sq.END, sq.STRETCH)
     names = F.create_map(*[F.lit(x) for v in LOG_VIEWS for x in (v, BUNDLE_NAMES[v])])
     return out.select(names[F.col("view")].alias("metric"), F.col("exported_job").alias("replica"), "ts", F.round(F.col("value") + 1e-9, 6).alias("value"))
@@ -69,11 +69,11 @@ SPAN_KEYS = "service, span_name, http_status_code"
 @query("spans_to_success_rate", q.with_ctes(
     q.EV, q.SPANS, """named AS (
       SELECT service, CASE WHEN name = 'POST /click' THEN 'POST /generate' ELSE name END AS span_name,
-             CASE WHEN status = 'error' OR CAST(span_id AS BIGINT) % 9 = 0 THEN '500' ELSE '200' END AS http_status_code, start_s - start_s % 3600 AS ts FROM spans)""",
+             CASE WHEN status = 'error' OR CAST(span_id AS BIGINT) % 9 = 0 THEN '500' ELSE '200' END AS http_status_code, start - start % 3600000000 AS ts FROM spans)""",
     f"binned AS (SELECT {SPAN_KEYS}, ts, count(*) AS n FROM named GROUP BY ALL)",
     f"src AS (SELECT {SPAN_KEYS}, ts, CAST(sum(n) OVER (PARTITION BY {SPAN_KEYS} ORDER BY ts) AS DOUBLE) AS value FROM binned "
     "WHERE span_name = 'POST /generate' AND http_status_code LIKE '2__')",
-    q.ticks(60 * sq.STRETCH), q.rate_cte("x", "src", SPAN_KEYS, 60 * sq.STRETCH, False),
+    q.ticks(60 * q.SECOND * sq.STRETCH), q.rate_cte("x", "src", SPAN_KEYS, 60 * q.SECOND * sq.STRETCH, False),
 ) + "SELECT service, ts, round(avg(value) + 1e-9, 6) AS value FROM x GROUP BY service, ts")
 def spans_to_success_rate(spark, d):
     """Spans of several names and status codes to the detector's count of successful requests."""
@@ -84,7 +84,7 @@ def spans_to_success_rate(spark, d):
         "attrs": F.create_map(F.lit("http.status_code"), status),
     })
     dims = ["service", "name", "http_status_code"]
-    red = sp.span_red_metrics(sp.with_dimensions(spans, ["http.status_code"]), dims, 3600)
+    red = sp.span_red_metrics(sp.with_dimensions(spans, ["http.status_code"]), dims, q.HOUR)
     samples = rg.promote_labels(sp.spans_to_samples(red, dims), ["service", "span_name", "http_status_code"])
     out = run_view(BY_NAME["detect_success_requests"], samples, sq.START, sq.END, sq.STRETCH)
     return out.withColumn("value", F.round(F.col("value") + 1e-9, 6))

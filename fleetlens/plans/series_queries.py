@@ -31,7 +31,7 @@ def _round(df, *cols):
 @query("sampling_interval", q.with_ctes(q.BUNDLE, q.intervals("bundle")) +
        "SELECT service, replica, metric, points, last_ts, freq FROM stats")
 def sampling_interval(spark, d):
-    return sr.sampling_interval(fx.replica_bundle(spark, d), KEYS, chunk_seconds=BOUNDED)
+    return sr.sampling_interval(fx.replica_bundle(spark, d), KEYS, chunk=BOUNDED)
 
 
 @query("sampling_interval_raw", q.with_ctes(q.SAMPLES, q.intervals("samples", share=0.002)) +
@@ -45,7 +45,7 @@ def sampling_interval_raw(spark, d):
 def sample_gap(spark, d):
     from fleetlens.operators.chunks import with_previous
 
-    gaps = with_previous(fx.samples(spark, d).select(*KEYS, "ts"), KEYS, ["ts"], seconds=DAY)
+    gaps = with_previous(fx.samples(spark, d).select(*KEYS, "ts"), KEYS, ["ts"], width=DAY)
     return gaps.select(*KEYS, "ts", (F.col("ts") - F.col("prev_ts")).alias("gap"))
 
 
@@ -56,38 +56,38 @@ REGULAR_SQL = q.with_ctes(q.BUNDLE, q.regular("bundle")) + (
 
 @query("regularise", REGULAR_SQL)
 def regularise(spark, d):
-    reg = sr.regularise(fx.replica_bundle(spark, d), KEYS, unit=DAY, chunk_seconds=BOUNDED)
+    reg = sr.regularise(fx.replica_bundle(spark, d), KEYS, unit=DAY, chunk=BOUNDED)
     return _round(reg.filter("freq IS NOT NULL").drop("starts"), "value")
 
 
 @query("regularise_chunked", REGULAR_SQL)
 def regularise_chunked(spark, d):
-    reg = sr.regularise(fx.replica_bundle(spark, d), KEYS, unit=DAY, chunk_seconds=7 * DAY)
+    reg = sr.regularise(fx.replica_bundle(spark, d), KEYS, unit=DAY, chunk=7 * DAY)
     return _round(reg.filter("freq IS NOT NULL").drop("starts"), "value")
 
 
 @query("sum_replicas", q.with_ctes(q.BUNDLE, q.regular("bundle"), q.SUMMED) +
        "SELECT service, metric, ts, round(value + 1e-9, 6) AS value, n_valid FROM summed")
 def sum_replicas(spark, d):
-    reg = sr.regularise(fx.replica_bundle(spark, d), KEYS, unit=DAY, chunk_seconds=BOUNDED, keep_irregular=False)
+    reg = sr.regularise(fx.replica_bundle(spark, d), KEYS, unit=DAY, chunk=BOUNDED, keep_irregular=False)
     return _round(sr.sum_replicas(reg, ["service", "metric"]), "value")
 
 
 @query("resample_2d", q.with_ctes(q.BUNDLE, q.regular("bundle"), q.SUMMED, q.resampled(2 * DAY)) +
        "SELECT service, metric, ts, round(total + 1e-9, 6) AS total, round(mean + 1e-9, 6) AS mean, n_valid FROM resampled")
 def resample_2d(spark, d):
-    reg = sr.regularise(fx.replica_bundle(spark, d), KEYS, unit=DAY, chunk_seconds=BOUNDED, keep_irregular=False)
+    reg = sr.regularise(fx.replica_bundle(spark, d), KEYS, unit=DAY, chunk=BOUNDED, keep_irregular=False)
     out = sr.resample(sr.sum_replicas(reg, ["service", "metric"]), ["service", "metric"], 2 * DAY, extra=["n_valid"])
     return _round(out, "total", "mean")
 
 
 @query("resample_1h", q.with_ctes(q.SAMPLES) + f"""
-  , bins AS (SELECT {SKEYS}, ts - ts % 3600 AS ts, sum(value) AS s, avg(value) AS a FROM samples GROUP BY ALL),
-  grid AS (SELECT {SKEYS}, unnest(range(min(ts), max(ts) + 1, 3600)) AS ts FROM bins GROUP BY {SKEYS})
+  , bins AS (SELECT {SKEYS}, ts - ts % {q.HOUR} AS ts, sum(value) AS s, avg(value) AS a FROM samples GROUP BY ALL),
+  grid AS (SELECT {SKEYS}, unnest(range(min(ts), max(ts) + 1, {q.HOUR})) AS ts FROM bins GROUP BY {SKEYS})
   SELECT g.metric, g.service, g.replica, g.ts, round(coalesce(s, 0.0e0) + 1e-9, 6) AS total, round(a + 1e-9, 6) AS mean
   FROM grid g LEFT JOIN bins b ON b.metric = g.metric AND b.service = g.service AND b.replica = g.replica AND b.ts = g.ts""")
 def resample_1h(spark, d):
-    return _round(sr.resample(fx.samples(spark, d), KEYS, 3600), "total", "mean")
+    return _round(sr.resample(fx.samples(spark, d), KEYS, q.HOUR), "total", "mean")
 
 
 @query("last_m_points", q.with_ctes(q.SAMPLES) + f"""
@@ -114,7 +114,7 @@ def tail_percentile(spark, d):
 @query("reporting_replicas", q.with_ctes(q.BUNDLE, q.intervals("bundle")) + """
   SELECT service, metric, count(freq) AS n_valid, count(*) AS n_replicas FROM stats GROUP BY service, metric""")
 def reporting_replicas(spark, d):
-    stats = sr.sampling_interval(fx.replica_bundle(spark, d), KEYS, chunk_seconds=BOUNDED)
+    stats = sr.sampling_interval(fx.replica_bundle(spark, d), KEYS, chunk=BOUNDED)
     return sr.reporting_replicas(stats, ["service", "metric"])
 
 
@@ -128,9 +128,9 @@ def replica_pivot(spark, d):
 @query("stale_reset", q.with_ctes(q.SAMPLES) + f"""
   , n AS (SELECT *, lead(ts) OVER (PARTITION BY {SKEYS} ORDER BY ts) AS nx FROM samples)
   SELECT metric, service, replica, ts, value, false AS stale FROM n
-  UNION ALL SELECT metric, service, replica, ts + 900, 0.0e0, true FROM n WHERE nx IS NULL OR nx - ts > 900""")
+  UNION ALL SELECT metric, service, replica, ts + {900 * q.SECOND}, 0.0e0, true FROM n WHERE nx IS NULL OR nx - ts > {900 * q.SECOND}""")
 def stale_reset(spark, d):
-    return sr.reset_stale(fx.samples(spark, d), KEYS, timeout=900, chunk_seconds=DAY)
+    return sr.reset_stale(fx.samples(spark, d), KEYS, timeout=900 * q.SECOND, chunk=DAY)
 
 
 @query("previous_period", q.with_ctes(q.DAYS) + f"""
@@ -153,7 +153,7 @@ def overlay(spark, d):
 
 
 # Range functions over raw series: hourly ticks.
-HOUR = 3600
+HOUR = q.HOUR
 
 
 @query("instant_at_step", q.with_ctes(q.SAMPLES) + f"""
@@ -311,7 +311,7 @@ def _view_sql(v: View, one_job: bool = True) -> str:
                  CAST(sum(c) OVER (PARTITION BY {VIEW_KEYS}, ts // {q.RESET} ORDER BY ts) AS BIGINT) / 100.0e0 AS value FROM steps)"""
     else:
         src = f"src AS (SELECT {VIEW_KEYS}, ts, arg_max(value, event_id) AS value FROM base GROUP BY ALL)"
-    step, window, look = v.step * STRETCH, v.window * STRETCH, 300 * STRETCH
+    step, window, look = (x * STRETCH * q.SECOND for x in (v.step, v.window, 300))
     parts = [q.EV, base, src, q.ticks(step)]
     by = ", ".join("exported_job AS service" if b == "service" else b for b in v.by)
     by_prefix = by + ", " if by else ""
@@ -392,7 +392,7 @@ def dashboard(spark, d):
 WEEK = comparison_offset("week")
 COMPARED = BY_NAME["svc_new_rps"]
 _CURRENT_SQL, _EARLIER_SQL = (
-    _view_sql(COMPARED).replace(q.ticks(STRETCH * 60), q.ticks(STRETCH * 60, START + 14 * DAY - shift, END - shift))
+    _view_sql(COMPARED).replace(q.ticks(STRETCH * 60 * q.SECOND), q.ticks(STRETCH * 60 * q.SECOND, START + 14 * DAY - shift, END - shift))
     for shift in (0, WEEK)
 )
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-DAY = 86400
-RESET = 36000
-STEP0, STEP1 = 1704067200, 1706659200  # 2024-01-01 and 2024-01-31, the span of the events
+SECOND = 1_000_000
+HOUR = 3600 * SECOND
+DAY = 24 * HOUR
+RESET = 10 * HOUR
+STEP0, STEP1 = 1704067200 * SECOND, 1706659200 * SECOND  # 2024-01-01 and 2024-01-31, the span of the events
 SERIES = "metric, service, replica"
 
 EV = """ev AS (
-  SELECT event_id, epoch_us(ts) // 1000000 AS ts, user_id, event_type, value, props,
+  SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, value, props,
          CAST(round(value * 100) AS BIGINT) AS cents,
          'svc-' || CAST(user_id % 3 AS VARCHAR) AS service,
          'svc-' || CAST(user_id % 3 AS VARCHAR) || '-replica' || CAST((user_id % 6) // 3 AS VARCHAR) AS replica
@@ -57,7 +59,7 @@ def intervals(src: str, keys: str = "service, replica, metric", share: float = 0
 ), gap_counts AS (
   SELECT {keys}, gap, count(*) AS n FROM gaps WHERE gap IS NOT NULL GROUP BY ALL
 ), tops AS (
-  SELECT {keys}, max(n) AS top, sum(n) AS total, arg_max(gap, n * 4294967296 - gap) AS gap FROM gap_counts GROUP BY {keys}
+  SELECT {keys}, max(n) AS top, sum(n) AS total, arg_max(gap, {{'n': n, 'g': -gap}}) AS gap FROM gap_counts GROUP BY {keys}
 ), sizes AS (
   SELECT {keys}, count(*) AS points, max(ts) AS last_ts FROM {src} GROUP BY {keys}
 ), stats AS (
@@ -179,7 +181,7 @@ def ticks(step: int, start: int = STEP0, end: int = STEP1) -> str:
 
 def rate_cte(name: str, src: str, keys: str, window: int, per_second: bool = True) -> str:
     """CTE with extrapolated rate (or increase) per series and tick, by a range join."""
-    divide = f" / {window}e0" if per_second else ""
+    divide = f" / {window / SECOND!r}e0" if per_second else ""
     return f"""{name}_w AS (
   SELECT {keys}, k.t, s.ts, s.value, lag(s.value) OVER (PARTITION BY {keys}, k.t ORDER BY s.ts) AS prev
   FROM {src} s JOIN ticks k ON s.ts > k.t - {window} AND s.ts <= k.t
@@ -249,7 +251,7 @@ SPANS = """spans AS (
   SELECT CAST(event_id // 2 AS VARCHAR) AS trace_id, CAST(event_id AS VARCHAR) AS span_id,
          CASE WHEN event_id % 2 = 1 THEN CAST(event_id - 1 AS VARCHAR) END AS parent_id, service,
          CASE WHEN event_type = 'view' THEN 'LlamaForCausalLM.forward' ELSE 'POST /' || event_type END AS name, CASE WHEN event_id % 2 = 1 THEN 'server' ELSE 'client' END AS kind,
-         CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, ts AS start_s, value AS duration_ms, cents,
+         CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, ts AS start, value AS duration_ms, cents,
          CASE WHEN user_id % 4 <> 0 THEN json_extract_string(props, '$.k') END AS batch_size
   FROM ev)"""
 

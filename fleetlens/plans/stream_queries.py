@@ -38,7 +38,7 @@ def _run(spark: SparkSession, stream: DataFrame, label: str, keys: list[str], mo
 
 
 @query("stream_tumbling", q.with_ctes(q.EV) + """
-  SELECT event_type, service, ts - ts % 3600 AS w_start, ts - ts % 3600 + 3600 AS w_end, round(CAST(sum(cents) AS BIGINT) / 100.0e0, 6) AS total,
+  SELECT event_type, service, ts - ts % 3600000000 AS w_start, ts - ts % 3600000000 + 3600000000 AS w_end, round(CAST(sum(cents) AS BIGINT) / 100.0e0, 6) AS total,
          round(CAST(sum(cents) AS BIGINT) / (100.0e0 * count(*)) + 1e-9, 6) AS mean, count(*) AS n FROM ev GROUP BY ALL""")
 def stream_tumbling(spark, d):
     out = _run(spark, ag.windowed(event_stream(spark, d), KEYS, "1 hour"), "tumbling", [*KEYS, "w_start", "w_end"])
@@ -46,8 +46,8 @@ def stream_tumbling(spark, d):
 
 
 @query("stream_sliding", q.with_ctes(q.EV) + """
-  , s AS (SELECT event_type, service, cents, unnest(range(ts - ts % 3600 - 4 * 3600, ts - ts % 3600 + 1, 3600)) AS w_start FROM ev)
-  SELECT event_type, service, w_start, w_start + 5 * 3600 AS w_end, round(CAST(sum(cents) AS BIGINT) / 100.0e0, 6) AS total,
+  , s AS (SELECT event_type, service, cents, unnest(range(ts - ts % 3600000000 - 4 * 3600000000, ts - ts % 3600000000 + 1, 3600000000)) AS w_start FROM ev)
+  SELECT event_type, service, w_start, w_start + 5 * 3600000000 AS w_end, round(CAST(sum(cents) AS BIGINT) / 100.0e0, 6) AS total,
          round(CAST(sum(cents) AS BIGINT) / (100.0e0 * count(*)) + 1e-9, 6) AS mean, count(*) AS n FROM s GROUP BY ALL""")
 def stream_sliding(spark, d):
     stream = ag.windowed(event_stream(spark, d), KEYS, "5 hours", "1 hour")
@@ -76,14 +76,14 @@ def stream_last_value(spark, d):
 
 
 @query("stream_request_counts", q.with_ctes(q.EV) + """
-  SELECT service, event_type, ts - ts % 3600 + 3600 AS ts, count(*) AS requests FROM ev GROUP BY ALL""")
+  SELECT service, event_type, ts - ts % 3600000000 + 3600000000 AS ts, count(*) AS requests FROM ev GROUP BY ALL""")
 def stream_request_counts(spark, d):
     stream = ag.request_counts(event_stream(spark, d), ["service", "event_type"], "1 hour")
     return _run(spark, stream, "requests", ["service", "event_type", "ts"])
 
 
 @query("stream_span_red", q.with_ctes(q.EV, q.SPANS) + """
-  SELECT service, name, status, start_s - start_s % 3600 AS ts, count(*) AS calls, round(CAST(sum(cents) AS BIGINT) / 100.0e0, 6) AS duration_ms_sum,
+  SELECT service, name, status, start - start % 3600000000 AS ts, count(*) AS calls, round(CAST(sum(cents) AS BIGINT) / 100.0e0, 6) AS duration_ms_sum,
 """ + q.duration_counts() + " FROM spans GROUP BY ALL")
 def stream_span_red(spark, d):
     spans = event_stream(spark, d).select(
@@ -121,7 +121,7 @@ PASS_SQL = f"""{fq.DETECT_SQL.rsplit('SELECT service, coalesce(up', 1)[0]}
   FROM ({fq.recovery_sql(fq.KV, fq.RUNNING)}) r WHERE r.service IN ({PASS_SQL})""")
 def run_detection_pass(spark, d):
     records = detection_pass(
-        fx.replica_bundle(spark, d), fx.tasks(spark, d), F.lit(q.STEP1 * 1000), kv_threshold=fq.KV, running_threshold=fq.RUNNING,
+        fx.replica_bundle(spark, d), fx.tasks(spark, d), F.lit(q.STEP1 // 1000), kv_threshold=fq.KV, running_threshold=fq.RUNNING,
         unit=fx.DAY, pending_threshold=fq.PENDING,
     )
     return records.select("task", "timestamp", "recommended.*")
@@ -133,7 +133,7 @@ def run_detection_pass(spark, d):
 def stream_detection(spark, d):
     """The daily metrics of all replicas as a stream of files, judged as they arrive."""
     root = scratch_path(spark, "detect")
-    fx.replica_bundle(spark, d).withColumn("ts", F.timestamp_seconds("ts")).write.parquet(f"{root}/in")
+    fx.replica_bundle(spark, d).withColumn("ts", F.timestamp_micros("ts")).write.parquet(f"{root}/in")
     schema = "service string, replica string, metric string, ts timestamp, value double"
     stream = readers.read_telemetry_stream(spark, schema, path=f"{root}/in")
     runs.detection_stream(
@@ -148,12 +148,12 @@ RATE_VIEW = sq.BY_NAME["api_executed_rate"]
 
 @query("stream_rate", f"""
   SELECT exported_job, ts, value FROM ({sq._view_sql(RATE_VIEW)})
-  WHERE ts <= (SELECT max(epoch_us(ts) // 1000000) - 300 FROM events)""")
+  WHERE ts <= (SELECT max(epoch_us(ts)) - 300000000 FROM events)""")
 def stream_rate(spark, d):
     """An extrapolated rate kept up to date over a stream of counter samples."""
     root = scratch_path(spark, "rate")
     samples = sq.all_view_samples(spark, d)
-    samples.withColumn("ts", F.timestamp_seconds("ts")).write.parquet(f"{root}/in")
+    samples.withColumn("ts", F.timestamp_micros("ts")).write.parquet(f"{root}/in")
     schema = "metric string, exported_job string, device string, http_status_code string, ts timestamp, value double"
     stream = readers.read_telemetry_stream(spark, schema, path=f"{root}/in")
     runs.view_stream(stream, [RATE_VIEW], f"{root}/out", f"{root}/checkpoint", q.STEP0, sq.STRETCH).start().awaitTermination()
@@ -162,13 +162,13 @@ def stream_rate(spark, d):
 
 
 @query("remote_write", q.with_ctes(q.EV, q.SPANS) + """
-  , b AS (SELECT service, name, status, start_s - start_s % 3600 AS ts, count(*) AS n FROM spans GROUP BY ALL)
+  , b AS (SELECT service, name, status, start - start % 3600000000 AS ts, count(*) AS n FROM spans GROUP BY ALL)
   SELECT service, name, status, ts, CAST(sum(n) OVER (PARTITION BY service, name, status ORDER BY ts) AS DOUBLE) AS value FROM b""")
 def remote_write(spark, d):
     dims = ["service", "name", "status"]
     path = scratch_path(spark, "samples")
-    sinks.append_samples(sp.spans_to_samples(sp.span_red_metrics(fx.spans(spark, d), dims, 3600, bounds=()), dims), path)
-    rows = sinks.read_samples(spark, path, ["traces_spanmetrics_calls_total"], q.STEP0, q.STEP1, 300)
+    sinks.append_samples(sp.spans_to_samples(sp.span_red_metrics(fx.spans(spark, d), dims, q.HOUR, bounds=()), dims), path)
+    rows = sinks.read_samples(spark, path, ["traces_spanmetrics_calls_total"], q.STEP0, q.STEP1, 300 * q.SECOND)
     return rows.select(*[F.col("labels")[sp.SPAN_LABELS.get(c, c)].alias(c) for c in dims], "ts", "value")
 
 

@@ -2,6 +2,7 @@
 
 A view names its metrics, label matchers, window and grouping; ``run_view`` turns it into one DataFrame
 plan. Durations are those of the dashboards; `stretch` multiplies them all for sparser series.
+A view states them in seconds; times of samples, ranges and results are in microseconds.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ def run_view(
     With an offset the result carries the timestamps of the current period, so that both can be overlaid.
     """
     start, end = start - offset, end - offset
-    step, window, lookback = view.step * stretch, view.window * stretch, cat.LOOKBACK_SECONDS * stretch
+    step, window, lookback = (x * stretch for x in (view.step * cat.SECOND, view.window * cat.SECOND, cat.LOOKBACK))
     keys = series_keys(samples)
     chosen = samples.filter(F.col("metric").isin(*dict.fromkeys(view.metrics)))
     if job is not None:
@@ -250,7 +251,7 @@ def run_dashboard(
         metrics = sorted({m for v in members for m in v.metrics})
         vector = _vector(
             kind, samples.filter(F.col("metric").isin(*metrics)), keys, start, end,
-            step * stretch, window * stretch, cat.LOOKBACK_SECONDS * stretch,
+            step * stretch * cat.SECOND, window * stretch * cat.SECOND, cat.LOOKBACK * stretch,
         )
         parts.append(_finish_shared(vector, members))
     out = parts[0]
@@ -299,8 +300,8 @@ def _as_long(v: View, rows: DataFrame) -> DataFrame:
 
 
 def comparison_offset(name: str) -> int:
-    """Seconds of one of the offsets offered for charts: hour, day, week or month."""
-    return cat.COMPARE_MINUTES[name] * 60
+    """One of the offsets offered for charts: hour, day, week or month."""
+    return cat.COMPARE_MINUTES[name] * cat.MINUTE
 
 
 # Detector view -> metric name in the replica bundle.

@@ -9,20 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetlens import catalog as cat
 from fleetlens.catalog import literal_table
-from fleetlens.operators.chunks import latest_per_second
+from fleetlens.operators.chunks import latest
 
-DAY = 86400
+DAY = cat.DAY
 SERIES = ["metric", "service", "replica"]
 # Counters of the fixture start again every ten hours.
-RESET_SECONDS = 36000
+RESET = 10 * cat.HOUR
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def epoch(ts: str) -> Column:
-    return F.unix_seconds(F.col(ts).cast("timestamp"))
+    """Microseconds since 1970."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +44,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gauge samples: metric = event type, one value per series and second."""
+    """Gauge samples: metric = event type, one value per series and timestamp."""
     raw = events(spark, sf_dir).withColumnRenamed("event_type", "metric")
-    return latest_per_second(raw, SERIES, "event_id")
+    return latest(raw, SERIES, "event_id")
 
 
 def _life_order(keys: list[str]) -> Window:
-    # One row per second and lives of ten hours: a partition holds at most RESET_SECONDS rows.
+    # A partition holds what a series reports in a life of ten hours.
     return Window.partitionBy(*keys, "_life").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
 
 
@@ -56,7 +58,7 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counter samples: running sum of the values per series, starting again every ten hours."""
     raw = events(spark, sf_dir).withColumnRenamed("event_type", "metric")
     steps = raw.groupBy(*SERIES, "ts").agg(F.sum("cents").alias("_cents"))
-    spans = steps.withColumn("_life", F.floor(F.col("ts") / RESET_SECONDS))
+    spans = steps.withColumn("_life", F.floor(F.col("ts") / RESET))
     return spans.select(*SERIES, "ts", (F.sum("_cents").over(_life_order(SERIES)) / 100.0).alias("value"))
 
 
@@ -189,7 +191,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("task-"), F.floor(F.col("o_custkey") / 3).cast("string")).alias("task"),
-        (epoch("o_orderdate") * 1000).alias("timestamp"),
+        (epoch("o_orderdate") / 1000).cast("long").alias("timestamp"),
         key.alias("seq"),
         (F.col("o_orderstatus") == "F").alias("is_anomaly"),
         config(1).alias("recommended"),
@@ -215,7 +217,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         span_name(F.col("event_type")).alias("name"),
         F.when(odd, "server").otherwise("client").alias("kind"),
         F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"),
-        F.col("ts").alias("start_s"),
+        F.col("ts").alias("start"),
         F.col("value").alias("duration_ms"),
         F.create_map(
             F.lit("batch_size"),
@@ -272,10 +274,10 @@ def view_samples(spark: SparkSession, sf_dir: str, metrics: list[str], counter:
     is_counter = F.col("metric").isin(*counter) if counter else F.lit(False)
     parts = []
     if set(metrics) - counter:
-        parts.append(latest_per_second(labelled.filter(~is_counter), keys, "event_id").select(*keys, "ts", "value"))
+        parts.append(latest(labelled.filter(~is_counter), keys, "event_id").select(*keys, "ts", "value"))
     if counter:
         steps = labelled.filter(is_counter).groupBy(*keys, "ts").agg(F.sum("cents").alias("_cents"))
-        lives = steps.withColumn("_life", F.floor(F.col("ts") / RESET_SECONDS))
+        lives = steps.withColumn("_life", F.floor(F.col("ts") / RESET))
         parts.append(lives.select(*keys, "ts", (F.sum("_cents").over(_life_order(keys)) / 100.0).alias("value")))
     out = parts[0]
     for p in parts[1:]:

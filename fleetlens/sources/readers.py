@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens import catalog as cat
 from fleetlens import schemas
 from fleetlens.operators.spans import parse_engine_log
 
@@ -20,7 +21,7 @@ __all__ = [
 def parse_range_response(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
     """Samples out of range-query responses; unsuccessful responses and unreadable points are skipped.
 
-    `ts` is in whole seconds, as all operators take it; `ts_ms` keeps the milliseconds.
+    Times in a response are seconds with a fraction; `ts` is in microseconds, as all operators take it.
     """
     parsed = df.select(*keep, F.from_json(column, schemas.RANGE_RESPONSE).alias("r")).filter("r.status = 'success'")
     points = parsed.select(*keep, F.explode("r.data.result").alias("s")).select(
@@ -32,7 +33,7 @@ def parse_range_response(df: DataFrame, column: str, keep: Sequence[str] = ()) -
         F.get("p", F.lit(0)).try_cast("double").alias("_at"),
         F.get("p", F.lit(1)).try_cast("double").alias("value"),
     ).filter("_at IS NOT NULL AND value IS NOT NULL").select(
-        *keep, "labels", F.floor("_at").cast("long").alias("ts"), F.round(F.col("_at") * 1000).cast("long").alias("ts_ms"), "value"
+        *keep, "labels", F.round(F.col("_at") * cat.SECOND).cast("long").alias("ts"), "value"
     )
 
 
@@ -91,7 +92,7 @@ SPAN_KINDS = {1: "internal", 2: "server", 3: "client", 4: "producer", 5: "consum
 
 
 def read_spans(df: DataFrame, column: str) -> DataFrame:
-    """Flat spans out of nested trace export JSON."""
+    """Flat spans out of nested trace export JSON; `start` is in microseconds."""
     traces = df.select(F.from_json(column, schemas.OTLP_TRACES).alias("t"))
     resources = traces.select(F.explode("t.resourceSpans").alias("r")).select(
         attributes_map("r.resource.attributes")["service.name"].alias("service"), F.explode("r.scopeSpans").alias("sc")
@@ -107,7 +108,7 @@ def read_spans(df: DataFrame, column: str) -> DataFrame:
         F.col("s.name").alias("name"),
         F.coalesce(kinds[F.col("s.kind")], F.lit("unspecified")).alias("kind"),
         F.when(F.col("s.status.code") == 2, "error").otherwise("ok").alias("status"),
-        F.floor(start / 1_000_000_000).alias("start_s"),
+        F.call_function("div", start, F.lit(1000)).alias("start"),
         ((end - start) / 1e6).alias("duration_ms"),
         attributes_map("s.attributes").alias("attrs"),
     )

@@ -20,7 +20,7 @@ def append_samples(samples: DataFrame, path: str) -> None:
     execution splits those that hold too many rows for one task. Files are in time order, so that row
     groups outside a time range are skipped.
     """
-    dated = samples.withColumn("day", F.to_date(F.timestamp_seconds("ts")))
+    dated = samples.withColumn("day", F.to_date(F.timestamp_micros("ts")))
     laid_out = dated.hint("rebalance", "metric", "day").sortWithinPartitions("metric", "day", "ts")
     laid_out.write.mode("append").partitionBy("metric", "day").parquet(path)
 
@@ -28,12 +28,12 @@ def append_samples(samples: DataFrame, path: str) -> None:
 def read_samples(
     spark: SparkSession, path: str, metrics: Sequence[str], start: int, end: int, reach: int
 ) -> DataFrame:
-    """Samples of some metrics that a query over `start..end` with windows of `reach` seconds can see.
+    """Samples of some metrics that a query over `start..end` with windows of `reach` can see.
 
     Only the folders of these metrics and days are read.
     """
     rows = spark.read.schema("metric string, labels map<string,string>, ts bigint, value double, day date").parquet(path)
-    since, until = (F.to_date(F.timestamp_seconds(F.lit(t))) for t in (start - reach, end))
+    since, until = (F.to_date(F.timestamp_micros(F.lit(t).cast("long"))) for t in (start - reach, end))
     return rows.filter(
         F.col("metric").isin(*metrics) & F.col("day").between(since, until) & (F.col("ts") > start - reach) & (F.col("ts") <= end)
     ).drop("day")

@@ -11,7 +11,7 @@ from fleetlens import catalog as cat
 from fleetlens.operators.spans import DURATION_BOUNDS
 
 # Rows later than the instant-query lookback are too late to matter to any view.
-WATERMARK = f"{cat.LOOKBACK_SECONDS} seconds"
+WATERMARK = f"{cat.LOOKBACK // cat.SECOND} seconds"
 
 
 def windowed(
@@ -23,12 +23,12 @@ def windowed(
         stream.withWatermark("ts", watermark)
         .groupBy(*keys, span.alias("w"))
         .agg(F.sum("value").alias("total"), F.avg("value").alias("mean"), F.count("value").alias("n"))
-        .select(*keys, F.unix_seconds("w.start").alias("w_start"), F.unix_seconds("w.end").alias("w_end"), "total", "mean", "n")
+        .select(*keys, F.unix_micros("w.start").alias("w_start"), F.unix_micros("w.end").alias("w_end"), "total", "mean", "n")
     )
 
 
 def staleness_sessions(
-    stream: DataFrame, keys: Sequence[str], timeout: str = f"{cat.STALE_SECONDS} seconds", watermark: str = WATERMARK
+    stream: DataFrame, keys: Sequence[str], timeout: str = f"{cat.STALE // cat.SECOND} seconds", watermark: str = WATERMARK
 ) -> DataFrame:
     """Refresh sessions of a gauge; at the end of a session the gauge has gone stale and reads 0.
 
@@ -57,7 +57,7 @@ def request_counts(stream: DataFrame, labels: Sequence[str], width: str = "1 min
         stream.withWatermark("ts", watermark)
         .groupBy(*labels, F.window("ts", width).alias("w"))
         .agg(F.count("*").alias("requests"))
-        .select(*labels, F.unix_seconds("w.end").alias("ts"), "requests")
+        .select(*labels, F.unix_micros("w.end").alias("ts"), "requests")
     )
 
 
@@ -74,5 +74,5 @@ def span_metrics(
             F.sum("duration_ms").alias("duration_ms_sum"),
             *[F.count_if(F.col("duration_ms") <= b).alias(f"le_{b:g}".replace(".", "_")) for b in bounds],
         )
-        .select("*", F.unix_seconds("w.start").alias("ts")).drop("w")
+        .select("*", F.unix_micros("w.start").alias("ts")).drop("w")
     )

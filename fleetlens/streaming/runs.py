@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from fleetlens import catalog as cat
-from fleetlens.operators.chunks import latest_per_second
+from fleetlens.operators.chunks import latest
 from fleetlens.operators.history import decode_history, encode_history
 from fleetlens.plans.detection import current_tasks, detection_pass
 from fleetlens.plans.views import View, run_dashboard
@@ -45,13 +45,12 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "upd
 
 
 def _store(batch: DataFrame, batch_id: int, path: str) -> int | None:
-    """Write a micro-batch of samples by day and batch; returns its newest second, None if it is empty.
+    """Write a micro-batch of samples by day and batch; returns its newest time, None if it is empty.
 
-    The newest second is observed during the write, not in a second pass.
+    The newest time is observed during the write, not in a second pass.
     """
     seen = Observation()
-    seconds = F.unix_seconds("ts")
-    rows = batch.withColumn("ts", seconds).withColumn("day", F.floor(F.col("ts") / 86400)).withColumn(
+    rows = batch.withColumn("ts", F.unix_micros("ts")).withColumn("day", F.floor(F.col("ts") / cat.DAY)).withColumn(
         "batch", F.lit(batch_id).cast("long")
     ).observe(seen, F.max("ts").alias("newest"))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
@@ -59,13 +58,13 @@ def _store(batch: DataFrame, batch_id: int, path: str) -> int | None:
 
 
 def _recent(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], since: int, newest: int) -> DataFrame:
-    """Stored samples of `(since, newest]`, the last ingested per series and second; only these days are listed."""
-    days = ",".join(str(day) for day in range(since // 86400, newest // 86400 + 1))
+    """Stored samples of `(since, newest]`, the last ingested per series and timestamp; only these days are listed."""
+    days = ",".join(str(day) for day in range(since // cat.DAY, newest // cat.DAY + 1))
     fields = [f if f.name != "ts" else T.StructField("ts", T.LongType()) for f in schema.fields]
     stored = T.StructType([*fields, T.StructField("day", T.LongType()), T.StructField("batch", T.LongType())])
     rows = spark.read.schema(stored).option("basePath", path).parquet(f"{path}/day={{{days}}}")
     rows = rows.filter((F.col("ts") > since) & (F.col("ts") <= newest))
-    return latest_per_second(rows, keys, F.struct("batch", "value"))
+    return latest(rows, keys, F.struct("batch", "value"))
 
 
 def detection_stream(
@@ -73,14 +72,14 @@ def detection_stream(
     tasks: DataFrame | Callable[[], DataFrame],
     path: str,
     checkpoint: str,
-    lookback: int = 10800,
+    lookback: int = 3 * cat.HOUR,
     interval: str | None = None,
     status: Callable[[], DataFrame] | None = None,
     **rules,
 ) -> DataStreamWriter:
     """Detection loop over a sample stream (service, replica, metric, ts TIMESTAMP, value).
 
-    Each micro-batch is stored first, so late rows are never lost; then the trailing `lookback` seconds of
+    Each micro-batch is stored first, so late rows are never lost; then the trailing `lookback` of
     all services are judged, recommendations go to the history table and the task table moves on. All three
     tables under `path` hold one partition per batch, so a repeated batch replaces its own output, and a
     tick lists only the days it looks back on and the task table of the tick before it. `tasks`, a table or
@@ -107,7 +106,7 @@ def detection_stream(
         records = None
         if newest is not None and not late:
             recent = _recent(spark, samples_path, stream.schema, keys, newest - lookback, newest)
-            records = detection_pass(recent, current, F.lit(newest * 1000), status=status() if status else None, **rules)
+            records = detection_pass(recent, current, F.lit(newest // 1000), status=status() if status else None, **rules)
         target = f"{history_path}/batch={batch_id}"
         if records is None:
             spark.createDataFrame([], RECORD_SCHEMA).write.mode("overwrite").parquet(target)
@@ -138,20 +137,20 @@ def view_stream(
     checkpoint: str,
     first_tick: int,
     stretch: int = 1,
-    lateness: int = cat.LOOKBACK_SECONDS,
+    lateness: int = cat.LOOKBACK,
     interval: str | None = None,
 ) -> DataStreamWriter:
     """Keep metric views up to date over a sample stream (metric, label columns, ts TIMESTAMP, value).
 
-    Every tick is evaluated once, when samples `lateness` seconds newer have arrived, from the stored
+    Every tick is evaluated once, when samples `lateness` newer have arrived, from the stored
     samples its windows reach back to. Extrapolated rates need this; sums and means over fixed windows can
     also run as plain streaming aggregations. All views must share one step.
     """
     spark = stream.sparkSession
     samples_path, values_path, ticks_path = f"{path}/samples", f"{path}/values", f"{path}/ticks"
-    tick = views[0].step * stretch
-    assert all(v.step * stretch == tick for v in views)
-    reach = max([cat.LOOKBACK_SECONDS, *[v.window for v in views]]) * stretch
+    tick = views[0].step * stretch * cat.SECOND
+    assert all(v.step == views[0].step for v in views)
+    reach = max([cat.LOOKBACK, *[v.window * cat.SECOND for v in views]]) * stretch
     keys = [c for c in stream.columns if c not in ("ts", "value")]
 
     def step(batch: DataFrame, batch_id: int) -> None:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlens.catalog import HOUR, SECOND
 from fleetlens import catalog as cat
 from fleetlens.functions import expressions as ex
 from fleetlens.operators import chat, entities, inventory, loadtest
@@ -43,22 +44,23 @@ def test_upsert_leaves_null_fields(spark):
 
 def test_window_cover_is_exact(spark):
     rng = random.Random(2)
-    windows = [(i, a, a + rng.choice([0, 5, 60, 61, 119, 600, 3601, 90_000])) for i, a in enumerate(rng.sample(range(10_000, 40_000), 60))]
+    lengths = [0, 5, 60, 61, 119, 600, 3601, 90_000, 0.000001, 61.5]
+    windows = [(i, a * SECOND + i % 3, a * SECOND + i % 3 + round(rng.choice(lengths) * SECOND)) for i, a in enumerate(rng.sample(range(10_000, 40_000), 60))]
     df = spark.createDataFrame(windows, "i int, a bigint, b bigint")
     cover = df.select("i", "a", "b", F.inline(loadtest._cover(F.col("a"), F.col("b")))).collect()
     seen = {i: [] for i, _, _ in windows}
     for r in cover:
-        length = r["size"] if r["size"] > 1 else 1
-        seen[r["i"]] += range(r["lo"], r["hi"] + length)
+        seen[r["i"]].append((r["lo"], r["hi"] + r["size"] if r["size"] > 1 else r["hi"] + 1))
     for i, a, b in windows:
-        assert sorted(seen[i]) == list(range(a, b + 1))
-    assert max(sum(1 for r in cover if r["i"] == i and r["size"] < 3600) for i, _, _ in windows) <= 30
+        parts = sorted(seen[i])
+        assert parts[0][0] == a and parts[-1][1] == b + 1 and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+    assert max(sum(1 for r in cover if r["i"] == i and r["size"] < HOUR) for i, _, _ in windows) <= 30
 
 
 def test_window_join_with_a_hot_block(spark):
     rng = random.Random(4)
-    samples = [("m", f"j{j}", 3600 + t, float(rng.randint(0, 3))) for j in range(5) for t in sorted(rng.sample(range(4000), 200))]
-    windows = [(i, 3600 + (i % 7), 3600 + (i % 7) + 60 * (1 + i % 50)) for i in range(120)]
+    samples = [("m", f"j{j}", HOUR + t * SECOND + t % 2, float(rng.randint(0, 3))) for j in range(5) for t in sorted(rng.sample(range(4000), 200))]
+    windows = [(i, HOUR + (i % 7) * SECOND, HOUR + (i % 7) * SECOND + 60 * SECOND * (1 + i % 50)) for i in range(120)]
     sdf = spark.createDataFrame(samples, "metric string, job string, ts bigint, value double")
     wdf = spark.createDataFrame(windows, "test_id int, w_start bigint, w_end bigint")
     got = {(r["test_id"], r["job"]): (r["v_sum"], r["v_n"], r["v_peak"]) for r in loadtest.series_in_windows(wdf, sdf, ["metric", "job"]).collect()}
@@ -121,10 +123,10 @@ def test_range_response_cases(spark):
     def body(status, result):
         return json.dumps({"status": status, "data": {"resultType": "matrix", "result": result}})
 
-    good = body("success", [{"metric": {"job": "a"}, "values": [[1, "1.5"], [2, "x"], ["t", "3"], [], [7], [4, "NaN"]]}])
+    good = body("success", [{"metric": {"job": "a"}, "values": [[1.000001, "1.5"], [2, "x"], ["t", "3"], [], [7], [4, "NaN"]]}])
     rows = [(1, good), (2, body("error", [{"metric": {}, "values": [[1, "1"]]}])), (3, body("success", [])), (4, "junk")]
     got = readers.parse_range_response(spark.createDataFrame(rows, "id int, body string"), "body", ["id"]).orderBy("ts").collect()
-    assert [(r["id"], r["ts"]) for r in got] == [(1, 1.0), (1, 4.0)]
+    assert [(r["id"], r["ts"]) for r in got] == [(1, 1_000_001), (1, 4 * SECOND)]
     assert got[0]["labels"] == {"job": "a"} and got[0]["value"] == 1.5 and got[1]["value"] != got[1]["value"]
 
 
@@ -191,12 +193,12 @@ def test_history_table_bounds_and_bad_records(spark, tmp_path):
 
 
 def test_samples_table_is_pruned(spark, tmp_path):
-    rows = spark.createDataFrame([("a", {"k": "v"}, 10, 1.0), ("b", {}, 90_000, 2.0)], "metric string, labels map<string,string>, ts bigint, value double")
+    rows = spark.createDataFrame([("a", {"k": "v"}, 10 * SECOND, 1.0), ("b", {}, 90_000 * SECOND, 2.0)], "metric string, labels map<string,string>, ts bigint, value double")
     path = str(tmp_path / "samples")
     sinks.append_samples(rows, path)
-    read = sinks.read_samples(spark, path, ["b"], 89_990, 90_010, 300)
+    read = sinks.read_samples(spark, path, ["b"], 89_990 * SECOND, 90_010 * SECOND, 300 * SECOND)
     assert [r["value"] for r in read.collect()] == [2.0]
-    assert sinks.read_samples(spark, path, ["b"], 0, 89_999, 300).count() == 0
+    assert sinks.read_samples(spark, path, ["b"], 0, 89_999 * SECOND, 300 * SECOND).count() == 0
     filters = read._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
     assert "metric" in filters and "day" in filters
 
@@ -217,7 +219,7 @@ def test_unreadable_records_go_to_a_side_table(spark):
 def test_unknown_duration_units_have_no_window(spark):
     tests = spark.createDataFrame([(1, 100, 2, "min"), (2, 100, 5, "fortnight"), (3, 100, None, "sec"), (4, 100, 1, "week"), (5, 100, 10**9, "hour")],
                                   "test_id int, created bigint, duration bigint, duration_unit string")
-    assert {r["test_id"]: r["w_end"] - r["w_start"] for r in loadtest.test_windows(tests).collect()} == {1: 120, 4: 604_800}
+    assert {r["test_id"]: r["w_end"] - r["w_start"] for r in loadtest.test_windows(tests).collect()} == {1: 120 * SECOND, 4: 604_800 * SECOND}
     assert {r["test_id"] for r in loadtest.unreadable_durations(tests).collect()} == {2, 3, 5}
 
 
@@ -238,18 +240,23 @@ def test_throughput_takes_stepped_means_of_jobs(spark):
     rng = random.Random(7)
     rows = [("g", "a", x, t, float(rng.randrange(50))) for x, every in (("1", 17), ("2", 95)) for t in range(900, 2000, every)]
     rows += [("g", "b", "1", t, 0.0) for t in range(900, 2000, 30)] + [("p", "a", "1", 950, 8.0), ("p", "a", "1", 1500, 3.0)]
+    # Many samples a second, values whose sums round, and a job that falls to zero before most windows.
+    rows += [("g", "c", x, t / 8, 0.1 * rng.randrange(9)) for x in "12" for t in range(8 * 1100, 8 * 1160)]
+    rows += [("g", "d", x, t, v) for x, v in (("1", 0.1), ("2", 0.2), ("3", 0.7)) for t in (700, 720)]
+    rows += [("g", "d", x, t, 0.0) for x in "123" for t in range(730, 2000, 50)]
+    rows = [(m, j, x, round(t * SECOND), v) for m, j, x, t, v in rows]
     samples = spark.createDataFrame(rows, "metric string, exported_job string, x string, ts bigint, value double")
     tests = [(1, 1000, 5, "min"), (2, 1013, 1, "sec"), (3, 5000, 1, "min"), (4, 1000, 5, "min"), (5, 1400, 2, "hour")]
     got = loadtest.test_throughput(spark.createDataFrame(tests, "test_id int, created bigint, duration bigint, duration_unit string"), samples, "p", "g")
 
     def plain(metric, start, end):
         values = []
-        for job in ("a", "b"):
+        for job in "abcd":
             means = []
-            for t in range(start, end + 1, 60):
+            for t in range(start * SECOND, end * SECOND + 1, 60 * SECOND):
                 last = {}
                 for m, j, x, ts, v in sorted(rows, key=lambda r: r[3]):
-                    if (m, j) == (metric, job) and t - 300 < ts <= t:
+                    if (m, j) == (metric, job) and t - 300 * SECOND < ts <= t:
                         last[x] = v
                 if last:
                     means.append(sum(last.values()) / len(last))
@@ -260,3 +267,33 @@ def test_throughput_takes_stepped_means_of_jobs(spark):
     want = {i: tuple(plain(m, s, s + max(60, n * seconds[u])) for m in "pg") for i, s, n, u in tests}
     assert {r["test_id"]: (r["prompt_tps"], r["generation_tps"]) for r in got.collect()} == want
     assert want[1][0] > 0 and want[3] == (0, 0)
+
+
+def test_sweep_of_means_equals_the_mean_at_every_moment(spark):
+    """Segments of a job's mean against the series in view at random moments, over chunk edges and with odd values."""
+    rng = random.Random(11)
+    rows = []
+    for x in range(6):
+        t = 0.0
+        for _ in range(60):
+            t += rng.choice([0.000001, 0.5, 3, 40, 299.999999, 300, 700])
+            rows.append(("m", "a", str(x), round(t * SECOND), rng.choice([0.0, 0.1, 0.2, 0.3, 5.0, 1e9])))
+    rows += [("m", "b", "0", 100 * SECOND, float("inf")), ("m", "b", "1", 200 * SECOND, 1.0), ("m", "c", "0", 100 * SECOND, float("nan"))]
+    samples = spark.createDataFrame(rows, "metric string, exported_job string, x string, ts bigint, value double")
+    segments = loadtest.job_averages(samples).collect()
+    for job in "abc":
+        own = sorted((r["t"], r["t_end"], r["value"]) for r in segments if r["exported_job"] == job)
+        assert all(p[1] <= q[0] for p, q in zip(own, own[1:]))
+        moments = [rng.randrange(0, 8_000 * SECOND) for _ in range(300)] + [r[3] + d for r in rows for d in (-1, 0, 1)]
+        for t in moments:
+            last = {}
+            for _, j, x, ts, v in sorted(rows, key=lambda r: r[3]):
+                if j == job and t - 300 * SECOND < ts <= t:
+                    last[x] = v
+            here = [v for a, b, v in own if a <= t < b]
+            if not last:
+                assert not here
+            else:
+                want = sum(last.values()) / len(last)
+                assert len(here) == 1 and (here[0] == pytest.approx(want, rel=1e-6, abs=1e-6, nan_ok=True))
+                assert any(last.values()) or here[0] == 0.0

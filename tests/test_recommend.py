@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens import catalog as cat
+from fleetlens.catalog import SECOND
 from fleetlens.operators import detect, history, recommend
 
 GOLDEN = [
@@ -127,7 +128,7 @@ def load(spark, pending, running=5.0, kv=2.0, replicas=2, step=15, n=120, metric
     """Two replicas, points every 15 seconds, constant values."""
     values = {"pending": pending, "running": running, "kv_cache": kv, "server_new": 350.0, "server_success": 90.0}
     rows = [
-        ("s", f"r{r}", m, 1713164400 + i * step, v)
+        ("s", f"r{r}", m, (1713164400 + i * step) * SECOND, v)
         for r in range(replicas) for i in range(n) for m, v in values.items() if metrics is None or m in metrics
     ]
     return spark.createDataFrame(rows, "service string, replica string, metric string, ts bigint, value double")
@@ -165,7 +166,7 @@ def test_detect_without_valid_series(spark):
 def test_detect_unaligned_replicas_never_match(spark):
     """Replicas on different grids give no common point: sums are 0, means are missing."""
     a = load(spark, 100.0, replicas=1)
-    b = a.withColumn("replica", F.lit("r9")).withColumn("ts", F.col("ts") + 7)
+    b = a.withColumn("replica", F.lit("r9")).withColumn("ts", F.col("ts") + 7 * SECOND)
     tails = detect.service_tails(a.unionByName(b)).first()
     assert tails["n_pending"] == 2 and not tails["pending_high"] and tails["p90_running"] is None
 

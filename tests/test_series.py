@@ -1,4 +1,6 @@
-"""Series rules on small hand-made and random series, against plain Python."""
+"""Series rules on small hand-made and random series, against plain Python.
+
+Where all widths are given, timestamps are in any unit; the others are in microseconds."""
 
 import math
 import random
@@ -7,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlens.catalog import HOUR, MINUTE, SECOND
 from fleetlens.operators import chunks, ranges, series
 
 KEYS = ["service", "replica", "metric"]
@@ -21,9 +24,9 @@ def one(values, service="s", replica="r0", metric="m"):
     return [(service, replica, metric, t, float(v)) for t, v in values]
 
 
-def freq_of(spark, stamps, seconds=100):
+def freq_of(spark, stamps, width=100):
     rows = one([(t, 1.0) for t in stamps])
-    return series.sampling_interval(frame(spark, rows), KEYS, chunk_seconds=seconds).first()["freq"]
+    return series.sampling_interval(frame(spark, rows), KEYS, chunk=width).first()["freq"]
 
 
 def test_interval_needs_five_points(spark):
@@ -59,10 +62,10 @@ def python_grid(points, n, unit, fill=0.0):
     return out
 
 
-@pytest.mark.parametrize("chunk_seconds", [None, 300])
-def test_grid_is_anchored_at_its_start(spark, chunk_seconds):
+@pytest.mark.parametrize("chunk", [None, 300])
+def test_grid_is_anchored_at_its_start(spark, chunk):
     rows = one([(1000 + 50 * i, i) for i in range(60)])
-    got = series.regularise(frame(spark, rows), KEYS, chunk_seconds=chunk_seconds).orderBy("ts").collect()
+    got = series.regularise(frame(spark, rows), KEYS, unit=60, chunk=chunk).orderBy("ts").collect()
     last = 1000 + 50 * 59
     assert [r["ts"] for r in got] == list(range(last - 1740, last + 1, 50))
     assert len(got) == 35 and got[-1]["ts"] == last - 40
@@ -70,8 +73,8 @@ def test_grid_is_anchored_at_its_start(spark, chunk_seconds):
     assert {r["value"] for r in got} == {0.0}
 
 
-@pytest.mark.parametrize("chunk_seconds", [None, 120])
-def test_random_series_match_plain_python(spark, chunk_seconds):
+@pytest.mark.parametrize("chunk", [None, 120])
+def test_random_series_match_plain_python(spark, chunk):
     rng = random.Random(7)
     rows, expected = [], {}
     for s in range(3):
@@ -83,7 +86,7 @@ def test_random_series_match_plain_python(spark, chunk_seconds):
             points = [(t, float(rng.randint(0, 99))) for t in stamps]
             rows += one(points, f"s{s}", f"r{r}")
             expected[f"s{s}", f"r{r}"] = python_grid(points, 10, 60)
-    regular = series.regularise(frame(spark, rows), KEYS, n=10, chunk_seconds=chunk_seconds)
+    regular = series.regularise(frame(spark, rows), KEYS, n=10, unit=60, chunk=chunk)
     got = {}
     for row in regular.filter("freq IS NOT NULL").collect():
         got.setdefault((row["service"], row["replica"]), []).append((row["ts"], row["value"]))
@@ -126,7 +129,7 @@ def test_tail_all_treats_null_as_false(spark):
 
 def test_reset_stale_over_chunk_edges(spark):
     rows = one([(10, 1), (20, 2), (36, 3), (100, 4), (114, 5)])
-    got = series.reset_stale(frame(spark, rows), KEYS, timeout=15, chunk_seconds=10)
+    got = series.reset_stale(frame(spark, rows), KEYS, timeout=15, chunk=10)
     assert sorted((r["ts"], r["value"]) for r in got.filter("stale").collect()) == [(35, 0.0), (51, 0.0), (129, 0.0)]
     assert got.filter("NOT stale").count() == 5
 
@@ -138,7 +141,7 @@ def test_with_previous_on_a_hot_series(spark, seconds):
     rows = one([(t, t * 2) for t in stamps]) + one([(4, 1), (4000, 2)], replica="cold")
     got = {
         (r["replica"], r["ts"]): (r["prev_ts"], r["prev_value"])
-        for r in chunks.with_previous(frame(spark, rows), KEYS, ["ts", "value"], seconds=seconds).collect()
+        for r in chunks.with_previous(frame(spark, rows), KEYS, ["ts", "value"], width=seconds).collect()
     }
     expected = {("r0", t): (p, None if p is None else p * 2.0) for p, t in zip([None, *stamps], stamps)}
     expected |= {("cold", 4): (None, None), ("cold", 4000): (4, 1.0)}
@@ -176,9 +179,9 @@ def python_increase(points, t, w):
 def counter_points(rng, n):
     t, v, out = 1000, 0.0, []
     for _ in range(n):
-        t += rng.choice([5, 15, 15, 15, 40, 300])
+        t += rng.choice([0.004, 0.25, 5, 15, 15.000001, 15, 40, 300])
         v = 0.0 if rng.random() < 0.05 else v + rng.randint(0, 20)
-        out.append((t, v))
+        out.append((round(t * SECOND), v))
     return out
 
 
@@ -186,7 +189,8 @@ def counter_points(rng, n):
 def test_increase_with_resets(spark, window, step):
     rng = random.Random(11)
     points = counter_points(rng, 900)
-    start, end = 990, points[-1][0] + 400
+    window, step = window * SECOND, step * SECOND
+    start, end = 990 * SECOND, points[-1][0] + 400 * SECOND
     got = {r["ts"]: r["value"] for r in ranges.increase(frame(spark, one(points)), KEYS, window, start, end, step).collect()}
     expected = {}
     for t in range(start, end + 1, step):
@@ -229,8 +233,11 @@ def test_explode_steps_in_blocks(spark):
 @pytest.mark.parametrize("reach,step", [(300, 60), (45, 60), (300, 7)])
 def test_instant_and_mean_over_many_chunks(spark, reach, step):
     rng = random.Random(13)
-    points = [(t, float(rng.randint(0, 50))) for t in sorted(rng.sample(range(1000, 16_000), 700))]
-    start, end = 1003, 16_500
+    stamps = sorted(rng.sample(range(1000, 16_000), 700))
+    points = [(t * SECOND + rng.choice([0, 0, 1, 500_000, 999_999]), float(rng.randint(0, 50))) for t in stamps]
+    points += [(points[k][0] + 7, 60.0) for k in range(0, 700, 9)]
+    points.sort()
+    start, end, step, reach = 1003 * SECOND, 16_500 * SECOND, step * SECOND, reach * SECOND
     df = frame(spark, one(points))
     instant = {r["ts"]: r["value"] for r in ranges.instant_at_step(df, KEYS, start, end, step, reach).collect()}
     mean = {r["ts"]: r["value"] for r in ranges.avg_over_time(df, KEYS, reach, start, end, step).collect()}
@@ -241,19 +248,58 @@ def test_instant_and_mean_over_many_chunks(spark, reach, step):
     assert all(math.isclose(mean[t], sum(v) / len(v)) for t, v in seen.items())
 
 
-@pytest.mark.parametrize("chunk_seconds", [None, 60])
-def test_repeated_timestamps_keep_one_value(spark, chunk_seconds):
+@pytest.mark.parametrize("chunk", [None, 60])
+def test_repeated_timestamps_keep_one_value(spark, chunk):
     rows = one([(15 * i, i) for i in range(40)] + [(300, 99), (300, 7)])
-    got = series.regularise(frame(spark, rows), KEYS, n=5, chunk_seconds=chunk_seconds).orderBy("ts").collect()
+    got = series.regularise(frame(spark, rows), KEYS, n=5, unit=60, chunk=chunk).orderBy("ts").collect()
     assert [r["ts"] for r in got] == list(range(345, 586, 15))
-    early = series.regularise(frame(spark, rows).filter("ts <= 390"), KEYS, n=5, chunk_seconds=chunk_seconds)
+    early = series.regularise(frame(spark, rows).filter("ts <= 390"), KEYS, n=5, unit=60, chunk=chunk)
     assert {r["ts"]: r["value"] for r in early.collect()}[300] == 99.0
 
 
 @pytest.mark.parametrize("seconds", [None, 20])
 def test_interval_ignores_repeated_timestamps(spark, seconds):
     stamps = [0, 15, 15, 15, 30, 45, 60]
-    got = series.sampling_interval(frame(spark, one([(t, 1.0) for t in stamps])), KEYS, chunk_seconds=seconds).first()
+    got = series.sampling_interval(frame(spark, one([(t, 1.0) for t in stamps])), KEYS, chunk=seconds).first()
     assert (got["points"], got["freq"], got["last_ts"]) == (5, 15, 60)
-    same = series.sampling_interval(frame(spark, one([(7, 1.0)] * 9)), KEYS, chunk_seconds=seconds).first()
+    same = series.sampling_interval(frame(spark, one([(7, 1.0)] * 9)), KEYS, chunk=seconds).first()
     assert (same["points"], same["freq"]) == (1, None)
+
+
+def test_subsecond_intervals(spark):
+    """Four samples a second are a series of a quarter of a second, and each lies on its grid."""
+    rows = one([(k * SECOND // 4, k) for k in range(400)])
+    for chunk in (None, 7 * SECOND):
+        got = series.regularise(frame(spark, rows), KEYS, n=2, chunk=chunk).orderBy("ts").collect()
+        assert {r["freq"] for r in got} == {SECOND // 4} and [r["value"] for r in got] == [float(k) for k in range(159, 400)]
+
+
+def test_a_million_samples_an_hour_in_bounded_tasks(spark):
+    """One series of 3,600 microseconds between samples: nothing is merged, and no window sees more than its chunk."""
+    n = 1_000_000
+    samples = spark.range(n).select(F.lit("m").alias("metric"), (F.col("id") * (HOUR // n)).alias("ts"), (F.col("id") % 100).cast("double").alias("value"))
+    again = samples.unionByName(samples.filter("ts % 36000000 = 0"))
+    merged = chunks.latest(again, ["metric"], "value")
+    assert merged.count() == n
+    most = samples.groupBy(chunks.chunk_of("ts", chunks.CHUNK)).count().agg(F.max("count")).first()[0]
+    assert most == n // 12 + 1
+    stats = series.sampling_interval(merged, ["metric"]).first()
+    assert (stats["points"], stats["freq"]) == (n, HOUR // n)
+    last = chunks.with_previous(merged, ["metric"], ["ts"]).agg(F.count("prev_ts"), F.max(F.col("ts") - F.col("prev_ts"))).first()
+    assert tuple(last) == (n - 1, HOUR // n)
+    means = ranges.avg_over_time(merged, ["metric"], MINUTE, 0, HOUR, MINUTE).collect()
+    assert len(means) == 61 and all(abs(r["value"] - 49.5) < 0.15 for r in means[1:] if 0 < r["ts"] < HOUR)
+    growth = ranges.rate(merged.withColumn("value", F.col("ts") / SECOND), ["metric"], MINUTE, MINUTE, HOUR - MINUTE, MINUTE).collect()
+    assert len(growth) == 59 and all(abs(r["value"] - 1) < 1e-3 for r in growth)
+
+
+def test_no_event_is_lost(spark, sf):
+    """Events closer together than a second each stay a sample; only equal timestamps of a series are merged."""
+    from fleetlens.plans.series_queries import ALL_METRICS, all_view_samples
+    from fleetlens.sources import fixtures as fx
+
+    events = fx.events(spark, sf)
+    assert fx.samples(spark, sf).count() == events.select("event_type", "replica", "ts").distinct().count()
+    assert events.filter(F.col("ts") % SECOND != 0).count() > 0
+    series_of = events.select("replica", F.floor(F.col("user_id") / 6) % 2, F.col("user_id") % 5 == 0, "ts").distinct()
+    assert all_view_samples(spark, sf).count() == len(ALL_METRICS) * series_of.count()

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlens.catalog import MINUTE, SECOND
 from fleetlens.operators import series
 from fleetlens.plans.detection import detection_pass
 from fleetlens.sources import readers
@@ -54,7 +55,7 @@ def test_tumbling_windows_equal_batch_resampling(spark, samples, parts, tmp_path
     runs.run_to_table(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
     assert len(list((tmp_path / "out").glob("batch=*"))) >= 3
     got = runs.read_changelog(spark, f"{tmp_path}/out", [*keys, "w_start"]).select(*keys, "w_start", "total", "mean")
-    batch = series.resample(samples.withColumn("ts", F.unix_seconds("ts")), keys, 60).select(*keys, "ts", "total", "mean")
+    batch = series.resample(samples.withColumn("ts", F.unix_micros("ts")), keys, MINUTE).select(*keys, "ts", "total", "mean")
     assert rows_of(got) == rows_of(batch)
 
 
@@ -85,8 +86,8 @@ def test_sessions_close_when_stale(spark, tmp_path):
     closed = {(r["fresh_from"] // 10**6, r["stale_from"] // 10**6, r["last_value"]) for r in got.collect()}
     assert closed == {(0, 35, 20.0), (60, 85, 70.0), (1000, 1015, 1000.0)}
     # The batch rule puts its zero at the same moments.
-    batch = series.reset_stale(df.withColumnRenamed("t", "ts"), ["metric"]).filter("stale")
-    assert {c[1] for c in closed} <= {r["ts"] for r in batch.collect()}
+    batch = series.reset_stale(df.withColumn("ts", F.col("t") * SECOND), ["metric"]).filter("stale")
+    assert {c[1] for c in closed} <= {r["ts"] // SECOND for r in batch.collect()}
 
 
 TASK = ("service string, framework string, param double, gpu_spec int, gpu_num int, max_num_seqs int, "
@@ -103,8 +104,8 @@ def test_detection_loop_over_batches(spark, samples, parts, tmp_path):
     assert len(records) == 3 and records[0]["current"]["replicas"] == 2
     # Each tick starts from the replica count the one before it recommended.
     assert [r["current"]["replicas"] for r in records[1:]] == [r["recommended"]["replicas"] for r in records[:-1]]
-    end = records[0]["timestamp"] // 1000
-    first = samples.withColumn("ts", F.unix_seconds("ts")).filter(F.col("ts") <= end)
+    end = records[0]["timestamp"] * 1000
+    first = samples.withColumn("ts", F.unix_micros("ts")).filter(F.col("ts") <= end)
     batch = detection_pass(first, tasks, F.lit(records[0]["timestamp"])).first()
     assert batch["recommended"] == records[0]["recommended"]
 
@@ -113,13 +114,13 @@ def test_map_labels_identify_series(spark):
     from fleetlens.operators.ranges import promote_labels
     from fleetlens.plans.views import View, run_view
 
-    rows = [("m", {"exported_job": j, "x": x}, t, v) for j, x, v in (("a", "1", 1.0), ("a", "2", 2.0), ("b", "1", 4.0)) for t in (0, 60)]
+    rows = [("m", {"exported_job": j, "x": x}, t, v) for j, x, v in (("a", "1", 1.0), ("a", "2", 2.0), ("b", "1", 4.0)) for t in (0, MINUTE)]
     df = spark.createDataFrame([*rows, ("m", {}, 0, 9.0)], "metric string, labels map<string,string>, ts bigint, value double")
     view = View("v", "gauge", ("m",), "sum", ("exported_job",))
     with pytest.raises(ValueError):
-        run_view(view, df, 0, 60)
-    got = run_view(view, promote_labels(df, ["exported_job"]), 0, 60)
-    assert rows_of(got.select("exported_job", "ts", "value")) == [("a", 0, 3.0), ("a", 60, 3.0), ("b", 0, 4.0), ("b", 60, 4.0)]
+        run_view(view, df, 0, MINUTE)
+    got = run_view(view, promote_labels(df, ["exported_job"]), 0, MINUTE)
+    assert rows_of(got.select("exported_job", "ts", "value")) == [("a", 0, 3.0), ("a", MINUTE, 3.0), ("b", 0, 4.0), ("b", MINUTE, 4.0)]
 
 
 def test_views_over_batches_equal_one_run(spark, samples, parts, tmp_path):
@@ -127,12 +128,12 @@ def test_views_over_batches_equal_one_run(spark, samples, parts, tmp_path):
     from fleetlens.plans.views import View, run_dashboard
 
     views = [View("r", "rate", ("pending",), "sum", ("service",), window=300), View("g", "gauge", ("running",), "avg", ("service",))]
-    start = 1713164400
+    start = 1713164400 * SECOND
     runs.view_stream(stream_of(spark, parts), views, f"{tmp_path}/out", f"{tmp_path}/cp", start).start().awaitTermination()
     schema = "view string, exported_job string, device string, ts bigint, value double"
     got = spark.read.schema(schema).parquet(f"{tmp_path}/out/values").select("view", "ts", F.round("value", 9))
-    last = start + (7185 - 300) // 60 * 60
-    batch = run_dashboard(views, samples.withColumn("ts", F.unix_seconds("ts")), start, last)
+    last = start + (7185 - 300) // 60 * MINUTE
+    batch = run_dashboard(views, samples.withColumn("ts", F.unix_micros("ts")), start, last)
     assert rows_of(got) == rows_of(batch.select("view", "ts", F.round("value", 9)))
     assert len(list((tmp_path / "out" / "values").glob("batch=*"))) >= 3
 
