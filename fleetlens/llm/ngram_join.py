@@ -13,7 +13,9 @@ a bucket is verified on the full n-gram sets.
 - Classes are the connected components of the links.
 
 Null and empty texts, and texts without words, are linked to nothing and are classes of their own. Rows without
-doc_id get no class and no links. A row repeated with the same doc_id and text gives the same result row again.
+doc_id get no class and no links. A row repeated with the same doc_id and text gives the same result row again. A doc_id may stand
+for several texts: texts are known by the hash of their words, so each has its own set, bands, links and class. Columns other
+than doc_id and text are left out of `join`, and kept by `one_of_each`, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import grams, key_groups, mixed, plain_texts, run_starts, slices, utf8, words, written
@@ -62,8 +64,19 @@ def _band_hashes(hashes: np.ndarray, begins: np.ndarray, bands: int, rows: int)
     return out
 
 
+def _order_hashes(hashes: np.ndarray, row: np.ndarray, count: int) -> np.ndarray:
+    """Two hashes of each text's sequence of words; zero for texts without words."""
+    order = np.zeros((count, 2), np.uint64)
+    if len(hashes):
+        begins = run_starts(row)
+        place = np.arange(len(row)) - np.repeat(begins, np.diff(np.append(begins, len(row))))
+        for k in range(2):
+            order[row[begins], k] = np.add.reduceat(mixed(hashes ^ _FLIP[1000 + k]) * mixed(place.astype(np.uint64) + _SCALE[1000 + k]), begins)
+    return order
+
+
 def signatures(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, a 128-bit hash of the word sequence, and the bands (null without words)."""
+    """doc_id, text_key, a 128-bit hash of the word sequence, and the bands (null without words)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
@@ -71,27 +84,23 @@ def signatures(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             _, _, hashes, row = words(data, bounds)
             count = piece.num_rows
             full = np.bincount(row, minlength=count) > 0
-            order = np.zeros((count, 2), np.uint64)
+            order = _order_hashes(hashes, row, count)
             band = np.zeros((0, bands), np.uint64)
             if len(hashes):
-                begins = run_starts(row)
-                place = np.arange(len(row)) - np.repeat(begins, np.diff(np.append(begins, len(row))))
-                for k in range(2):
-                    order[full, k] = np.add.reduceat(mixed(hashes ^ _FLIP[1000 + k]) * mixed(place.astype(np.uint64) + _SCALE[1000 + k]), begins)
                 gram, gram_row, _ = grams(hashes, row, n)
                 band = _band_hashes(gram, run_starts(gram_row), bands, rows)
             offsets = np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(order[:, 0].view(np.int64)), pa.array(order[:, 1].view(np.int64)), pa.array(full), lists],
-                ["doc_id", "words_a", "words_b", "full", "bands"],
+                [piece.column("doc_id"), piece.column("text_key"), pa.array(order[:, 0].view(np.int64)), pa.array(order[:, 1].view(np.int64)), pa.array(full), lists],
+                ["doc_id", "text_key", "words_a", "words_b", "full", "bands"],
             )
 
-    return texts.mapInArrow(run, "doc_id long, words_a long, words_b long, full boolean, bands array<long>")
+    return texts.mapInArrow(run, "doc_id long, text_key string, words_a long, words_b long, full boolean, bands array<long>")
 
 
 def _sets(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, its bands and its n-gram set, as packed 64-bit values."""
+    """doc_id, the hash of its words, its bands and its n-gram set, as packed 64-bit values."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
@@ -103,13 +112,14 @@ def _sets(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             begins = run_starts(gram_row)
             band = _band_hashes(gram, begins, bands, rows)
             ends = np.append(begins[1:], len(gram))
+            order = _order_hashes(hashes, row, piece.num_rows)[gram_row[begins]].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id").take(pa.array(gram_row[begins])), pa.array([b.tobytes() for b in band], pa.binary()),
+                [piece.column("doc_id").take(pa.array(gram_row[begins])), pa.array(order[:, 0]), pa.array(order[:, 1]), pa.array([b.tobytes() for b in band], pa.binary()),
                  pa.array([np.unique(gram[s:e]).tobytes() for s, e in zip(begins, ends)], pa.binary())],
-                ["rep", "signature", "grams"],
+                ["rep", "words_a", "words_b", "signature", "grams"],
             )
 
-    return texts.mapInArrow(run, "rep long, signature binary, grams binary")
+    return texts.mapInArrow(run, "rep long, words_a long, words_b long, signature binary, grams binary")
 
 
 def verify_cell(ids: np.ndarray, part: np.ndarray, signature: np.ndarray, sets: list[np.ndarray], band: int, cross: bool,
@@ -159,59 +169,84 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             return state
 
 
-def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links and n_copies, a row per row of `docs`.
+def _classified(docs: DataFrame, n: int, threshold: float, recall: float, block: int, text_key: Column) -> DataFrame:
+    """doc_id, text_key, class_id, n_links, n_copies and is_first, a row per row with a doc_id.
 
-    n_links counts the other representatives linked to this document's, n_copies the documents with its words.
+    is_first marks the rows with the smallest doc_id of their class, and of several texts under it those with the same words as one.
     """
     spark = docs.sparkSession
     bands, rows = choose_bands(threshold, recall)
-    texts = plain_texts(docs)
-    known = texts.filter(F.col("doc_id").isNotNull())
+    known = plain_texts(docs).filter(F.col("doc_id").isNotNull()).withColumn("text_key", text_key)
     sketch = written(spark, signatures(known, n, bands, rows), "join-signatures")
     full = sketch.filter("full")
-    reps = written(spark, full.groupBy("words_a", "words_b").agg(
+    node = ["words_a", "words_b"]
+    reps = written(spark, full.groupBy(*node).agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")), "join-representatives")
 
-    banded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    banded = reps.select("rep", *node, F.posexplode("bands").alias("band", "bucket"))
     buckets = banded.groupBy("band", "bucket").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).filter("n > 1")
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64(*node)).alias("x"), F.bit_xor(F.xxhash64(*node, F.lit(1))).alias("y")).filter("n > 1")
     kept = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket", "n")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    members = banded.join(kept, ["band", "bucket"]).withColumn("part", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    members = written(spark, members.select("band", "bucket", "rep", "part", blocks.alias("blocks")), "join-members")
+    members = banded.join(kept, ["band", "bucket"]).withColumn("part", F.pmod(F.xxhash64(*node), blocks).cast("int"))
+    members = written(spark, members.select("band", "bucket", "rep", *node, "part", blocks.alias("blocks")), "join-members")
     # As many members as there are copies: never broadcast, so the plan is the same at every size.
     wanted = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
-    sets = _sets(known.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n, bands, rows)
+    sets = _sets(known.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), n, bands, rows)
+    # Texts of one id that differ but for their words give a set each.
+    sets = sets.dropDuplicates(["rep", *node])
     cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "bucket", "rep", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+        "band", "bucket", "rep", *node, "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     keys = ["band", "bucket", "low", "high"]
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in key_groups(batches, keys):
-            ids = cell.column("rep").to_numpy()
-            signature = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint64).reshape(len(ids), bands)
+            a, b = (cell.column(c).to_numpy() for c in node)
+            signature = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint64).reshape(len(a), bands)
             sets_ = [np.frombuffer(g, np.uint64) for g in cell.column("grams").to_pylist()]
             cross = cell.column("low")[0] != cell.column("high")[0]
-            links, least = verify_cell(ids, cell.column("part").to_numpy(), signature, sets_, cell.column("band")[0].as_py(), cross, threshold)
-            some = links > 0
-            if some.any():
-                yield pa.RecordBatch.from_pydict({"rep": ids[some], "links": links[some], "least": least[some]})
-
-    found = written(spark, cells.join(sets, "rep").repartition(*keys).sortWithinPartitions(*keys, "rep")
-                    .mapInArrow(verify, "rep long, links long, least long"), "join-links")
-    degree = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    classes = components(found.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")), "join")
-    named = reps.drop("bands").join(degree, "rep", "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-    result = sketch.select("doc_id", "words_a", "words_b", "full").join(named.withColumn("full", F.lit(True)), ["words_a", "words_b", "full"], "left").select(
-        "doc_id", F.coalesce("class_id", "rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
-    nameless = texts.filter(F.col("doc_id").isNull()).select(
+            # Members come sorted by the hashes of their words, so places order them.
+            links, least = verify_cell(np.arange(len(a)), cell.column("part").to_numpy(), signature, sets_, cell.column("band")[0].as_py(), cross, threshold)
+            some = np.flatnonzero(links)
+            if len(some):
+                first = least[some]
+                yield pa.RecordBatch.from_pydict({"words_a": a[some], "words_b": b[some], "links": links[some], "least_a": a[first], "least_b": b[first]})
+
+    found = written(spark, cells.join(sets, ["rep", *node]).repartition(*keys).sortWithinPartitions(*keys, *node)
+                    .mapInArrow(verify, "words_a long, words_b long, links long, least_a long, least_b long"), "join-links")
+    degree = found.groupBy(*node).agg(F.sum("links").alias("n_links"))
+    point = lambda a, b: F.struct(F.col(a).alias("words_a"), F.col(b).alias("words_b"))
+    edges = found.filter("words_a <> least_a OR words_b <> least_b").select(point(*node).alias("a"), point("least_a", "least_b").alias("b"))
+    classes = components(edges, "join").select("id.*", "class_id")
+    named = reps.drop("bands").join(degree, node, "left").join(classes, node, "left")
+    own = F.struct("rep", *node)
+    firsts = named.filter("class_id IS NOT NULL").groupBy("class_id").agg(F.min(own).alias("first"))
+    named = named.join(firsts, "class_id", "left").select(*node, "n_copies", "n_links", F.coalesce("first", own).alias("first"))
+    rows_ = sketch.select("doc_id", "text_key", *node, "full").join(named.withColumn("full", F.lit(True)), [*node, "full"], "left")
+    is_first = (F.col("doc_id") == F.col("first.rep")) & (F.col("words_a") == F.col("first.words_a")) & (F.col("words_b") == F.col("first.words_b"))
+    return rows_.select(
+        "doc_id", "text_key", F.coalesce("first.rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce(is_first, F.lit(True)).alias("is_first"))
+
+
+def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id, n_links and n_copies, a row per row of `docs`.
+
+    n_links counts the other representatives linked to this document's, n_copies the documents with its words.
+    """
+    result = _classified(docs, n, threshold, recall, block, F.lit("")).drop("text_key", "is_first")
+    nameless = plain_texts(docs).filter(F.col("doc_id").isNull()).select(
         "doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return result.union(nameless)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that are the first document of their class; exact repeats of a row stay once."""
-    spare = join(docs).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(spare, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """The rows of `docs`, all columns, that are the first document of their class; rows equal in all columns stay once.
+
+    What goes is named by doc_id and a digest of the text, so another text under the same doc_id stays if it is a class of its own.
+    """
+    digest = lambda text: F.md5(F.coalesce(text.cast("string"), F.lit("")))
+    spare = _classified(docs, WORDS, THRESHOLD, RECALL, BLOCK, F.md5("text")).filter("NOT is_first").select(
+        F.col("doc_id").alias("spare_id"), F.col("text_key").alias("spare_text")).distinct()
+    gone = (docs["doc_id"].cast("long") == spare["spare_id"]) & (digest(docs["text"]) == spare["spare_text"])
+    return docs.join(spare, gone, "left_anti").dropDuplicates()

@@ -86,6 +86,22 @@ def test_one_of_each(spark):
     assert ngram_join.join(docs(spark, [])).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    """Each text has links and a class of its own; what is clean under a repeated id stays, in every row that differs."""
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    near, other = base + " more", "a clean text with quite different words that nothing else in the table repeats at all"
+    rows = [(1, base), (2, near), (2, other), (3, base.upper()), (4, other + " indeed so it is"), (2, near + "!"), (9, "x y z"), (9, "x, y, z")]
+    got = {(r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in ngram_join.join(docs(spark, rows)).collect()}
+    assert got == {(1, 1, 1, 2), (3, 1, 1, 2), (2, 1, 1, 2), (2, 2, 0, 1), (4, 4, 0, 1), (9, 9, 0, 2)}
+    kept = sorted((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(docs(spark, rows)).collect())
+    assert kept == sorted([(1, base), (2, other), (4, other + " indeed so it is"), (9, "x y z"), (9, "x, y, z")])
+    schema = "doc_id long, text string, `source.name` string, spare_id long, spare_text string"
+    sources = spark.createDataFrame([(7, base, s, 1, "x") for s in ("a", "b", "b")] + [(8, base, "a", 1, "x")], schema)
+    out = ngram_join.one_of_each(sources)
+    assert out.columns == sources.columns
+    assert sorted((r["doc_id"], r["source.name"]) for r in out.collect()) == [(7, "a"), (7, "b")]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {(r["id"], r["class_id"]) for r in ngram_join.components(edges, "t").collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
