@@ -85,6 +85,17 @@ def running_total(
     )
 
 
+def running_totals(df: DataFrame, keys: Sequence[str], amounts: Sequence[str], order: str, width: int = CHUNK) -> DataFrame:
+    """The same for several columns at once, each replaced by its running sum; other columns but the keys and `order` go."""
+    chunked = df.select(*keys, order, *amounts).withColumn("_chunk", chunk_of(order, width))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    parts = chunked.groupBy(*keys, "_chunk").agg(*[F.sum(a).alias(a) for a in amounts])
+    offsets = parts.select(*keys, "_chunk", *[F.coalesce(F.sum(a).over(before), F.lit(0)).alias(f"_before_{k}") for k, a in enumerate(amounts)])
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = chunked.select(*keys, order, "_chunk", *[F.sum(a).over(inside).alias(a) for a in amounts]).join(offsets, [*keys, "_chunk"])
+    return summed.select(*keys, order, *[(F.col(a) + F.col(f"_before_{k}")).alias(a) for k, a in enumerate(amounts)])
+
+
 def split_rank(df: DataFrame, keys: Sequence[str], order: str, width: int = 4096) -> DataFrame:
     """Add ``rank`` (1-based, by a unique whole-number `order`) without sorting a whole group in one task."""
     ones = df.withColumn("_one", F.lit(1).cast("long"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import catalog as cat
-from fleetlens.operators.chunks import running_total
+from fleetlens.operators.chunks import running_total, running_totals
 
 # Histogram bounds in milliseconds.
 DURATION_BOUNDS = [2, 4, 6, 8, 10, 50, 100, 200, 400, 800, 1000, 1400, 2000, 5000, 10000, 15000]
@@ -23,7 +23,7 @@ def span_red_metrics(
     return spans.groupBy(*dims, bin_start.alias("ts")).agg(
         F.count("*").alias("calls"),
         F.sum("duration_ms").alias("duration_ms_sum"),
-        *[F.count_if(F.col("duration_ms") <= b).alias(f"le_{b:g}".replace(".", "_")) for b in bounds],
+        *[F.count_if(F.col("duration_ms") <= b).alias(_bucket(b)) for b in bounds],
     )
 
 
@@ -36,20 +36,76 @@ def with_dimensions(spans: DataFrame, attributes: Sequence[str]) -> DataFrame:
     return spans.withColumns({a.replace(".", "_"): F.col("attrs")[a] for a in attributes})
 
 
-def spans_to_samples(red: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Cumulative call counters per dimension set, ready to append to the samples table.
+# Names of the derived metrics.
+CALLS, LATENCY = "traces_spanmetrics_calls_total", "traces_spanmetrics_latency"
+EDGE_CALLS, EDGE_FAILED = "traces_service_graph_request_total", "traces_service_graph_request_failed_total"
+EDGE_LATENCY = "traces_service_graph_request_server_seconds"
 
-    Labels have the names that the views match: a span's name becomes `span_name`.
+
+def _bucket(bound: float) -> str:
+    return f"le_{bound:g}".replace(".", "_")
+
+
+def _labelled(totals: DataFrame, names: Mapping[str, str], series: Sequence[tuple[str, str | None, Column]], external: Mapping[str, str]) -> DataFrame:
+    """One sample per row of totals and series (metric, le, value); `names` gives the label of each column."""
+    base = F.map_from_arrays(F.array(*map(F.lit, names.values())), F.array(*[F.col(c).cast("string") for c in names]))
+    # A label of the span itself wins over an external one.
+    fixed = [x for kv in external.items() if kv[0] not in names.values() for x in kv]
+    if fixed:
+        base = F.map_concat(base, F.create_map(*map(F.lit, fixed)))
+    rows = [
+        F.struct(F.lit(metric).alias("metric"), (base if le is None else F.map_concat(base, F.create_map(F.lit("le"), F.lit(le)))).alias("labels"),
+                 value.cast("double").alias("value"))
+        for metric, le, value in series]
+    return totals.select("ts", F.inline(F.array(*rows))).select("metric", "labels", "ts", "value")
+
+
+def _histogram(metric: str, bounds: Sequence[float]) -> list[tuple[str, str | None, Column]]:
+    """Series of a histogram in seconds, out of columns in milliseconds; each bucket holds those below it."""
+    buckets = [(f"{metric}_bucket", f"{b / 1000:g}", F.col(_bucket(b))) for b in bounds]
+    return [*buckets, (f"{metric}_bucket", "+Inf", F.col("calls")), (f"{metric}_sum", None, F.col("duration_ms_sum") / 1000), (f"{metric}_count", None, F.col("calls"))]
+
+
+def spans_to_samples(red: DataFrame, dims: Sequence[str], bounds: Sequence[float] = (), external: Mapping[str, str] | None = None) -> DataFrame:
+    """Cumulative series of span metrics, ready to append to the samples table: calls per dimension set, and the duration
+    histogram if `bounds` are given, which `red` must hold.
+
+    Labels have the names that the views match: a span's name becomes `span_name`. `external` labels are added to all.
     """
-    names = [SPAN_LABELS.get(d, d) for d in dims]
-    labels = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(d).cast("string") for d in dims]))
-    totals = running_total(red.select(*dims, "ts", "calls"), dims, "calls", "ts", cat.DAY)
-    return totals.select(
-        F.lit("traces_spanmetrics_calls_total").alias("metric"),
-        labels.alias("labels"),
-        "ts",
-        F.col("running").cast("double").alias("value"),
-    )
+    amounts = ["calls", *(["duration_ms_sum", *map(_bucket, bounds)] if bounds else [])]
+    totals = running_totals(red, dims, amounts, "ts", cat.DAY)
+    series = [(CALLS, None, F.col("calls")), *(_histogram(LATENCY, bounds) if bounds else [])]
+    return _labelled(totals, {d: SPAN_LABELS.get(d, d) for d in dims}, series, external or {})
+
+
+def edges_to_samples(
+    spans: DataFrame, dims: Sequence[str] = (), width: int = cat.MINUTE, bounds: Sequence[float] = tuple(DURATION_BOUNDS),
+    external: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Cumulative series of the service graph: requests, failures and the server's time per client, server and dimensions of
+    the server span, by the time bin in which the server span starts."""
+    keys = [*dims, "client", "server"]
+    bins = graph_bins(spans, dims, width, bounds).withColumnRenamed("bin", "ts")
+    totals = running_totals(bins, keys, ["calls", "failed", "duration_ms_sum", *map(_bucket, bounds)], "ts", cat.DAY)
+    series = [(EDGE_CALLS, None, F.col("calls")), (EDGE_FAILED, None, F.col("failed")), *_histogram(EDGE_LATENCY, bounds)]
+    return _labelled(totals, {k: SPAN_LABELS.get(k, k) for k in keys}, series, external or {})
+
+
+def graph_bins(spans: DataFrame, dims: Sequence[str] = (), width: int = cat.MINUTE, bounds: Sequence[float] = ()) -> DataFrame:
+    """Requests, failures, time and histogram of each edge of the service graph and time bin.
+
+    Server spans are first counted per (trace, parent, service, bin), so a parent with very many children meets the join
+    as a few rows.
+    """
+    counts = ["calls", "failed", "duration_ms_sum", *map(_bucket, bounds)]
+    start = F.col("start") - F.col("start") % width
+    server = spans.filter((F.col("kind") == "server") & F.col("parent_id").isNotNull()).groupBy(
+        *dims, "trace_id", "parent_id", F.col("service").alias("server"), start.alias("bin")
+    ).agg(
+        F.count("*").alias("calls"), F.count_if(F.col("status") == "error").alias("failed"), F.sum("duration_ms").alias("duration_ms_sum"),
+        *[F.count_if(F.col("duration_ms") <= b).alias(_bucket(b)) for b in bounds])
+    client = spans.filter(F.col("kind") == "client").select("trace_id", F.col("span_id").alias("parent_id"), F.col("service").alias("client"))
+    return client.join(server, ["trace_id", "parent_id"]).groupBy(*dims, "client", "server", "bin").agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def service_graph_edges(spans: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from fleetlens.plans import fleet_queries as fq
 from fleetlens.plans import series_queries as sq
 from fleetlens.plans import sql as q
 from fleetlens.plans.registry import query
-from fleetlens.plans.views import BUNDLE_NAMES, BY_NAME, run_dashboard, run_view
+from fleetlens.plans.views import BUNDLE_NAMES, BY_NAME, View, run_dashboard, run_view
 from fleetlens.sources import fixtures as fx
 from fleetlens.sources import readers
 
@@ -88,3 +88,29 @@ def spans_to_success_rate(spark, d):
     samples = rg.promote_labels(sp.spans_to_samples(red, dims), ["service", "span_name", "http_status_code"])
     out = run_view(BY_NAME["detect_success_requests"], samples, sq.START, sq.END, sq.STRETCH)
     return out.withColumn("value", F.round(F.col("value") + 1e-9, 6))
+
+
+LATENCY_VIEW = View("span_latency", "rate_ratio", (f"{sp.LATENCY}_sum", f"{sp.LATENCY}_count"), "sum", ("service",), unit="s")
+
+
+def _latency_sql() -> str:
+    keys = "metric, service, span_name"
+    both = " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, service, name AS span_name, start - start % 3600000000 AS ts, {x} AS a FROM spans"
+        for m, x in zip(LATENCY_VIEW.metrics, ("cents / 100000.0e0", "1.0e0")))
+    return q.with_ctes(
+        q.EV, q.SPANS, f"binned AS (SELECT {keys}, ts, sum(a) AS a FROM ({both}) GROUP BY ALL)",
+        f"src AS (SELECT {keys}, ts, sum(a) OVER (PARTITION BY {keys} ORDER BY ts) AS value FROM binned)",
+        q.ticks(60 * q.SECOND * sq.STRETCH), q.rate_cte("x", "src", keys, 60 * q.SECOND * sq.STRETCH),
+    ) + f"""SELECT service, ts, round(sum(value) FILTER (metric = '{LATENCY_VIEW.metrics[0]}') / sum(value) FILTER (metric = '{LATENCY_VIEW.metrics[1]}') + 1e-9, 6) AS value
+      FROM x GROUP BY service, ts HAVING sum(value) FILTER (metric = '{LATENCY_VIEW.metrics[1]}') <> 0"""
+
+
+@query("spans_to_latency", _latency_sql())
+def spans_to_latency(spark, d):
+    """Mean latency per service, read by a view from the histogram that spans were turned into."""
+    dims = ["service", "name"]
+    red = sp.span_red_metrics(fx.spans(spark, d), dims, q.HOUR)
+    samples = rg.promote_labels(sp.spans_to_samples(red, dims, sp.DURATION_BOUNDS), ["service", "span_name"])
+    out = run_view(LATENCY_VIEW, samples, sq.START, sq.END, sq.STRETCH)
+    return out.withColumn("value", F.round(F.col("value") + 1e-9, 6))

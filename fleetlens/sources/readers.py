@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,28 +55,44 @@ def read_metric_dictionary(spark: SparkSession, path: str) -> DataFrame:
 def read_load_report(spark: SparkSession, path: str) -> DataFrame:
     """Load-generator result logs; the test id is the name of the folder that holds the log's folder.
 
-    Logs lie at `<test_id>/report/<file>`. Columns are found by the names in the header, in any order.
+    Logs lie at `<test_id>/report/<file>`. Columns are found by the names in each file's header, in any order; a quoted message may
+    span lines.
     """
     rows = _by_header(spark, path, schemas.LOAD_REPORT)
-    test_id = F.regexp_extract(F.input_file_name(), r"([^/]+)/(?:folder=)?report/[^/]+$", 1)
+    test_id = F.regexp_extract("_file", r"([^/]+)/(?:folder=)?report/[^/]+$", 1)
     return rows.select(test_id.alias("test_id"), "success", "elapsed")
 
 
-def _by_header(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
-    """The named columns of CSV files whose header may hold others too, in any order; unreadable cells are NULL.
+def _by_header(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The named columns of CSV files, and `_file`; unreadable cells and columns that a file lacks are NULL.
 
-    All files must have the same header, which is checked when they are read. Without `multi_line` large files are
-    split between tasks.
+    Every file is read by its own header, whatever the order of its columns. A first pass over the lines finds each file's
+    header, and whether a quoted cell goes on in the next line: only such files are read by one task each, all
+    others are split. The driver gets the names of the files, as it does when it lists them.
     """
-    rows = spark.read.csv(path, header=True, enforceSchema=False, quote='"', escape='"', multiLine=multi_line)
+    at, text = F.struct("_metadata.file_block_start", F.monotonically_increasing_id()), F.col("value")
+    quotes = F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+    files = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"), (quotes % 2 == 1).alias("open"))
+    # A byte order mark is no part of the first name.
+    header = F.regexp_replace(F.min_by("value", "at"), "^\ufeff", "")
+    found = files.groupBy("file").agg(header.alias("header"), F.bool_or("open").alias("open"))
+    groups = found.groupBy("header", "open").agg(F.collect_list("file").alias("files")).collect()
+    # File paths come as URIs, in which a plus sign is itself.
+    decoded = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     fields = T.StructType.fromDDL(schema).fields
-    return rows.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
-
-
-def read_prompt_dataset(spark: SparkSession, path: str, schema: str = "question string", multi_line: bool = True) -> DataFrame:
-    """Prompt CSV: the header names the variables. Quoted cells may span lines, unless `multi_line` is off, which
-    lets large files be split between tasks."""
-    return _by_header(spark, path, schema, multi_line)
+    out = spark.createDataFrame([], T.StructType([*fields, T.StructField("_file", T.StringType())]))
+    for group in sorted(groups, key=lambda g: (g["header"], g["open"])):
+        names = [re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(f)) for f in sorted(group["files"])]
+        rows = spark.read.csv(names, header=True, enforceSchema=False, quote='"', escape='"', multiLine=group["open"])
+        cell = lambda f, have=rows.columns: F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast("string")
+        out = out.unionByName(rows.select(*[cell(f).try_cast(f.dataType).alias(f.name) for f in fields], decoded.alias("_file")))
+    return out
+
+
+def read_prompt_dataset(spark: SparkSession, path: str, schema: str = "question string") -> DataFrame:
+    """Prompt CSV: the header names the variables. Quoted cells may span lines; files without such cells are split
+    between tasks."""
+    return _by_header(spark, path, schema).drop("_file")
 
 
 def attributes_map(attributes: str | Column) -> Column:

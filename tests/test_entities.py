@@ -297,3 +297,18 @@ def test_sweep_of_means_equals_the_mean_at_every_moment(spark):
                 want = sum(last.values()) / len(last)
                 assert len(here) == 1 and (here[0] == pytest.approx(want, rel=1e-6, abs=1e-6, nan_ok=True))
                 assert any(last.values()) or here[0] == 0.0
+
+
+def test_reports_are_read_by_their_own_headers(spark, tmp_path):
+    """A quoted line break is no second request, and runs whose columns differ in order or number are read together."""
+    texts = {
+        "a b": 'elapsed,success,failureMessage\n10,true,\n20,false,"lost\nconnection, ""why"""\n30,true,\n',
+        "t[2]": "\ufefflabel,success,elapsed\nx,true,7\ny,false,9\n", "t3": "elapsed,label\n5,z\n", "t4": "success,elapsed\n",
+    }
+    for test, text in texts.items():
+        (tmp_path / test / "report").mkdir(parents=True)
+        (tmp_path / test / "report" / "log.csv").write_text(text, encoding="utf-8")
+    rows = readers.read_load_report(spark, f"{tmp_path}/*/report")
+    assert sorted(map(str, map(tuple, rows.collect()))) == sorted(map(str, [
+        ("a b", True, 10.0), ("a b", False, 20.0), ("a b", True, 30.0), ("t[2]", True, 7.0), ("t[2]", False, 9.0), ("t3", None, 5.0)]))
+    assert readers.read_load_report(spark, f"{tmp_path}/t4/report").count() == 0
