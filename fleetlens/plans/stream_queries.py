@@ -15,7 +15,7 @@ from fleetlens.session import scratch_path
 from fleetlens.sources import fixtures as fx
 from fleetlens.sources import readers, sinks
 from fleetlens.streaming import aggregates as ag
-from fleetlens.streaming import runs
+from fleetlens.streaming import live, runs
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 KEYS = ["event_type", "service"]
@@ -245,3 +245,56 @@ def prompt_dataset(spark, d):
         path, header=True, quoteAll=True, escape='"'
     )
     return readers.read_prompt_dataset(spark, path, "doc_id bigint, question string")
+
+
+def _event_files(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """The events as a stream of three files: the second half, the first half without its odd events, and these, weeks late."""
+    rows = fx.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    half = F.timestamp_micros(F.lit((q.STEP0 + q.STEP1) // 2))
+    for part in (F.col("ts") >= half, (F.col("ts") < half) & (F.col("event_id") % 2 == 0), (F.col("ts") < half) & (F.col("event_id") % 2 == 1)):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = readers.read_telemetry_stream(spark, EVENTS.replace("timestamp_ntz", "timestamp"), path=f"{root}/in", options={"maxFilesPerTrigger": "1"})
+    service = F.concat(F.lit("svc-"), (F.col("user_id") % 3).cast("string"))
+    return stream.withColumn("service", service)
+
+
+@query("stream_late_rows", q.with_ctes(q.EV) + """
+  , s AS (SELECT event_type, service, cents, unnest(range(ts - ts % 3600000000 - 4 * 3600000000, ts - ts % 3600000000 + 1, 3600000000)) AS w_start FROM ev)
+  SELECT event_type, service, w_start, w_start + 5 * 3600000000 AS w_end, CAST(sum(cents) AS BIGINT) AS cents, count(*) AS n FROM s GROUP BY ALL""")
+def stream_late_rows(spark, d):
+    """Sliding windows over events of which most come after a watermark would have passed them."""
+    root = scratch_path(spark, "late")
+    sums = {"cents": F.round(F.col("value") * 100).cast("long"), "n": F.lit(1)}
+    live.window_stream(_event_files(spark, d, root), KEYS, sums, f"{root}/out", f"{root}/checkpoint", 5 * q.HOUR, q.HOUR).start().awaitTermination()
+    return runs.read_changelog(spark, f"{root}/out/changes", [*KEYS, "w_start"]).select(*KEYS, "w_start", "w_end", "cents", "n")
+
+
+@query("stream_counters", q.with_ctes(q.EV) + """
+  SELECT event_type, service, count(*) AS requests, CAST(sum(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 1)) AS BIGINT) AS tokens,
+         max(ts) AS ts FROM ev GROUP BY ALL""")
+def stream_counters(spark, d):
+    """Requests and tokens per label set as cumulative counters, over batches out of order."""
+    root = scratch_path(spark, "counters")
+    sums = {"requests": F.lit(1), "tokens": F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(1))}
+    live.counter_stream(_event_files(spark, d, root), KEYS, sums, f"{root}/out", f"{root}/checkpoint").start().awaitTermination()
+    return live.read_counters(spark, f"{root}/out").select(*KEYS, "requests", "tokens", "ts")
+
+
+@query("stream_service_graph", q.with_ctes(q.EV, q.SPANS) + """
+  SELECT c.service AS client, s.service AS server, count(*) AS calls, count(*) FILTER (s.status = 'error') AS failed,
+         round(CAST(sum(s.cents) AS BIGINT) / (100.0e0 * count(*)), 6) AS mean_ms, count(*) FILTER (s.duration_ms <= 50) AS le_50
+  FROM spans c JOIN spans s ON s.trace_id = c.trace_id AND s.parent_id = c.span_id
+  WHERE c.kind = 'client' AND s.kind = 'server' GROUP BY ALL""")
+def stream_service_graph(spark, d):
+    """Client and server spans in two files, joined as they arrive."""
+    root = scratch_path(spark, "graph")
+    spans = fx.spans(spark, d).withColumn("ts", F.timestamp_micros("start")).select(
+        "trace_id", "span_id", "parent_id", "service", "kind", "status", "duration_ms", "ts")
+    for kind in ("client", "server"):
+        spans.filter(F.col("kind") == kind).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    schema = "trace_id string, span_id string, parent_id string, service string, kind string, status string, duration_ms double, ts timestamp"
+    stream = readers.read_telemetry_stream(spark, schema, path=f"{root}/in", options={"maxFilesPerTrigger": "1"})
+    # The fixture's pairs lie hours apart at its smallest scale.
+    live.graph_stream(stream, f"{root}/out", f"{root}/checkpoint", "2 days").start().awaitTermination()
+    out = live.read_graph(spark, f"{root}/out")
+    return out.select("client", "server", "calls", "failed", F.round("mean_ms", 6).alias("mean_ms"), "le_50")

@@ -7,7 +7,7 @@ from fleetlens.catalog import MINUTE, SECOND
 from fleetlens.operators import series
 from fleetlens.plans.detection import detection_pass
 from fleetlens.sources import readers
-from fleetlens.streaming import aggregates, runs
+from fleetlens.streaming import aggregates, live, runs
 
 SAMPLE = "service string, replica string, metric string, ts timestamp, value double"
 
@@ -178,3 +178,85 @@ def test_views_without_grouping_keep_all_labels(spark):
     assert rows_of(run_view(BY_NAME["gpu_util"], df, 0, 0).select("device", "host", "value")) == [("gpu0", "h1", 10.0), ("gpu0", "h2", 20.0)]
     long = run_dashboard([BY_NAME["gpu_util"]], df, 0, 0).collect()
     assert sorted(r["series"] for r in long) == ['{"device":"gpu0","host":"h1"}', '{"device":"gpu0","host":"h2"}']
+
+
+def put(spark, path, rows, schema="service string, t double, value double"):
+    df = spark.createDataFrame(rows, schema)
+    seconds = F.timestamp_micros((F.col("t") * SECOND).cast("long"))
+    df.withColumn("ts", seconds).drop("t").coalesce(1).write.mode("append").parquet(path)
+
+
+def live_stream(spark, path, schema="service string, value double, ts timestamp"):
+    return readers.read_telemetry_stream(spark, schema, path=path, options={"maxFilesPerTrigger": "1"})
+
+
+def test_a_late_batch_changes_exactly_its_windows(spark, tmp_path):
+    sums = {"total": F.col("value"), "n": F.lit(1)}
+
+    def run():
+        stream = live_stream(spark, f"{tmp_path}/in")
+        live.window_stream(stream, ["service"], sums, f"{tmp_path}/out", f"{tmp_path}/cp").start().awaitTermination()
+
+    put(spark, f"{tmp_path}/in", [("a", 90_000 + 7.5 * k, 1.0) for k in range(40)] + [(None, 90_000.0, 5.0)])
+    run()
+    put(spark, f"{tmp_path}/in", [("a", 200_000.0, 2.0)])
+    run()
+    # A day late: one window known, one new; and one row on the edge of a window.
+    put(spark, f"{tmp_path}/in", [("a", 90_001.25, 10.0), ("a", 50_000.0, 3.0), ("a", 90_060.0, 1.0), (None, 90_001.0, 1.0)])
+    run()
+    changes = spark.read.parquet(f"{tmp_path}/out/changes/batch=2")
+    assert sorted((str(r["service"]), r["w_start"] // SECOND, r["total"], r["n"]) for r in changes.collect()) == [
+        ("None", 90_000, 6.0, 2), ("a", 49_980, 3.0, 1), ("a", 90_000, 18.0, 9), ("a", 90_060, 9.0, 9)]
+    table = runs.read_changelog(spark, f"{tmp_path}/out/changes", ["service", "w_start"])
+    assert table.agg(F.sum("n")).first()[0] == 46 and table.filter("w_end - w_start <> 60000000").count() == 0
+
+
+def test_sliding_windows_hold_each_row_as_often_as_they_overlap(spark, tmp_path):
+    put(spark, f"{tmp_path}/in", [("a", t, 1.0) for t in (100.0, 119.999999, 120.0, 130.5)])
+    stream = live_stream(spark, f"{tmp_path}/in")
+    live.window_stream(stream, ["service"], {"n": F.lit(1)}, f"{tmp_path}/out", f"{tmp_path}/cp", 50 * SECOND, 20 * SECOND).start().awaitTermination()
+    got = {r["w_start"] // SECOND: r["n"] for r in runs.read_changelog(spark, f"{tmp_path}/out/changes", ["service", "w_start"]).collect()}
+    assert got == {w: n for w in range(0, 200, 20) if (n := sum(w <= t < w + 50 for t in (100.0, 119.999999, 120.0, 130.5)))}
+
+
+def test_counters_never_fall(spark, tmp_path):
+    """Three batches, one of them late; the last one is repeated after its offset was lost."""
+    sums = {"n": F.lit(1), "total": F.col("value")}
+
+    def run(checkpoint="cp"):
+        stream = live_stream(spark, f"{tmp_path}/in")
+        live.counter_stream(stream, ["service"], sums, f"{tmp_path}/out", f"{tmp_path}/{checkpoint}", expiry=1000 * SECOND).start().awaitTermination()
+
+    for rows in ([("a", 100.0, 1.0), ("b", 110.0, 1.0)], [("a", 500.0, 2.0)], [("a", 50.0, 4.0), ("c", 1200.0, 1.0)]):
+        put(spark, f"{tmp_path}/in", rows)
+        run()
+    want = {("a", 3, 7.0), ("c", 1, 1.0)}
+    totals = lambda: {(r["service"], r["n"], r["total"]) for r in live.read_counters(spark, f"{tmp_path}/out").collect()}
+    # b has expired: its last event is 1090 seconds before the newest one.
+    assert totals() == want
+    for name in ("2", ".2.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert totals() == want
+    samples = spark.read.parquet(f"{tmp_path}/out/samples")
+    by_batch = [(r["batch"], r["ts"] // SECOND, r["total"]) for r in samples.filter("service = 'a'").orderBy("batch").collect()]
+    assert by_batch == [(0, 100, 1.0), (1, 500, 3.0), (2, 500, 7.0)]
+    put(spark, f"{tmp_path}/in", [("b", 1300.0, 1.0)])
+    run()
+    assert totals() == want | {("b", 1, 1.0)}
+
+
+def test_spans_without_partner_go_to_a_side_table(spark, tmp_path):
+    schema = "trace_id string, span_id string, parent_id string, service string, kind string, status string, duration_ms double, t double"
+    spans = [("t", "1", None, "front", "client", "ok", 9.0, 10.0), ("t", "3", None, "front", "client", "ok", 9.0, 12.0)]
+    put(spark, f"{tmp_path}/in", spans, schema)
+    put(spark, f"{tmp_path}/in", [("t", "2", "1", "back", "server", "error", 4.0, 11.0), ("t", "4", "9", "back", "server", "ok", 4.0, 13.0)], schema)
+    # Later spans on both sides move the watermark over the two that are alone.
+    late = [("u", "1", None, "front", "client", "ok", 9.0, 9000.0), ("u", "2", "1", "back", "server", "ok", 6.0, 9001.0)]
+    put(spark, f"{tmp_path}/in", late, schema)
+    stream = live_stream(spark, f"{tmp_path}/in", schema.replace(", t double", ", ts timestamp"))
+    live.graph_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp", bounds=(5,)).start().awaitTermination()
+    edges = live.read_graph(spark, f"{tmp_path}/out").collect()
+    assert [(r["client"], r["server"], r["calls"], r["failed"], r["le_5"], r["mean_ms"]) for r in edges] == [("front", "back", 2, 1, 1, 5.0)]
+    alone = spark.read.parquet(f"{tmp_path}/out/unmatched")
+    assert {(r["span_id"], r["kind"]) for r in alone.collect()} >= {("3", "client")} and not alone.filter("trace_id = 'u'").count()
