@@ -155,23 +155,17 @@ def resample(df: DataFrame, keys: Sequence[str], width: int = cat.MINUTE, extra:
     """Bins of `width` with `total` (0 when empty) and `mean` (NULL when empty).
 
     Every bin between the first and the last of a series is present. Columns in `extra` are constant
-    per series and kept.
+    per series and kept. Samples become bins on the map side; each bin then brings the empty ones before it, found by a
+    window over the bins of a series, so the input is read once and nothing is joined.
     """
-    bins = df.withColumn("_bin", F.col("ts") - F.col("ts") % width)
-    filled = bins.groupBy(*keys, F.col("_bin").alias("ts")).agg(
-        F.sum("value").alias("_sum"), F.avg("value").alias("mean")
-    )
-    spans = _spans(bins, keys, width, extra)
-    return spans.join(filled, [*keys, "ts"], "left").select(
-        *keys, "ts", F.coalesce("_sum", F.lit(0.0)).alias("total"), "mean", *extra
-    )
-
-
-def _spans(bins: DataFrame, keys: Sequence[str], width: int, extra: Sequence[str]) -> DataFrame:
-    edges = bins.groupBy(*keys).agg(
-        F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"), *[F.max(c).alias(c) for c in extra]
-    )
-    return explode_steps(edges, "ts", "_lo", "_hi", width).drop("_lo", "_hi")
+    slot = F.col("ts") - F.col("ts") % width
+    bins = df.groupBy(*keys, slot.alias("_bin")).agg(
+        F.sum("value").alias("_sum"), F.avg("value").alias("_mean"), *[F.max(c).alias(c) for c in extra])
+    before = F.lag("_bin").over(Window.partitionBy(*keys).orderBy("_bin"))
+    spans = explode_steps(bins.withColumn("_lo", F.coalesce(before + width, "_bin")), "ts", "_lo", "_bin", width)
+    full = F.col("ts") == F.col("_bin")
+    return spans.select(
+        *keys, "ts", F.when(full, F.coalesce("_sum", F.lit(0.0))).otherwise(0.0).alias("total"), F.when(full, F.col("_mean")).alias("mean"), *extra)
 
 
 def last_points(df: DataFrame, keys: Sequence[str], m: int, ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,8 @@ from fleetlens.operators import chat, entities, loadtest
 from fleetlens.operators import spans as sp
 from fleetlens.plans import sql as q
 from fleetlens.plans.registry import query
+from fleetlens.session import scratch_path
+from fleetlens.sources import entity_tables as tables
 from fleetlens.sources import fixtures as fx
 from fleetlens.sources import readers
 
@@ -158,6 +160,23 @@ def hard_delete(spark, d):
     return entities.hard_delete(fx.instances(spark, d).select("instance_id", "instance_name"), gone, ["instance_id"])
 
 
+@query("merged_table", q.with_ctes(q.INSTANCES) + """
+  , ch AS (SELECT c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 1000000 END AS instance_id,
+             CASE WHEN c_custkey % 4 = 0 THEN 'new-' || c_name END AS n, 'pending' AS s FROM customer WHERE c_custkey % 3 = 0),
+  up AS (SELECT instance_id, coalesce(n, instance_name) AS instance_name, coalesce(s, deploy_status) AS deploy_status, create_time, is_deleted, balance
+         FROM instances FULL JOIN ch USING (instance_id))
+  SELECT * REPLACE (CASE WHEN instance_id % 5 = 1 THEN 1 ELSE is_deleted END AS is_deleted) FROM up WHERE instance_id % 7 <> 2""")
+def merged_table(spark, d):
+    """An entity table on disk through an upsert, a soft delete and a hard delete, each rewriting only the buckets it touches."""
+    path, key = scratch_path(spark, "instances"), ["instance_id"]
+    tables.create_table(fx.instances(spark, d), path, key, 16)
+    tables.upsert_table(spark, path, _changes(spark, d), key)
+    ids = tables.read_table(spark, path).select("instance_id")
+    tables.soft_delete_table(spark, path, ids.filter("instance_id % 5 = 1"), key)
+    tables.hard_delete_table(spark, path, ids.filter("instance_id % 7 = 2"), key)
+    return tables.read_table(spark, path)
+
+
 @query("engine_args", """
   SELECT 'task-' || CAST(p_partkey AS VARCHAR) AS task, p_brand AS exported_job, p_type AS dtype, p_name AS model,
          CAST(p_size AS VARCHAR) AS max_num_seqs, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size * 100 AS VARCHAR) ELSE CAST(p_size * 7 AS VARCHAR) END AS max_seq_len,

@@ -12,6 +12,7 @@ from fleetlens import catalog as cat
 from fleetlens.functions import expressions as ex
 from fleetlens.operators import chat, entities, inventory, loadtest
 from fleetlens.operators import spans as sp
+from fleetlens.sources import entity_tables as tables
 from fleetlens.sources import readers, sinks
 
 
@@ -312,3 +313,37 @@ def test_reports_are_read_by_their_own_headers(spark, tmp_path):
     assert sorted(map(str, map(tuple, rows.collect()))) == sorted(map(str, [
         ("a b", True, 10.0), ("a b", False, 20.0), ("a b", True, 30.0), ("t[2]", True, 7.0), ("t[2]", False, 9.0), ("t3", None, 5.0)]))
     assert readers.read_load_report(spark, f"{tmp_path}/t4/report").count() == 0
+
+
+def test_a_merge_rewrites_only_its_buckets(spark, tmp_path):
+    path, key = str(tmp_path / "t"), ["k"]
+    rows = [(k, f"n{k}", 0) for k in range(1000)] + [(None, "nameless", 0)]
+    tables.create_table(spark.createDataFrame(rows, "k int, name string, is_deleted int"), path, key, 64)
+    before = sorted(os.listdir(f"{path}/data/version=0"))
+    changes = [(k, f"x{k}") for k in (3, 5, 8, 1005, 1007, 11, 13, 17, 19, 23)]
+    assert tables.upsert_table(spark, path, spark.createDataFrame(changes, "k int, name string"), key) == 1
+    assert 1 <= len([f for f in os.listdir(f"{path}/data/version=1") if f.startswith("bucket=")]) <= 10
+    assert sorted(os.listdir(f"{path}/data/version=0")) == before
+    want = {k: n for k, n, _ in rows} | dict(changes)
+    assert {r["k"]: r["name"] for r in tables.read_table(spark, path).collect()} == want
+    assert tables.read_table(spark, path, 0).count() == 1001
+    # A merge that is killed before its manifest leaves nothing that counts, and the next one replaces it.
+    left_over = f"{path}/data/version=2/bucket=0"
+    spark.createDataFrame([(-1, "half", 0)], "k int, name string, is_deleted int").write.parquet(left_over)
+    assert {r["k"]: r["name"] for r in tables.read_table(spark, path).collect()} == want
+    assert tables.hard_delete_table(spark, path, spark.createDataFrame([(k,) for k in range(500)], "k int"), key) == 2
+    assert tables.soft_delete_table(spark, path, spark.createDataFrame([(700,), (700,)], "k int"), key) == 3
+    left = {r["k"]: r["is_deleted"] for r in tables.read_table(spark, path).collect()}
+    assert left.keys() == {k for k in want if k is None or k >= 500} and {k for k, gone in left.items() if gone} == {700}
+    assert tables.upsert_table(spark, path, spark.createDataFrame([], "k int, name string"), key) == 3
+
+
+def test_empty_entity_tables(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k int, name string, is_deleted int"
+    tables.create_table(spark.createDataFrame([], schema), path, ["k"], 8)
+    assert tables.read_table(spark, path).count() == 0
+    tables.upsert_table(spark, path, spark.createDataFrame([(1, "a", 0)], schema), ["k"])
+    tables.hard_delete_table(spark, path, spark.createDataFrame([(1,)], "k int"), ["k"])
+    assert tables.read_table(spark, path).count() == 0 and tables.read_table(spark, path, 1).count() == 1
+    with pytest.raises(ValueError):
+        tables.read_table(spark, path, 9)

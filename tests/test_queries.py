@@ -76,3 +76,10 @@ def test_entry(spark):
 
 def test_event_stream_is_streaming(spark, sf):
     assert stream_queries.event_stream(spark, sf).isStreaming
+
+
+def test_resampling_reads_its_input_once(spark, sf):
+    df = QUERIES["resample_1h"](spark, sf)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
