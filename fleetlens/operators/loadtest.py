@@ -108,7 +108,7 @@ def series_in_windows(windows: DataFrame, samples: DataFrame, series: Sequence[s
 
     An interval join by exact cover: every window becomes a bounded set of aligned blocks, samples are
     rolled up once per block size, and both meet in an equi-join on (size, block). Long windows touch hour
-    rollups instead of raw samples. Windows are repeated over a few salts so that one busy block is spread.
+    rollups instead of raw samples. Only distinct windows take part; the tests are joined to their window's sums. Windows are repeated over a few salts so that one busy block is spread.
     `match` names columns both sides must agree on.
     """
     # Samples outside every window's hours are dropped first. One row per calendar hour (under 9000 a year,
@@ -127,10 +127,13 @@ def series_in_windows(windows: DataFrame, samples: DataFrame, series: Sequence[s
         level = level.groupBy(*series, _down(F.col("at"), size).alias("at")).agg(*merged)
         rollups = rollups.unionByName(level.withColumn("size", F.lit(size).cast("long")).withColumn("block", F.col("at")))
     rollups = rollups.withColumn("_salt", F.pmod(F.xxhash64(*series), F.lit(SALTS)).cast("int"))
-    covered = windows.select("test_id", *match, F.inline(_cover(F.col("w_start"), F.col("w_end"))))
+    # Tests that share a window are one window until the end.
+    window = ["w_start", "w_end", *match]
+    covered = windows.select(*window).distinct().select(*window, F.inline(_cover(F.col("w_start"), F.col("w_end"))))
     covered = covered.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = covered.join(rollups, ["size", "block", "_salt", *match]).filter("at BETWEEN lo AND hi")
-    return hits.groupBy("test_id", *dict.fromkeys(series)).agg(*merged)
+    per_window = hits.groupBy(*dict.fromkeys([*window, *series])).agg(*merged)
+    return windows.select("test_id", *window).join(per_window, window).select("test_id", *dict.fromkeys(series), "v_sum", "v_n", "v_peak")
 
 
 def robust_average(per_series: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from fleetlens.operators import ranges as rg
 from fleetlens.operators import series as sr
 from fleetlens.plans import sql as q
 from fleetlens.plans.registry import query
-from fleetlens.plans.views import BUNDLE_NAMES, BY_NAME, VIEWS, View, comparison_offset, replica_metrics, run_dashboard, run_view
+from fleetlens.plans.views import BUNDLE_NAMES, BY_NAME, VIEWS, View, comparison_offset, displayed, replica_metrics, run_dashboard, run_view
 from fleetlens.sources import fixtures as fx
 
 DAY = fx.DAY
@@ -427,3 +427,31 @@ def replica_metrics_query(spark, d):
 def compare_filter(spark, d):
     vector = rg.instant_at_step(fx.samples(spark, d), KEYS, START, END, HOUR, 6 * HOUR)
     return rg.compare_filter(vector, ">", 40)
+
+
+SHOWN = [BY_NAME[n] for n in ("api_request_bytes", "api_mean_duration", "gpu_temp", "llm_kv")]
+
+
+def _shown_sql() -> str:
+    arms = []
+    for v in SHOWN:
+        labels = ", ".join(c if c in v.by else f"CAST(NULL AS VARCHAR) AS {c}" for c in ("exported_job", "device"))
+        unit, factor = f"'{v.unit}'", "1000.0e0" if v.unit == "s" else "1.0e0"
+        if v.unit == "MB/s":
+            unit, factor = "['B/s', 'KB/s', 'MB/s', 'GB/s', 'TB/s'][i + 1]", "pow(1024.0e0, i)"
+        arms.append(f"""SELECT '{v.name}' AS view, {labels}, ts, {unit} AS unit, round(value / {factor}, 3) AS shown FROM ({_view_sql(v)}),
+          (SELECT CASE WHEN a >= 1 THEN least(CAST(floor(log10(a) / 3) AS INTEGER), 4) ELSE 0 END AS i
+           FROM (SELECT sum(value) / count(DISTINCT ({', '.join(v.by)})) AS a FROM ({_view_sql(v)})))""")
+    return " UNION ALL ".join(arms)
+
+
+@query("displayed_views", _shown_sql())
+def displayed_views(spark, d):
+    """Views as charts show them, throughput in the unit that suits its size."""
+    samples = all_view_samples(spark, d)
+    out = None
+    for v in SHOWN:
+        rows = displayed(v, _round(run_view(v, samples, START, END, STRETCH), "value"))
+        rows = rows.select("view", *[F.col(c) if c in v.by else F.lit(None).cast("string").alias(c) for c in ("exported_job", "device")], "ts", "unit", "shown")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import catalog as cat
-from fleetlens.functions.expressions import ratio
+from fleetlens.functions.expressions import display_value, ratio
 from fleetlens.operators import ranges as rg
+from fleetlens.operators.inventory import adaptive_unit
 
 def series_keys(samples: DataFrame) -> list[str]:
     """All columns but time and value: together they identify a series."""
@@ -202,6 +203,25 @@ def _evaluate(view, chosen, keys, start, end, step, window, lookback) -> DataFra
     raise ValueError(f"unknown view shape {view.shape}")
 
 
+def displayed(view: View, rows: DataFrame) -> DataFrame:
+    """A view's result as a chart shows it: view, its labels, ts, unit and shown (three decimals).
+
+    Throughputs in MB/s are shown in the unit that suits the chart: by the sum of its values per series, from B/s to TB/s.
+    """
+    labels = [c for c in rows.columns if c not in ("ts", "value")]
+    named = rows.withColumn("view", F.lit(view.name))
+    if view.unit == "MB/s":
+        sizes = adaptive_unit(named, ["view"], labels).select("view", "unit", "factor")
+        # A chart without a number has no average and keeps megabytes.
+        named = named.join(sizes, "view", "left").withColumns({
+            "unit": F.coalesce("unit", F.lit(view.unit)), "factor": F.coalesce("factor", F.lit(float(1024**2)))})
+        shown = display_value(F.col("value"), F.lit(view.unit), F.col("factor"))
+    else:
+        named = named.withColumn("unit", F.lit(view.unit))
+        shown = display_value(F.col("value"), F.col("unit"))
+    return named.select("view", *labels, "ts", "unit", shown.alias("shown"))
+
+
 VECTOR_OF_SHAPE = {"gauge": "instant", "mean": "mean", "rate": "rate", "rate_ratio": "rate", "increase": "increase"}
 
 
