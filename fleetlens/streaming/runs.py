@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
@@ -14,6 +14,7 @@ from fleetlens.operators.chunks import latest
 from fleetlens.operators.history import decode_history, encode_history
 from fleetlens.plans.detection import current_tasks, detection_pass
 from fleetlens.plans.views import View, run_dashboard
+from fleetlens.streaming import stores
 
 
 def changelog_writer(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", interval: str | None = None) -> DataStreamWriter:
@@ -44,29 +45,19 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "upd
     return path
 
 
-def _store(batch: DataFrame, batch_id: int, path: str) -> int | None:
-    """Write a micro-batch of samples by day and batch; returns its newest time, None if it is empty.
-
-    The newest time is observed during the write, not in a second pass.
-    """
-    seen = Observation()
-    rows = batch.withColumn("ts", F.unix_micros("ts")).withColumn("day", F.floor(F.col("ts") / cat.DAY)).withColumn(
-        "batch", F.lit(batch_id).cast("long")
-    ).observe(seen, F.max("ts").alias("newest"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
-    return seen.get["newest"]
-
-
 def _recent(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], since: int, newest: int) -> DataFrame:
     """Stored samples of `(since, newest]`, the last ingested per series and timestamp; only these days are listed."""
-    days = ",".join(str(day) for day in range(since // cat.DAY, newest // cat.DAY + 1))
-    fields = [f if f.name != "ts" else T.StructField("ts", T.LongType()) for f in schema.fields]
-    stored = T.StructType([*fields, T.StructField("day", T.LongType()), T.StructField("batch", T.LongType())])
-    rows = spark.read.schema(stored).option("basePath", path).parquet(f"{path}/day={{{days}}}")
+    rows = stores.read_days(spark, path, schema, since // cat.DAY, newest // cat.DAY)
     rows = rows.filter((F.col("ts") > since) & (F.col("ts") <= newest))
     return latest(rows, keys, F.struct("batch", "value"))
 
 
+def _compact_at(spark: SparkSession, path: str, schema: T.StructType, batch_id: int, every: int) -> None:
+    # The batch itself may be repeated, so it is left out.
+    if batch_id and batch_id % every == 0:
+        stores.compact(spark, path, schema, batch_id - 1)
+
+
 def detection_stream(
     stream: DataFrame,
     tasks: DataFrame | Callable[[], DataFrame],
@@ -75,6 +66,7 @@ def detection_stream(
     lookback: int = 3 * cat.HOUR,
     interval: str | None = None,
     status: Callable[[], DataFrame] | None = None,
+    compact_every: int = 100,
     **rules,
 ) -> DataStreamWriter:
     """Detection loop over a sample stream (service, replica, metric, ts TIMESTAMP, value).
@@ -86,7 +78,8 @@ def detection_stream(
     a function asked at every tick, says which services there are: those deployed later are judged from then on, removed
     ones no longer; what was recommended before is laid over it. `status`, asked at every tick too, gives the
     current task states and limits the tick to running tasks under automatic scaling. A tick is judged at the newest
-    time seen so far, so a batch of late rows neither turns the clock back nor judges an old window again.
+    time seen so far, so a batch of late rows neither turns the clock back nor judges an old window again. Every
+    `compact_every` batches the stored samples are merged, so a day holds at most so many folders.
     """
     spark = stream.sparkSession
     samples_path, history_path, tasks_path, clock_path = f"{path}/samples", f"{path}/history", f"{path}/tasks", f"{path}/clock"
@@ -94,7 +87,7 @@ def detection_stream(
     stream = stream.select(*keys, "ts", "value")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        newest = _store(batch, batch_id, samples_path)
+        newest = stores.store_batch(batch, batch_id, samples_path)
         current, seen = tasks() if callable(tasks) else tasks, None
         if batch_id > 0:
             before = spark.read.schema(current.schema).parquet(f"{tasks_path}/batch={batch_id - 1}")
@@ -114,6 +107,7 @@ def detection_stream(
             encode_history(records).write.mode("overwrite").parquet(target)
         kept = decode_history(spark.read.schema(RECORD_SCHEMA).parquet(target).drop("timestamp"))
         current_tasks(current, kept).write.mode("overwrite").parquet(f"{tasks_path}/batch={batch_id}")
+        _compact_at(spark, samples_path, stream.schema, batch_id, compact_every)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
@@ -139,6 +133,7 @@ def view_stream(
     stretch: int = 1,
     lateness: int = cat.LOOKBACK,
     interval: str | None = None,
+    compact_every: int = 100,
 ) -> DataStreamWriter:
     """Keep metric views up to date over a sample stream (metric, label columns, ts TIMESTAMP, value).
 
@@ -154,7 +149,7 @@ def view_stream(
     keys = [c for c in stream.columns if c not in ("ts", "value")]
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        newest = _store(batch, batch_id, samples_path)
+        newest = stores.store_batch(batch, batch_id, samples_path)
         done, seen = first_tick - tick, None
         if batch_id > 0:
             done, seen = spark.read.schema(TICK_SCHEMA).parquet(f"{ticks_path}/batch={batch_id - 1}").first()
@@ -166,6 +161,7 @@ def view_stream(
             values = run_dashboard(views, recent, done + tick, upto, stretch)
             values.write.mode("overwrite").parquet(f"{values_path}/batch={batch_id}")
         spark.createDataFrame([(upto, seen)], TICK_SCHEMA).write.mode("overwrite").parquet(f"{ticks_path}/batch={batch_id}")
+        _compact_at(spark, samples_path, stream.schema, batch_id, compact_every)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)

@@ -7,7 +7,7 @@ from fleetlens.catalog import MINUTE, SECOND
 from fleetlens.operators import series
 from fleetlens.plans.detection import detection_pass
 from fleetlens.sources import readers
-from fleetlens.streaming import aggregates, live, runs
+from fleetlens.streaming import aggregates, live, runs, stores
 
 SAMPLE = "service string, replica string, metric string, ts timestamp, value double"
 
@@ -260,3 +260,49 @@ def test_spans_without_partner_go_to_a_side_table(spark, tmp_path):
     assert [(r["client"], r["server"], r["calls"], r["failed"], r["le_5"], r["mean_ms"]) for r in edges] == [("front", "back", 2, 1, 1, 5.0)]
     alone = spark.read.parquet(f"{tmp_path}/out/unmatched")
     assert {(r["span_id"], r["kind"]) for r in alone.collect()} >= {("3", "client")} and not alone.filter("trace_id = 'u'").count()
+
+
+def test_compaction_bounds_folders_and_loses_nothing(spark, tmp_path):
+    """Killed before its manifest or before it cleans up, repeated, and with batches that come afterwards."""
+    path = f"{tmp_path}/samples"
+    schema = spark.createDataFrame([], "service string, ts timestamp, value double").schema
+
+    def put_batch(n, days):
+        rows = [("s", float(day * 86_400 + n), float(n)) for day in days]
+        df = spark.createDataFrame(rows, "service string, t double, value double").select("service", F.timestamp_micros((F.col("t") * SECOND).cast("long")).alias("ts"), "value")
+        assert stores.store_batch(df, n, path) == (max(days) * 86_400 + n) * SECOND
+
+    def found():
+        return sorted((r["ts"] // SECOND, r["value"], r["batch"]) for r in stores.read_days(spark, path, schema, 0, 9).collect())
+
+    def folders():
+        return len(list((tmp_path / "samples").glob("day=*/batch=*")))
+
+    for n in range(4):
+        put_batch(n, [1, 2] if n % 2 else [1])
+    want = found()
+    assert len(want) == 6 and folders() == 6
+    # Killed while writing: files of a version without a manifest.
+    spark.createDataFrame([("x", 86_400 * SECOND, 9.0, 0)], "service string, ts long, value double, batch long").write.parquet(f"{path}-merged/data/version=2/day=1")
+    assert found() == want
+    assert stores.compact(spark, path, schema, 2) == 2
+    assert found() == want and folders() == 2
+    # Killed before the folders were removed: a batch that is merged already is there again.
+    put_batch(1, [1, 2])
+    assert found() == want
+    put_batch(4, [2, 3])
+    want = sorted([*want, (2 * 86_400 + 4, 4.0, 4), (3 * 86_400 + 4, 4.0, 4)])
+    assert found() == want
+    assert stores.compact(spark, path, schema, 4) == 3 and stores.compact(spark, path, schema, 4) == 0
+    assert found() == want and folders() == 0
+    assert len(list((tmp_path / "samples-merged" / "data").glob("version=*/day=*"))) == 3
+    assert [v for t, v, _ in sorted((r["ts"], r["value"], r["batch"]) for r in stores.read_days(spark, path, schema, 3, 3).collect())] == [4.0]
+
+
+def test_detection_loop_compacts_as_it_goes(spark, samples, parts, tmp_path):
+    tasks = spark.createDataFrame([("s", "mistral", 7.0, 24, 8, 12, 1, 0.9, 2)], TASK)
+    runs.detection_stream(stream_of(spark, parts), tasks, f"{tmp_path}/plain", f"{tmp_path}/cp1").start().awaitTermination()
+    runs.detection_stream(stream_of(spark, parts), tasks, f"{tmp_path}/merged", f"{tmp_path}/cp2", compact_every=1).start().awaitTermination()
+    plain, merged = (rows_of(runs.detection_history(spark, f"{tmp_path}/{x}").select("task", "timestamp", "recommended")) for x in ("plain", "merged"))
+    assert plain == merged and len(plain) == 3
+    assert len(list((tmp_path / "merged" / "samples").glob("day=*/batch=*"))) == 1
