@@ -6,8 +6,8 @@ different, missing or additional word -1. The score is the best local alignment
 paraphrased copies score by what is left of the item. Common seeds lead to many passages; those with too few words of
 the item to reach the least score are passed over before they are aligned, which loses none.
 
-The test items are held by every task; they are taken in blocks of `block` items, so what is sent out stays
-bounded however many there are. Documents are read where they lie and never shuffled.
+The test items are held by every task; they are taken in blocks of `block` items, one after another, so what the driver holds and
+sends out stays bounded however many there are; each block reads the documents once. Documents are read where they lie and never shuffled.
 
 Null and empty texts or items match nothing. An item of fewer than `n` words has a single seed, all its words, and
 is found only in documents that consist of them. Items with equal ids are taken as one item per distinct text.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import HashTable, grams, plain_texts, run_starts, slices, utf8, words
+from fleetlens.llm.common import HashTable, grams, plain_texts, run_starts, slices, utf8, words, written
 
 SEED_WORDS = 3
 #: Share of a full match from which a passage counts as a copy of the item.
@@ -182,14 +182,24 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, least: floa
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         items = read_items([(r["item_id"], r["text"]) for r in part], n)
         found = _matches(texts, items, n, least)
+        if blocks > 1:
+            # Written before the next block is read, so the driver never holds more than one.
+            found = written(docs.sparkSession, found, "leaks")
+            del items
         result = found if result is None else result.union(found)
     assert result is not None
     return result
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that hold no copy of a test item; rows without doc_id as well are judged by their own text."""
+    """The rows of `docs`, all columns, that hold no copy of a test item; rows without doc_id as well are judged by their own text.
+
+    Columns of any name stay as they are.
+    """
     # Made from doc_id and text and never null, so a match removes its own row and equal ones.
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    leaks = find(keyed.select(F.col("_row_key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_row_key")).distinct()
-    return keyed.join(leaks, "_row_key", "left_anti").select(*docs.columns)
+    key = "_row_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    leaks = find(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(leaks, key, "left_anti").drop(key)

@@ -280,11 +280,13 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """`docs` with every span replaced by its kind in angle brackets; overlapping spans become one. Other columns stay,
+    """`docs` with every span replaced by its kind in angle brackets; overlapping spans become one. Other columns stay, whatever their names,
     but n_chars, where there is one, is counted anew for changed texts."""
     weights = train(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     columns = docs.columns
-    found = _spans(docs, weights).withColumn("_all", F.sort_array(F.transform("_all", lambda s: F.struct(
+    # All columns travel as one, so that no name of theirs meets one of the working columns.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("text").alias("text"))
+    found = _spans(packed, weights).withColumn("_all", F.sort_array(F.transform("_all", lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
     cut = "struct<before:bigint,start:bigint,end:bigint,kind:int>"
     # Each span with the end of what the spans before it have covered; one that starts earlier is part of these.
@@ -301,5 +303,5 @@ def redact(docs: DataFrame) -> DataFrame:
     keep = {"text": F.col("_text")}
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
-        keep["n_chars"] = F.when(F.size("_all") > 0, F.length("_text").cast(kind)).otherwise(F.col("n_chars"))
-    return found.select(*[keep[c].alias(c) if c in keep else F.col(f"`{c}`") for c in columns])
+        keep["n_chars"] = F.when(F.size("_all") > 0, F.length("_text").cast(kind)).otherwise(F.col("_row")["n_chars"])
+    return found.select(*[(keep[c] if c in keep else F.col("_row")[c]).alias(c) for c in columns])
