@@ -31,8 +31,8 @@ def _in_reach(samples: DataFrame, start: int, end: int, step: int, reach: int) -
 
 
 def _ticks_per_chunk(step: int, reach: int) -> int:
-    """Ticks of one chunk: an hour or four times the reach, so that few samples are seen by two chunks."""
-    return max(1, -(-max(cat.HOUR, 4 * reach) // step))
+    """Ticks of one chunk: ten minutes or four times the reach, so that few samples are seen by two chunks."""
+    return max(1, -(-max(10 * cat.MINUTE, 4 * reach) // step))
 
 
 def _to_chunks(rows: DataFrame, per_chunk: int) -> DataFrame:

@@ -348,14 +348,15 @@ def inventory_totals(spark, d):
 
 
 @query("detection_candidates_pass", q.with_ctes(*CHAIN, f"cand AS ({RECOVERY})") + f"""
-  SELECT c.service AS task, c.replicas FROM cand c JOIN ({DETECT_SQL}) f USING (service)
-  WHERE f.is_anomaly = 1 AND c.service <> 'svc-1'""")
+  , state AS (SELECT service, arg_max(event_id % 3 <> 2, event_id) AS runs FROM ev GROUP BY service)
+  SELECT c.service AS task, c.replicas FROM cand c JOIN ({DETECT_SQL}) f USING (service) JOIN state s USING (service)
+  WHERE f.is_anomaly = 1 AND c.service <> 'svc-1' AND s.runs""")
 def detection_candidates_pass(spark, d):
-    """The pass limited to running tasks under automatic scaling."""
+    """The pass limited to running tasks under automatic scaling; some tasks don't run, by the state of their last replica."""
     from fleetlens.plans.detection import detection_pass
 
     states = fx.events(spark, d).select(
-        F.col("service").alias("task"), F.col("event_id").alias("idx"), F.lit("running").alias("state")
+        F.col("service").alias("task"), F.col("event_id").alias("idx"), F.when(F.col("event_id") % 3 == 2, "exited").otherwise("running").alias("state")
     )
     records = detection_pass(
         fx.replica_bundle(spark, d), fx.tasks(spark, d), F.lit(0), kv_threshold=KV, running_threshold=RUNNING,
