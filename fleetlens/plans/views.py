@@ -206,16 +206,17 @@ def _evaluate(view, chosen, keys, start, end, step, window, lookback) -> DataFra
 def displayed(view: View, rows: DataFrame) -> DataFrame:
     """A view's result as a chart shows it: view, its labels, ts, unit and shown (three decimals).
 
-    Throughputs in MB/s are shown in the unit that suits the chart: by the sum of its values per series, from B/s to TB/s.
+    Throughputs in MB/s are shown in the unit that suits the chart: by the sum of its values per series, from B/s to TB/s. This
+    unit is found first, as one row.
     """
     labels = [c for c in rows.columns if c not in ("ts", "value")]
     named = rows.withColumn("view", F.lit(view.name))
     if view.unit == "MB/s":
-        sizes = adaptive_unit(named, ["view"], labels).select("view", "unit", "factor")
-        # A chart without a number has no average and keeps megabytes.
-        named = named.join(sizes, "view", "left").withColumns({
-            "unit": F.coalesce("unit", F.lit(view.unit)), "factor": F.coalesce("factor", F.lit(float(1024**2)))})
-        shown = display_value(F.col("value"), F.lit(view.unit), F.col("factor"))
+        size = adaptive_unit(named, ["view"], labels).first()
+        # An empty chart keeps megabytes.
+        unit, factor = (size["unit"], size["factor"]) if size else (view.unit, float(1024**2))
+        named = named.withColumn("unit", F.lit(unit))
+        shown = display_value(F.col("value"), F.lit(view.unit), F.lit(factor))
     else:
         named = named.withColumn("unit", F.lit(view.unit))
         shown = display_value(F.col("value"), F.col("unit"))

@@ -64,7 +64,9 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     plan = QUERIES["search_instances"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "c_acctbal" not in plan
     plan = QUERIES["latest_engine_config"](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(event_type,view)" in plan and "props" not in plan
+    assert "props" not in plan
+    plan = QUERIES["vector_ratio"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "In(event_type, [error,view])" in plan and "props" not in plan
 
 
 def test_entry(spark):
