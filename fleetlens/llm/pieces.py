@@ -31,8 +31,9 @@ from fleetlens.llm.common import Prefixes, slices
 MARK = "▁"
 #: Code points of a chunk; only texts longer than this are split.
 CHUNK = 65_536
-#: Stretches and pairs a process remembers; the memory is emptied when it is full, results don't depend on it.
-REMEMBERED = 700_000
+#: Stretches and pairs a process remembers; a memory is emptied when it is full, results don't depend on it.
+REMEMBERED = 300_000
+PAIRS = 100_000
 #: Stretches worked off together, and the bytes beyond which one goes alone.
 TOGETHER = 16_384
 LONG = 192
@@ -102,7 +103,7 @@ class Pieces:
         The edges facing each other grow by merges in the order of rank; the pair is unstable if at some moment the merge
         across comes first. Of equal ranks the leftmost merge comes first.
         """
-        if len(self._stable) > REMEMBERED:
+        if len(self._stable) > PAIRS:
             self._stable.clear()
         found = self._stable[(left, right)] = self._compare(left, right)
         return found
