@@ -292,9 +292,9 @@ ALL_METRICS = sorted({m for v in VIEWS for m in v.metrics})
 ALL_COUNTERS = {m for v in VIEWS for m in v.counters}
 
 
-def all_view_samples(spark, d):
-    """The one table of samples that all views read."""
-    return fx.view_samples(spark, d, ALL_METRICS, ALL_COUNTERS)
+def all_view_samples(spark, d, *views: View):
+    """The one table of samples that all views read; of named views, the samples of their metrics."""
+    return fx.view_samples(spark, d, ALL_METRICS, ALL_COUNTERS, {m for v in views for m in v.metrics} or None)
 
 
 def _view_sql(v: View, one_job: bool = True) -> str:
@@ -357,7 +357,7 @@ def _view_sql(v: View, one_job: bool = True) -> str:
 
 def _view_query(v: View):
     def run(spark, d):
-        samples = all_view_samples(spark, d)
+        samples = all_view_samples(spark, d, v)
         out = run_view(v, samples, START, END, STRETCH, JOB_PATTERN if v.needs_job else None)
         return _round(out, "value")
 
@@ -385,7 +385,7 @@ def _dashboard_sql(views) -> str:
 @query("dashboard", _dashboard_sql(API_VIEWS))
 def dashboard(spark, d):
     """Panels of three pages at once: one pass per vector function and window."""
-    out = run_dashboard(API_VIEWS, all_view_samples(spark, d), START, END, STRETCH)
+    out = run_dashboard(API_VIEWS, all_view_samples(spark, d, *API_VIEWS), START, END, STRETCH)
     return _round(out, "value")
 
 
@@ -401,7 +401,7 @@ _CURRENT_SQL, _EARLIER_SQL = (
   UNION ALL SELECT exported_job, ts + {WEEK}, value, 'previous' FROM ({_EARLIER_SQL})""")
 def chart_comparison(spark, d):
     """A chart with the week before laid over it."""
-    samples = all_view_samples(spark, d)
+    samples = all_view_samples(spark, d, COMPARED)
     current = run_view(COMPARED, samples, START + 14 * DAY, END, STRETCH).withColumn("period", F.lit("current"))
     earlier = run_view(COMPARED, samples, START + 14 * DAY, END, STRETCH, offset=WEEK).withColumn("period", F.lit("previous"))
     return _round(current.unionByName(earlier), "value")
@@ -414,7 +414,7 @@ BUNDLE_SQL = f"""
 
 
 def bundle_from_samples(spark, d):
-    return _round(replica_metrics(all_view_samples(spark, d), START, END, STRETCH), "value")
+    return _round(replica_metrics(all_view_samples(spark, d, *[BY_NAME[n] for n in BUNDLE_NAMES]), START, END, STRETCH), "value")
 
 
 @query("replica_metrics", BUNDLE_SQL)
@@ -448,7 +448,7 @@ def _shown_sql() -> str:
 @query("displayed_views", _shown_sql())
 def displayed_views(spark, d):
     """Views as charts show them, throughput in the unit that suits its size."""
-    samples = all_view_samples(spark, d)
+    samples = all_view_samples(spark, d, *SHOWN)
     out = None
     for v in SHOWN:
         rows = displayed(v, _round(run_view(v, samples, START, END, STRETCH), "value"))

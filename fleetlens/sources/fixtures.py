@@ -254,14 +254,17 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def view_samples(spark: SparkSession, sf_dir: str, metrics: list[str], counter: set[str]) -> DataFrame:
+def view_samples(spark: SparkSession, sf_dir: str, metrics: list[str], counter: set[str], only: set[str] | None = None) -> DataFrame:
     """Samples of all view metrics in one table: every event gives one to each metric, as gauge or counter.
 
     The k-th metric has the event's value plus k. Labels are promoted to columns; a series is one
-    (metric, exported_job, device, http_status_code).
+    (metric, exported_job, device, http_status_code). `only` names the metrics that the reader will use, all of them by
+    default: every event is read either way, but gives no samples that nobody looks at.
     """
     keys = ["metric", "exported_job", "device", "http_status_code"]
-    named = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k")) for k, m in enumerate(metrics)]))
+    chosen = {m: k for k, m in enumerate(metrics) if only is None or m in only}
+    counter = counter & chosen.keys()
+    named = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k")) for m, k in chosen.items()]))
     e = events(spark, sf_dir).withColumn("_m", named)
     e = e.withColumns({"value": F.col("value") + F.col("_m.k"), "cents": F.col("cents") + 100 * F.col("_m.k")})
     labelled = e.select(
@@ -273,7 +276,7 @@ def view_samples(spark: SparkSession, sf_dir: str, metrics: list[str], counter:
     )
     is_counter = F.col("metric").isin(*counter) if counter else F.lit(False)
     parts = []
-    if set(metrics) - counter:
+    if chosen.keys() - counter:
         parts.append(latest(labelled.filter(~is_counter), keys, "event_id").select(*keys, "ts", "value"))
     if counter:
         steps = labelled.filter(is_counter).groupBy(*keys, "ts").agg(F.sum("cents").alias("_cents"))

@@ -139,7 +139,8 @@ def view_stream(
 
     Every tick is evaluated once, when samples `lateness` newer have arrived, from the stored
     samples its windows reach back to. Extrapolated rates need this; sums and means over fixed windows can
-    also run as plain streaming aggregations. All views must share one step.
+    also run as plain streaming aggregations. All views must share one step. Samples of metrics that no view
+    reads move the clock, but are not stored.
     """
     spark = stream.sparkSession
     samples_path, values_path, ticks_path = f"{path}/samples", f"{path}/values", f"{path}/ticks"
@@ -147,9 +148,10 @@ def view_stream(
     assert all(v.step == views[0].step for v in views)
     reach = max([cat.LOOKBACK, *[v.window * cat.SECOND for v in views]]) * stretch
     keys = [c for c in stream.columns if c not in ("ts", "value")]
+    read = F.col("metric").isin(*{m: None for v in views for m in v.metrics})
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        newest = stores.store_batch(batch, batch_id, samples_path)
+        newest = stores.store_batch(batch, batch_id, samples_path, read)
         done, seen = first_tick - tick, None
         if batch_id > 0:
             done, seen = spark.read.schema(TICK_SCHEMA).parquet(f"{ticks_path}/batch={batch_id - 1}").first()

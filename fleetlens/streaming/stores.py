@@ -12,7 +12,7 @@ nothing: without its manifest the folders count, with it the merged files do, wh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,16 +21,18 @@ from fleetlens import catalog as cat
 MANIFEST = "day bigint, data_version bigint, upto bigint"
 
 
-def store_batch(batch: DataFrame, batch_id: int, path: str) -> int | None:
+def store_batch(batch: DataFrame, batch_id: int, path: str, wanted: Column | None = None) -> int | None:
     """Write a micro-batch of samples by day and batch; returns its newest time, None if it is empty.
 
-    The newest time is observed during the write, not in a second pass.
+    The newest time is observed during the write, not in a second pass. Only `wanted` samples are stored, by default all, but
+    each counts for the newest time.
     """
     seen = Observation()
     rows = batch.withColumn("ts", F.unix_micros("ts")).withColumn("day", F.floor(F.col("ts") / cat.DAY)).withColumn(
         "batch", F.lit(batch_id).cast("long")
     ).observe(seen, F.max("ts").alias("newest"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+    stored = rows if wanted is None else rows.filter(wanted)
+    stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
     return seen.get["newest"]
 
 

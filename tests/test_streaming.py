@@ -138,6 +138,30 @@ def test_views_over_batches_equal_one_run(spark, samples, parts, tmp_path):
     assert len(list((tmp_path / "out" / "values").glob("batch=*"))) >= 3
 
 
+def test_views_store_only_what_they_read(spark, tmp_path):
+    """Metrics that no view reads move the clock, also alone in a batch, but are not stored."""
+    from fleetlens.plans.views import View, run_dashboard
+
+    start = 1713164400
+    for name, metric, lo, hi in (("b0", "hits", 0, 600), ("b1", "other", 0, 1800), ("b2", "hits", 600, 1200)):
+        rows = [("s", "r0", metric, start + t, float(t)) for t in range(lo, hi, 15)]
+        df = spark.createDataFrame(rows, "service string, replica string, metric string, t bigint, value double")
+        df.select("service", "replica", "metric", F.timestamp_seconds("t").alias("ts"), "value").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    views = [View("r", "rate", ("hits",), "sum", ("service",), window=300)]
+    for name in ("b0", "b1", "b2"):
+        stream = stream_of(spark, f"{tmp_path}/in/{{{','.join(f'b{i}' for i in range(int(name[1]) + 1))}}}")
+        runs.view_stream(stream, views, f"{tmp_path}/out", f"{tmp_path}/cp", start * SECOND).start().awaitTermination()
+    stored = spark.read.parquet(f"{tmp_path}/out/samples")
+    assert {r["metric"] for r in stored.select("metric").distinct().collect()} == {"hits"} and stored.count() == 80
+    (seen,) = spark.read.parquet(f"{tmp_path}/out/ticks/batch=1").select("seen").first()
+    assert seen == (start + 1785) * SECOND
+    # Ticks before the second batch's clock are done with what had come by then.
+    got = spark.read.schema("view string, ts bigint, value double").parquet(f"{tmp_path}/out/values")
+    known = spark.read.parquet(f"{tmp_path}/in/b0").withColumn("ts", F.unix_micros("ts"))
+    batch = run_dashboard(views, known, start * SECOND, start * SECOND + (1785 - 300) // 60 * MINUTE)
+    assert got.count() > 0 and rows_of(got.select("view", "ts", F.round("value", 9))) == rows_of(batch.select("view", "ts", F.round("value", 9)))
+
+
 def test_kafka_and_parquet_writers_are_configured(spark, parts, tmp_path):
     from fleetlens.sources.sinks import write_telemetry_stream
 
