@@ -67,16 +67,21 @@ def _by_header(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The named columns of CSV files, and `_file`; unreadable cells and columns that a file lacks are NULL.
 
     Every file is read by its own header, whatever the order of its columns. A first pass over the lines finds each file's
-    header, and whether a quoted cell goes on in the next line: only such files are read by one task each, all
+    first line, and whether a quoted cell goes on in the next line: only such files are read by one task each, all
     others are split. The driver gets the names of the files, as it does when it lists them.
     """
-    at, text = F.struct("_metadata.file_block_start", F.monotonically_increasing_id()), F.col("value")
-    quotes = F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
-    files = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"), (quotes % 2 == 1).alias("open"))
-    # A byte order mark is no part of the first name.
-    header = F.regexp_replace(F.min_by("value", "at"), "^\ufeff", "")
-    found = files.groupBy("file").agg(header.alias("header"), F.bool_or("open").alias("open"))
-    groups = found.groupBy("header", "open").agg(F.collect_list("file").alias("files")).collect()
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"),
+    )
+    found = _first_lines(lines).collect()
+    firsts = spark.createDataFrame(found, "file string, id bigint, open boolean")
+    # The texts are those of a second pass: an aggregation that carries texts would sort all lines. A byte order mark is no part of the first name.
+    header = F.regexp_replace("value", "^\ufeff", "")
+    headers = lines.filter("start = 0").join(F.broadcast(firsts), ["id", "file"]).select("file", "open", header.alias("header"))
+    groups = headers.groupBy("header", "open").agg(F.collect_list("file").alias("files")).collect()
+    if sum(len(g["files"]) for g in groups) != len(found):
+        raise ValueError(f"files changed while they were read: {path}")
     # File paths come as URIs, in which a plus sign is itself.
     decoded = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     fields = T.StructType.fromDDL(schema).fields
@@ -89,6 +94,14 @@ def _by_header(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return out
 
 
+def _first_lines(lines: DataFrame) -> DataFrame:
+    """Per file the id of its first line and whether a line of it has an open quote. Numbers only, so that lines are
+    hashed by their file and never sorted."""
+    text = F.col("value")
+    quotes = F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+    return lines.groupBy("file").agg(F.min(F.when(F.col("start") == 0, F.col("id"))).alias("id"), F.bool_or(quotes % 2 == 1).alias("open"))
+
+
 def read_prompt_dataset(spark: SparkSession, path: str, schema: str = "question string") -> DataFrame:
     """Prompt CSV: the header names the variables. Quoted cells may span lines; files without such cells are split
     between tasks."""

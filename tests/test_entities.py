@@ -157,6 +157,27 @@ def test_load_report_files(spark, tmp_path):
     assert {tuple(r) for r in out.collect()} == {("t1", 2, 1, 20.0), ("t2", 1, 1, 7.0)}
 
 
+def test_headers_are_found_without_sorting_lines(spark, tmp_path):
+    """Several files in a split and several splits of a file; the plan that reads the lines holds no sort."""
+    head = "elapsed,success,failureMessage"
+    for test, (first, n) in {"t1": (head, 1), "t2": ("success,elapsed,failureMessage", 2), "t3": (head, 400), "t4": (f"\ufeff{head}", 3)}.items():
+        folder = tmp_path / test / "report"
+        os.makedirs(folder)
+        row = "true,10," if test == "t2" else '10,true,"two\nlines"' if test == "t1" else "10,true,"
+        (folder / "report.log").write_text("\n".join([first, *[row] * n]) + "\n")
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        out = loadtest.summarise_load_report(readers.read_load_report(spark, f"{tmp_path}/*/report")).collect()
+        lines = spark.read.text(f"{tmp_path}/*/report").select(
+            "value", F.col("_metadata.file_path").alias("file"), F.lit(0).alias("start"), F.monotonically_increasing_id().alias("id"))
+        assert lines.rdd.getNumPartitions() > 4
+        assert "Sort" not in readers._first_lines(lines)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    assert {tuple(r) for r in out} == {("t1", 1, 1, 10.0), ("t2", 2, 2, 10.0), ("t3", 400, 400, 10.0), ("t4", 3, 3, 10.0)}
+
+
 def test_engine_log_lines(spark):
     good = ("INFO Avg prompt throughput: 1.5 tokens/s, Avg generation throughput: 20.0 tokens/s, Running: 3 reqs, "
             "Swapped: 0 reqs, Pending: 7 reqs, GPU KV cache usage: 12.5%, CPU KV cache usage: 0.0%")
