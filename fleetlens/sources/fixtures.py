@@ -165,10 +165,15 @@ GPU_GB = [16, 24, 40, 80]
 
 
 def deploy_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (part, supplier) pairs as model-on-GPU deployment requests."""
+    """Distinct (part, supplier) pairs as model-on-GPU deployment requests.
+
+    Nearly all pairs are distinct, so they are shuffled at once, to the session's number of partitions: adaptive execution
+    would merge these until a task of a join holds millions of pairs.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("model_id"), F.col("l_suppkey").alias("gpu_id")
-    ).distinct()
+    ).repartition(parts, "model_id", "gpu_id").distinct()
     pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
     return pairs.select(
         "model_id",

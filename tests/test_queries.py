@@ -98,3 +98,21 @@ def test_half_of_a_total_beyond_2_53(spark, tmp_path):
     want = con.sql(ORACLES["inventory_totals"]).fetchall()
     assert want[0][1] > 2**53 and want[0][1] % 2 == 1
     assert [tuple(r) for r in QUERIES["inventory_totals"](spark, str(tmp_path)).collect()] == want
+
+
+def test_deployment_pairs_are_shuffled_once_and_not_merged(spark, tmp_path):
+    """Pairs keep the session's partitions, a join of them reads one shuffle, and pairs without a key match nothing."""
+    import duckdb
+
+    from fleetlens.sources import fixtures as fx
+
+    keys = ["IF(id % 7 = 0, NULL, id % 50) AS l_partkey", "IF(id % 11 = 0, NULL, id % 9) AS l_suppkey"]
+    spark.range(2000).selectExpr(*keys).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert fx.deploy_requests(spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    found = con.sql(ORACLES["apply_recommendation"])
+    df = QUERIES["apply_recommendation"](spark, str(tmp_path))
+    assert canonical(df.columns, df.collect()) == canonical(found.columns, found.fetchall())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
